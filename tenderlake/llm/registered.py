@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import queries_simhash
+from . import queries_decontaminate, queries_quality_rules, queries_simhash
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (queries_simhash,):
+for _module in (queries_simhash, queries_quality_rules, queries_decontaminate):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
