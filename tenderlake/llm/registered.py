@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import queries_decontaminate, queries_quality_rules, queries_simhash
+import corpus_pipeline
+
+from . import queries_decontaminate, queries_packing, queries_quality_rules, queries_simhash, queries_substring_dedup
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (queries_simhash, queries_quality_rules, queries_decontaminate):
+for _module in (queries_decontaminate, queries_packing, queries_substring_dedup, queries_simhash, queries_quality_rules):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
