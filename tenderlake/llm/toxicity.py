@@ -94,8 +94,9 @@ def unit_vector(counts: Counter, idf: np.ndarray) -> dict[int, float]:
 
 
 def vote(labels: np.ndarray, cosines: np.ndarray, base: float) -> float:
-    """Share of the label among the neighbours, weighted by cosine; the base rate counts as one neighbour of weight 0.1."""
-    return float((cosines @ labels + 0.1 * base) / (cosines.sum() + 0.1))
+    """Share of the label among the neighbours, each weighted by the inverse of its distance; the base rate has a weight of 1."""
+    weights = 1 / (1.05 - np.minimum(cosines, 1))
+    return float((weights @ labels + base) / (weights.sum() + 1))
 
 
 def calibrate(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
