@@ -5,17 +5,19 @@ from __future__ import annotations
 import corpus_pipeline
 
 from . import (
+    queries_chat,
     queries_classifiers,
     queries_decontaminate,
     queries_packing,
     queries_quality_rules,
     queries_simhash,
     queries_substring_dedup,
+    queries_warc,
 )
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (queries_classifiers, queries_decontaminate, queries_packing, queries_substring_dedup, queries_simhash, queries_quality_rules):
+for _module in (queries_chat, queries_warc, queries_classifiers, queries_decontaminate, queries_packing, queries_substring_dedup, queries_simhash, queries_quality_rules):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
 QUERIES["pipeline"] = corpus_pipeline.run
