@@ -8,6 +8,7 @@ from . import (
     queries_chat,
     queries_classifiers,
     queries_decontaminate,
+    queries_lm,
     queries_packing,
     queries_quality_rules,
     queries_simhash,
@@ -17,7 +18,7 @@ from . import (
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (queries_chat, queries_warc, queries_classifiers, queries_decontaminate, queries_packing, queries_substring_dedup, queries_simhash, queries_quality_rules):
+for _module in (queries_lm, queries_chat, queries_warc, queries_classifiers, queries_decontaminate, queries_packing, queries_substring_dedup, queries_simhash, queries_quality_rules):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
 QUERIES["pipeline"] = corpus_pipeline.run
