@@ -60,6 +60,14 @@ def winnowed(words: Column, window: int, k: int) -> Column:
     return F.when(F.size(words) >= window, let(grams(words, k), picked)).otherwise(none)
 
 
+def all_windows(words: Column, n: int) -> Column:
+    """``struct(h, p, len)`` of every run of ``n`` words."""
+    at = F.sequence(F.lit(1), F.size(words) - n + 1)
+    hashed = lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " "))
+    found = F.transform(at, lambda i: F.struct(hashed(i).alias("h"), (i - 1).alias("p"), F.lit(n).alias("len")))
+    return F.when(F.size(words) >= n, found).otherwise(F.array().cast("array<struct<h:bigint,p:int,len:int>>"))
+
+
 def window_index(items: DataFrame, id_col: str, text_col: str, window: int = WINDOW, k: int = GRAM) -> DataFrame:
     """``item, len, w, h, o``: each window of each item once, its words, the least k-gram hash and that k-gram's first offset.
 
@@ -108,16 +116,7 @@ def overlaps(
     )
     tag = lambda marks, n: F.transform(marks, lambda x: F.struct(x["h"].alias("h"), x["p"].alias("p"), F.lit(n).alias("len")))
     size_row = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.size("words").alias("p"), F.lit(0).alias("len")))
-    shorter = [
-        F.when(
-            F.size("words") >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.size("words") - n + 1),
-                lambda i, n=n: F.struct(F.xxhash64(F.array_join(F.slice("words", i, n), " ")).alias("h"), (i - 1).alias("p"), F.lit(n).alias("len")),
-            ),
-        ).otherwise(F.array().cast("array<struct<h:bigint,p:int,len:int>>"))
-        for n in short
-    ]
+    shorter = [all_windows(F.col("words"), n) for n in short]
     marks = F.concat(size_row, tag(winnowed(F.col("words"), window, k), window), *shorter)
     exploded = words.select("id", "text_hash", "words", F.explode(marks).alias("m"))
     # words around a k-gram, enough for any window that holds it
