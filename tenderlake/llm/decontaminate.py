@@ -115,7 +115,8 @@ def overlaps(
         "id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words")
     )
     tag = lambda marks, n: F.transform(marks, lambda x: F.struct(x["h"].alias("h"), x["p"].alias("p"), F.lit(n).alias("len")))
-    size_row = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.size("words").alias("p"), F.lit(0).alias("len")))
+    # a mark of length 0 carries the number of words; its hash spreads these marks over the partitions and meets no window
+    size_row = F.array(F.struct(F.coalesce("text_hash", F.lit(0)).alias("h"), F.size("words").alias("p"), F.lit(0).alias("len")))
     shorter = [all_windows(F.col("words"), n) for n in short]
     marks = F.concat(size_row, tag(winnowed(F.col("words"), window, k), window), *shorter)
     exploded = words.select("id", "text_hash", "words", F.explode(marks).alias("m"))
@@ -124,16 +125,16 @@ def overlaps(
     around = F.slice("words", F.col("m.p") - back + 1, 2 * window - k)
     seeds = exploded.select(
         "id", "text_hash", F.col("m.h").alias("h"), F.col("m.p").alias("p"), F.col("m.len").alias("len"),
-        F.when(F.col("m.h").isNotNull(), around).alias("around"), back.alias("back"),
+        F.when(F.col("m.len") > 0, around).alias("around"), back.alias("back"),
     )
     side = index.withColumnRenamed("h", "wh").withColumnRenamed("len", "wlen")
     joined = seeds.join(F.broadcast(side) if small else side, (F.col("h") == F.col("wh")) & (F.col("len") == F.col("wlen")), "left")
     start = F.col("back") - F.col("o")
     same = (start >= 0) & F.coalesce(F.slice("around", start + 1, F.col("wlen")) == F.col("w"), F.lit(False))
-    hits = joined.filter(F.col("h").isNull() | (F.col("wh").isNotNull() & same)).select(
+    hits = joined.filter((F.col("len") == 0) | (F.col("wh").isNotNull() & same)).select(
         "id", "text_hash",
-        F.when(F.col("h").isNull(), F.col("p")).alias("n_words"),
-        F.when(F.col("h").isNotNull(), F.struct((F.col("p") - F.col("o")).alias("s"), (F.col("p") - F.col("o") + F.col("wlen")).alias("e"))).alias("span"),
+        F.when(F.col("len") == 0, F.col("p")).alias("n_words"),
+        F.when(F.col("len") > 0, F.struct((F.col("p") - F.col("o")).alias("s"), (F.col("p") - F.col("o") + F.col("wlen")).alias("e"))).alias("span"),
         "win",
     )
     per_doc = materialise(
@@ -142,21 +143,11 @@ def overlaps(
         ),
         "doc-hits",
     )
-    span_type = "array<struct<start:int,end:int>>"
-    empty = F.array().cast(span_type)
-
-    def grow(found: Column, x: Column) -> Column:
-        last = F.element_at(found, -1)
-        new = F.array(F.struct(x["s"].alias("start"), x["e"].alias("end")))
-        longer = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["e"]).alias("end")))
-        joins = (F.size(found) > 0) & (F.coalesce(F.get(found, F.size(found) - 1)["end"], F.lit(-1)) >= x["s"])
-        return F.when(joins, F.concat(F.slice(found, F.lit(1), F.size(found) - 1), longer)).otherwise(F.concat(found, new))
-
-    # runs of overlapping windows: a start that no earlier window reaches opens a span
-    opened = lambda h: F.filter(h, lambda x, i: F.coalesce(F.get(h, i - 1)["e"] < x["s"], F.lit(True)))
-    closed = lambda h: F.filter(h, lambda x, i: F.coalesce(F.get(h, i + 1)["s"] > x["e"], F.lit(True)))
-    zipped = lambda h: F.zip_with(opened(h), closed(h), lambda a, b: F.struct(a["s"].alias("start"), b["e"].alias("end")))
-    spans = zipped(F.col("hit")) if not short else F.aggregate("hit", empty, grow)
+    # hit words in order; a span opens where the word before isn't hit, and closes where the next isn't
+    hit_words = F.sort_array(F.array_distinct(F.flatten(F.transform("hit", lambda x: F.sequence(x["s"], x["e"] - 1)))))
+    opened = lambda h: F.filter(h, lambda p, i: F.coalesce(F.get(h, i - 1) < p - 1, F.lit(True)))
+    closed = lambda h: F.filter(h, lambda p, i: F.coalesce(F.get(h, i + 1) > p + 1, F.lit(True)))
+    spans = let(hit_words, lambda h: F.zip_with(opened(h), closed(h), lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end"))))
     of_items = (
         per_doc.filter(F.size("wins") > 0)
         .select("id", "text_hash", F.explode("wins").alias("win"))
