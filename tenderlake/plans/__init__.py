@@ -1 +1,3 @@
-"""See the modules of this package."""
+"""Registered queries: importing this package registers all of them."""
+
+from . import classify_queries, scalar_queries  # noqa: F401
