@@ -10,6 +10,11 @@ FIELD = "struct<value:string,num:double,source:string,page:int,confidence:string
 _EXTRAS = ("scope", "role", "note", "constraint", "quantity", "unit")
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean(text: Column) -> Column:
     """White space collapsed; null if nothing is left."""
     return F.nullif(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
@@ -24,14 +29,17 @@ def field(value: Column, source: Column | str, page: Column | None = None, confi
     """A provenance field; a blank value gives a null field."""
     if unknown := set(extras) - {*_EXTRAS, "num"}:
         raise ValueError(f"no such parts of a field: {sorted(unknown)}")
-    text = clean(value.cast("string"))
     where = F.lit(source) if isinstance(source, str) else source
-    parts = [
-        text.alias("value"), extras.get("num", text.try_cast("double")).alias("num"), where.alias("source"),
-        (page if page is not None else F.lit(None)).cast("int").alias("page"), F.lit(confidence).alias("confidence"),
-        *(extras.get(k, F.lit(None)).alias(k) for k in _EXTRAS),
-    ]
-    return F.when(text.isNotNull(), F.struct(*parts).cast(FIELD))
+
+    def built(text: Column) -> Column:
+        parts = [
+            text.alias("value"), extras.get("num", text.try_cast("double")).alias("num"), where.alias("source"),
+            (page if page is not None else F.lit(None)).cast("int").alias("page"), F.lit(confidence).alias("confidence"),
+            *(extras.get(k, F.lit(None)).alias(k) for k in _EXTRAS),
+        ]
+        return F.when(text.isNotNull(), F.struct(*parts).cast(FIELD))
+
+    return bind(clean(value.cast("string")), built)
 
 
 def portal_of(source: Column, key: Column) -> Column:
