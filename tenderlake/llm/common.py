@@ -17,12 +17,18 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Folders of sessions that have none, by application; for tests and single machines.
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or an own one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_DIRS:
+            _OWN_DIRS[app] = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+        found = _OWN_DIRS[app]
     return found.rstrip("/")
 
 
@@ -55,3 +61,12 @@ def process_cache(name: str, make: Callable[[], object]) -> object:
 def held_out(id_column: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves this remainder; a null id isn't held out."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+#: Keys that may be broadcast (about 50 MB of them); more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def small_side(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """A written table of keys as the side of a join: broadcast if it has at most ``most`` rows, by a count of them."""
+    return F.broadcast(keys) if keys.count() <= most else keys
