@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_side
 from .components import components
 
 SEED = 42
@@ -100,7 +100,7 @@ def near_links(fps: DataFrame, bits: int = 2, list_bound: int = 64) -> DataFrame
     larger = sizes.filter("n > 2").select("key", "n")
     if larger.isEmpty():
         return pairs.distinct()
-    members = materialise(spread.join(larger, "key"), "bucket-members")
+    members = materialise(spread.join(small_side(larger), "key"), "bucket-members")
     small = members.filter(F.col("n") <= list_bound)
     listed = (
         small.select("key", F.col("fp").alias("u"))
