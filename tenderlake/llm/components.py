@@ -18,7 +18,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written before it is joined: adaptive execution can then split the links of a node that has a large share of them
+    low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     linked = both.join(low, "u")
     if large:
         out = linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -38,7 +39,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     now = materialise(edges.select("u", "v").filter("u != v").distinct(), "links")
     before = None
     for _ in range(most):
-        now = materialise(_star(_star(now, True), False), "links")
+        raised = materialise(_star(now, True), "links")
+        now = materialise(_star(raised, False), "links")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == before:
             roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))

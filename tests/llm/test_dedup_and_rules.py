@@ -193,3 +193,9 @@ def test_random_overlaps(spark):
     got = decontaminate.overlaps(table(spark, docs), spark.createDataFrame(bench, "item_id long, text string")).collect()
     assert {x["id"]: (x["n_words"], x["n_hit"], x["items"]) for x in got} == brute_overlaps([(d[0], d[1]) for d in docs], bench)
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_components_of_a_hub_and_a_star_of_stars(spark):
+    edges = [(10_000, i) for i in range(3_000)] + [(i, 20_000 + i) for i in range(0, 3_000, 3)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert set(got.values()) == {0} and len(got) == 3_000 + 1 + 1_000
