@@ -118,8 +118,9 @@ def near_links(fps: DataFrame, bits: int = 2, list_bound: int = 64) -> DataFrame
         left_out = hot.select("fp", F.posexplode(mask_array).alias("k", "mask")).select(
             "fp", "k", F.col("fp").bitwiseAND(F.bitwise_not("mask")).alias("rest")
         )
-        least = left_out.groupBy("k", "rest").agg(F.min("fp").alias("u"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        stars = left_out.join(least, ["k", "rest"]).filter("fp != u").select("u", F.col("fp").alias("v"))
+        # with two bits left out a group has at most four fingerprints, so it is collected rather than joined to its least
+        groups = left_out.groupBy("k", "rest").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
+        stars = groups.select(F.array_min("fps").alias("u"), F.explode("fps").alias("v")).filter("u != v")
         found = found.union(stars)
     return found.distinct()
 
