@@ -5,8 +5,9 @@ sliding window. A seed that more documents have links each of them to the
 first of them (the one with the least id), so a passage that thousands of
 documents share gives thousands of links and not their square. Per pair of
 documents, runs of seeds on one diagonal are fragments; fragments are chained
-in order, with costs for the gaps, through a Fenwick tree. Each chain is then
-extended and aligned word by word, and passages that touch are joined.
+in order, with costs for the gaps, through a Fenwick tree. Along each chain
+words are aligned from the seeds to both sides, which cuts it where they
+differ; passages that touch are joined.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ GAP_COST = 0.1
 CHAIN_WORDS = 20
 PASSAGE_WORDS = 50
 IDENTITY = 0.8
+#: Score that an alignment may lose, at 1 a word, before it ends.
+DROP = 8
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -162,19 +165,111 @@ def _equal_words(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def align(words: list[str], other: list[str], frags: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
-    """``start, end, other start, other end, equal words`` of a chain, within the two lists of words around it."""
-    start, o_start, _ = frags[0]
-    equal = sum(x == y for s, o, n in frags for x, y in zip(words[s : s + n], other[o : o + n], strict=False))
-    while start > 0 and o_start > 0 and words[start - 1] == other[o_start - 1]:
-        start, o_start, equal = start - 1, o_start - 1, equal + 1
-    for (s, o, n), (s2, o2, _) in zip(frags, frags[1:], strict=False):
-        equal += _equal_words(words[s + n : s2], other[o + n : o2])
-    s, o, n = frags[-1]
-    end, o_end = s + n, o + n
-    while end < len(words) and o_end < len(other) and words[end] == other[o_end]:
-        end, o_end, equal = end + 1, o_end + 1, equal + 1
-    return start, end, o_start, o_end, equal
+def extend(a: list[str], b: list[str]) -> tuple[int, int, list[tuple[int, int, bool]]]:
+    """Words of ``a`` and ``b`` from their beginnings that align, and the columns ``(of a, of b, equal)``.
+
+    Equal words score 1, differing ones -1 and left-out ones -1.5; the end is
+    where the score is highest, and the search stops DROP below it. For each
+    number of edits the furthest place on every diagonal is kept.
+    """
+    most, i = min(len(a), len(b)), 0
+    while i < most and a[i] == b[i]:
+        i += 1
+    # by diagonal: words of a, and the path as (path before, edit, equal words after it)
+    front = {0: (i, (None, None, i))}
+    best, at, edits = float(i), (i, i, front[0][1]), 0
+    while front:
+        edits += 1
+        step = {}
+        for k in range(min(front) - 1, max(front) + 2):
+            i = -1
+            for d, x, y in ((k, 1, 1), (k - 1, 1, 0), (k + 1, 0, 1)):
+                if d in front and front[d][0] + x > i:
+                    i, path, edit = front[d][0] + x, front[d][1], (x, y)
+            j = i - k
+            if i < 0 or i > len(a) or not 0 <= j <= len(b):
+                continue
+            begin = i
+            while i < len(a) and i - k < len(b) and a[i] == b[i - k]:
+                i += 1
+            score = i - k / 2 - 2 * edits
+            if score >= best - DROP:
+                step[k] = (i, (path, edit, i - begin))
+                if score > best:
+                    best, at = score, (i, i - k, step[k][1])
+        front = step
+    parts, path = [], at[2]
+    while path:
+        parts.append((path[1], path[2]))
+        path = path[0]
+    columns = []
+    for edit, equal in reversed(parts):
+        if edit:
+            columns.append((*edit, False))
+        columns += [(1, 1, True)] * equal
+    return at[0], at[1], columns
+
+
+def alike(columns: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
+    """Ranges of columns with at least IDENTITY equal words: the longest one, then those left and right of it."""
+    out, waiting = [], [(0, len(columns))]
+    gain = np.concatenate(([0.0], np.cumsum([1 - IDENTITY if e else -IDENTITY for _, _, e in columns])))
+    while waiting:
+        lo, hi = waiting.pop()
+        if hi - lo < CHAIN_WORDS:
+            continue
+        least = np.minimum.accumulate(gain[lo : hi + 1])
+        largest = np.maximum.accumulate(gain[lo : hi + 1][::-1])[::-1]
+        # for each start that is a new least, the last place that is no lower
+        ends = len(largest) - 1 - np.searchsorted(largest[::-1], least - 1e-9)
+        start = int(np.argmax(ends - np.arange(len(ends))))
+        a, b = lo + start, lo + int(ends[start])
+        if b - a < CHAIN_WORDS:
+            continue
+        out.append((a, b))
+        waiting += [(lo, a), (b, hi)]
+    return sorted(out)
+
+
+def align(words: list[str], other: list[str], frags: list[tuple[int, int, int]], k: int = K) -> list[tuple[int, int, int, int, int]]:
+    """``start, end, other start, other end, equal words`` of each passage along a chain, within the two lists of words around it.
+
+    A passage runs from a seed to both sides as far as its words align, so
+    that words between two passages belong to neither. Neighbours of which
+    one is shorter than a passage are joined if the gap keeps to IDENTITY.
+    """
+    found: list[tuple[int, int, int, int, int]] = []
+    end = o_end = 0
+    for s, o, n in frags:
+        x = max(s, end, s + o_end - o)
+        while x + k <= s + n:
+            y = x - s + o
+            if words[x : x + k] != other[y : y + k]:
+                x += 1
+                continue
+            left, o_left, before = extend(words[end:x][::-1], other[o_end:y][::-1])
+            right, o_right, after = extend(words[x:], other[y:])
+            columns = before[::-1] + after
+            at, o_at = np.cumsum([(0, 0), *((c[0], c[1]) for c in columns)], axis=0).T + [[x - left], [y - o_left]]
+            end, o_end = x + right, y + o_right
+            equal, longer = sum(c[2] for c in columns), max(left + right, o_left + o_right)
+            parts = [(0, len(columns))] if equal >= IDENTITY * longer else alike(columns)
+            found += [(int(at[a]), int(at[b]), int(o_at[a]), int(o_at[b]), sum(c[2] for c in columns[a:b])) for a, b in parts]
+            x = max(x + 1, end, s + o_end - o)
+    out: list[tuple[int, int, int, int, int]] = []
+    for piece in found:
+        out.append(piece)
+        while len(out) > 1:
+            (s, e, o, oe, n), (s2, e2, o2, oe2, n2) = out[-2:]
+            gap, near, far = max(s2 - e, o2 - oe), min(e - s, e2 - s2), max(e - s, e2 - s2)
+            paid = (min(near, PASSAGE_WORDS) + min(far, PASSAGE_WORDS)) * (1 - IDENTITY) / IDENTITY
+            if gap > paid or (gap and near >= PASSAGE_WORDS):
+                break
+            equal = n + n2 + _equal_words(words[e:s2], other[oe:o2])
+            if equal < IDENTITY * max(e2 - s, oe2 - o):
+                break
+            out[-2:] = [(s, e2, o, oe2, equal)]
+    return out
 
 
 def _words(text: Column) -> Column:
@@ -241,14 +336,17 @@ def aligned(chains: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for w, ow, frags in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            of, rows = [], []
+            for i, (w, ow, frags) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
                 triples = list(zip(frags[::3], frags[1::3], frags[2::3], strict=True))
                 # of a repeated id another text may have come along, which needn't reach as far
                 triples = [x for x in triples if x[0] + x[2] <= len(w) and x[1] + x[2] <= len(ow)]
-                rows.append(align(w, ow, triples) if triples else (0, 0, 0, 0, 0))
+                found = align(w, ow, triples)
+                rows += found
+                of += [i] * len(found)
             cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(3), *(pa.array(c, pa.int32()) for c in cols)], ["chain", "s", "e", "os", "oe", "equal"])
+            chain = batch.column(3).take(pa.array(of, pa.int64()))
+            yield pa.RecordBatch.from_arrays([chain, *(pa.array(c, pa.int32()) for c in cols)], ["chain", "s", "e", "os", "oe", "equal"])
 
     spans = both.join(kept.select("chain", "frags"), "chain").select("w", "ow", "frags", "chain").mapInArrow(run, "chain long, s int, e int, os int, oe int, equal int")
     longer = F.greatest(F.col("e") - F.col("s"), F.col("oe") - F.col("os"))

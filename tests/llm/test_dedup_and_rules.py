@@ -199,3 +199,30 @@ def test_components_of_a_hub_and_a_star_of_stars(spark):
     edges = [(10_000, i) for i in range(3_000)] + [(i, 20_000 + i) for i in range(0, 3_000, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert set(got.values()) == {0} and len(got) == 3_000 + 1 + 1_000
+
+
+def brute_common(a, b, least):
+    """Words of ``b`` in equal runs of at least ``least`` words with ``a``."""
+    a, b, out = a.split(), b.split(), set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            if a[i] == b[j] and (i == 0 or j == 0 or a[i - 1] != b[j - 1]):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                out |= set(range(j, j + n)) if n >= least else set()
+    return out
+
+
+def test_two_passages_of_one_pair_are_judged_one_by_one(spark):
+    docs = []
+    for k, (n, gap) in enumerate(((60, 60), (60, 100), (100, 400), (500, 200))):
+        p, q = words(n, 900 + k, 10**6), words(n, 910 + k, 10**6)
+        docs += [row(2 * k + d, f"{words(20, 920 + 10 * k + d, 10**6)} {p} {words(gap, 960 + 10 * k + d, 10**6)} {q}") for d in (0, 1)]
+    p, q = words(40, 1990, 10**6), words(40, 1991, 10**6)  # neither is a passage alone, with the 12 words between them they are
+    docs += [row(20, f"{p} {words(12, 1992, 10**6)} {q}"), row(21, f"{p} {words(12, 1993, 10**6)} {q}")]
+    texts = {d[0]: d[1] for d in docs}
+    got = {}
+    for r in substring_dedup.passages(table(spark, docs)).collect():
+        got.setdefault(r["id"], set()).update(range(r["start"], r["end"]))
+    assert got == {**{i: brute_common(texts[i - 1], texts[i], 50) for i in (1, 3, 5, 7)}, 21: set(range(92))}
