@@ -1,8 +1,8 @@
 """Repeated passages by collinear chaining of shared k-mer seeds.
 
 Words are cut into k-mers; a document keeps those whose hash is least in some
-sliding window. A seed that more documents have links each of them to the
-first of them (the one with the least id), so a passage that thousands of
+sliding window. Every place of a seed is linked to its first one (in the
+document with the least id that has it), so a passage that thousands of
 documents share gives thousands of links and not their square. Per pair of
 documents, runs of seeds on one diagonal are fragments; fragments are chained
 in order, with costs for the gaps, through a Fenwick tree. Along each chain
@@ -19,6 +19,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,11 +46,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def seeds_of(texts: list[bytes | None], k: int = K, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``text index, position, key`` of the seeds of each text.
-
-    The n-th place of a hash within its text has a key of its own, so that
-    keys are unique in a text and repeats inside it match in order.
-    """
+    """``text index, position, key`` of the seeds of each text; a key comes once for each of its places."""
     words = [t.lower().split() if t else [] for t in texts]
     size = np.fromiter(map(len, words), np.int64, len(words))
     flat = np.fromiter(map(xxhash.xxh64_intdigest, (w for ws in words for w in ws), repeat(0)), np.uint64, size.sum())
@@ -84,14 +81,7 @@ def seeds_of(texts: list[bytes | None], k: int = K, span: int = SPAN) -> tuple[n
         s = starts[: len(p)]
         picked[p[(grams[p] == least[s]) & whole[p] & (text[p] == text[s])]] = True
     at = np.flatnonzero(picked)
-    of, pos, key = text[at], at - begin[at], grams[at]
-    order = np.lexsort((pos, key, of))
-    same = np.zeros(len(at), bool)
-    same[1:] = (key[order][1:] == key[order][:-1]) & (of[order][1:] == of[order][:-1])
-    run = np.arange(len(at)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))
-    nth = np.empty(len(at), np.uint64)
-    nth[order] = run.astype(np.uint64)
-    return of, pos, np.where(nth == 0, key, _mix(key + nth * FACTOR))
+    return text[at], at - begin[at], grams[at]
 
 
 def seed_table(docs: DataFrame, k: int = K, span: int = SPAN) -> DataFrame:
@@ -277,21 +267,32 @@ def _words(text: Column) -> Column:
 
 
 def matches(seeds: DataFrame) -> DataFrame:
-    """``doc, first, hits``: per document and first holder of a seed, the sorted ``struct(pos, other)`` of the seeds they share."""
+    """``doc, first, hits``: per document and first holder of a seed, the sorted ``struct(pos, other)`` of the seeds they share.
+
+    ``other`` is the first place of the seed in its first holder, so every
+    later place of it gives one row, those in the first holder too.
+    """
     # written before they are joined: a side of its own lets adaptive execution split the rows of a common seed
     shared = materialise(seeds.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first-docs")
     linked = materialise(seeds.join(shared, "key"), "shared-seeds")
-    # a repeated id may hold a key twice: its first place counts
     firsts = materialise(linked.filter("doc = first").groupBy("key").agg(F.min("pos").alias("other")), "first-places")
     return (
-        linked.filter("doc != first")
-        .join(firsts, "key")
+        linked.join(firsts, "key")
+        .filter("doc != first OR pos > other")
         .groupBy("doc", "first")
         .agg(F.sort_array(F.collect_set(F.struct("pos", "other"))).alias("hits"))
-        .filter(F.size("hits") > 1)
+        .filter("size(hits) > 1")
     )
 
 
+def no_cycles(pos: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which matches of a text with itself are of seeds that don't come back within PASSAGE_WORDS of their first place."""
+    place, which = np.unique(other, return_inverse=True)
+    least = np.full(len(place), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, pos)
+    return (least - place >= PASSAGE_WORDS)[which]
+
+
 def chain_table(found: DataFrame, margin: int = SPAN + K) -> DataFrame:
     """``doc, first, frags`` and the ranges of words around each chain, from ``matches``."""
 
@@ -303,9 +304,14 @@ def chain_table(found: DataFrame, margin: int = SPAN + K) -> DataFrame:
             flat = hits.values
             pos, other = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             of, rows = [], []
+            own = pc.equal(batch.column(0), batch.column(1)).to_pylist()
             for i in range(batch.num_rows):
                 lo, hi = offsets[i], offsets[i + 1]
-                for chain in chains_of(pos[lo:hi], other[lo:hi]):
+                x, y = pos[lo:hi], other[lo:hi]
+                if own[i]:
+                    some = no_cycles(x, y)
+                    x, y = x[some], y[some]
+                for chain in chains_of(x, y) if len(x) else ():
                     s, o, _ = chain[0]
                     e, oe = chain[-1][0] + chain[-1][2], chain[-1][1] + chain[-1][2]
                     if e - s >= K + 2:
@@ -329,9 +335,10 @@ def aligned(chains: DataFrame, docs: DataFrame) -> DataFrame:
     )
     ids = materialise(sides.select("d").distinct(), "chain-docs")
     held = docs.join(small_side(ids.select(F.col("d").alias("__d"))), F.col("doc") == F.col("__d"), "left_semi")
-    cut = sides.join(held, F.col("d") == F.col("doc")).select("chain", "side", F.slice(_words(F.col("text")), F.col("x") + 1, F.col("y") - F.col("x")).alias("w"))
+    # of a repeated id both sides are cut from one text, that with the least hash
+    cut = sides.join(held, F.col("d") == F.col("doc")).select("chain", "side", F.xxhash64("text").alias("h"), F.slice(_words(F.col("text")), F.col("x") + 1, F.col("y") - F.col("x")).alias("w"))
     both = cut.groupBy("chain").agg(
-        F.min(F.when(F.col("side") == 0, F.col("w"))).alias("w"), F.min(F.when(F.col("side") == 1, F.col("w"))).alias("ow")
+        F.min(F.when(F.col("side") == 0, F.struct("h", "w")))["w"].alias("w"), F.min(F.when(F.col("side") == 1, F.struct("h", "w")))["w"].alias("ow")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,9 +371,11 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     ``start`` and ``end`` count words between white space (end excluded) in
     the document; ``sources`` lists the earlier ``id``s and word ranges that
     the passage repeats, ``first_ids`` their ids, ``identity`` the least share
-    of equal words. Capitals A-Z don't matter. The document with the least id
-    that holds a passage isn't listed for it. Rows with null ids or texts
-    have none; of rows that repeat an id, the least text counts. An empty
+    of equal words. Capitals A-Z don't matter. The first place of a passage in
+    the document with the least id that holds it isn't listed; all others
+    are, in that document too. Words that come back in a cycle of under
+    PASSAGE_WORDS aren't passages of their own document. Rows with null ids or
+    texts have none; of rows that repeat an id, one text counts. An empty
     table gives an empty result. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
@@ -404,7 +413,7 @@ def without_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None, **how) -> DataFrame:
-    """``docs`` with repeated passages cut from all documents but the first that holds them.
+    """``docs`` with repeated passages cut wherever they come but at their first place.
 
     Rows of which nothing is left are dropped; rows without a repeat are as
     they were, null and empty ones too. ``count_col`` gets the characters of

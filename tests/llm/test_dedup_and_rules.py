@@ -226,3 +226,19 @@ def test_two_passages_of_one_pair_are_judged_one_by_one(spark):
     for r in substring_dedup.passages(table(spark, docs)).collect():
         got.setdefault(r["id"], set()).update(range(r["start"], r["end"]))
     assert got == {**{i: brute_common(texts[i - 1], texts[i], 50) for i in (1, 3, 5, 7)}, 21: set(range(92))}
+
+
+def test_every_copy_of_a_passage_is_listed(spark):
+    p, fill = words(80, 700, 10**6), [words(40, 710 + i, 10**6) for i in range(12)]
+    quote = " ".join(p.split()[20:45])
+    docs = [
+        row(1, f"{fill[0]} {p}"),
+        row(2, f"{fill[1]} {p} {fill[2]} {p} {fill[3]} {p}"),
+        row(3, f"{fill[4]} {quote} {fill[5]} {p}"),
+        row(4, " ".join([fill[6], p[::-1], fill[7], p[::-1], fill[8]])),
+        row(5, " ".join(["x y z"] * 200)),
+    ]
+    got = {(r["id"], r["start"], r["end"], *r["first_ids"]) for r in substring_dedup.passages(table(spark, docs)).collect()}
+    assert got == {(2, 40, 120, 1), (2, 160, 240, 1), (2, 280, 360, 1), (3, 105, 185, 1), (4, 160, 240, 4)}
+    cut = {r["doc_id"]: r["text"] for r in substring_dedup.cut_repeats(table(spark, docs)).collect()}
+    assert cut[2].split() == " ".join(fill[1:4]).split() and cut[4].split() == " ".join([fill[6], p[::-1], fill[7], fill[8]]).split()
