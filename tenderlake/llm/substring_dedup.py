@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, UPPER, materialise, small_side
 
 #: Words in a k-mer, and k-mers in a window of which the least is kept. Equal runs of K + SPAN - 1 words always share a seed.
-K = 6
-SPAN = 16
-#: Cost of a word of gap on either side; a seed of K words pays for a gap of 30 words on both.
+K = 5
+SPAN = 8
+#: Cost of a word of gap on either side; a seed of K words pays for a gap of 25 words on both.
 GAP_COST = 0.1
 #: Words of the shortest chain that is aligned, words of the shortest passage that is reported, least share of equal words.
 CHAIN_WORDS = 20
@@ -37,6 +37,8 @@ PASSAGE_WORDS = 50
 IDENTITY = 0.8
 #: Score that an alignment may lose, at 1 a word, before it ends.
 DROP = 8
+#: Words around a chain in which its ends are looked for.
+MARGIN = 60
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,7 +100,7 @@ def seed_table(docs: DataFrame, k: int = K, span: int = SPAN) -> DataFrame:
     return docs.mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, pos int, key long")
 
 
-def chains_of(pos: np.ndarray, other: np.ndarray, k: int = K, gap_cost: float = GAP_COST) -> list[list[tuple[int, int, int]]]:
+def chains_of(pos: np.ndarray, other: np.ndarray, k: int = 6, gap_cost: float = GAP_COST) -> list[list[tuple[int, int, int]]]:
     """Chains of fragments ``(start, other start, words)`` from matches sorted by ``pos``.
 
     A fragment is a run of matches on one diagonal. A chain scores the words
@@ -281,7 +283,6 @@ def matches(seeds: DataFrame) -> DataFrame:
         .filter("doc != first OR pos > other")
         .groupBy("doc", "first")
         .agg(F.sort_array(F.collect_set(F.struct("pos", "other"))).alias("hits"))
-        .filter("size(hits) > 1")
     )
 
 
@@ -293,7 +294,7 @@ def no_cycles(pos: np.ndarray, other: np.ndarray) -> np.ndarray:
     return (least - place >= PASSAGE_WORDS)[which]
 
 
-def chain_table(found: DataFrame, margin: int = SPAN + K) -> DataFrame:
+def chain_table(found: DataFrame, margin: int = MARGIN) -> DataFrame:
     """``doc, first, frags`` and the ranges of words around each chain, from ``matches``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,13 +312,12 @@ def chain_table(found: DataFrame, margin: int = SPAN + K) -> DataFrame:
                 if own[i]:
                     some = no_cycles(x, y)
                     x, y = x[some], y[some]
-                for chain in chains_of(x, y) if len(x) else ():
+                for chain in chains_of(x, y, K) if len(x) else ():
                     s, o, _ = chain[0]
                     e, oe = chain[-1][0] + chain[-1][2], chain[-1][1] + chain[-1][2]
-                    if e - s >= K + 2:
-                        of.append(i)
-                        a, oa = max(0, s - margin), max(0, o - margin)
-                        rows.append(([v for x, y, n in chain for v in (x - a, y - oa, n)], a, e + margin, oa, oe + margin))
+                    of.append(i)
+                    a, oa = max(0, s - margin), max(0, o - margin)
+                    rows.append(([v for x, y, n in chain for v in (x - a, y - oa, n)], a, e + margin, oa, oe + margin))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             take = pa.array(of, pa.int64())
             arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(cols[0], pa.list_(pa.int32()))]
@@ -336,7 +336,7 @@ def aligned(chains: DataFrame, docs: DataFrame) -> DataFrame:
     ids = materialise(sides.select("d").distinct(), "chain-docs")
     held = docs.join(small_side(ids.select(F.col("d").alias("__d"))), F.col("doc") == F.col("__d"), "left_semi")
     # of a repeated id both sides are cut from one text, that with the least hash
-    cut = sides.join(held, F.col("d") == F.col("doc")).select("chain", "side", F.xxhash64("text").alias("h"), F.slice(_words(F.col("text")), F.col("x") + 1, F.col("y") - F.col("x")).alias("w"))
+    cut = sides.join(held, F.col("d") == F.col("doc")).select("chain", "side", F.xxhash64("text").alias("h"), F.array_join(F.slice(_words(F.col("text")), F.col("x") + 1, F.col("y") - F.col("x")), " ").alias("w"))
     both = cut.groupBy("chain").agg(
         F.min(F.when(F.col("side") == 0, F.struct("h", "w")))["w"].alias("w"), F.min(F.when(F.col("side") == 1, F.struct("h", "w")))["w"].alias("ow")
     )
@@ -345,6 +345,7 @@ def aligned(chains: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             of, rows = [], []
             for i, (w, ow, frags) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+                w, ow = w.split(" "), ow.split(" ")
                 triples = list(zip(frags[::3], frags[1::3], frags[2::3], strict=True))
                 # of a repeated id another text may have come along, which needn't reach as far
                 triples = [x for x in triples if x[0] + x[2] <= len(w) and x[1] + x[2] <= len(ow)]
@@ -390,10 +391,13 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         .agg(
             F.min("start").alias("start"),
             F.max("end").alias("end"),
-            F.array_sort(F.collect_set("first")).alias("first_ids"),
-            F.sort_array(F.collect_set(F.struct(F.col("first").alias("id"), F.col("other_start").alias("start"), F.col("other_end").alias("end")))).alias("sources"),
+            F.sort_array(F.collect_set(F.struct("first", "other_start", "other_end", "start", "end"))).alias("held"),
             F.min("identity").alias("identity"),
         )
+        # a later document adds nothing where an earlier one holds all of the same words
+        .withColumn("held", F.expr("filter(held, x -> NOT exists(held, y -> y.first < x.first AND y.start <= x.start AND y.end >= x.end))"))
+        .withColumn("first_ids", F.array_distinct(F.col("held.first")))
+        .withColumn("sources", F.expr("array_distinct(transform(held, x -> struct(x.first AS id, x.other_start AS start, x.other_end AS end)))"))
         .withColumn("n_words", F.col("end") - F.col("start"))
         .filter(F.col("n_words") >= min_words)
         .select(F.col("doc").alias("id"), "start", "end", "n_words", "first_ids", "sources", "identity")

@@ -242,3 +242,17 @@ def test_every_copy_of_a_passage_is_listed(spark):
     assert got == {(2, 40, 120, 1), (2, 160, 240, 1), (2, 280, 360, 1), (3, 105, 185, 1), (4, 160, 240, 4)}
     cut = {r["doc_id"]: r["text"] for r in substring_dedup.cut_repeats(table(spark, docs)).collect()}
     assert cut[2].split() == " ".join(fill[1:4]).split() and cut[4].split() == " ".join([fill[6], p[::-1], fill[7], fill[8]]).split()
+
+
+def test_fuzzy_passages_near_the_limits_are_found(spark):
+    r = random.Random(11)
+    docs, pairs = [], 40
+    for i in range(pairs):
+        p = words(60, 3000 + i, 10**6).split()
+        q = list(p)
+        for x in r.sample(range(60), 9):
+            q[x] = f"x{x}"
+        del q[r.randrange(1, 59)]
+        docs += [row(2 * i + d, " ".join(words(80, 4000 + 2 * i + d, 10**6).split() + (q if d else p) + words(80, 5000 + 2 * i + d, 10**6).split())) for d in (0, 1)]
+    got = substring_dedup.passages(table(spark, docs)).collect()
+    assert len(got) >= 0.9 * pairs and all(r["id"] % 2 and 78 <= r["start"] <= 90 and 129 <= r["end"] <= 141 and r["identity"] >= 0.8 for r in got)
