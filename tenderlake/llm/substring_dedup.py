@@ -1,20 +1,21 @@
 """Repeated passages by collinear chaining of shared k-mer seeds.
 
-Words are cut into k-mers; a document keeps those whose hash is least in some
-sliding window. Every place of a seed is linked to its first one (in the
-document with the least id that has it), so a passage that thousands of
-documents share gives thousands of links and not their square. Per pair of
-documents, runs of seeds on one diagonal are fragments; fragments are chained
-in order, with costs for the gaps, through a Fenwick tree. Along each chain
-words are aligned from the seeds to both sides, which cuts it where they
-differ; passages that touch are joined.
+Words become codes of four bytes, once for each document, and codes are cut
+into k-mers; a document keeps those whose hash is least in some sliding
+window. Every place of a seed is linked to its first one (in the document
+with the least id that has it), so a passage that thousands of documents
+share gives thousands of links and not their square. A pair of documents gets
+the codes around its seeds alone. Runs of seeds on one diagonal are fragments;
+those with enough equal words around them are chained in order, with costs for
+the gaps, through a Fenwick tree. Along each chain words are aligned from the
+seeds to both sides, which cuts it where they differ; passages that touch are
+joined.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -24,21 +25,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, UPPER, materialise, small_side
+from .common import SPACE_CLASS, materialise, small_side
 
 #: Words in a k-mer, and k-mers in a window of which the least is kept. Equal runs of K + SPAN - 1 words always share a seed.
 K = 5
 SPAN = 8
 #: Cost of a word of gap on either side; a seed of K words pays for a gap of 25 words on both.
 GAP_COST = 0.1
-#: Words of the shortest chain that is aligned, words of the shortest passage that is reported, least share of equal words.
-CHAIN_WORDS = 20
+#: Words of the shortest part of a passage (parts may have other first holders), of the shortest passage that is reported, least share of equal words.
+PART_WORDS = 20
 PASSAGE_WORDS = 50
 IDENTITY = 0.8
-#: Score that an alignment may lose, at 1 a word, before it ends.
+#: Score that an alignment may lose, at 1 a word, before it ends, and words that it may go on without a better one.
 DROP = 8
-#: Words around a chain in which its ends are looked for.
+REACH = 40
+#: Words around a seed in which the ends of a passage are looked for.
 MARGIN = 60
+#: A fragment is chained if PART_WORDS words with it have this many equal ones on diagonals up to DRIFT away.
+PROMISING = 15
+DRIFT = 4
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,14 +52,19 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def seeds_of(texts: list[bytes | None], k: int = K, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``text index, position, key`` of the seeds of each text; a key comes once for each of its places."""
+def codes_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A code of 32 bits for every word of the texts, and the words of each text."""
     words = [t.lower().split() if t else [] for t in texts]
     size = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.fromiter(map(xxhash.xxh64_intdigest, (w for ws in words for w in ws), repeat(0)), np.uint64, size.sum())
+    return np.fromiter(map(xxhash.xxh64_intdigest, (w for ws in words for w in ws)), np.uint64, size.sum()).astype(np.uint32), size
+
+
+def seeds_of(codes: np.ndarray, size: np.ndarray, k: int = K, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``text index, position, key`` of the seeds of texts of ``size`` words; a key comes once for each of its places."""
+    flat = _mix(codes.astype(np.uint64) + FACTOR)
     if len(flat) < k:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    text = np.repeat(np.arange(len(words)), size)
+    text = np.repeat(np.arange(len(size)), size)
     grams = np.zeros(len(flat) - k + 1, np.uint64)
     for j in range(k):
         grams = grams * FACTOR + flat[j : len(flat) - k + 1 + j]
@@ -86,31 +96,56 @@ def seeds_of(texts: list[bytes | None], k: int = K, span: int = SPAN) -> tuple[n
     return text[at], at - begin[at], grams[at]
 
 
-def seed_table(docs: DataFrame, k: int = K, span: int = SPAN) -> DataFrame:
-    """``doc, pos, key`` of ``docs(doc, text)``."""
+def code_table(docs: DataFrame) -> DataFrame:
+    """``doc, codes`` of ``docs(doc, text)``, written: the codes of all words, four bytes each. Of a repeated id one text counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 250):
                 part = batch.slice(a, 250)
-                of, pos, key = seeds_of(part.column(1).cast(pa.binary()).to_pylist(), k, span)
-                doc = part.column(0).take(pa.array(of))
-                yield pa.RecordBatch.from_arrays([doc, pa.array(pos.astype(np.int32)), pa.array(key.view(np.int64))], ["doc", "pos", "key"])
+                codes, size = codes_of(part.column(1).cast(pa.binary()).to_pylist())
+                ends = np.cumsum(size)
+                cells = pa.array([codes[e - n : e].tobytes() for e, n in zip(ends, size, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), cells], ["doc", "codes"])
 
-    return docs.mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, pos int, key long")
+    written = materialise(docs.mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, codes binary"), "word-codes")
+    repeated = materialise(written.groupBy("doc").count().filter("count > 1").select("doc"), "repeated-ids")
+    if repeated.isEmpty():
+        return written
+    ids = small_side(repeated)
+    one = written.join(ids, "doc", "left_semi").groupBy("doc").agg(F.min("codes").alias("codes"))
+    return materialise(written.join(ids, "doc", "left_anti").union(one), "word-codes")
 
 
-def chains_of(pos: np.ndarray, other: np.ndarray, k: int = 6, gap_cost: float = GAP_COST) -> list[list[tuple[int, int, int]]]:
-    """Chains of fragments ``(start, other start, words)`` from matches sorted by ``pos``.
+def seed_table(coded: DataFrame, k: int = K, span: int = SPAN) -> DataFrame:
+    """``doc, pos, key`` of ``coded(doc, codes)``."""
 
-    A fragment is a run of matches on one diagonal. A chain scores the words
-    of its fragments less the gaps between them; the best predecessor of a
-    fragment ends before it on both sides and is found as a prefix maximum.
-    """
-    diagonal = pos - other
-    cut = np.flatnonzero((np.diff(diagonal) != 0) | (np.diff(pos) > 2 * SPAN + k)) + 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 250):
+                part = batch.slice(a, 250)
+                cells = part.column(1).to_pylist()
+                size = np.fromiter(map(len, cells), np.int64, len(cells)) // 4
+                of, pos, key = seeds_of(np.frombuffer(b"".join(cells), np.uint32), size, k, span)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(pos.astype(np.int32)), pa.array(key.view(np.int64))], ["doc", "pos", "key"])
+
+    return coded.mapInArrow(run, f"doc {coded.schema['doc'].dataType.simpleString()}, pos int, key long")
+
+
+def fragments_of(of: np.ndarray, pos: np.ndarray, other: np.ndarray, k: int = K) -> np.ndarray:
+    """Rows ``(pair, start, other start, words)``: runs of matches on one diagonal, from matches sorted by pair and ``pos``."""
+    cut = np.flatnonzero((np.diff(of) != 0) | (np.diff(pos - other) != 0) | (np.diff(pos) > 2 * SPAN + k)) + 1
     first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(pos)])) - 1
-    frags = list(zip(pos[first].tolist(), other[first].tolist(), (pos[last] - pos[first] + k).tolist(), strict=True))
+    return np.stack((of[first], pos[first], other[first], pos[last] - pos[first] + k), 1)
+
+
+def chains_of(frags: list[tuple[int, int, int]], gap_cost: float = GAP_COST) -> list[list[tuple[int, int, int]]]:
+    """Chains of fragments ``(start, other start, words)``, the best one first.
+
+    A chain scores the words of its fragments less the gaps between them; the
+    best predecessor of a fragment ends before it on both sides and is found
+    as a prefix maximum.
+    """
     if len(frags) == 1:
         return [frags]
     ends = sorted({o + n for _, o, n in frags})
@@ -157,49 +192,66 @@ def _equal_words(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def extend(a: list[str], b: list[str]) -> tuple[int, int, list[tuple[int, int, bool]]]:
-    """Words of ``a`` and ``b`` from their beginnings that align, and the columns ``(of a, of b, equal)``.
+def _equal_run(a: list[int], b: list[int], i: int, j: int, i_end: int, j_end: int) -> int:
+    """Equal words from ``a[i]`` and ``b[j]`` on."""
+    n, most = 0, min(i_end - i, j_end - j)
+    while n + 16 <= most and a[i + n : i + n + 16] == b[j + n : j + n + 16]:
+        n += 16
+    while n < most and a[i + n] == b[j + n]:
+        n += 1
+    return n
+
+
+def extend(a: list[int], b: list[int], i0: int, j0: int, i_end: int, j_end: int) -> tuple[int, int, list[tuple[int, int, int]]]:
+    """Words from ``a[i0]`` and ``b[j0]`` on that align, as numbers of words and runs ``(of a, of b, equal words after them)``.
 
     Equal words score 1, differing ones -1 and left-out ones -1.5; the end is
-    where the score is highest, and the search stops DROP below it. For each
-    number of edits the furthest place on every diagonal is kept.
+    where the score is highest, and the search stops DROP below it or REACH
+    words after it. For each number of edits the furthest place on every
+    diagonal is kept.
     """
-    most, i = min(len(a), len(b)), 0
-    while i < most and a[i] == b[i]:
-        i += 1
+    most_a, most_b = i_end - i0, j_end - j0
+    i = _equal_run(a, b, i0, j0, i_end, j_end)
     # by diagonal: words of a, and the path as (path before, edit, equal words after it)
-    front = {0: (i, (None, None, i))}
+    front = {0: (i, (None, (0, 0), i))}
     best, at, edits = float(i), (i, i, front[0][1]), 0
     while front:
         edits += 1
         step = {}
+        low = best - DROP
         for k in range(min(front) - 1, max(front) + 2):
             i = -1
-            for d, x, y in ((k, 1, 1), (k - 1, 1, 0), (k + 1, 0, 1)):
-                if d in front and front[d][0] + x > i:
-                    i, path, edit = front[d][0] + x, front[d][1], (x, y)
+            if there := front.get(k):
+                i, path, edit = there[0] + 1, there[1], (1, 1)
+            if (there := front.get(k - 1)) and there[0] + 1 > i:
+                i, path, edit = there[0] + 1, there[1], (1, 0)
+            if (there := front.get(k + 1)) and there[0] > i:
+                i, path, edit = there[0], there[1], (0, 1)
             j = i - k
-            if i < 0 or i > len(a) or not 0 <= j <= len(b):
+            if i < 0 or i > most_a or j < 0 or j > most_b:
                 continue
-            begin = i
-            while i < len(a) and i - k < len(b) and a[i] == b[i - k]:
-                i += 1
+            n = 0
+            if i < most_a and j < most_b and a[i0 + i] == b[j0 + j]:
+                n = _equal_run(a, b, i0 + i, j0 + j, i_end, j_end)
+                i += n
             score = i - k / 2 - 2 * edits
-            if score >= best - DROP:
-                step[k] = (i, (path, edit, i - begin))
-                if score > best:
-                    best, at = score, (i, i - k, step[k][1])
+            if score > best:
+                step[k] = (i, (path, edit, n))
+                best, at, low = score, (i, i - k, step[k][1]), score - DROP
+            elif score >= low and i <= at[0] + REACH:
+                step[k] = (i, (path, edit, n))
         front = step
-    parts, path = [], at[2]
+    runs, path = [], at[2]
     while path:
-        parts.append((path[1], path[2]))
+        runs.append((*path[1], path[2]))
         path = path[0]
-    columns = []
-    for edit, equal in reversed(parts):
-        if edit:
-            columns.append((*edit, False))
-        columns += [(1, 1, True)] * equal
-    return at[0], at[1], columns
+    return at[0], at[1], runs[::-1]
+
+
+def _columns(runs: list[tuple[int, int, int]], backwards: bool) -> list[tuple[int, int, bool]]:
+    """The runs of an extension word by word, as ``(of a, of b, equal)``."""
+    out = [c for i, j, n in runs for c in ([(i, j, False)] if i or j else []) + [(1, 1, True)] * n]
+    return out[::-1] if backwards else out
 
 
 def alike(columns: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
@@ -208,7 +260,7 @@ def alike(columns: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
     gain = np.concatenate(([0.0], np.cumsum([1 - IDENTITY if e else -IDENTITY for _, _, e in columns])))
     while waiting:
         lo, hi = waiting.pop()
-        if hi - lo < CHAIN_WORDS:
+        if hi - lo < PART_WORDS:
             continue
         least = np.minimum.accumulate(gain[lo : hi + 1])
         largest = np.maximum.accumulate(gain[lo : hi + 1][::-1])[::-1]
@@ -216,14 +268,14 @@ def alike(columns: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
         ends = len(largest) - 1 - np.searchsorted(largest[::-1], least - 1e-9)
         start = int(np.argmax(ends - np.arange(len(ends))))
         a, b = lo + start, lo + int(ends[start])
-        if b - a < CHAIN_WORDS:
+        if b - a < PART_WORDS:
             continue
         out.append((a, b))
         waiting += [(lo, a), (b, hi)]
     return sorted(out)
 
 
-def align(words: list[str], other: list[str], frags: list[tuple[int, int, int]], k: int = K) -> list[tuple[int, int, int, int, int]]:
+def align(words: list[int], other: list[int], frags: list[tuple[int, int, int]], k: int = K) -> list[tuple[int, int, int, int, int]]:
     """``start, end, other start, other end, equal words`` of each passage along a chain, within the two lists of words around it.
 
     A passage runs from a seed to both sides as far as its words align, so
@@ -232,6 +284,8 @@ def align(words: list[str], other: list[str], frags: list[tuple[int, int, int]],
     """
     found: list[tuple[int, int, int, int, int]] = []
     end = o_end = 0
+    n_words, n_other = len(words), len(other)
+    back, o_back = words[::-1], other[::-1]
     for s, o, n in frags:
         x = max(s, end, s + o_end - o)
         while x + k <= s + n:
@@ -239,14 +293,16 @@ def align(words: list[str], other: list[str], frags: list[tuple[int, int, int]],
             if words[x : x + k] != other[y : y + k]:
                 x += 1
                 continue
-            left, o_left, before = extend(words[end:x][::-1], other[o_end:y][::-1])
-            right, o_right, after = extend(words[x:], other[y:])
-            columns = before[::-1] + after
-            at, o_at = np.cumsum([(0, 0), *((c[0], c[1]) for c in columns)], axis=0).T + [[x - left], [y - o_left]]
+            left, o_left, before = extend(back, o_back, n_words - x, n_other - y, n_words - end, n_other - o_end)
+            right, o_right, after = extend(words, other, x, y, n_words, n_other)
             end, o_end = x + right, y + o_right
-            equal, longer = sum(c[2] for c in columns), max(left + right, o_left + o_right)
-            parts = [(0, len(columns))] if equal >= IDENTITY * longer else alike(columns)
-            found += [(int(at[a]), int(at[b]), int(o_at[a]), int(o_at[b]), sum(c[2] for c in columns[a:b])) for a, b in parts]
+            equal, longer = sum(r[2] for r in before) + sum(r[2] for r in after), max(left + right, o_left + o_right)
+            if equal >= IDENTITY * longer:
+                found.append((x - left, end, y - o_left, o_end, equal))
+            else:
+                columns = _columns(before, True) + _columns(after, False)
+                at, o_at = np.cumsum([(0, 0), *((c[0], c[1]) for c in columns)], axis=0).T + [[x - left], [y - o_left]]
+                found += [(int(at[a]), int(at[b]), int(o_at[a]), int(o_at[b]), sum(c[2] for c in columns[a:b])) for a, b in alike(columns)]
             x = max(x + 1, end, s + o_end - o)
     out: list[tuple[int, int, int, int, int]] = []
     for piece in found:
@@ -264,10 +320,6 @@ def align(words: list[str], other: list[str], frags: list[tuple[int, int, int]],
     return out
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, UPPER.lower()), F.lit(f"[^{SPACE_CLASS}]+"), F.lit(0))
-
-
 def matches(seeds: DataFrame) -> DataFrame:
     """``doc, first, hits``: per document and first holder of a seed, the sorted ``struct(pos, other)`` of the seeds they share.
 
@@ -294,75 +346,171 @@ def no_cycles(pos: np.ndarray, other: np.ndarray) -> np.ndarray:
     return (least - place >= PASSAGE_WORDS)[which]
 
 
-def chain_table(found: DataFrame, margin: int = MARGIN) -> DataFrame:
-    """``doc, first, frags`` and the ranges of words around each chain, from ``matches``."""
+def _ranges(of: np.ndarray, at: np.ndarray, margin: int, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row, begin, end`` of the words within ``margin`` of seeds at ``at`` in the rows ``of``; ranges that touch are one."""
+    order = np.lexsort((at, of))
+    of, at = of[order], at[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (np.diff(of) != 0) | (np.diff(at) > 2 * margin + k)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(of)) - 1
+    return of[first], np.maximum(at[first] - margin, 0), at[last] + k + margin
+
+
+def with_ranges(found: DataFrame, margin: int = MARGIN) -> DataFrame:
+    """``doc, first, pos, other`` of ``matches`` as lists, and the ranges of words around them on both sides as ``from, words`` lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "first", "frags", "a", "b", "oa", "ob"]
         for batch in batches:
             hits = batch.column(2)
-            offsets = hits.offsets.to_numpy()
-            flat = hits.values
+            size = np.diff(hits.offsets.to_numpy())
+            flat = hits.flatten()
             pos, other = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            of, rows = [], []
-            own = pc.equal(batch.column(0), batch.column(1)).to_pylist()
-            for i in range(batch.num_rows):
-                lo, hi = offsets[i], offsets[i + 1]
-                x, y = pos[lo:hi], other[lo:hi]
-                if own[i]:
-                    some = no_cycles(x, y)
-                    x, y = x[some], y[some]
-                for chain in chains_of(x, y, K) if len(x) else ():
-                    s, o, _ = chain[0]
-                    e, oe = chain[-1][0] + chain[-1][2], chain[-1][1] + chain[-1][2]
-                    of.append(i)
-                    a, oa = max(0, s - margin), max(0, o - margin)
-                    rows.append(([v for x, y, n in chain for v in (x - a, y - oa, n)], a, e + margin, oa, oe + margin))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            take = pa.array(of, pa.int64())
-            arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(cols[0], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(c, pa.int32()) for c in cols[1:]], names)
-
+            of = np.repeat(np.arange(batch.num_rows), size)
+            keep = np.ones(len(of), bool)
+            ends = np.cumsum(size)
+            for i in np.flatnonzero(pc.equal(batch.column(0), batch.column(1)).to_numpy(zero_copy_only=False)):
+                part = slice(ends[i] - size[i], ends[i])
+                keep[part] = no_cycles(pos[part], other[part])
+            of, pos, other = of[keep], pos[keep], other[keep]
+            lists = [(of, pos), (of, other)]
+            for at in (pos, other):
+                row, begin, end = _ranges(of, at, margin)
+                lists += [(row, begin), (row, end - begin)]
+            rows = np.unique(of)
+            arrays = [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))]
+            for row, values in lists:
+                starts = np.append(np.searchsorted(row, rows), len(row))
+                arrays.append(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, pa.int32())))
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    names = ["doc", "first", "pos", "other", "a", "n", "oa", "on"]
     kind = found.schema["doc"].dataType.simpleString()
-    return found.mapInArrow(run, f"doc {kind}, first {kind}, frags array<int>, a int, b int, oa int, ob int")
+    return found.mapInArrow(run, f"doc {kind}, first {kind}, " + ", ".join(f"{c} array<int>" for c in names[2:]))
 
 
-def aligned(chains: DataFrame, docs: DataFrame) -> DataFrame:
-    """``doc, first, start, end, other_start, other_end, identity`` of the chains that are long and alike enough."""
-    kept = materialise(chains.withColumn("chain", F.monotonically_increasing_id()), "chains")
-    sides = kept.select("chain", F.lit(0).alias("side"), F.col("doc").alias("d"), F.col("a").alias("x"), F.col("b").alias("y")).union(
-        kept.select("chain", F.lit(1), "first", "oa", "ob")
-    )
-    ids = materialise(sides.select("d").distinct(), "chain-docs")
-    held = docs.join(small_side(ids.select(F.col("d").alias("__d"))), F.col("doc") == F.col("__d"), "left_semi")
-    # of a repeated id both sides are cut from one text, that with the least hash
-    cut = sides.join(held, F.col("d") == F.col("doc")).select("chain", "side", F.xxhash64("text").alias("h"), F.array_join(F.slice(_words(F.col("text")), F.col("x") + 1, F.col("y") - F.col("x")), " ").alias("w"))
-    both = cut.groupBy("chain").agg(
-        F.min(F.when(F.col("side") == 0, F.struct("h", "w")))["w"].alias("w"), F.min(F.when(F.col("side") == 1, F.struct("h", "w")))["w"].alias("ow")
-    )
+def promising(pos: np.ndarray, other: np.ndarray, codes: np.ndarray, others: np.ndarray, room: np.ndarray, k: int = K) -> np.ndarray:
+    """Whether PART_WORDS words with the seed at ``pos`` can have PROMISING equal ones.
+
+    A word counts if it is on the other side on a diagonal up to DRIFT away,
+    so this bounds the equal words of every alignment within that drift.
+    ``room`` has the begin and end of the words around the seed on both sides.
+    """
+    out = np.zeros(len(pos), bool)
+    around = np.arange(k - PART_WORDS, PART_WORDS)
+    for a in range(0, len(pos), 8192):
+        p, o, r = pos[a : a + 8192, None] + around, other[a : a + 8192, None] + around, room[a : a + 8192]
+        inside = (p >= r[:, :1]) & (p < r[:, 1:2])
+        word = codes[np.where(inside, p, 0)]
+        met = np.zeros(p.shape, bool)
+        for d in range(-DRIFT, DRIFT + 1):
+            q = o + d
+            there = (q >= r[:, 2:3]) & (q < r[:, 3:])
+            met |= there & (others[np.where(there, q, 0)] == word)
+        total = np.concatenate((np.zeros((len(p), 1), np.int64), np.cumsum(met & inside, 1)), 1)
+        out[a : a + 8192] = (total[:, PART_WORDS:] - total[:, :-PART_WORDS]).max(1) >= PROMISING
+    return out
+
+
+class Side:
+    """The codes of one side of a batch of pairs, range after range."""
+
+    def __init__(self, of: np.ndarray, begin: np.ndarray, cells: list[bytes]):
+        self.size = np.fromiter(map(len, cells), np.int64, len(cells)) // 4
+        self.offset = np.cumsum(self.size) - self.size
+        self.begin, self.flat = begin.astype(np.int64), np.frombuffer(b"".join(cells), np.uint32)
+        self.key = (of << 32) + self.begin
+
+    def locate(self, of: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The range of each place ``at`` of the pairs ``of``."""
+        return np.searchsorted(self.key, (of << 32) + at, "right") - 1
+
+    def words(self, i: int, begin: int, end: int) -> np.ndarray:
+        """The codes of range ``i`` between two places of its text."""
+        a, n = int(self.begin[i]), int(self.size[i])
+        return self.flat[self.offset[i] + max(begin - a, 0) : self.offset[i] + min(max(end - a, 0), n)]
+
+
+def spans_of(n_pairs: int, of: np.ndarray, pos: np.ndarray, other: np.ndarray, side: Side, other_side: Side, k: int = K) -> list[list[tuple[int, int, int, int, int]]]:
+    """``start, end, other start, other end, equal words`` of the passages of each pair, from matches sorted by pair and ``pos``."""
+    out: list[list] = [[] for _ in range(n_pairs)]
+    if not len(of):
+        return out
+    frag = fragments_of(of, pos, other, k)
+    which, places, room = [], [], []
+    for s, at in ((side, frag[:, 1]), (other_side, frag[:, 2])):
+        i = s.locate(frag[:, 0], at)
+        which.append(i)
+        places.append(at - s.begin[i] + s.offset[i])
+        room += [s.offset[i], s.offset[i] + s.size[i]]
+    room = np.stack(room, 1)
+    good = frag[:, 3] >= PART_WORDS
+    for shift in (np.zeros(len(frag), np.int64), frag[:, 3] - k):
+        rest = np.flatnonzero(~good)
+        good[rest] = promising(places[0][rest] + shift[rest], places[1][rest] + shift[rest], side.flat, other_side.flat, room[rest], k)
+    kept = np.flatnonzero(good)
+    frag, x, y = frag[kept], which[0][kept].tolist(), which[1][kept].tolist()
+    cuts = np.flatnonzero(np.diff(frag[:, 0], prepend=-1, append=-1)) if len(frag) else [0]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        spans = out[int(frag[lo, 0])]
+        home = {(s, o): (x[j], y[j]) for j, (_, s, o, _) in enumerate(frag[lo:hi].tolist(), lo)}
+        empty = set()
+        for chain in chains_of([tuple(f) for f in frag[lo:hi, 1:].tolist()]):
+            while chain:
+                # fragments in other ranges are too far apart for one passage
+                here = home[chain[0][:2]]
+                n = next((j for j, f in enumerate(chain) if home[f[:2]] != here), len(chain))
+                part, chain = chain[:n], chain[n:]
+                part = [f for f in part if not any(a <= f[0] and f[0] + f[2] <= b for a, b, *_ in spans)]
+                if not part:
+                    continue
+                # where nothing came of the same words around the same place, nothing will
+                s, o, n = part[0]
+                around = (o, n, side.words(here[0], s - MARGIN, s + n + MARGIN).tobytes()) if len(part) == 1 else None
+                if around in empty:
+                    continue
+                b, ob = int(side.begin[here[0]]), int(other_side.begin[here[1]])
+                words, others = (z.flat[z.offset[i] : z.offset[i] + z.size[i]].tolist() for z, i in ((side, here[0]), (other_side, here[1])))
+                found = align(words, others, [(s - b, o - ob, n) for s, o, n in part], k)
+                spans += [(s + b, e + b, o + ob, oe + ob, n) for s, e, o, oe, n in found if e - s >= PART_WORDS and n >= IDENTITY * max(e - s, oe - o)]
+                if around and not any(e - s >= PART_WORDS for s, e, *_ in found):
+                    empty.add(around)
+    return out
+
+
+def aligned(pairs: DataFrame, coded: DataFrame) -> DataFrame:
+    """``doc, first, start, end, other_start, other_end, identity`` of the passages of ``with_ranges``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, rows = [], []
-            for i, (w, ow, frags) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
-                w, ow = w.split(" "), ow.split(" ")
-                triples = list(zip(frags[::3], frags[1::3], frags[2::3], strict=True))
-                # of a repeated id another text may have come along, which needn't reach as far
-                triples = [x for x in triples if x[0] + x[2] <= len(w) and x[1] + x[2] <= len(ow)]
-                found = align(w, ow, triples)
-                rows += found
-                of += [i] * len(found)
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            chain = batch.column(3).take(pa.array(of, pa.int64()))
-            yield pa.RecordBatch.from_arrays([chain, *(pa.array(c, pa.int32()) for c in cols)], ["chain", "s", "e", "os", "oe", "equal"])
-
-    spans = both.join(kept.select("chain", "frags"), "chain").select("w", "ow", "frags", "chain").mapInArrow(run, "chain long, s int, e int, os int, oe int, equal int")
-    longer = F.greatest(F.col("e") - F.col("s"), F.col("oe") - F.col("os"))
-    return (
-        kept.join(spans, "chain")
-        .withColumn("identity", F.try_divide(F.col("equal"), longer))
-        .filter((F.col("e") - F.col("s") >= CHAIN_WORDS) & (F.col("identity") >= IDENTITY))
-        .selectExpr("doc", "first", "a + s AS start", "a + e AS end", "oa + os AS other_start", "oa + oe AS other_end", "identity")
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                rows = np.arange(part.num_rows)
+                of = np.repeat(rows, pc.list_value_length(part.column(2)).to_numpy())
+                pos, other = (part.column(i).flatten().to_numpy().astype(np.int64) for i in (2, 3))
+                sides = [
+                    Side(np.repeat(rows, pc.list_value_length(part.column(i)).to_numpy()), part.column(i).flatten().to_numpy(), part.column(i + 1).flatten().to_pylist())
+                    for i in (4, 6)
+                ]
+                found = spans_of(part.num_rows, of, pos, other, *sides)
+                of = pa.array([i for i, spans in enumerate(found) for _ in spans], pa.int64())
+                rows = [(*x[:4], x[4] / max(x[1] - x[0], x[3] - x[2])) for spans in found for x in spans]
+                cols = list(zip(*rows, strict=True)) or [[]] * 5
+                ends = [part.column(i).take(of) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ends, *(pa.array(c, pa.int32()) for c in cols[:4]), pa.array(cols[4], pa.float64())], names)
+
+    def cut(begins: str, sizes: str) -> Column:
+        return F.zip_with(begins, sizes, lambda x, n: F.substring("codes", x * 4 + 1, n * 4))
+
+    kept = materialise(pairs, "pairs")
+    ids = small_side(materialise(kept.select("doc").union(kept.select("first")).distinct(), "pair-docs"))
+    held = coded.join(ids, "doc", "left_semi")
+    one = kept.join(held, "doc").withColumn("cells", cut("a", "n")).drop("codes")
+    both = one.join(held.withColumnRenamed("doc", "first"), "first").withColumn("other_cells", cut("oa", "on"))
+    names = ["doc", "first", "start", "end", "other_start", "other_end", "identity"]
+    kind = coded.schema["doc"].dataType.simpleString()
+    return both.select("doc", "first", "pos", "other", "a", "cells", "oa", "other_cells").mapInArrow(
+        run, f"doc {kind}, first {kind}, " + ", ".join(f"{c} int" for c in names[2:6]) + ", identity double"
     )
 
 
@@ -380,9 +528,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     table gives an empty result. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
-    seeds = materialise(seed_table(rows), "seeds")
-    chains = chain_table(matches(seeds))
-    spans = materialise(aligned(chains, rows), "spans")
+    coded = code_table(rows)
+    spans = materialise(aligned(with_ranges(matches(seed_table(coded))), coded), "spans")
     by_doc = Window.partitionBy("doc").orderBy("start", "end", "first")
     reach = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("opens", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("island", F.sum("opens").over(by_doc))
