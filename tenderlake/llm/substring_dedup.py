@@ -503,10 +503,10 @@ def aligned(pairs: DataFrame, coded: DataFrame) -> DataFrame:
         return F.zip_with(begins, sizes, lambda x, n: F.substring("codes", x * 4 + 1, n * 4))
 
     kept = materialise(pairs, "pairs")
-    ids = small_side(materialise(kept.select("doc").union(kept.select("first")).distinct(), "pair-docs"))
-    held = coded.join(ids, "doc", "left_semi")
+    # only documents that are a side of some pair are moved
+    held, first = (coded.join(small_side(materialise(kept.select(F.col(c).alias("doc")).distinct(), "pair-docs")), "doc", "left_semi") for c in ("doc", "first"))
     one = kept.join(held, "doc").withColumn("cells", cut("a", "n")).drop("codes")
-    both = one.join(held.withColumnRenamed("doc", "first"), "first").withColumn("other_cells", cut("oa", "on"))
+    both = one.join(first.withColumnRenamed("doc", "first"), "first").withColumn("other_cells", cut("oa", "on"))
     names = ["doc", "first", "start", "end", "other_start", "other_end", "identity"]
     kind = coded.schema["doc"].dataType.simpleString()
     return both.select("doc", "first", "pos", "other", "a", "cells", "oa", "other_cells").mapInArrow(
