@@ -1,34 +1,44 @@
 """Toxicity by the nearest labelled examples, by exact TF-IDF cosine.
 
-The terms are those of the labelled examples that go with a label beyond
-chance; document frequencies come from all documents. The examples are an
-inverted index in blocks, with the largest weight of each term in each block.
-A query visits blocks in order of their upper bounds and stops when no other
-block can hold a nearer example, so the neighbours are exact. Their votes,
-weighted by similarity, are calibrated on the examples themselves, each one
-left out of its own vote.
+The space has every term of the labelled examples; document frequencies come
+from all documents, and norms from whole texts. A term that goes with the
+label is stretched by the strength of that association, or neighbours would
+share a subject rather than a tone. The examples are an inverted index in
+blocks, with the largest weight of each term in each block. A query visits
+blocks in order of their upper bounds and stops when no other block can hold
+a nearer example, so the neighbours are exact. Their votes, weighted by
+similarity, are calibrated on the examples themselves, each one left out of
+its own vote.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Labelled rows in the index, chosen by a hash of their id; terms at most; neighbours; examples in a block.
+#: Labelled rows in the index, chosen by a hash of their id; neighbours; examples in a block.
 EXAMPLES = 8_000
-TERMS = 4_096
 NEIGHBOURS = 15
 BLOCK = 64
-#: Least chi-square of a term against the label (one in ten million by chance), and examples that hold it.
-CHI_SQUARE = 28.4
-MIN_EXAMPLES = 5
+#: A term that the label decides alone weighs 1 + RELEVANCE times its TF-IDF; a chi-square up to CHANCE counts as none.
+RELEVANCE = 10.0
+CHANCE = 10.0
+#: Terms in more than this share of the examples are kept as columns of a block, all others as postings.
+FREQUENT = 1 / 16
+#: Blocks that a query visits before it knows how near an example has to be, queries in a batch, postings read at a time.
+VISIT = 8
+QUERIES = 100
+POSTINGS = 1 << 20
 
 #: Bytes of ASCII that are no letter or digit separate terms.
 SEPARATE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -40,57 +50,100 @@ def terms_of(text: bytes | None) -> list[bytes]:
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of the examples, as postings in blocks with block maxima."""
-
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = BLOCK):
-        self.n, self.block = len(vectors), block
-        self.blocks = max(1, -(-self.n // block))
-        rows = [(t, i, w) for i, v in enumerate(vectors) for t, w in v.items()]
-        rows.sort()
-        t, i, w = (np.array(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        self.term_start = np.searchsorted(t, np.arange(n_terms + 1))
-        self.example, self.weight = i.astype(np.int32), w.astype(np.float64)
-        key = t * self.blocks + i // block
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        self.max_key, self.max_at = key[first], first
-        self.max_weight = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.max_end = np.append(first[1:], len(key))
-        self.max_start = np.searchsorted(self.max_key // self.blocks, np.arange(n_terms + 1))
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the ``k`` nearest examples with a cosine above 0; ties go to the lower position."""
-        spans = [(self.max_start[t], self.max_start[t + 1], q) for t, q in query.items()]
-        spans = [x for x in spans if x[1] > x[0]]
-        if not spans:
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.concatenate([np.arange(a, b) for a, b, _ in spans])
-        q = np.repeat([x[2] for x in spans], [b - a for a, b, _ in spans])
-        of_block = self.max_key[at] % self.blocks
-        bound = np.bincount(of_block, weights=self.max_weight[at] * q, minlength=self.blocks)
-        order = np.argsort(of_block, kind="stable")
-        at, q, begin = at[order], q[order], np.searchsorted(of_block[order], np.arange(self.blocks + 1))
-        best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best_s) == k and best_s[-1] > bound[b] + 1e-12):
-                break
-            score = np.zeros(self.block)
-            for x, w in zip(at[begin[b] : begin[b + 1]], q[begin[b] : begin[b + 1]], strict=True):
-                span = slice(self.max_at[x], self.max_end[x])
-                score[self.example[span] - b * self.block] += w * self.weight[span]
-            if 0 <= without - b * self.block < self.block:
-                score[without - b * self.block] = 0
-            hit = np.flatnonzero(score > 0)
-            i, s = np.concatenate((best_i, hit + b * self.block)), np.concatenate((best_s, score[hit]))
+    """Unit vectors of ``n`` examples (``example, term, weight`` of every entry) in blocks, with block maxima.
+
+    Rare terms have postings; frequent ones a column in each block and its
+    maximum. Blocks hold examples that are alike in their frequent terms (of
+    one language, say), which keeps the maxima low for other queries.
+    """
+
+    def __init__(self, n: int, n_terms: int, example: np.ndarray, term: np.ndarray, weight: np.ndarray, block: int = BLOCK):
+        self.n, self.block, self.blocks = n, block, max(1, -(-n // block))
+        frequent = np.flatnonzero(np.bincount(term, minlength=n_terms) > FREQUENT * n)
+        self.column = np.full(n_terms, -1)
+        self.column[frequent] = np.arange(len(frequent))
+        column = self.column[term]
+        often = column >= 0
+        dense = np.zeros((n, len(frequent)))
+        dense[example[often], column[often]] = weight[often]
+        # one example in each block's worth is a centre; examples are ordered by the centre that they are nearest to
+        unit = dense / np.maximum(np.sqrt((dense * dense).sum(1, keepdims=True)), 1e-12)
+        centre = np.argmax(unit @ unit[::block].T, 1) if n else np.zeros(0, np.int64)
+        self.order = np.argsort(centre, kind="stable")
+        self.place = np.argsort(self.order)
+        self.dense = np.zeros((self.blocks * block, len(frequent)))
+        self.dense[:n] = dense[self.order]
+        self.dense = self.dense.reshape(self.blocks, block, -1) if len(frequent) else np.zeros((self.blocks, block, 0))
+        self.most = self.dense.max(1)
+        rare = np.flatnonzero(~often)[np.argsort(term[~often], kind="stable")]
+        self.at, self.weight = self.place[example[rare]], weight[rare]
+        self.start = np.searchsorted(term[rare], np.arange(n_terms + 1))
+        self.visited = self.asked = 0
+
+    def _rare_scores(self, n: int, of: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What postings add to the cosines of ``n`` queries, in parts of bounded size."""
+        out = np.zeros((n, self.blocks * self.block))
+        size = self.start[terms + 1] - self.start[terms]
+        ends = np.cumsum(size)
+        lo = 0
+        while lo < len(terms):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + POSTINGS, "right")))
+            part, n_part = slice(lo, hi), size[lo:hi]
+            at = np.arange(n_part.sum()) + np.repeat(self.start[terms[part]] - np.cumsum(n_part) + n_part, n_part)
+            first, last = of[lo], of[hi - 1]
+            cell = np.repeat((of[part] - first) * out.shape[1], n_part) + self.at[at]
+            out[first : last + 1] += np.bincount(cell, self.weight[at] * np.repeat(weights[part], n_part), (last - first + 1) * out.shape[1]).reshape(-1, out.shape[1])
+            lo = hi
+        return out.reshape(n, self.blocks, self.block)
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query ``(terms, weights)``, positions and cosines of the ``k`` nearest examples with a cosine above 0.
+
+        Ties go to the lower position. A query first visits the blocks with
+        its highest bounds, then those whose bounds reach the cosine of its
+        k-th example so far.
+        """
+        n = len(queries)
+        of = np.repeat(np.arange(n), [len(t) for t, _ in queries])
+        terms, weights = (np.concatenate([q[i] for q in queries]) for i in (0, 1))
+        column = self.column[terms]
+        often = column >= 0
+        full = np.zeros((n, self.dense.shape[2]))
+        full[of[often], column[often]] = weights[often]
+        score = self._rare_scores(n, of[~often], terms[~often], weights[~often])
+        for j, i in enumerate(without or ()):
+            if i >= 0:
+                score[j, self.place[i] // self.block, self.place[i] % self.block] = -np.inf
+        bound = score.max(2) + full @ self.most.T
+        found = np.full(score.shape, -np.inf)
+        first = np.argsort(-bound, 1, kind="stable")[:, :VISIT]
+        visit = np.zeros(bound.shape, bool)
+        np.put_along_axis(visit, first, True, 1)
+        self._visit(visit, score, full, found)
+        best = np.take_along_axis(found, first[:, :, None], 1).reshape(n, -1)
+        least = np.maximum(np.partition(best, -k, 1)[:, -k] if best.shape[1] >= k else 0.0, 0.0)
+        more = (bound >= least[:, None] - 1e-12) & (bound > 0) & ~visit
+        self._visit(more, score, full, found)
+        self.asked += bound.size
+        self.visited += int(visit.sum() + more.sum())
+        out = []
+        for j in range(n):
+            at = np.flatnonzero((found[j].ravel() >= least[j] - 1e-12) & (found[j].ravel() > 1e-12))
+            i, s = self.order[at], np.round(found[j].ravel()[at], 12)
             top = np.lexsort((i, -s))[:k]
-            best_i, best_s = i[top], s[top]
-        return best_i, best_s
+            out.append((i[top], s[top]))
+        return out
 
+    def _visit(self, which: np.ndarray, score: np.ndarray, full: np.ndarray, found: np.ndarray) -> None:
+        for b in np.flatnonzero(which.any(0)):
+            q = np.flatnonzero(which[:, b])
+            found[q, b] = score[q, b] + full[q] @ self.dense[b].T
 
-def unit_vector(counts: Counter, idf: np.ndarray) -> dict[int, float]:
-    """Weights (1 + log tf) * idf of length 1; no terms, no weights."""
-    w = {t: (1 + np.log(c)) * idf[t] for t, c in counts.items()}
-    norm = np.sqrt(sum(x * x for x in w.values()))
-    return {t: x / norm for t, x in w.items()} if norm else {}
+
+def unit_vector(terms: np.ndarray, tf: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Weights (1 + log tf) * scale of length 1."""
+    w = (1 + np.log(tf)) * scale[terms]
+    return w / np.sqrt((w * w).sum()) if len(w) else w
 
 
 def vote(labels: np.ndarray, cosines: np.ndarray, base: float) -> float:
@@ -113,51 +166,56 @@ def calibrate(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.array([p[0] for p in pools]), np.array([(p[2] + 0.5) / (p[1] + 1) for p in pools])
 
 
-def _example_terms(examples: DataFrame) -> DataFrame:
-    """``row, label, term, tf`` of the examples."""
+def _term_stats(examples: DataFrame) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """Ids of all terms of the examples, examples that hold each, and those of label 1 among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (i, y, t, c)
-                for i, y, text in zip(*(batch.column(j).to_pylist() for j in (0, 1)), batch.column(2).cast(pa.binary()).to_pylist(), strict=True)
-                for t, c in Counter(terms_of(text)).items()
-            ]
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            kinds = (batch.column(0).type, pa.int32(), pa.binary(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["row", "label", "term", "tf"])
+            n: Counter = Counter()
+            ones: Counter = Counter()
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                terms = set(terms_of(text))
+                n.update(terms)
+                if label:
+                    ones.update(terms)
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.binary()), pa.array(n.values(), pa.int64()), pa.array([ones[t] for t in n], pa.int64())], ["term", "n", "ones"])
+
+    found = examples.select("label", "text").mapInArrow(run, "term binary, n long, ones long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+    got = found.orderBy("term").toArrow()
+    return {t: i for i, t in enumerate(got["term"].to_pylist())}, got["n"].to_numpy().astype(float), got["ones"].to_numpy().astype(float)
 
-    kind = examples.schema["id"].dataType.simpleString()
-    return examples.select("id", "label", "text").mapInArrow(run, f"row {kind}, label int, term binary, tf int")
 
+def _bag(text: bytes | None, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts of the known terms of a text, by id."""
+    words = terms_of(text)
+    ids, tf = np.unique(np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words)), return_counts=True)
+    some = slice(int(len(ids) > 0 and ids[0] < 0), None)
+    return ids[some], tf[some]
 
-def _document_frequencies(docs: DataFrame, known: dict[bytes, int]) -> np.ndarray:
+
+def _document_frequencies(docs: DataFrame, terms) -> np.ndarray:
     """Documents that hold each known term, over all documents; each task sends one row a term at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = terms.value
         total = np.zeros(len(known), np.int64)
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()):
-                for t in known.keys() & set(terms_of(text.as_py())):
-                    total[known[t]] += 1
+                total[[known[t] for t in known.keys() & set(terms_of(text.as_py()))]] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["term", "n"])
 
-    out = np.zeros(len(known), np.int64)
-    for r in docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[r["term"]] = r["n"]
+    out = np.zeros(len(terms.value), np.int64)
+    got = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out[got["term"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
-def chosen_terms(examples: DataFrame, n_examples: int, n_positive: int, most: int = TERMS) -> tuple[dict[bytes, int], DataFrame]:
-    """Terms whose presence goes with the label beyond chance, and the written term rows of the examples."""
-    rows = materialise(_example_terms(examples), "example-terms")
-    n, p = float(n_examples), float(n_positive)
-    counts = rows.groupBy("term").agg(F.count("*").alias("d"), F.sum("label").alias("a")).filter(F.col("d") >= MIN_EXAMPLES)
-    spread = F.col("d") * (n - F.col("d")) * p * (n - p)
-    chi = F.coalesce(F.try_divide(n * F.pow(F.col("a") * n - F.col("d") * p, F.lit(2.0)), spread), F.lit(0.0))
-    top = counts.withColumn("chi", chi).filter(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(most).collect()
-    return {bytes(r["term"]): j for j, r in enumerate(top)}, rows
+def relevance(n: np.ndarray, ones: np.ndarray, n_examples: int, n_ones: float) -> np.ndarray:
+    """By how much terms are stretched: 1 and more with the correlation of a term and the label beyond chance."""
+    spread = n * (n_examples - n) * n_ones * (n_examples - n_ones)
+    chi = n_examples * (ones * n_examples - n * n_ones) ** 2 / np.where(spread > 0, spread, np.inf)
+    return 1 + RELEVANCE * np.sqrt(np.maximum(chi - CHANCE, 0) / n_examples)
 
 
 def score(
@@ -173,8 +231,8 @@ def score(
     """``id, held_out, score, neighbours, cosines`` of every row of ``docs``.
 
     ``held_out`` is a condition on ``id``; rows that meet it are no examples.
-    ``neighbours`` are ids of the nearest examples. A text without a chosen
-    term, as null and empty ones, has no neighbours and gets the rate of such
+    ``neighbours`` are ids of the nearest examples, and ``cosines`` theirs. A text
+    without a term of the examples, as null and empty ones, has no neighbours and gets the rate of such
     examples. Of an id with several labels or texts the highest label and
     the least text count. Without examples every score is 0. Repeated rows
     stay repeated; other columns are not read.
@@ -184,43 +242,60 @@ def score(
     chosen = known.filter(~held_out).groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(examples)
     # at most ``examples`` rows of two numbers are broadcast
     with_text = materialise(rows.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")), "examples")
-    marks = {r["id"]: r["label"] for r in with_text.select("id", "label").collect()}
-    ids = sorted(marks)
-    y = np.array([marks[i] for i in ids], float)
-    terms, term_rows = chosen_terms(with_text, len(ids), int(y.sum())) if ids else ({}, None)
-    frequency = _document_frequencies(rows, terms) if terms else np.zeros(0)
-    idf = np.log((1 + rows.count()) / (1 + frequency)) + 1
-    at = {i: j for j, i in enumerate(ids)}
-    bags = [Counter() for _ in ids]
-    if terms:
-        for r in term_rows.filter(F.col("term").isin(list(map(bytearray, terms)))).collect():  # examples x terms at most
-            bags[at[r["row"]]][terms[bytes(r["term"])]] = r["tf"]
-    vectors = [unit_vector(b, idf) for b in bags]
-    index = BlockMaxIndex(vectors, len(terms))
-    base = float(y.mean()) if ids else 0.0
-    own = [index.nearest(v, k, without=i) for i, v in enumerate(vectors)]
-    some = np.array([len(i) > 0 for i, _ in own], bool)
-    votes = np.array([vote(y[i], s, base) for i, s in own])
-    curve = calibrate(votes[some], y[some]) if some.any() else (np.zeros(1), np.array([base]))
-    silent = float((y[~some].sum() + 0.5 * base) / ((~some).sum() + 0.5)) if (~some).any() else base
-    share = docs.sparkSession.sparkContext.broadcast((index, terms, idf, y, np.array(ids), base, curve, silent))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, terms, idf, y, ids, base, (cuts, rates), silent = share.value
+    n_ones, n_examples = with_text.agg(F.sum("label"), F.count("*")).first()
+    context = docs.sparkSession.sparkContext
+    known, n, ones = _term_stats(with_text)
+    # dictionaries and arrays are sent, not objects of this package, which workers may not have
+    terms = context.broadcast(known)
+    scale = (np.log((1 + rows.count()) / (1 + _document_frequencies(rows, terms))) + 1) * relevance(n, ones, n_examples, n_ones or 0) if known else np.zeros(0)
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score, near, cosine = np.full(batch.num_rows, silent), [], []
-            for j, text in enumerate(batch.column(2).cast(pa.binary())):
-                bag = Counter(terms[t] for t in terms_of(text.as_py()) if t in terms)
-                i, s = index.nearest(unit_vector(bag, idf), k)
-                if len(i):
-                    score[j] = rates[max(0, np.searchsorted(cuts, vote(y[i], s, base), "right") - 1)]
-                near.append(ids[i].tolist())
-                cosine.append(s.tolist())
-            kind = batch.column(0).type
-            arrays = [batch.column(0), batch.column(1), pa.array(score), pa.array(near, pa.list_(kind)), pa.array(cosine, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "held_out", "score", "neighbours", "cosines"])
+            got = [_bag(text, terms.value) for text in batch.column(2).cast(pa.binary()).to_pylist()]
+            cells = [pa.array([x[i] for x in got], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cells], ["id", "label", "terms", "tf"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", held_out.alias("held_out"), "text").mapInArrow(
-        run, f"id {kind}, held_out boolean, score double, neighbours array<{kind}>, cosines array<double>"
-    )
+    # at most ``examples`` rows reach the driver
+    table = with_text.select("id", "label", "text").mapInArrow(bags, f"id {kind}, label int, terms array<int>, tf array<int>").orderBy("id").toArrow()
+    ids, y = table["id"].to_pylist(), table["label"].to_numpy().astype(float)
+    bag_terms, bag_tf = (table[c].combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("terms", "tf"))
+    size = pc.list_value_length(table["terms"]).to_numpy()
+    weight = (1 + np.log(bag_tf)) * scale[bag_terms]
+    of = np.repeat(np.arange(len(ids)), size)
+    weight /= np.sqrt(np.bincount(of, weight * weight, len(ids)))[of]
+    base = float(y.mean()) if ids else 0.0
+    share = context.broadcast((scale, y, ids, base, of, bag_terms, weight))
+
+    def votes(of_examples: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scale, y, ids, base, *entries = share.value
+            index, place = BlockMaxIndex(len(ids), len(scale), *entries), {i: j for j, i in enumerate(ids)}
+            for batch in batches:
+                for a in range(0, batch.num_rows, QUERIES):
+                    part = batch.slice(a, QUERIES)
+                    bags = [_bag(text, terms.value) for text in part.column(2).cast(pa.binary()).to_pylist()]
+                    own = [place.get(i, -1) for i in part.column(0).to_pylist()] if of_examples else None
+                    got = index.nearest([(t, unit_vector(t, tf, scale)) for t, tf in bags], k, own)
+                    kind = part.column(0).type
+                    near = pa.array([[ids[x] for x in i] for i, _ in got], pa.list_(kind))
+                    cast = pa.array([vote(y[i], s, base) if len(i) else None for i, s in got], pa.float64())
+                    cosine = pa.array([s for _, s in got], pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), cast, near, cosine], ["id", "mark", "vote", "neighbours", "cosines"])
+
+        return run
+
+    schema = f"id {kind}, mark boolean, vote double, neighbours array<{kind}>, cosines array<double>"
+    cases = with_text.repartition("id").select("id", (F.col("label") == 1).alias("mark"), "text").mapInArrow(votes(True), schema).select("mark", "vote").toPandas()
+    some = cases["vote"].notna().to_numpy()
+    marks, cast = cases["mark"].to_numpy(float), cases["vote"].to_numpy(float)
+    cuts, rates = calibrate(cast[some], marks[some]) if some.any() else (np.zeros(1), np.array([base]))
+    silent = float((marks[~some].sum() + 0.5 * base) / ((~some).sum() + 0.5)) if (~some).any() else base
+
+    @F.pandas_udf("double")
+    def calibrated(cast: pd.Series) -> pd.Series:
+        at = np.maximum(np.searchsorted(cuts, cast.fillna(0).to_numpy(), "right") - 1, 0)
+        return pd.Series(np.where(cast.isna(), silent, rates[at]))
+
+    found = rows.select("id", held_out.alias("held_out"), "text").mapInArrow(votes(False), schema)
+    return found.select("id", F.col("mark").alias("held_out"), calibrated("vote").alias("score"), "neighbours", "cosines")

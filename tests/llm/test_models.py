@@ -48,16 +48,24 @@ def test_prior_estimate():
 
 
 def test_block_max_neighbours_are_exact():
-    r = random.Random(0)
-    vec = lambda: toxicity.unit_vector(toxicity.Counter(r.choices(range(30), k=r.randrange(0, 8))), np.linspace(1, 3, 30))
-    examples = [vec() for _ in range(300)]
-    index = toxicity.BlockMaxIndex(examples, 30, block=16)
-    for _ in range(100):
-        q = vec()
-        cosines = np.array([sum(w * e.get(t, 0) for t, w in q.items()) for e in examples])
-        i, s = index.nearest(q, 10)
-        expect = np.sort(cosines[cosines > 0])[::-1][:10]
-        assert np.allclose(s, expect) and np.allclose(cosines[i], s)
+    r = np.random.default_rng(0)
+    scale = np.linspace(1, 3, 60)
+
+    def bag():
+        terms = np.unique(np.minimum(r.exponential(12, r.integers(0, 9)).astype(int), 59))
+        return terms, toxicity.unit_vector(terms, r.integers(1, 4, len(terms)), scale)
+
+    for n in (0, 1, 300):
+        bags = [bag() for _ in range(n)]
+        entries = [np.array(x) for x in zip(*((i, t, w) for i, (ts, ws) in enumerate(bags) for t, w in zip(ts, ws)), strict=True)] or [np.zeros(0, int), np.zeros(0, int), np.zeros(0)]
+        index = toxicity.BlockMaxIndex(n, 60, *entries, block=16)
+        queries = [bag() for _ in range(100)]
+        some = [int(x) for x in r.integers(-1, n, 100)] if n else None
+        for (terms, weights), (i, s), (other, _), out in zip(queries, index.nearest(queries, 10), index.nearest(queries, 10, some), some or [-1] * 100, strict=True):
+            cosines = np.array([sum(w * dict(zip(*e)).get(t, 0) for t, w in zip(terms, weights)) for e in bags])
+            expect = np.lexsort((np.arange(n), -cosines))[: min(10, (cosines > 0).sum())] if n else []
+            assert np.allclose(s, cosines[i] if n else []) and np.allclose(s, [cosines[x] for x in expect]) and len(set(i)) == len(i)
+            assert out not in other and set(i) - {out} <= set(other)
 
 
 def test_toxicity(spark):
@@ -73,6 +81,34 @@ def test_toxicity(spark):
     assert toxicity.score(table(spark, []), lab, held_out(F.col("id"), 5, 0)).count() == 0
 
 
+def test_toxicity_neighbours_are_those_of_whole_texts(spark):
+    docs, labels = labelled(150)
+    df, lab = table(spark, docs + odd_rows()), spark.createDataFrame(labels + [labels[0]], LABELS)
+    got = toxicity.score(df, lab, held_out(F.col("id"), 5, 0), k=5).collect()
+    held = {r["id"] for r in got if r["held_out"]}
+    texts = {d[0]: toxicity.Counter(toxicity.terms_of((d[1] or "").encode())) for d in docs + odd_rows()}
+    truth = {i: t for i, _, t, _ in labels if i not in held}
+    n, ones = toxicity.Counter(), toxicity.Counter()
+    for i, t in truth.items():
+        n.update(texts[i].keys())
+        ones.update(texts[i].keys() if t else ())
+    rows = docs + odd_rows()
+    often = toxicity.Counter(t for d in rows for t in set(toxicity.terms_of((d[1] or "").encode())))
+    terms = sorted(n)
+    stretch = dict(zip(terms, toxicity.relevance(np.array([n[t] for t in terms], float), np.array([ones[t] for t in terms], float), len(truth), sum(truth.values())), strict=True))
+    weigh = lambda bag: {t: (1 + np.log(c)) * (np.log((1 + len(rows)) / (1 + often[t])) + 1) * stretch[t] for t, c in bag.items() if t in stretch}
+    unit = lambda v: {t: x / np.sqrt(sum(y * y for y in v.values())) for t, x in v.items()}
+    vectors = {i: unit(weigh(texts[i])) for i in truth}
+    for r in got:
+        if r["id"] is None:
+            continue
+        q = unit(weigh(texts[r["id"]]))
+        cosines = {i: sum(x * v.get(t, 0) for t, x in q.items()) for i, v in vectors.items()}
+        assert np.allclose(r["cosines"], [c for c in sorted(cosines.values(), reverse=True)[:5] if c > 0])
+        assert np.allclose(r["cosines"], [cosines[i] for i in r["neighbours"]])
+    assert sum(bool(r["neighbours"]) for r in got if r["id"] in texts and 100 <= (r["id"] or 0)) == len(docs)
+
+
 def test_model_probabilities_add_up():
     r = np.random.default_rng(0)
     model = lm_scoring.MaskedModel(r.integers(1, 50, 64).astype(float), classes=8, width=4)
