@@ -15,12 +15,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +35,12 @@ RELEVANCE = 10.0
 CHANCE = 10.0
 #: Terms in more than this share of the examples are kept as columns of a block, all others as postings.
 FREQUENT = 1 / 16
+#: Cosines are sums of single-precision products and are rounded to six digits; bounds allow for more than their error.
+ROUNDING = 2e-6
 #: Blocks that a query visits before it knows how near an example has to be, queries in a batch, postings read at a time.
 VISIT = 8
 QUERIES = 100
-POSTINGS = 1 << 20
+POSTINGS = 1 << 18
 
 #: Bytes of ASCII that are no letter or digit separate terms.
 SEPARATE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -60,23 +62,22 @@ class BlockMaxIndex:
     def __init__(self, n: int, n_terms: int, example: np.ndarray, term: np.ndarray, weight: np.ndarray, block: int = BLOCK):
         self.n, self.block, self.blocks = n, block, max(1, -(-n // block))
         frequent = np.flatnonzero(np.bincount(term, minlength=n_terms) > FREQUENT * n)
-        self.column = np.full(n_terms, -1)
+        self.column = np.full(n_terms, -1, np.int32)
         self.column[frequent] = np.arange(len(frequent))
         column = self.column[term]
         often = column >= 0
-        dense = np.zeros((n, len(frequent)))
+        dense = np.zeros((n, len(frequent)), np.float32)
         dense[example[often], column[often]] = weight[often]
         # one example in each block's worth is a centre; examples are ordered by the centre that they are nearest to
-        unit = dense / np.maximum(np.sqrt((dense * dense).sum(1, keepdims=True)), 1e-12)
-        centre = np.argmax(unit @ unit[::block].T, 1) if n else np.zeros(0, np.int64)
+        centres = dense[::block] / np.maximum(np.linalg.norm(dense[::block], axis=1, keepdims=True), 1e-12)
+        centre = np.argmax(dense @ centres.T, 1) if n else np.zeros(0, np.int64)
         self.order = np.argsort(centre, kind="stable")
-        self.place = np.argsort(self.order)
-        self.dense = np.zeros((self.blocks * block, len(frequent)))
-        self.dense[:n] = dense[self.order]
-        self.dense = self.dense.reshape(self.blocks, block, -1) if len(frequent) else np.zeros((self.blocks, block, 0))
+        self.place = np.argsort(self.order).astype(np.int32)
+        self.dense = np.zeros((self.blocks, block, len(frequent)), np.float32)
+        self.dense.reshape(self.blocks * block, len(frequent))[:n] = dense[self.order]
         self.most = self.dense.max(1)
         rare = np.flatnonzero(~often)[np.argsort(term[~often], kind="stable")]
-        self.at, self.weight = self.place[example[rare]], weight[rare]
+        self.at, self.weight = self.place[example[rare]], weight[rare].astype(np.float32)
         self.start = np.searchsorted(term[rare], np.arange(n_terms + 1))
         self.visited = self.asked = 0
 
@@ -108,7 +109,7 @@ class BlockMaxIndex:
         terms, weights = (np.concatenate([q[i] for q in queries]) for i in (0, 1))
         column = self.column[terms]
         often = column >= 0
-        full = np.zeros((n, self.dense.shape[2]))
+        full = np.zeros((n, self.dense.shape[2]), np.float32)
         full[of[often], column[often]] = weights[often]
         score = self._rare_scores(n, of[~often], terms[~often], weights[~often])
         for j, i in enumerate(without or ()):
@@ -122,14 +123,14 @@ class BlockMaxIndex:
         self._visit(visit, score, full, found)
         best = np.take_along_axis(found, first[:, :, None], 1).reshape(n, -1)
         least = np.maximum(np.partition(best, -k, 1)[:, -k] if best.shape[1] >= k else 0.0, 0.0)
-        more = (bound >= least[:, None] - 1e-12) & (bound > 0) & ~visit
+        more = (bound >= least[:, None] - ROUNDING) & (bound > 0) & ~visit
         self._visit(more, score, full, found)
         self.asked += bound.size
         self.visited += int(visit.sum() + more.sum())
         out = []
         for j in range(n):
-            at = np.flatnonzero((found[j].ravel() >= least[j] - 1e-12) & (found[j].ravel() > 1e-12))
-            i, s = self.order[at], np.round(found[j].ravel()[at], 12)
+            at = np.flatnonzero((found[j].ravel() >= least[j] - ROUNDING) & (found[j].ravel() > ROUNDING))
+            i, s = self.order[at], np.round(found[j].ravel()[at], 6)
             top = np.lexsort((i, -s))[:k]
             out.append((i[top], s[top]))
         return out
@@ -166,49 +167,43 @@ def calibrate(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.array([p[0] for p in pools]), np.array([(p[2] + 0.5) / (p[1] + 1) for p in pools])
 
 
-def _term_stats(examples: DataFrame) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """Ids of all terms of the examples, examples that hold each, and those of label 1 among them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n: Counter = Counter()
-            ones: Counter = Counter()
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                terms = set(terms_of(text))
-                n.update(terms)
-                if label:
-                    ones.update(terms)
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.binary()), pa.array(n.values(), pa.int64()), pa.array([ones[t] for t in n], pa.int64())], ["term", "n", "ones"])
-
-    found = examples.select("label", "text").mapInArrow(run, "term binary, n long, ones long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
-    got = found.orderBy("term").toArrow()
-    return {t: i for i, t in enumerate(got["term"].to_pylist())}, got["n"].to_numpy().astype(float), got["ones"].to_numpy().astype(float)
-
-
-def _bag(text: bytes | None, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and counts of the known terms of a text, by id."""
-    words = terms_of(text)
-    ids, tf = np.unique(np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words)), return_counts=True)
-    some = slice(int(len(ids) > 0 and ids[0] < 0), None)
-    return ids[some], tf[some]
+def term_hashes(text: bytes | None) -> np.ndarray:
+    """A hash of 64 bits for each term of a text; terms are told apart by these alone."""
+    terms = terms_of(text)
+    return np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64, len(terms)).view(np.int64)
 
 
-def _document_frequencies(docs: DataFrame, terms) -> np.ndarray:
-    """Documents that hold each known term, over all documents; each task sends one row a term at most."""
+def _count_terms(texts: DataFrame, known: Broadcast | None = None) -> DataFrame:
+    """``term, n, ones``: texts of ``texts(mark, text)`` that hold each (known) term, and those with a mark among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = terms.value
-        total = np.zeros(len(known), np.int64)
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                total[[known[t] for t in known.keys() & set(terms_of(text.as_py()))]] += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["term", "n"])
-
-    out = np.zeros(len(terms.value), np.int64)
-    got = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    out[got["term"].to_numpy()] = got["n"].to_numpy()
-    return out
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                got = [np.unique(term_hashes(t)) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                terms, mark = np.concatenate(got), np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in got])
+                if known is not None:
+                    some = _ids(terms, known.value)[0]
+                    terms, mark = terms[some], mark[some]
+                terms, at = np.unique(terms, return_inverse=True)
+                n, ones = np.bincount(at, minlength=len(terms)), np.bincount(at, mark, len(terms)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (terms, n, ones)], ["term", "n", "ones"])
+
+    return texts.mapInArrow(run, "term long, n long, ones long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+
+
+def _ids(hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes are known, and their places in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(hashes), bool), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    some = known[at] == hashes
+    return some, at[some]
+
+
+def _bag(text: bytes | None, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts of the known terms of a text, by id."""
+    return np.unique(_ids(term_hashes(text), known)[1], return_counts=True)
 
 
 def relevance(n: np.ndarray, ones: np.ndarray, n_examples: int, n_ones: float) -> np.ndarray:
@@ -244,10 +239,12 @@ def score(
     with_text = materialise(rows.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")), "examples")
     n_ones, n_examples = with_text.agg(F.sum("label"), F.count("*")).first()
     context = docs.sparkSession.sparkContext
-    known, n, ones = _term_stats(with_text)
-    # dictionaries and arrays are sent, not objects of this package, which workers may not have
-    terms = context.broadcast(known)
-    scale = (np.log((1 + rows.count()) / (1 + _document_frequencies(rows, terms))) + 1) * relevance(n, ones, n_examples, n_ones or 0) if known else np.zeros(0)
+    held = _count_terms(with_text.select("label", "text")).orderBy("term").toArrow()
+    # arrays are sent, not objects of this package, which workers may not have
+    terms = context.broadcast(held["term"].to_numpy())
+    often = _count_terms(rows.select(F.lit(0), "text"), terms).orderBy("term").toArrow()["n"].to_numpy()
+    stretch = relevance(held["n"].to_numpy().astype(float), held["ones"].to_numpy().astype(float), n_examples, n_ones or 0)
+    scale = (np.log((1 + rows.count()) / (1 + often)) + 1) * stretch
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,13 +256,13 @@ def score(
     # at most ``examples`` rows reach the driver
     table = with_text.select("id", "label", "text").mapInArrow(bags, f"id {kind}, label int, terms array<int>, tf array<int>").orderBy("id").toArrow()
     ids, y = table["id"].to_pylist(), table["label"].to_numpy().astype(float)
-    bag_terms, bag_tf = (table[c].combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("terms", "tf"))
+    bag_terms, bag_tf = (table[c].combine_chunks().flatten().to_numpy() for c in ("terms", "tf"))
     size = pc.list_value_length(table["terms"]).to_numpy()
     weight = (1 + np.log(bag_tf)) * scale[bag_terms]
-    of = np.repeat(np.arange(len(ids)), size)
+    of = np.repeat(np.arange(len(ids), dtype=np.int32), size)
     weight /= np.sqrt(np.bincount(of, weight * weight, len(ids)))[of]
     base = float(y.mean()) if ids else 0.0
-    share = context.broadcast((scale, y, ids, base, of, bag_terms, weight))
+    share = context.broadcast((scale, y, ids, base, of, bag_terms, weight.astype(np.float32)))
 
     def votes(of_examples: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,10 +289,8 @@ def score(
     cuts, rates = calibrate(cast[some], marks[some]) if some.any() else (np.zeros(1), np.array([base]))
     silent = float((marks[~some].sum() + 0.5 * base) / ((~some).sum() + 0.5)) if (~some).any() else base
 
-    @F.pandas_udf("double")
-    def calibrated(cast: pd.Series) -> pd.Series:
-        at = np.maximum(np.searchsorted(cuts, cast.fillna(0).to_numpy(), "right") - 1, 0)
-        return pd.Series(np.where(cast.isna(), silent, rates[at]))
-
+    # the last step of the curve that a vote reaches
+    step = F.size(F.filter(F.lit(cuts.tolist()), lambda c: c <= F.col("vote")))
+    calibrated = F.when(F.col("vote").isNull(), silent).otherwise(F.element_at(F.lit(rates.tolist()), F.greatest(step, F.lit(1))))
     found = rows.select("id", held_out.alias("held_out"), "text").mapInArrow(votes(False), schema)
-    return found.select("id", F.col("mark").alias("held_out"), calibrated("vote").alias("score"), "neighbours", "cosines")
+    return found.select("id", F.col("mark").alias("held_out"), calibrated.alias("score"), "neighbours", "cosines")
