@@ -1,40 +1,47 @@
 """Language-model scores of documents by masked pseudo-likelihood.
 
 A small network sees the words on both sides of a place, but not the word
-itself, and predicts it. Words are grouped into classes; the network gives
-the class, then the word within its class. It is trained in numpy: in each
-round every task trains a copy on places of all of its documents, and the
-copies are averaged by a shuffle. A document's score is the sum of the log
-probabilities of all of its words.
+itself, and predicts it. The most frequent words have an id each and all
+others share ids by hash, so every word has a probability of its own id. Ids
+are grouped into classes; the network gives the class, then the id within its
+class. It is trained in numpy on every word of every document: documents are
+dealt into shards by hash, a copy of the network is trained on each shard, and
+the copies are averaged, so the result doesn't depend on how the table is
+partitioned. A document's score is the sum of the log probabilities of all of
+its words.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Known words (a multiple of CLASSES, with one for all unknown words), classes, numbers to a word, words seen on either side.
-VOCABULARY = 1_024
-CLASSES = 32
+#: Ids, a square number, so that there are as many classes as ids in a class; half of them are for frequent words, half for hashes.
+VOCABULARY = 4_096
+#: Numbers to an id, words seen on either side.
 WIDTH = 16
 SIDE = 2
-#: Rounds of training, and the stride of the places that a round trains on in every document.
-ROUNDS = 2
-STRIDE = 8
-RATE = 0.5
-BATCH = 256
+#: Rounds of training over all words, documents in a shard (on average), and most partitions that shards are dealt over.
+ROUNDS = 1
+SHARD_DOCUMENTS = 2_000
+SHARD_PARTITIONS = 2_000
+RATE = 20.0
+BATCH = 4_096
+#: Most that a step changes a weight; it holds where few ids share all of a batch.
+MOVE = 0.1
 #: Documents whose words a task holds at a time.
 DOCUMENTS = 200
 #: Parameters in a row of the averaging shuffle.
-CHUNK = 256
+CHUNK = 4_096
 
 SEPARATE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -44,12 +51,24 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().translate(SEPARATE).split() if text else []
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``word, n`` over all documents; each task adds up its own first, in bounded parts."""
+class WordIds(dict):
+    """Ids of the frequent words; other words get one of ``buckets`` ids after them by hash."""
+
+    def __init__(self, known: dict[bytes, int], own: int, buckets: int):
+        super().__init__(known)
+        self.own, self.buckets = own, buckets
+
+    def __missing__(self, word: bytes) -> int:
+        return self.own + xxhash.xxh64_intdigest(word) % self.buckets
+
+
+def word_counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """``word, bucket, n`` over all documents; each task adds up its own first, in bounded parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+            bucket = pa.array([xxhash.xxh64_intdigest(w) % buckets for w in held], pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), bucket, pa.array(list(held.values()), pa.int64())], ["word", "bucket", "n"])
 
         held: Counter = Counter()
         for batch in batches:
@@ -60,24 +79,28 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     held.clear()
         yield rows()
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word binary, bucket int, n long").groupBy("word", "bucket").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[dict[bytes, int], np.ndarray]:
-    """Ids of the most frequent words, most frequent first, and the counts; the last id is all other words."""
-    counts = materialise(word_counts(docs), "word-counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(size - 1).collect()
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    """Ids of the most frequent words, most frequent first, and the counts of all ids: words, then hashes of all others."""
+    own = size // 2
+    counts = materialise(word_counts(docs, size - own), "word-counts")
+    top = counts.orderBy(F.desc("n"), "word").limit(own).collect()
     n = np.zeros(size)
     n[: len(top)] = [r["n"] for r in top]
-    n[-1] = total - n.sum()
+    for r in counts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most ``size`` rows
+        n[own + r["bucket"]] = r["n"]
+    for r in top:
+        n[own + r["bucket"]] -= r["n"]
     return {bytes(r["word"]): i for i, r in enumerate(top)}, n
 
 
 class MaskedModel:
     """Weights as views of one flat array. Padding beyond an end of a text has the id ``size``."""
 
-    def __init__(self, counts: np.ndarray, classes: int = CLASSES, width: int = WIDTH, side: int = SIDE, seed: int = 0):
+    def __init__(self, counts: np.ndarray, width: int = WIDTH, side: int = SIDE, seed: int = 0):
+        classes = isqrt(len(counts))
         self.size, self.classes, self.width, self.side = len(counts), classes, width, side
         self.members = self.size // classes
         # frequent words are dealt over the classes, so that no class is much likelier than another
@@ -108,60 +131,71 @@ class MaskedModel:
             h += self.context[j][ids]
         return np.tanh(h)
 
-    @staticmethod
-    def log_softmax(z: np.ndarray) -> np.ndarray:
-        z = z - z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
+    def _by_class(self, around: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """The places in order of the class of their word, their hidden values and classes, and ``class, begin, end``."""
+        c = self.class_of[target]
+        order = np.argsort(c, kind="stable")
+        begin = np.searchsorted(c[order], np.arange(self.classes + 1)).tolist()
+        return order, self.hidden(around[:, order]), c[order], [(k, a, b) for k, (a, b) in enumerate(zip(begin[:-1], begin[1:], strict=True)) if a < b]
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Log probability of each target word given the words around it."""
-        h, c = self.hidden(around), self.class_of[target]
-        out = self.log_softmax(h @ self.to_class + self.class_bias)[np.arange(len(c)), c]
-        order = np.argsort(c, kind="stable")
-        begin = np.searchsorted(c[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            rows = order[begin[k] : begin[k + 1]]
-            if len(rows):
-                z = self.log_softmax(h[rows] @ self.to_member[k] + self.member_bias[k])
-                out[rows] += z[np.arange(len(rows)), self.member_of[target[rows]]]
+        """Log probability of each target id given the words around it."""
+        order, h, c, groups = self._by_class(around, target)
+        member = self.member_of[target[order]]
+        z = h @ self.to_class + self.class_bias
+        z -= z.max(1, keepdims=True)
+        found = z[np.arange(len(c)), c] - np.log(np.exp(z).sum(1))
+        for k, a, b in groups:
+            z = h[a:b] @ self.to_member[k] + self.member_bias[k]
+            z -= z.max(1, keepdims=True)
+            found[a:b] += z[np.arange(b - a), member[a:b]] - np.log(np.exp(z).sum(1))
+        out = np.empty(len(target))
+        out[order] = found
         return out
 
     def step(self, around: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One step of gradient descent on the mean loss of a batch."""
-        h, c = self.hidden(around), self.class_of[target]
-        n = len(c)
-        scale = rate / n
-        error = np.exp(self.log_softmax(h @ self.to_class + self.class_bias))
-        error[np.arange(n), c] -= 1
-        back = error @ self.to_class.T
-        order = np.argsort(c, kind="stable")
-        begin = np.searchsorted(c[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            rows = order[begin[k] : begin[k + 1]]
-            if len(rows):
-                e = np.exp(self.log_softmax(h[rows] @ self.to_member[k] + self.member_bias[k]))
-                e[np.arange(len(rows)), self.member_of[target[rows]]] -= 1
-                back[rows] += e @ self.to_member[k].T
-                self.to_member[k] -= scale * (h[rows].T @ e)
-                self.member_bias[k] -= scale * e.sum(0)
-        self.to_class -= scale * (h.T @ error)
-        self.class_bias -= scale * error.sum(0)
-        back = (back * (1 - h * h)).astype(np.float32) * np.float32(scale)
-        self.bias -= back.sum(0)
+        """One step of gradient descent on the mean loss of a batch; no weight moves by more than MOVE."""
+        order, h, c, groups = self._by_class(around, target)
+        member, scale = self.member_of[target[order]], np.float32(rate / len(c))
+
+        def move(weights: np.ndarray, change: np.ndarray) -> None:
+            weights -= np.clip(change, -MOVE, MOVE)
+
+        def error(z: np.ndarray, which: np.ndarray) -> np.ndarray:
+            z -= z.max(1, keepdims=True)
+            np.exp(z, out=z)
+            z /= z.sum(1, keepdims=True)
+            z[np.arange(len(z)), which] -= 1
+            return z
+
+        e = error(h @ self.to_class + self.class_bias, c)
+        back = e @ self.to_class.T
+        e *= scale
+        move(self.to_class, h.T @ e)
+        move(self.class_bias, e.sum(0))
+        for k, a, b in groups:
+            e = error(h[a:b] @ self.to_member[k] + self.member_bias[k], member[a:b])
+            back[a:b] += e @ self.to_member[k].T
+            e *= scale
+            move(self.to_member[k], h[a:b].T @ e)
+            move(self.member_bias[k], e.sum(0))
+        back *= scale * (1 - h * h)
+        move(self.bias, back.sum(0))
         for j, ids in enumerate(around):
-            np.subtract.at(self.context[j], ids, back)
+            change = np.zeros_like(self.context[j])
+            np.add.at(change, ids[order], back)
+            move(self.context[j], change)
 
 
-def _padded(texts: list[bytes | None], known: dict[bytes, int], size: int, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _padded(texts: list[bytes | None], known: WordIds, size: int, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all texts with padding between them, the places of words, and the text of each."""
     ids, at, of, end = [np.full(side, size)], [], [], side
     for j, text in enumerate(texts):
         words = words_of(text)
-        got = np.fromiter((known.get(w, size - 1) for w in words), np.int64, len(words))
-        ids += [got, np.full(side, size)]
-        at.append(np.arange(end, end + len(got)))
-        of.append(np.full(len(got), j))
-        end += len(got) + side
+        ids += [np.fromiter(map(known.__getitem__, words), np.int64, len(words)), np.full(side, size)]
+        at.append(np.arange(end, end + len(words)))
+        of.append(np.full(len(words), j))
+        end += len(words) + side
     empty = [np.zeros(0, np.int64)]
     return np.concatenate(ids), np.concatenate(at or empty), np.concatenate(of or empty)
 
@@ -173,64 +207,94 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
             yield part, part.column(column).cast(pa.binary()).to_pylist()
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, size: int = VOCABULARY) -> tuple[dict[bytes, int], MaskedModel]:
-    """Vocabulary and model, from all of ``docs(text)``.
+def _summed(chunks: DataFrame) -> tuple[np.ndarray, int]:
+    """The sums by chunk of ``chunk, seen, values``, put together, and of ``seen``."""
 
-    A round trains on every ``stride``-th word of every document. What tasks
-    send grows with the number of tasks and so with the input; the driver
-    gets the averages alone.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        seen: Counter = Counter()
+        for batch in batches:
+            for chunk, n, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                seen[chunk] += n
+                values = values.values.to_numpy()
+                sums[chunk] = sums[chunk] + values if chunk in sums else values
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([seen[c] for c in sums], pa.int64()), pa.array(sums.values(), pa.list_(pa.float64()))], names)
+
+    names = ["chunk", "seen", "values"]
+    got = sorted(chunks.repartition("chunk").mapInArrow(run, "chunk int, seen long, values array<double>").collect())  # one model's parameters
+    return np.concatenate([r["values"] for r in got] or [np.zeros(0)]), got[0]["seen"] if got else 0
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS, size: int = VOCABULARY, shard_documents: int = SHARD_DOCUMENTS, rate: float = RATE) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """Known words, counts of ids and weights, from all of ``docs(id, text)``.
+
+    A round trains a copy on each shard, on every word of its documents in the
+    order of a hash, and averages the copies by their words. Tasks send the
+    sum of their own copies, and the driver gets the sum of all.
     """
     known, counts = vocabulary(docs, size)
-    model = MaskedModel(counts)
+    flat = MaskedModel(counts).flat
     context = docs.sparkSession.sparkContext
+    shards = max(1, -(-docs.count() // shard_documents))
+    rank = F.xxhash64("id", "text")
+    dealt = docs.select(F.pmod(rank, F.lit(shards)).cast("int").alias("shard"), rank.alias("rank"), "text")
+    parts = min(shards, SHARD_PARTITIONS)
     for n in range(rounds):
-        sent = context.broadcast((known, counts, model.flat))
+        sent = context.broadcast((known, counts, flat))
 
         def run(batches: Iterator[pa.RecordBatch], n: int = n, sent=sent) -> Iterator[pa.RecordBatch]:
             known, counts, flat = sent.value
-            own = MaskedModel(counts)
-            own.flat[:] = flat
-            r = np.random.default_rng((n, TaskContext.get().partitionId()))
-            seen = 0
-            for _, texts in _texts(batches, 0):
-                ids, at, of = _padded(texts, known, own.size, own.side)
-                first = np.searchsorted(of, of)  # the first word of the same text
-                at = at[(np.arange(len(at)) - first) % stride == (3 * n + 1) % stride]
+            own, words, total, all_seen = MaskedModel(counts), WordIds(known, len(counts) // 2, len(counts) - len(counts) // 2), 0.0, 0
+            now, seen = None, 0
+            rows = ((shard, text) for batch in batches for shard, text in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True))
+            ahead = next(rows, None)
+            while ahead is not None:
+                # up to DOCUMENTS rows of one shard, however Spark cuts its batches
+                shard, texts = ahead[0], [ahead[1]]
+                ahead = None
+                for row in rows:
+                    if row[0] != shard or len(texts) == DOCUMENTS:
+                        ahead = row
+                        break
+                    texts.append(row[1])
+                if shard != now:
+                    total, all_seen = total + seen * own.flat.astype(np.float64), all_seen + seen
+                    own.flat[:], now, seen = flat, shard, 0
+                    r = np.random.default_rng((n, shard))
+                ids, at, _ = _padded(texts, words, own.size, own.side)
                 r.shuffle(at)
                 for a in range(0, len(at), BATCH):
                     p = at[a : a + BATCH]
-                    own.step(own.windows(ids, p), ids[p], RATE / (1 + n))
-                    seen += len(p)
-            if seen:
-                rows = [own.flat[a : a + CHUNK] for a in range(0, len(own.flat), CHUNK)]
-                values = pa.array([x.tolist() for x in rows], pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([seen] * len(rows), pa.int64()), values], ["chunk", "seen", "values"])
-
-        copies = materialise(docs.select("text").mapInArrow(run, "chunk int, seen long, values array<float>"), "model-copies")
-        mean = (
-            copies.select("chunk", "seen", F.posexplode("values").alias("at", "value"))
-            .groupBy("chunk", "at")
-            .agg((F.sum(F.col("value") * F.col("seen")) / F.sum("seen")).alias("value"))
-        )
-        got = mean.toPandas()  # one row a parameter
-        if len(got):
-            model.flat[(got["chunk"] * CHUNK + got["at"]).to_numpy()] = got["value"].to_numpy(np.float32)
-    return known, model
+                    own.step(own.windows(ids, p), ids[p], rate * len(p) / BATCH)
+                seen += len(at)
+            total, all_seen = total + seen * own.flat.astype(np.float64), all_seen + seen
+            if all_seen:
+                values = [total[a : a + CHUNK] for a in range(0, len(total), CHUNK)]
+                columns = [pa.array(range(len(values)), pa.int32()), pa.array([all_seen] * len(values), pa.int64()), pa.array(values, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "seen", "values"])
+
+        ordered = dealt.repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("shard", "rank")
+        total, seen = _summed(materialise(ordered.mapInArrow(run, "chunk int, seen long, values array<double>"), "model-sums"))
+        if seen:
+            flat = (total / seen).astype(np.float32)
+    return known, counts, flat
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``id, n_words, unknown_words, log_probability, mean_log_probability, perplexity`` of every whole text.
+    """``id, n_words, hashed_words, log_probability, mean_log_probability, perplexity`` of every whole text.
 
     Null and empty texts have no words, a log probability of 0 and null means.
     Without any word in the corpus the model stays as it starts. Repeated
     rows stay repeated; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    known, model = train(rows, **how)
-    sent = docs.sparkSession.sparkContext.broadcast((known, model))
+    # arrays and a dictionary are sent, not objects of this package, which workers may not have
+    sent = docs.sparkSession.sparkContext.broadcast(train(rows, **how))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = sent.value
+        known, counts, flat = sent.value
+        model, known = MaskedModel(counts), WordIds(known, len(counts) // 2, len(counts) - len(counts) // 2)
+        model.flat[:] = flat
         for part, texts in _texts(batches, 1):
             ids, at, of = _padded(texts, known, model.size, model.side)
             total = np.zeros(len(texts))
@@ -238,10 +302,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how
                 p = at[a : a + 16_384]
                 total += np.bincount(of[a : a + 16_384], weights=model.log_probabilities(model.windows(ids, p), ids[p]), minlength=len(texts))
             n = np.bincount(of, minlength=len(texts))
-            unknown = np.bincount(of, weights=ids[at] == model.size - 1, minlength=len(texts)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(unknown), pa.array(total)], ["id", "n_words", "unknown_words", "log_probability"])
+            hashed = np.bincount(of, weights=ids[at] >= known.own, minlength=len(texts)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(hashed), pa.array(total)], ["id", "n_words", "hashed_words", "log_probability"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"id {kind}, n_words long, unknown_words long, log_probability double")
+    scored = rows.mapInArrow(run, f"id {kind}, n_words long, hashed_words long, log_probability double")
     mean = F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words"))
     return scored.withColumn("mean_log_probability", mean).withColumn("perplexity", F.exp(-F.col("mean_log_probability")))

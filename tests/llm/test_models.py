@@ -109,9 +109,21 @@ def test_toxicity_neighbours_are_those_of_whole_texts(spark):
     assert sum(bool(r["neighbours"]) for r in got if r["id"] in texts and 100 <= (r["id"] or 0)) == len(docs)
 
 
+def naive_log_probability(model, ids, at):
+    """Of one place, from the weights alone."""
+    h = model.bias.astype(float).copy()
+    for j, d in enumerate([d for d in range(-model.side, model.side + 1) if d]):
+        h += model.context[j][ids[at + d]]
+    h = np.tanh(h)
+    c, m = model.class_of[ids[at]], model.member_of[ids[at]]
+    by_class = np.exp(h @ model.to_class + model.class_bias)
+    by_member = np.exp(h @ model.to_member[c] + model.member_bias[c])
+    return np.log(by_class[c] / by_class.sum()) + np.log(by_member[m] / by_member.sum())
+
+
 def test_model_probabilities_add_up():
     r = np.random.default_rng(0)
-    model = lm_scoring.MaskedModel(r.integers(1, 50, 64).astype(float), classes=8, width=4)
+    model = lm_scoring.MaskedModel(r.integers(1, 50, 64).astype(float), width=4)
     model.flat += r.normal(0, 0.3, len(model.flat)).astype(np.float32)
     around = np.repeat(r.integers(0, 65, (4, 1)), 64, 1)
     assert abs(np.exp(model.log_probabilities(around, np.arange(64))).sum() - 1) < 1e-5
@@ -120,7 +132,7 @@ def test_model_probabilities_add_up():
 def test_training_follows_the_gradient():
     r = np.random.default_rng(1)
     ids = np.concatenate([np.full(2, 64), np.tile(np.arange(64), 40), np.full(2, 64)])
-    model = lm_scoring.MaskedModel(np.ones(64), classes=8, width=8)
+    model = lm_scoring.MaskedModel(np.ones(64), width=8)
     at = np.arange(2, len(ids) - 2)
     before = model.log_probabilities(model.windows(ids, at), ids[at]).mean()
     for _ in range(30):
@@ -129,14 +141,33 @@ def test_training_follows_the_gradient():
     assert model.log_probabilities(model.windows(ids, at), ids[at]).mean() > before / 2
 
 
-def test_lm_scores(spark):
+def test_lm_scores(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BATCH", 256)  # the table is small
     docs = [row(100 + i, " ".join(f"a{(i + j) % 20}" for j in range(200))) for i in range(30)] + [row(200, words(200, 1, 20).replace("w", "a"))]
+    docs += [row(201, " ".join(f"zq{x}" for x in range(200)))]
     got = {}
-    for rounds in (0, 2):
-        rows = lm_scoring.score(table(spark, docs + odd_rows()), size=64, rounds=rounds, stride=1).collect()
+    for rounds in (0, 12):
+        rows = lm_scoring.score(table(spark, docs + odd_rows()), size=64, rounds=rounds, rate=2.0).collect()
         got[rounds] = {r["id"]: r for r in rows}
         assert len(rows) == len(docs) + len(odd_rows())
-    assert got[2][100]["mean_log_probability"] > got[0][100]["mean_log_probability"]
-    assert got[2][100]["mean_log_probability"] > got[2][200]["mean_log_probability"]
-    assert got[2][1]["log_probability"] == 0 and got[2][1]["mean_log_probability"] is None and got[2][8]["n_words"] == 30_000
+    assert got[12][100]["mean_log_probability"] > got[0][100]["mean_log_probability"]
+    assert got[12][100]["mean_log_probability"] > got[12][200]["mean_log_probability"] > got[12][201]["mean_log_probability"]
+    assert got[12][201]["hashed_words"] == 200 and got[12][1]["log_probability"] == 0 and got[12][1]["mean_log_probability"] is None and got[12][8]["n_words"] == 30_000
     assert lm_scoring.score(table(spark, [])).count() == 0
+
+
+def test_lm_scores_are_sums_over_all_words_and_free_of_partitions(spark):
+    docs = [row(100 + i, words(40 + i, i, 90)) for i in range(50)] + odd_rows()[:6] + odd_rows()[8:]
+    rows = [(r[0], r[1]) for r in docs]
+    known, counts, flat = lm_scoring.train(spark.createDataFrame(rows, "id long, text string").repartition(5), size=64, shard_documents=10)
+    model, known = lm_scoring.MaskedModel(counts), lm_scoring.WordIds(known, 32, 32)
+    model.flat[:] = flat
+    assert counts.sum() == sum(len(lm_scoring.words_of((t or "").encode())) for _, t in rows)
+    for parts in (1, 7):
+        for r in lm_scoring.score(table(spark, docs).repartition(parts), size=64, shard_documents=10).collect():
+            if r["id"] in (None, 5):
+                continue
+            ids, at, _ = lm_scoring._padded([next(t for i, t in rows if i == r["id"]) and next(t for i, t in rows if i == r["id"]).encode()], known, 64, model.side)
+            expect = sum(naive_log_probability(model, ids, x) for x in at[:400])
+            if len(at) <= 400:
+                assert abs(r["log_probability"] - expect) < 1e-3 * max(1, len(at) / 10) and r["n_words"] == len(at)
