@@ -34,8 +34,8 @@ SIDE = 2
 ROUNDS = 1
 SHARD_DOCUMENTS = 2_000
 SHARD_PARTITIONS = 2_000
-RATE = 20.0
-BATCH = 4_096
+RATE = 40.0
+BATCH = 8_192
 #: Most that a step changes a weight; it holds where few ids share all of a batch.
 MOVE = 0.1
 #: Documents whose words a task holds at a time.
@@ -159,7 +159,7 @@ class MaskedModel:
         member, scale = self.member_of[target[order]], np.float32(rate / len(c))
 
         def move(weights: np.ndarray, change: np.ndarray) -> None:
-            weights -= np.clip(change, -MOVE, MOVE)
+            weights -= np.minimum(np.maximum(change, -MOVE), MOVE)
 
         def error(z: np.ndarray, which: np.ndarray) -> np.ndarray:
             z -= z.max(1, keepdims=True)
@@ -181,10 +181,10 @@ class MaskedModel:
             move(self.member_bias[k], e.sum(0))
         back *= scale * (1 - h * h)
         move(self.bias, back.sum(0))
+        columns = back.T.astype(float)
         for j, ids in enumerate(around):
-            change = np.zeros_like(self.context[j])
-            np.add.at(change, ids[order], back)
-            move(self.context[j], change)
+            at = ids[order]
+            move(self.context[j], np.stack([np.bincount(at, x, self.size + 1) for x in columns], 1).astype(np.float32))
 
 
 def _padded(texts: list[bytes | None], known: WordIds, size: int, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
