@@ -28,8 +28,9 @@ from .common import process_cache
 WINDOW = 4096
 END_ID = 2
 POOL_WINDOWS = 64
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 1_500_000
+#: Words whose ids a worker remembers, and bytes of them (a text without spaces is one word).
+CACHE_WORDS = 1_000_000
+CACHE_BYTES = 32 << 20
 
 
 class WordTokenizer:
@@ -54,11 +55,12 @@ class WordTokenizer:
         self.flat = np.zeros(1 << 20, np.uint32)
         self.starts = np.zeros(1 << 18, np.int64)
         self.lengths = np.zeros(1 << 18, np.int64)
-        self.used = 0
+        self.used = self.bytes = 0
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) > CACHE_WORDS:
+        if self.known and (len(self.known) > CACHE_WORDS or self.bytes > CACHE_BYTES):
             raise OverflowError
+        self.bytes += sum(map(len, words))
         encoded = [e.ids for e in self.model.encode_batch([w.decode() for w in words], add_special_tokens=False)]
         n, total = len(self.known), sum(map(len, encoded))
         while self.used + total > len(self.flat):
@@ -76,7 +78,8 @@ class WordTokenizer:
         """The ids of a text as the tokenizer gives them for the whole of it."""
         if not text:
             return np.zeros(0, np.uint32)
-        if b"\xcc" not in text and b"<|" not in text:
+        # combining marks, U+0300 to U+036F, begin with one of two bytes
+        if b"\xcc" not in text and b"\xcd" not in text and b"<|" not in text:
             text = process_cache("after_letter", _after_letter).sub(rb" \1", text.lower())
         words = text.split()
         known = self.known
