@@ -12,6 +12,8 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,40 +61,67 @@ class PartVisitor:
     PAGE_TOKENS = 700
 
     def __init__(self):
-        self.text: list[str] = []
+        self.pieces: list[tuple[bool, str]] = []
         self.attachments: list[dict] = []
 
-    def visit(self, part: dict) -> None:
-        kind = part.get("type") or "text"
-        handler = getattr(self, f"visit_{kind}", None)
+    def visit(self, part) -> None:
+        """A part of an unknown type, and one that is no object, is the text of its JSON."""
+        kind = (part.get("type") or "text") if isinstance(part, dict) else None
+        handler = getattr(self, f"visit_{kind}", None) if isinstance(kind, str) else None
         if handler is None:
-            raise ValueError(f"unknown part type {kind!r}")
-        handler(part)
+            self._text(part if isinstance(part, str) else json.dumps(part))
+        else:
+            handler(part)
 
     def visit_text(self, part: dict) -> None:
-        self.text.append(escape(part.get("text") or ""))
+        text = part.get("text")
+        self._text(text if isinstance(text, str) else "" if text is None else json.dumps(text))
 
     def visit_image(self, part: dict) -> None:
-        tiles = -(-int(part.get("width") or 1) // self.TILE) * -(-int(part.get("height") or 1) // self.TILE)
-        self._placeholder("image", part, tiles * self.TILE_TOKENS + 1)
+        width, height = (-(-int(_number(part.get(side), 1)) // self.TILE) for side in ("width", "height"))
+        self._placeholder("image", part, width * height * self.TILE_TOKENS + 1)
 
     def visit_audio(self, part: dict) -> None:
-        self._placeholder("audio", part, max(1, round(float(part.get("seconds") or 0) / self.AUDIO_SECONDS)) * self.AUDIO_TOKENS)
+        self._placeholder("audio", part, max(1, round(_number(part.get("seconds"), 0) / self.AUDIO_SECONDS)) * self.AUDIO_TOKENS)
 
     def visit_document(self, part: dict) -> None:
-        self._placeholder("document", part, max(1, int(part.get("pages") or 1)) * self.PAGE_TOKENS)
+        self._placeholder("document", part, max(1, int(_number(part.get("pages"), 1))) * self.PAGE_TOKENS)
+
+    def _text(self, text: str) -> None:
+        self.pieces.append((True, text))
 
     def _placeholder(self, kind: str, part: dict, tokens: int) -> None:
         self.attachments.append({"type": kind, "order": len(self.attachments), "ref": part.get("ref"), "tokens": tokens})
-        self.text.append(f"<|{kind}|>")
+        self.pieces.append((False, f"<|{kind}|>"))
+
+    def flat(self) -> str:
+        """The texts, joined before they are escaped so that no control string comes of two of them, and the placeholders."""
+        return "".join(escape("".join(t for _, t in run)) if text else "".join(t for _, t in run) for text, run in groupby(self.pieces, itemgetter(0)))
+
+
+def _number(value, default: float) -> float:
+    """A finite number of at least 0 and less than a billion, or else the default."""
+    try:
+        found = float(value)
+    except (TypeError, ValueError, OverflowError):
+        return default
+    return found if 0 < found < 1e9 else default
 
 
 def flatten_parts(content: str | None) -> tuple[str, list[dict]]:
-    """Escaped text with placeholders, and attachments, of a JSON list of parts; null is empty."""
+    """Escaped text with placeholders, and attachments, of a JSON list of parts; null is empty.
+
+    An object is the one part; content that is no JSON, or another value, is text as it stands.
+    """
     visitor = PartVisitor()
-    for part in json.loads(content) if content else []:
+    try:
+        parts = json.loads(content) if content else []
+    except (ValueError, RecursionError):
+        parts = [content]
+    for part in parts if isinstance(parts, list) else [parts if isinstance(parts, dict) else content]:
         visitor.visit(part)
-    return "".join(visitor.text), visitor.attachments
+    # JSON can name halves of surrogate pairs, which no text can hold
+    return visitor.flat().encode("utf-16", "surrogatepass").decode("utf-16", "replace"), visitor.attachments
 
 
 def format_turn(role: str, escaped: str, first: bool) -> tuple[str, int, int]:
@@ -139,7 +168,8 @@ def format_turns(conversations: DataFrame, id_col: str = "conv_id", turn_col: st
     """``conv, turn, role, escaped, attachments, tokens`` of every row, each flattened on its own.
 
     ``content_col`` holds JSON lists of parts; without it the text is the one
-    part. Null texts are empty and null roles are ``""``. ``attachments`` is
+    part. Odd content has a result too: see ``flatten_parts``, ``PartVisitor.visit``
+    and, for sizes that are no numbers, ``_number``. Null texts are empty and null roles are ``""``. ``attachments`` is
     a JSON list in the order of the placeholders; ``tokens`` counts what they
     expand to.
     """
@@ -195,13 +225,14 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 def read_back(formatted: DataFrame) -> DataFrame:
     """``conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``, from segments and masks alone.
 
-    Digests are fed row by row in order, so no conversation is held whole.
+    Segments are joined and split by the marks of turns, whatever the rows
+    were. Digests are fed in order, so no conversation is held whole.
     """
     kind = formatted.schema["conv"].dataType.simpleString()
     ordered = formatted.select("conv", "n", "segment", "loss_start", "loss_end").repartition("conv").sortWithinPartitions("conv", "n").withColumn("conv", F.col("conv").cast("string"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = None
+        state, waiting = None, ""
 
         def row(s: list) -> tuple:
             return s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5]
@@ -212,11 +243,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 if n == 0:
                     if state:
                         out.append(row(state))
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = read_turn(segment)
+                    state, waiting = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0], ""
+                waiting += segment
+                for turn in split_turns(waiting):
+                    role, text = read_turn(turn)
+                    state[1] += 1
+                    state[2].update(f"{role}\n{text}\n".encode())
+                    waiting = waiting[len(turn) :]
                 lost = unescape(segment[a:b])
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode())
                 state[3] += len(lost)
                 state[4].update(lost.encode())
                 state[5] += len(segment)
