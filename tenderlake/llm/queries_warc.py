@@ -14,7 +14,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, _ = warc.write_archives(pages)
     kind = pages.schema["page_id"].dataType
     return warc.read_archives(spark, path).select(
-        F.nullif(F.col("page"), F.lit("")).cast(kind).alias("page_id"),
+        F.col("page").cast(kind).alias("page_id"),
         "payload_bytes",
         "payload_digest",
         "record_type",

@@ -30,25 +30,28 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(key: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{key}')}>"
+def record_id(key: str | None, digest: str, url: str | None = None) -> str:
+    """The same for the same page and payload; a page without an id goes by its address."""
+    name = f"page:{key}:{digest}" if key is not None else f"address:{url}:{digest}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
-def build_record(key: str, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+def build_record(key: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """A response record, or a revisit without a payload where ``refers_to`` names another page."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = head if refers_to is not None else head + payload
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", record_id(key)),
+        ("WARC-Record-ID", record_id(key, digest, url)),
         ("WARC-Target-URI", " ".join((url or "about:blank").split())),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
-        ("WARC-Page-ID", key),
         ("WARC-Payload-Length", str(len(payload))),
     ]
+    if key is not None:
+        fields.append(("WARC-Page-ID", key))
     if refers_to is not None:
-        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("WARC-Refers-To-Page-ID", refers_to)]
+        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("WARC-Refers-To-Page-ID", refers_to)]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     lines = "".join(f"{k}: {v}\r\n" for k, v in fields)
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -119,14 +122,18 @@ def _payload(html: Column) -> Column:
     return F.encode(F.coalesce(html, F.lit("")), "UTF-8")
 
 
-def first_pages(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """``page, first`` of the pages whose payload of at least ``min_bytes`` a page with a smaller id has too."""
-    small = materialise(
-        pages.filter("page IS NOT NULL").select("page", F.sha1(_payload(F.col("html"))).alias("sha"), F.octet_length(_payload(F.col("html"))).alias("n")),
-        "payload-digests",
+def with_first(pages: DataFrame, min_bytes: int) -> DataFrame:
+    """``pages`` with ``first``: the least id with the same payload of at least ``min_bytes``, where the page isn't that itself."""
+    sums = F.sha1(_payload(F.col("html"))).alias("sha"), F.octet_length(_payload(F.col("html"))).alias("n")
+    small = materialise(pages.filter("page IS NOT NULL").select("page", *sums), "payload-digests")
+    # written before they are joined: adaptive execution can then split the pages of a payload that many share
+    firsts = materialise(
+        small.filter(F.col("n") >= min_bytes).groupBy("sha", "n").agg(F.min("page").alias("first"), F.count("*").alias("copies")), "first-pages"
     )
-    firsts = small.filter(F.col("n") >= min_bytes).groupBy("sha", "n").agg(F.min("page").alias("first"), F.count("*").alias("copies"))
-    return small.join(firsts.filter("copies > 1").drop("copies"), ["sha", "n"]).filter("page > first").select("page", "first").distinct()
+    later = small.join(firsts.filter("copies > 1").drop("copies"), ["sha", "n"]).filter("page > first").select("page", "first", "sha").distinct()
+    named = pages.filter("page IS NOT NULL").withColumn("sha", sums[0]).join(later, ["page", "sha"], "left")
+    unnamed = pages.filter("page IS NULL").select("*", *sums).join(firsts, ["sha", "n"], "left")
+    return named.drop("sha").unionByName(unnamed.drop("sha", "n", "copies"))
 
 
 def write_archives(
@@ -138,31 +145,30 @@ def write_archives(
     frame_bytes: int = FRAME_BYTES,
     bundle_bytes: int = BUNDLE_BYTES,
 ) -> tuple[str, DataFrame]:
-    """Writes all pages; returns the path of the bundles and the index ``page, bundle, frame, offset``.
+    """Writes all pages; returns the path of the bundles and the index ``record, page, bundle, frame, offset``.
 
     The path is a Parquet table ``bundle, data`` of whole bundles, so that
     any store that Spark writes will do and a task that is run again leaves
     no second copy; ``export_bundle`` gives one as a file. Null html is an
     empty payload. Repeated ids with equal payloads are written each, as
-    what the first of them is. Other columns are not read.
+    what the first of them is, and share a record identifier. A page without
+    an id is a revisit of any page with its payload. Other columns are not read.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    revisits = first_pages(rows, min_bytes)
     kind = rows.schema["page"].dataType.simpleString()
-    to_write = rows.join(revisits, "page", "left").select(F.col("page").cast("string").alias("page"), "url", _payload(F.col("html")).alias("payload"), F.col("first").cast("string").alias("first"))
+    to_write = with_first(rows, min_bytes).select(F.col("page").cast("string").alias("page"), "url", _payload(F.col("html")).alias("payload"), F.col("first").cast("string").alias("first"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def closed() -> pd.DataFrame:
             data = writer.close()
-            return pd.DataFrame({"bundle": [hashlib.sha1(data).hexdigest()], "data": [data], "pages": [[p for p, _, _ in places]], "frames": [[f for _, f, _ in places]], "offsets": [[o for _, _, o in places]]})
+            return pd.DataFrame({"bundle": [hashlib.sha1(data).hexdigest()], "data": [data], "records": [[r for r, _, _, _ in places]], "pages": [[p for _, p, _, _ in places]], "frames": [[f for _, _, f, _ in places]], "offsets": [[o for _, _, _, o in places]]})
 
         writer, places = BundleWriter(frame_bytes), []
         for rows in frames:
             for page, url, payload, first in rows.itertuples(index=False):
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                page, first = page or "", first or None
-                places.append((page, *writer.add(build_record(page, url, payload, digest, first))))
+                places.append((record_id(page, digest, url), page, *writer.add(build_record(page, url, payload, digest, first))))
                 if len(writer.done) >= bundle_bytes:
                     yield closed()
                     writer, places = BundleWriter(frame_bytes), []
@@ -170,12 +176,12 @@ def write_archives(
             yield closed()
 
     path = new_path(spark, "warc")
-    schema = "bundle string, data binary, pages array<string>, frames array<int>, offsets array<long>"
+    schema = "bundle string, data binary, records array<string>, pages array<string>, frames array<int>, offsets array<long>"
     to_write.mapInPandas(run, schema).write.parquet(path)
     index = (
         spark.read.parquet(path)
-        .select("bundle", F.explode(F.arrays_zip("pages", "frames", "offsets")).alias("x"))
-        .select(F.nullif(F.col("x.pages"), F.lit("")).cast(kind).alias("page"), "bundle", F.col("x.frames").alias("frame"), F.col("x.offsets").alias("offset"))
+        .select("bundle", F.explode(F.arrays_zip("records", "pages", "frames", "offsets")).alias("x"))
+        .select(F.col("x.records").alias("record"), F.col("x.pages").cast(kind).alias("page"), "bundle", F.col("x.frames").alias("frame"), F.col("x.offsets").alias("offset"))
     )
     return path, index
 
@@ -183,8 +189,9 @@ def write_archives(
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Every record: ``page, record_type, payload_bytes, payload_digest, refers_to, bundle, frame, offset, payload_ok``.
 
-    ``payload_ok`` says whether a response's payload has the digest and the
-    length that its headers state; it is true for revisits.
+    Length and digest of a response are those of the payload that was read;
+    ``payload_ok`` says whether its headers state the same. Revisits have
+    theirs from the headers.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,8 +205,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         payload, kind = block[block.index(b"\r\n\r\n") + 4 :], headers["WARC-Type"]
                         digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                         length = int(headers["WARC-Payload-Length"])
-                        ok = kind == "revisit" or (len(payload) == length and base64.b32encode(hashlib.sha1(payload).digest()).decode() == digest)
-                        out.append((headers["WARC-Page-ID"], kind, length, digest, headers.get("WARC-Refers-To-Page-ID"), bundle, n, at, ok))
+                        ok = True
+                        if kind != "revisit":
+                            stated, length, digest = (length, digest), len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                            ok = stated == (length, digest)
+                        out.append((headers.get("WARC-Page-ID"), kind, length, digest, headers.get("WARC-Refers-To-Page-ID"), bundle, n, at, ok))
                         at = end
                 yield pd.DataFrame(out, columns=["page", "record_type", "payload_bytes", "payload_digest", "refers_to", "bundle", "frame", "offset", "payload_ok"])
 

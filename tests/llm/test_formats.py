@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import json
 import zlib
 
 import numpy as np
@@ -21,7 +22,7 @@ WHOLE = Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(["It's", "don't.", "A.B, c", "é", "T̈", "<|endoftext|>", "<|ENDOFTEXT|>", "%%%.", "x,\n", " ", "İ", "Σς", "12.5", "\x1c", "…", "word.", "."]) | st.text(max_size=6)).map(" ".join))
+@given(st.lists(st.sampled_from(["It's", "don't.", "A.B, c", "é", "T̈", "<|endoftext|>", "<|ENDOFTEXT|>", "%%%.", "x,\n", " ", "İ", "Σς", "12.5", "\x1c", "…", "word.", "."]) | st.text(max_size=6) | st.text(st.characters(min_codepoint=0x300, max_codepoint=0x36F) | st.sampled_from("TaeIou"), max_size=6)).map(" ".join))
 def test_word_ids_are_those_of_the_whole_text(text):
     model = packing.WordTokenizer(PATH) if not hasattr(packing, "_test_model") else packing._test_model
     packing._test_model = model
@@ -32,6 +33,15 @@ def test_word_ids_are_those_of_the_whole_text(text):
     assert model.ids(data).tolist() == WHOLE.encode(text, add_special_tokens=False).ids
 
 
+def test_word_cache_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 1_000)
+    model = packing.WordTokenizer(PATH)
+    for i in range(50):
+        text = f"{'長い' * 40}{i} T\u0344 x"
+        assert model.ids(text.encode()).tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+        assert model.bytes < 2_000
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 5), max_size=8), st.integers(1, 120))
 def test_best_fill_is_best(counts, capacity):
@@ -102,9 +112,36 @@ def test_typed_parts(spark):
     assert [r["tokens"] for r in chat.format_turns(df, content_col="content").orderBy("turn").collect()] == [2491, 0]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["</", "s>", "[IN", "ST]", "<|tu", "rn|>", "\\", "<", "x"]) | st.none()))
+def test_parts_make_no_control_string_together(parts):
+    content = json.dumps([{"type": "image", "ref": 1} if p is None else {"type": "text", "text": p} for p in parts])
+    escaped, _ = chat.flatten_parts(content)
+    turn = chat.format_turn("user", escaped, True)[0]
+    assert chat.split_turns(turn) == [turn]
+    runs = escaped.split("<|image|>")
+    assert not any(c in r for c in chat.CONTROLS for r in runs)
+    assert "".join(chat.unescape(r) for r in runs) == "".join(p for p in parts if p)
+
+
+def test_odd_content_has_a_result(spark):
+    odd = {
+        "not json": "not json", "7": "7", '"a"': '"a"', "null": "null", '{"type": "text", "text": "b"}': "b", '[1, null, "c"]': "1nullc",
+        '[{"type": "video", "x": 1}]': '{"type": "video", "x": 1}', '[{"type": ["text"]}]': '{"type": ["text"]}', '[{"text": 5}]': "5",
+        '[{"type": "text", "text": "\\ud800"}]': "\ufffd", "[" * 100_000: "[" * 100_000,
+    }
+    for content, text in odd.items():
+        assert chat.unescape(chat.flatten_parts(content)[0]) == text
+    sizes = [("width", "wide"), ("height", None), ("width", "NaN"), ("width", 1e300), ("height", -4), ("seconds", "x"), ("pages", [])]
+    assert [chat.flatten_parts(json.dumps([{"type": t, k: v}]))[1][0]["tokens"] for (k, v), t in zip(sizes, ["image"] * 5 + ["audio", "document"], strict=True)] == [171] * 5 + [1, 700]
+    df = spark.createDataFrame([(1, i, "user", c) for i, c in enumerate(odd)], "conv_id long, turn long, role string, content string").selectExpr("*", "'' AS text")
+    got = chat.read_back(chat.format_conversations(chat.format_turns(df, content_col="content"))).collect()
+    assert [(r["n_turns"], r["turns_sha256"]) for r in got] == [(len(odd), hashlib.sha256("".join(f"user\n{t}\n" for t in odd.values()).encode()).hexdigest())]
+
+
 def test_warc_round_trip(spark):
     html = {1: "<p>a</p>", 2: "<p>a</p>", 3: "", 4: None, 5: "x" * 700_000, 6: "\r\n\r\nWARC/1.1\r\n", 0: "<p>a</p>", 7: "é"}
-    rows = [(i, f"http://x/{i} y\r\n", h, "p", "q") for i, h in html.items()] + [(8, None, "<p>a</p>", None, None)] * 2 + [(None, "u", "n", "", "")]
+    rows = [(i, f"http://x/{i} y\r\n", h, "p", "q") for i, h in html.items()] + [(8, None, "<p>a</p>", None, None)] * 2 + [(None, "u", "n", "", ""), (None, "v", "<p>a</p>", "", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, page string, first string")
     path, index = warc.write_archives(df)
     got = warc.read_archives(spark, path).collect()
@@ -113,7 +150,9 @@ def test_warc_round_trip(spark):
     for i, h in html.items():
         data = (h or "").encode()
         assert (by[str(i)]["payload_bytes"], by[str(i)]["payload_digest"]) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
-    assert {i: by[i]["refers_to"] for i in by if by[i]["record_type"] == "revisit"} == {"1": "0", "2": "0", "8": "0", "4": "3"}
+    assert {i: by[i]["refers_to"] for i in by if i and by[i]["record_type"] == "revisit"} == {"1": "0", "2": "0", "8": "0", "4": "3"}
+    assert sorted((r["record_type"], r["refers_to"] or "") for r in got if r["page"] is None) == [("response", ""), ("revisit", "0")]
+    assert index.select("record").distinct().count() == len(rows) - 1
     bundles = {r["bundle"]: bytes(r["data"]) for r in spark.read.parquet(path).collect()}
     for r in index.filter("page IS NOT NULL").collect():
         assert warc.record_at(bundles[r["bundle"]], r["frame"], r["offset"])[0]["WARC-Page-ID"] == str(r["page"])
