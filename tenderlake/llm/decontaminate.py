@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, let, materialise
+from .common import UPPER, let, materialise, small_side
 
 #: Characters of a word, after A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -168,6 +168,8 @@ def overlaps(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` without any benchmark window, with all their columns."""
-    bad = overlaps(docs, items, id_col, text_col, **how).filter("n_hit > 0").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
+    bad = materialise(
+        overlaps(docs, items, id_col, text_col, **how).filter("n_hit > 0").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")), "contaminated"
+    )
     marked = docs.withColumn("__h", F.xxhash64(F.col(text_col).cast("string")))
-    return marked.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left_anti").drop("__h")
+    return marked.join(small_side(bad), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left_anti").drop("__h")

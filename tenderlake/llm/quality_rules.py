@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, let, materialise
+from .common import SPACE_CLASS, SPACES, let, materialise, small_side
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -162,6 +162,7 @@ def quality_verdicts(docs: DataFrame, **columns: str) -> DataFrame:
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
     """The rows of ``docs`` that ``quality_verdicts`` keeps, with all their columns."""
     verdicts = quality_verdicts(docs, id_col=id_col, text_col=text_col, **columns)
-    good = verdicts.filter("kept").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    # equal rows have equal verdicts, so the rows are left where they are and only the rejected are named
+    bad = materialise(verdicts.filter("NOT kept").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "rejected")
     marked = docs.withColumn("__h", F.xxhash64(F.col(text_col).cast("string")))
-    return marked.join(good, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left_semi").drop("__h")
+    return marked.join(small_side(bad), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left_anti").drop("__h")

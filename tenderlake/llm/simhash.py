@@ -14,7 +14,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, small_side
@@ -151,7 +151,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Of repeated rows with that id one stays; rows whose id is null all stay.
     """
-    found = near_duplicates(docs, id_col, text_col, **how).filter("id = component").select(F.col("id").alias(id_col)).distinct()
-    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
-    kept = docs.join(found, id_col, "left_semi").withColumn("__nth", F.row_number().over(one)).filter("__nth = 1").drop("__nth")
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    found = materialise(near_duplicates(docs, id_col, text_col, **how).filter("id IS NOT NULL"), "components")
+    gone = materialise(found.filter("id != component").select(F.col("id").alias("__id")).distinct(), "near-copies")
+    # rows are left where they are; only those whose id comes again are moved
+    kept = docs.join(small_side(gone), F.col(id_col) == F.col("__id"), "left_anti")
+    again = materialise(found.filter("id = component").groupBy(F.col("id").alias("__id")).count().filter("count > 1").select("__id"), "repeated-ids")
+    if again.isEmpty():
+        return kept
+    again = small_side(again)
+    several = kept.join(again, F.col(id_col) == F.col("__id"), "left_semi")
+    least = F.min_by(F.struct(*docs.columns), F.xxhash64(text_col, *docs.columns))
+    one = several.groupBy(F.col(id_col).alias("__id")).agg(least.alias("__row")).select("__row.*")
+    return kept.join(again, F.col(id_col) == F.col("__id"), "left_anti").unionByName(one)
