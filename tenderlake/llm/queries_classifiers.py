@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_classifier, toxicity
-from .common import held_out
+from .common import held_out, spread
 
 
 def _contract(found: DataFrame, *more: str) -> DataFrame:
@@ -15,13 +15,13 @@ def _contract(found: DataFrame, *more: str) -> DataFrame:
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in ("documents", "labels"))
     return _contract(quality_classifier.score(docs, labels, held_out(F.col("id"), 3, 1)))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, and the examples nearest to it."""
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in ("documents", "labels"))
     return _contract(toxicity.score(docs, labels, held_out(F.col("id"), 5, 0)), "neighbours", "cosines")
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate
+from .common import spread
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and items of the benchmark in every document."""
-    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs, items = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.overlaps(docs, items)
     return found.select(
         F.col("id").alias("doc_id"),

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_rules as q
+from .common import spread
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and adaptive verdict of every document."""
-    found = q.quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = q.quality_verdicts(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return found.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

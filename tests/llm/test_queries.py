@@ -1,5 +1,10 @@
 """The queries that have SQL against it, and the pipeline on small rows."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import corpus_pipeline
@@ -40,3 +45,22 @@ def test_pipeline_stages_on_odd_rows(spark):
     assert ids["packing"] == ids["benchmark_decontamination"]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, table(spark, []), DATA).count() == 0
+
+
+def test_queries_run_where_workers_lack_the_package(tmp_path):
+    """The session's folder and PYTHONPATH don't have the package, so Python workers can't import it."""
+    root = Path(__file__).resolve().parents[2]
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__
+for name, query in __spark_entry__.queries().items():
+    if name == "pipeline" or name.startswith("op"):
+        query(spark, {DATA!r}).write.format("noop").mode("overwrite").save()
+        print("ran", name, flush=True)
+"""
+    keep = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=keep, capture_output=True, text=True, timeout=900)
+    assert done.returncode == 0 and done.stdout.count("ran ") == 11, done.stderr[-3000:]
