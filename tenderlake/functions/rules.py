@@ -70,11 +70,17 @@ PROCUREMENT = RuleSet(
 )
 
 
+def may_hold(text: Column, term: str) -> Column:
+    """False only where a term can't occur: its first word isn't in the lower-cased text. Cheaper than the pattern by far."""
+    word = term.split()[0] if term.strip() else ""
+    return F.lower(text).contains(word) if word.isascii() and word.isalnum() and word == word.lower() else F.lit(True)
+
+
 def terms_found(text: Column, terms: tuple[str, ...]) -> Column:
     """The terms that occur in ``text``, in the order of the list."""
     if not terms:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*(F.when(text.rlike(term_pattern(t)), F.lit(t)) for t in terms)))
+    return F.array_compact(F.array(*(F.when(may_hold(text, t) & text.rlike(term_pattern(t)), F.lit(t)) for t in terms)))
 
 
 def stripped(text: Column, phrases: tuple[str, ...]) -> Column:

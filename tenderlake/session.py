@@ -14,6 +14,16 @@ def build_session(name: str = "tenderlake", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Tables of long texts, whose rows cost much more than reading them.
+LONG_TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables under ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the Parquet tables under ``sf_dir``.
+
+    Long texts that are read in fewer partitions than there are cores (a
+    single row group is one) are dealt over the cores.
+    """
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if name in LONG_TEXTS and found.rdd.getNumPartitions() < cores else found
