@@ -6,6 +6,7 @@ engine; a boundary is anything but an ASCII letter, digit or underscore.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +27,12 @@ def term_pattern(term: str) -> str:
 
 @dataclass(frozen=True)
 class RuleSet:
-    """What a classifier knows. Families are ordered (label, pattern) pairs; the first that matches gives the label."""
+    """What a classifier knows. Families are ordered (label, pattern) pairs; the first that matches gives the label.
+
+    Three product terms have a role of their own: the one that a subscription
+    condition needs, the generic one that proves nothing alone, and the one
+    that events name without buying it.
+    """
 
     product_terms: tuple[str, ...]
     goods_terms: tuple[str, ...]
@@ -37,6 +43,9 @@ class RuleSet:
     physical: tuple[tuple[str, str], ...] = ()
     categories: tuple[tuple[str, str], ...] = ()
     context: dict[str, str] = field(default_factory=dict)
+    subscription_term: str = ""
+    generic_term: str = ""
+    event_term: str = ""
 
     def __hash__(self) -> int:
         return id(self)
@@ -48,7 +57,7 @@ class RuleSet:
 
 #: Rules for procurement notices in English, written for this engine.
 PROCUREMENT = RuleSet(
-    product_terms=("software", "license key", "antivirus", "database system", "web application", "erp", "saas", "subscription", "information system"),
+    product_terms=("software", "license key", "antivirus", "database system", "web application", "erp", "saas", "subscription", "information system", "system development"),
     goods_terms=("laptop", "printer", "server rack", "router", "keyboard", "toner"),
     weak_terms=("subscription", "information system"),
     incidental=(r"software[- ]based\s+training", r"compatible\s+with\s+any\s+software", r"softwares?\s+not\s+included"),
@@ -66,9 +75,20 @@ PROCUREMENT = RuleSet(
         "subscription_context": r"(annual|yearly|user)\s+subscription",
         "license": r"licenses?",
         "license_object": r"(per\s+user|activation|edition)",
+        "hardware_bundle": r"laptops?|desktops?|servers?|computers?",
+        "event_purchase": r"software\s+(subscription|licenses?)",
+        "purchase_unit": r"licenses?|subscriptions?|seats?",
     },
+    subscription_term="subscription",
+    generic_term="software",
+    event_term="system development",
 )
 
+#: Names of the context patterns that conditions read.
+CONTEXT = (
+    "telecom", "connectivity", "event", "consulting", "purchase", "dedicated", "subscription_context", "license", "license_object", "hardware_bundle", "event_purchase", "purchase_unit",
+)
+
 
 def may_hold(text: Column, term: str) -> Column:
     """False only where a term can't occur: its first word isn't in the lower-cased text. Cheaper than the pattern by far."""
@@ -76,11 +96,16 @@ def may_hold(text: Column, term: str) -> Column:
     return F.lower(text).contains(word) if word.isascii() and word.isalnum() and word == word.lower() else F.lit(True)
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """Whether ``pattern`` occurs between boundaries. A look without them comes first; it is cheaper and mostly says no."""
+    return text.rlike(f"(?i)(?:{pattern})") & text.rlike(bounded(pattern))
+
+
 def terms_found(text: Column, terms: tuple[str, ...]) -> Column:
     """The terms that occur in ``text``, in the order of the list."""
     if not terms:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*(F.when(may_hold(text, t) & text.rlike(term_pattern(t)), F.lit(t)) for t in terms)))
+    return F.array_compact(F.array(*(F.when(may_hold(text, t) & matches(text, r"\s+".join(t.split()) + "s?"), F.lit(t)) for t in terms)))
 
 
 def stripped(text: Column, phrases: tuple[str, ...]) -> Column:
@@ -94,34 +119,43 @@ def first_label(text: Column, family: tuple[tuple[str, str], ...]) -> Column:
     """The label of the first pattern of a family that occurs."""
     if not family:
         return F.lit(None).cast("string")
-    return F.coalesce(*(F.when(text.rlike(bounded(p)), F.lit(label)) for label, p in family))
+    return F.coalesce(*(F.when(matches(text, p), F.lit(label)) for label, p in family))
 
 
 def has(text: Column, rules: RuleSet, name: str) -> Column:
     """Whether a context pattern occurs; false where the rules have none."""
     pattern = rules.context.get(name)
-    return text.rlike(bounded(pattern)) if pattern else F.lit(False)
+    return matches(text, pattern) if pattern else F.lit(False)
 
 
-def context_flags(text: Column, rules: RuleSet, products: Column, goods: Column) -> dict[str, Column]:
-    """T4 and T5: named conditions on a stripped text and on the terms found in it."""
+def context_flags(rules: RuleSet, products: Column, goods: Column, hit: Callable[[str], Column]) -> dict[str, Column]:
+    """T4 and T5: named conditions on the terms found in a stripped text and on its context patterns, ``hit(name)``."""
     weak = F.array(*map(F.lit, rules.weak_terms)) if rules.weak_terms else F.array().cast("array<string>")
     any_product, any_goods = F.size(products) > 0, F.size(goods) > 0
-    strong = F.size(F.array_except(products, weak)) > 0
+    strong_terms = F.array_except(products, weak)
+    strong = F.size(strong_terms) > 0
+    only = lambda term: ~F.exists(strong_terms, lambda t: t != term)
+    weak_subscription = any_product & ~strong & F.array_contains(products, rules.subscription_term)
+    dedicated = hit("dedicated")
+    direct = hit("purchase") | (dedicated & hit("purchase_unit"))
+    license_object = hit("license") & hit("license_object") & ~hit("hardware_bundle")
+    in_context = weak_subscription & hit("subscription_context")
     return {
         "any_product": any_product,
         "any_goods": any_goods,
         "strong": strong,
         "weak_only": any_product & ~strong,
-        "telecom": has(text, rules, "telecom") & ~strong,
-        "connectivity": has(text, rules, "connectivity") & ~has(text, rules, "dedicated"),
-        "event": has(text, rules, "event") & ~has(text, rules, "dedicated") & ~has(text, rules, "purchase"),
-        "consulting": has(text, rules, "consulting") & ~has(text, rules, "purchase"),
-        "consulting_mixed": has(text, rules, "consulting") & has(text, rules, "purchase"),
-        "purchase": has(text, rules, "purchase"),
-        "dedicated": has(text, rules, "dedicated"),
-        "subscription_context": has(text, rules, "subscription_context"),
-        "license_object": has(text, rules, "license") & has(text, rules, "license_object"),
+        "generic_at_most": only(rules.generic_term),
+        "telecom": weak_subscription & hit("telecom"),
+        "connectivity": hit("connectivity") & ~dedicated & only(rules.generic_term),
+        "event": hit("event") & ~dedicated & ~hit("event_purchase") & strong & only(rules.event_term),
+        "consulting": hit("consulting") & ~direct,
+        "consulting_mixed": hit("consulting") & direct,
+        "purchase": direct,
+        "dedicated": dedicated,
+        "subscription_context": in_context,
+        "license_object": license_object,
+        "generic_alone": strong & only(rules.generic_term) & ~dedicated & ~direct & ~license_object & ~in_context,
     }
 
 
@@ -132,15 +166,17 @@ def load_rules(table: DataFrame) -> RuleSet:
     pattern raises. Order is by step, then label.
     """
     rows = table.orderBy("rule_set", "step", "label").collect()
-    known = {"product", "goods", "weak", "incidental", "excluded", "services", "physical", "categories", "context"}
+    known = {"product", "goods", "weak", "incidental", "excluded", "services", "physical", "categories", "context", "subscription", "generic", "event"}
     if bad := [r for r in rows if r["rule_set"] not in known or not r["pattern"]]:
         raise ValueError(f"bad rules: {bad[:3]}")
     take = lambda name: [r for r in rows if r["rule_set"] == name]
     plain = lambda name: tuple(r["pattern"] for r in take(name))
     pairs = lambda name: tuple((r["label"], r["pattern"]) for r in take(name))
+    one = lambda name: next(iter(plain(name)), "")
     return RuleSet(
         plain("product"), plain("goods"), plain("weak"), plain("incidental"), pairs("excluded"),
         pairs("services"), pairs("physical"), pairs("categories"), dict(pairs("context")),
+        one("subscription"), one("generic"), one("event"),
     )
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import RuleSet, context_flags, excerpt, first_label, stripped, terms_found
+from ..functions.rules import CONTEXT, RuleSet, context_flags, excerpt, first_label, has, matches, stripped, terms_found
+from ..functions.text import bind
 
 #: Outcome of a decision: relevant, needs review, confidence, category.
 PRODUCT = (True, False, 0.9, "product")
-NOT_RELEVANT = (False, False, 0.75, "not relevant")
+NOT_RELEVANT = (False, False, 0.9, "not relevant")
 REVIEW = (False, True, 0.4, "unknown")
 GOODS = (False, False, 0.9, "goods")
 MIXED = (False, True, 0.5, "mixed")
@@ -28,14 +29,18 @@ def evidence(df: DataFrame, text_col: str, rules: RuleSet, prefix: str = "") ->
             f"{p}service": first_label(source, rules.services),
             f"{p}physical": first_label(source, rules.physical),
             f"{p}category_label": first_label(source, rules.categories),
+            **{f"{p}has_{name}": has(source, rules, name) for name in CONTEXT},
         }
     )
-    flags = context_flags(source, rules, F.col(f"{p}products"), F.col(f"{p}goods"))
+    flags = context_flags(rules, F.col(f"{p}products"), F.col(f"{p}goods"), lambda name: F.col(f"{p}has_{name}"))
     return out.withColumns({f"{p}is_{k}": v for k, v in flags.items()})
 
 
 def decision(prefix: str = "") -> Column:
-    """The first of 18 steps that applies, as ``struct(rule, is_relevant, needs_review, confidence, category)``."""
+    """The first step that applies, as ``struct(rule, is_relevant, needs_review, confidence, category)``.
+
+    A product found by one weak term alone has confidence 0.75.
+    """
     c = lambda name: F.col(f"{prefix}{name}")
     is_ = lambda name: c(f"is_{name}")
     category = c("category_label").isNotNull()
@@ -52,7 +57,7 @@ def decision(prefix: str = "") -> Column:
         ("physical", c("physical").isNotNull() & ~is_("strong"), NOT_RELEVANT),
         ("physical with product", c("physical").isNotNull(), REVIEW),
         ("category with product", category & (is_("dedicated") | is_("purchase")), REVIEW),
-        ("category", category & ~is_("strong"), NOT_RELEVANT),
+        ("category", category & is_("generic_at_most"), NOT_RELEVANT),
         ("category unclear", category, REVIEW),
         ("dedicated product", is_("dedicated") & only_goodsless, PRODUCT),
         ("weak term in context", is_("weak_only") & only_goodsless & is_("subscription_context"), PRODUCT),
@@ -62,8 +67,10 @@ def decision(prefix: str = "") -> Column:
         ("goods terms", is_("any_goods") & ~is_("any_product"), GOODS),
         ("both", is_("any_goods") & is_("any_product"), MIXED),
     ]
+    lone_weak = is_("weak_only") & (F.size(c("products")) == 1)
+    sure = lambda o: F.when(lone_weak, 0.75).otherwise(o[2]) if o is PRODUCT else F.lit(o[2])
     outcome = lambda rule, o: F.struct(
-        F.lit(rule).alias("rule"), F.lit(o[0]).alias("is_relevant"), F.lit(o[1]).alias("needs_review"), F.lit(o[2]).alias("confidence"), F.lit(o[3]).alias("category")
+        F.lit(rule).alias("rule"), F.lit(o[0]).alias("is_relevant"), F.lit(o[1]).alias("needs_review"), sure(o).alias("confidence"), F.lit(o[3]).alias("category")
     )
     chain = None
     for rule, condition, result in steps:
@@ -87,6 +94,42 @@ def reasons(rules: RuleSet, most: int = 4) -> Column:
     return F.array_compact(F.array(*quoted))
 
 
+#: What a rule says where it isn't explained by the terms it quotes; a label may follow.
+SENTENCES = {
+    "excluded product": "an excluded product",
+    "telecom": "a subscription to a connection",
+    "connectivity": "connection hardware, products only in passing",
+    "event": "an event that names a development",
+    "consulting": "a consulting engagement without a purchase",
+    "consulting with purchase": "a consulting engagement with a purchase",
+    "service": "a service",
+    "service with product": "a service, and products",
+    "physical": "physical goods",
+    "physical with product": "physical goods, and products",
+    "category with product": "a business category of other things, and a purchase",
+    "category": "a business category of other things",
+    "category unclear": "a business category of other things, and products",
+    "weak term": "a weak term without its context",
+    "no terms": "no known terms",
+}
+QUOTING = ("dedicated product", "weak term in context", "license", "product terms", "goods terms", "both")
+
+
+def explained(relevance: Column, rules: RuleSet) -> tuple[Column, Column]:
+    """``reasons`` and ``notes`` of a result, from the columns that ``classify(keep=True)`` leaves.
+
+    Rules that rest on terms quote them; the others say what was found. Notes
+    name the label of the family that matched, or the first three terms.
+    """
+    rule = relevance["rule"]
+    said = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
+    why = F.when(rule.isin(*QUOTING), reasons(rules)).otherwise(F.array(F.element_at(said, rule)))
+    family = F.when(rule == "excluded product", F.col("__e_excluded")).when(rule.startswith("service"), F.col("__e_service"))
+    family = family.when(rule.startswith("physical"), F.col("__e_physical")).when(rule.startswith("category"), F.col("__e_category_label"))
+    terms = F.when(relevance["is_relevant"] & (F.size("__e_products") > 0), F.array_join(F.slice("__e_products", 1, 3), ", "))
+    return why, F.array_compact(F.array(F.coalesce(family, terms)))
+
+
 def without_document(relevance: Column) -> Column:
     """The result of a title when the document can't be read: for review, with confidence 0.35."""
     forced = F.lit(True).alias("needs_review")
@@ -96,14 +139,13 @@ def without_document(relevance: Column) -> Column:
     )
 
 
-def structured_result(relevance: Column, products: Column, generic: str) -> Column:
-    """A product found in structured fields by the generic term alone is for review."""
-    alone = relevance["is_relevant"] & (F.size(products) == 1) & F.array_contains(products, generic)
+def structured_result(relevance: Column, prefix: str = "__e_") -> Column:
+    """A product found in structured fields by the generic term, with nothing bought by name, is for review."""
     review = F.struct(
         F.lit("generic term alone").alias("rule"), F.lit(False).alias("is_relevant"), F.lit(True).alias("needs_review"),
         F.lit(REVIEW[2]).alias("confidence"), F.lit(REVIEW[3]).alias("category"),
     )
-    return F.when(alone, review).otherwise(relevance)
+    return F.when(relevance["is_relevant"] & F.col(f"{prefix}is_generic_alone"), review).otherwise(relevance)
 
 
 def vetoed(document: Column, title: Column) -> Column:
@@ -133,16 +175,14 @@ def sentences(text: Column, newline_only: bool = False) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), pattern), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def item_focus(parts: Column, rules: RuleSet) -> Column:
-    """Sentences that name a service, a physical good or a goods term, and no strong product term."""
+def item_focus(parts: Column, rules: RuleSet, whole: Column | None = None) -> Column:
+    """Sentences that name a service, a physical good or a goods term; if there are none, or one of them
+    names a strong product term too, the whole text (all sentences, if it isn't given)."""
     either = "|".join([p for _, p in (*rules.services, *rules.physical)] + [r"\s+".join(t.split()) + "s?" for t in rules.goods_terms])
     strong = "|".join(r"\s+".join(t.split()) + "s?" for t in rules.strong_terms)
-    from ..functions.rules import bounded
-
-    named = F.exists(parts, lambda s: s.rlike(bounded(either)))
-    held = F.exists(parts, lambda s: s.rlike(bounded(either)) & s.rlike(bounded(strong)))
-    focused = F.filter(parts, lambda s: s.rlike(bounded(either)))
-    return F.array_join(F.when(named & ~held, focused).otherwise(parts), "\n")
+    everything = F.array_join(parts, "\n") if whole is None else whole
+    focused = F.filter(parts, lambda s: matches(s, either))
+    return bind(focused, lambda f: F.when((F.size(f) > 0) & ~F.exists(f, lambda s: matches(s, strong)), F.array_join(f, "\n")).otherwise(everything))
 
 
 def title_words(title: Column, stop_words: tuple[str, ...], shortest: int = 5) -> Column:
@@ -152,9 +192,19 @@ def title_words(title: Column, stop_words: tuple[str, ...], shortest: int = 5) -
     return F.array_distinct(F.filter(found, lambda w: (F.length(w) >= shortest) & ~F.array_contains(stops, w)))
 
 
+def word_tokens(text: Column) -> Column:
+    """The lower-case runs of letters, digits and underscores of a text: what stands between boundaries."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
+
+
+def with_plurals(words: Column) -> Column:
+    """Words and the same with an ``s``."""
+    return F.concat(words, F.transform(words, lambda w: F.concat(w, F.lit("s"))))
+
+
 def related_passages(parts: Column, words: Column) -> Column:
-    """Sentences that hold any of the words; all of them if there are no words."""
-    holds = F.filter(parts, lambda s: F.exists(words, lambda w: F.lower(s).contains(w)))
+    """Sentences that hold any of the words, or its plural, as a whole word; all of them if there are no words."""
+    holds = bind(with_plurals(words), lambda ws: F.filter(parts, lambda s: F.arrays_overlap(word_tokens(s), ws)))
     return F.when(F.size(words) == 0, parts).otherwise(holds)
 
 
@@ -163,40 +213,90 @@ def identifiers(text: Column, pattern: str) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.upper(x)))
 
 
-def best_sections(df: DataFrame, key: str, text_col: str, words_col: str, marker: str, id_group: int = 1) -> DataFrame:
-    """Per ``key`` the section that fits the title best: ``key, section_id, score, n_sections, uncertain, section``.
+def sections_of(text: Column, marker: str, id_group: int = 1) -> Column:
+    """Sections ``struct(id, text)`` of a text that is split before each ``marker``; chunks of one id are joined by lines, in order."""
+    named = F.filter(
+        F.transform(F.split(text, f"(?={marker})"), lambda c: F.struct(F.upper(F.regexp_extract(c, marker, id_group)).alias("id"), c.alias("text"))),
+        lambda x: x["id"] != "",
+    )
+
+    def joined(chunks: Column) -> Column:
+        of = lambda i: F.transform(F.filter(chunks, lambda x: x["id"] == i), lambda x: x["text"])
+        ids = F.array_distinct(F.transform(chunks, lambda x: x["id"]))
+        return F.transform(ids, lambda i: F.struct(i.alias("id"), F.array_join(of(i), "\n").alias("text")))
+
+    return bind(named, joined)
+
 
-    A text is split before each ``marker``; chunks of one id are joined in
-    order. A section scores the title words it holds that not all sections
-    hold. With fewer than two sections the whole text is the section. A best
-    score of 0, or a tie, is uncertain.
+def best_section(text: Column, words: Column, ids: Column, marker: str, id_group: int = 1) -> Column:
+    """The section that fits a title, as ``struct(section_id, score, n_sections, uncertain, section)``.
+
+    A section whose id is one of ``ids`` scores 100; any other scores the
+    title words (or their plurals) it holds that not all sections hold. With
+    fewer than two sections the whole text is the section. A best score of 0,
+    or a tie below 100, is uncertain and leaves no text. All of it is within
+    the row, so nothing is shuffled.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    chunks = df.select(key, words_col, F.posexplode(F.split(text, f"(?={marker})")).alias("pos", "chunk"))
-    named = chunks.withColumn("section_id", F.upper(F.regexp_extract("chunk", marker, id_group))).filter("section_id != ''")
-    sections = named.groupBy(key, "section_id").agg(
-        F.first(words_col).alias("words"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "chunk"))), lambda x: x["chunk"]), "").alias("section"),
-        F.min("pos").alias("pos"),
-    )
-    held = sections.withColumn("held", F.filter("words", lambda w: F.lower(F.col("section")).contains(w)))
-    whole = Window.partitionBy(key)
-    shared = held.withColumn("n_sections", F.count("*").over(whole)).withColumn("all_held", F.collect_list("held").over(whole))
-    everywhere = lambda w: F.forall("all_held", lambda h: F.array_contains(h, w))
-    scored = shared.withColumn("score", F.size(F.filter("held", lambda w: ~everywhere(w))))
-    order = Window.partitionBy(key).orderBy(F.desc("score"), "pos")
-    ranked = scored.withColumn("rn", F.row_number().over(order)).withColumn("next", F.lead("score").over(order)).filter("rn = 1")
-    best = ranked.select(key, "section_id", "score", "n_sections", ((F.col("score") <= 0) | (F.col("score") == F.coalesce("next", F.lit(-1)))).alias("uncertain"), "section")
-    out = df.select(key, text.alias("__whole")).join(best, key, "left")
-    few = F.coalesce(F.col("n_sections"), F.lit(0)) < 2
-    return out.select(
-        key,
-        F.when(~few, F.col("section_id")).alias("section_id"),
-        F.when(~few, F.col("score")).alias("score"),
-        F.coalesce("n_sections", F.lit(0)).alias("n_sections"),
-        F.when(few, F.lit(False)).otherwise(F.col("uncertain")).alias("uncertain"),
-        F.when(few, F.col("__whole")).otherwise(F.col("section")).alias("section"),
-    )
+
+    def held(words: Column, section: Column) -> Column:
+        return bind(word_tokens(section), lambda ts: F.filter(words, lambda w: F.array_contains(ts, w) | F.array_contains(ts, F.concat(w, F.lit("s")))))
+
+    def chosen(sections: Column, ranks: Column) -> Column:
+        best, second = F.get(ranks, F.lit(0)), F.get(ranks, F.lit(1))
+        unsure = (best["score"] <= 0) | (F.coalesce(second["score"], F.lit(-1)) == best["score"]) & (best["score"] < 100)
+        section = F.get(sections, -best["pos"])
+        return F.struct(
+            section["id"].alias("section_id"), best["score"].alias("score"), F.size(sections).cast("bigint").alias("n_sections"),
+            unsure.alias("uncertain"), F.when(unsure, "").otherwise(section["text"]).alias("section"),
+        )
+
+    def ranked(sections: Column, words: Column) -> Column:
+        def scores(h: Column) -> Column:
+            shared = F.filter(words, lambda w: F.forall(h, lambda a: F.array_contains(a, w)))
+            own = lambda a, i, sh: F.when(F.array_contains(ids, F.get(sections, i)["id"]), 100).otherwise(F.size(F.array_except(a, sh)))
+            return bind(shared, lambda sh: F.transform(h, lambda a, i: F.struct(own(a, i, sh).alias("score"), (-i).alias("pos"))))
+
+        found = bind(F.transform(sections, lambda x: held(words, x["text"])), scores)
+        return bind(F.reverse(F.sort_array(found)), lambda r: chosen(sections, r))
+
+    def picked(sections: Column) -> Column:
+        null = lambda kind: F.lit(None).cast(kind)
+        whole = F.struct(
+            null("string").alias("section_id"), null("int").alias("score"), F.size(sections).cast("bigint").alias("n_sections"),
+            F.lit(False).alias("uncertain"), F.coalesce(text, F.lit("")).alias("section"),
+        )
+        return F.when(F.size(sections) < 2, whole).otherwise(bind(words, lambda w: ranked(sections, w)))
+
+    return bind(sections_of(F.coalesce(text, F.lit("")), marker, id_group), picked)
+
+
+def best_sections(df: DataFrame, key: str, text_col: str, words_col: str, marker: str, id_group: int = 1, ids_col: str | None = None) -> DataFrame:
+    """T16 for each row: ``key, section_id, score, n_sections, uncertain, section``."""
+    ids = F.col(ids_col) if ids_col else F.array().cast("array<string>")
+    return df.select(key, best_section(F.col(text_col), F.col(words_col), ids, marker, id_group).alias("__best")).select(key, "__best.*")
+
+
+def classify_document(df: DataFrame, text_col: str, title_col: str, rules: RuleSet, marker: str, stop_words: tuple[str, ...], id_group: int = 1, newline_only: bool = False, out_col: str = "relevance") -> DataFrame:
+    """A document's result for the notice of a title, as ``classify`` gives it, and ``section_id``.
+
+    Incidental phrases go, the section of the notice is selected (by ids that
+    the title names, then by its words), item sentences are focused on, the
+    rest is classified, and a clear negative title beats a product or review
+    result. A document whose section is uncertain is for review.
+    """
+    title = F.coalesce(F.col(title_col), F.lit(""))
+    ids = bind(F.split(title, f"(?={marker})"), lambda cs: F.transform(cs, lambda c: F.upper(F.regexp_extract(c, marker, id_group))))
+    rows = df.withColumn("__clean", stripped(F.coalesce(F.col(text_col), F.lit("")), rules.incidental))
+    rows = rows.withColumn("__best", best_section(F.col("__clean"), title_words(title, stop_words), F.filter(ids, lambda i: i != ""), marker, id_group))
+    rows = rows.withColumn("__focus", bind(sentences(F.col("__best.section"), newline_only), lambda parts: item_focus(parts, rules, F.col("__best.section"))))
+    rows = classify(classify(rows, "__focus", rules, "__document"), title_col, rules, "__title")
+    unsure = F.struct(
+        F.lit("section unclear").alias("rule"), F.lit(False).alias("is_relevant"), F.lit(True).alias("needs_review"),
+        F.lit(REVIEW[2]).alias("confidence"), F.lit(REVIEW[3]).alias("category"),
+    )
+    judged = F.when(title != "", vetoed(F.col("__document"), F.col("__title"))).otherwise(F.col("__document"))
+    result = F.when(F.col("__best.uncertain"), unsure).otherwise(judged)
+    return rows.select(*df.columns, F.col("__best.section_id").alias("section_id"), result.alias(out_col))
 
 
 def usable(text: Column, letters: int = 200) -> Column:
@@ -221,7 +321,7 @@ def cascade(df: DataFrame, title_col: str, structured_col: str, rules: RuleSet)
         *df.columns, F.concat(F.lit("title-"), title_action(F.col("__title"))).alias("phase"), "__title.rule", "__title.category"
     )
     second = classify(titled.filter(open_), structured_col, rules, "__fields", keep=True)
-    second = second.withColumn("__fields", structured_result(F.col("__fields"), F.col("__e_products"), rules.product_terms[0]))
+    second = second.withColumn("__fields", structured_result(F.col("__fields")))
     phase = F.when(F.col("__fields.needs_review"), "inspect").otherwise(F.concat(F.lit("structured-"), title_action(F.col("__fields"))))
     return done.unionByName(second.select(*df.columns, phase.alias("phase"), "__fields.rule", "__fields.category"))
 

@@ -184,25 +184,32 @@ def coverage_sum(df: DataFrame, value: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.sum(x).alias("total"), F.count(x).alias("recorded"), (F.count("*") - F.count(x)).alias("missing"))
 
 
+def scan_listed(rows: DataFrame, scan: str, identity: Column, order: str, is_product: Column, known: Column, title: str) -> DataFrame:
+    """A4: the product rows that a scan's report lists: ``scan, order, identity, title, previously_saved``.
+
+    Rows of one identity are listed once, the first by ``order``; those without an identity are all listed.
+    """
+    item = [F.col(order), identity.alias("identity"), F.col(title).alias("title"), F.coalesce(known, F.lit(False)).alias("previously_saved")]
+    found = rows.filter(is_product).select(scan, *item)
+    named = found.filter("identity IS NOT NULL").groupBy(scan, "identity").agg(F.min_by(F.struct(order, "title", "previously_saved"), order).alias("__first"))
+    return named.select(scan, f"__first.{order}", "identity", "__first.title", "__first.previously_saved").unionByName(found.filter("identity IS NULL"))
+
+
+def scan_errors(rows: DataFrame, scan: str, order: str, error: Column) -> DataFrame:
+    """A4: the messages of a scan: ``scan, order, message``."""
+    return rows.select(scan, order, error.alias("message")).filter("message IS NOT NULL")
+
+
 def scan_report(rows: DataFrame, scan: str, identity: Column, order: str, is_product: Column, known: Column, error: Column, title: str) -> DataFrame:
-    """A4: one row per scan with counts and lists.
+    """A4: one row per scan with its counts; ``scan_listed`` and ``scan_errors`` give what is counted, as rows.
 
-    Product rows of one identity are listed once, by ``order``; those without
-    an identity are all listed. Lists are of ``struct(identity, title,
-    previously_saved)`` and of errors.
+    Lists grow with the scan, so they aren't collected into its row.
     """
-    rows = rows.withColumns({"__id": identity, "__product": is_product, "__known": known, "__error": error})
-    first = F.row_number().over(Window.partitionBy(scan, "__id", "__product").orderBy(order)) == 1
-    rows = rows.withColumn("__listed", F.col("__product") & (F.col("__id").isNull() | first))
-    item = F.struct(F.col(order).alias("o"), F.col("__id").alias("identity"), F.col(title).alias("title"), F.col("__known").alias("previously_saved"))
-    strip = lambda c: F.transform(F.sort_array(c), lambda x: F.struct(x["identity"], x["title"], x["previously_saved"]))
-    return rows.groupBy(scan).agg(
-        F.count("*").alias("discovered"),
-        F.count_if("__product").alias("products"),
-        F.count("__error").alias("errors"),
-        strip(F.collect_list(F.when(F.col("__listed"), item))).alias("opportunities"),
-        F.transform(F.sort_array(F.collect_list(F.when(F.col("__error").isNotNull(), F.struct(F.col(order).alias("o"), F.col("__error").alias("m"))))), lambda x: x["m"]).alias("messages"),
+    listed = scan_listed(rows, scan, identity, order, is_product, known, title).groupBy(F.col(scan).alias("__scan")).agg(
+        F.count("*").alias("listed"), F.count_if("previously_saved").alias("previously_saved")
     )
+    counts = rows.groupBy(scan).agg(F.count("*").alias("discovered"), F.count_if(is_product).alias("products"), F.count(error).alias("errors"))
+    return counts.join(listed, F.col(scan).eqNullSafe(F.col("__scan")), "left").drop("__scan").fillna(0, ["listed", "previously_saved"])
 
 
 def weekly_groups(rows: DataFrame, started: str, identity: str, kind: Column, order: str, title: str, zone: str = "Asia/Manila") -> DataFrame:
@@ -230,11 +237,14 @@ def weekly_report(rows: DataFrame, started: str, identity: str, kind: Column, or
     return runs.join(groups, "week", "left").fillna(0, ["new", "saved", "unknown"])
 
 
-def transition_matrix(df: DataFrame, before: str, after: str, key: str, title: str, most: int = 160) -> DataFrame:
-    """Count and list ``struct(key, title)`` of each change of label; unchanged rows have counts alone."""
-    moved = F.col(before) != F.col(after)
-    listed = F.sort_array(F.collect_list(F.when(moved, F.struct(F.col(key).alias("key"), F.substring(title, 1, most).alias("title")))))
-    return df.groupBy(before, after).agg(F.count("*").alias("n"), listed.alias("moved"))
+def transition_matrix(df: DataFrame, before: str, after: str) -> DataFrame:
+    """How many rows go from each label to each."""
+    return df.groupBy(before, after).agg(F.count("*").alias("n"))
+
+
+def moved(df: DataFrame, before: str, after: str, key: str, title: str, reason: str, most: int = 160) -> DataFrame:
+    """The rows whose label changes, one each, with the start of the title and the reason."""
+    return df.filter(F.col(before) != F.col(after)).select(before, after, key, F.substring(title, 1, most).alias("title"), F.col(reason).alias("reason"))
 
 
 # ---- windows, order, limits, sets

@@ -22,7 +22,11 @@ CORPUS = R.RuleSet(
     context={
         "telecom": r"ingly", "connectivity": r"shth|whwh", "event": r"ever", "consulting": r"conn?", "purchase": r"was",
         "dedicated": r"onen\s+the|der\s+und", "subscription_context": r"ver|ueue", "license": r"by", "license_object": r"for",
+        "hardware_bundle": r"with", "event_purchase": r"onen\s+of", "purchase_unit": r"in",
     },
+    subscription_term="heen",
+    generic_term="tion",
+    event_term="onen",
 )
 STOPS = ("small", "large", "green")
 DOCS = "documents"
@@ -50,20 +54,26 @@ def sql_evidence(source: str, keys: str, text: str = "text", rules=CORPUS) -> st
     """CTE body: keys, src, products, goods, labels and flags."""
     has = lambda n: f"regexp_matches(src, {_q(R.bounded(rules.context[n]))})"
     weak = "[" + ", ".join(map(_q, rules.weak_terms)) + "]"
+    only = lambda t: f"len(list_filter(strong, lambda x: x <> {_q(t)})) = 0"
     return f"""
-SELECT *, len(products) > 0 AS f_any, len(goods) > 0 AS f_goods, len(list_filter(products, lambda x: NOT list_contains({weak}, x))) > 0 AS f_strong,
-  {has('dedicated')} AS f_ded, {has('purchase')} AS f_buy, {has('telecom')} AS f_tel, {has('connectivity')} AS f_con, {has('event')} AS f_ev,
-  {has('consulting')} AS f_cons, {has('subscription_context')} AS f_sub, {has('license')} AND {has('license_object')} AS f_lic
+SELECT *, f_wsub AND h_tel AS f_tel, h_con AND NOT f_ded AND f_generic AS f_con, h_ev AND NOT f_ded AND NOT h_evbuy AND f_strong AND {only(rules.event_term)} AS f_ev,
+  f_wsub AND h_sub AS f_sub, h_lic AND h_obj AND NOT h_hw AS f_lic,
+  f_strong AND f_generic AND NOT f_ded AND NOT f_buy AND NOT (h_lic AND h_obj AND NOT h_hw) AND NOT (f_wsub AND h_sub) AS f_alone
+FROM (SELECT *, len(products) > 0 AS f_any, len(goods) > 0 AS f_goods, len(strong) > 0 AS f_strong, {only(rules.generic_term)} AS f_generic,
+  len(products) > 0 AND len(strong) = 0 AND list_contains(products, {_q(rules.subscription_term)}) AS f_wsub, h_buy OR (f_ded AND h_unit) AS f_buy
+FROM (SELECT *, list_filter(products, lambda x: NOT list_contains({weak}, x)) AS strong, {has('dedicated')} AS f_ded, {has('purchase')} AS h_buy, {has('purchase_unit')} AS h_unit,
+  {has('telecom')} AS h_tel, {has('connectivity')} AS h_con, {has('event')} AS h_ev, {has('event_purchase')} AS h_evbuy,
+  {has('consulting')} AS f_cons, {has('subscription_context')} AS h_sub, {has('license')} AS h_lic, {has('license_object')} AS h_obj, {has('hardware_bundle')} AS h_hw
 FROM (SELECT *, {sql_terms('src', rules.product_terms)} AS products, {sql_terms('src', rules.goods_terms)} AS goods, {sql_label('src', rules.excluded)} AS excluded,
   {sql_label('src', rules.services)} AS service, {sql_label('src', rules.physical)} AS physical, {sql_label('src', rules.categories)} AS cat
-  FROM (SELECT {keys}, {sql_stripped(f"coalesce({text}, '')")} AS src FROM {source}))"""
+  FROM (SELECT {keys}, {sql_stripped(f"coalesce({text}, '')")} AS src FROM {source}))))"""
 
 
-RULE_SQL = """CASE WHEN excluded IS NOT NULL THEN 'excluded product' WHEN f_tel AND NOT f_strong THEN 'telecom' WHEN f_con AND NOT f_ded THEN 'connectivity'
- WHEN f_ev AND NOT f_ded AND NOT f_buy THEN 'event' WHEN f_cons AND NOT f_buy THEN 'consulting' WHEN f_cons THEN 'consulting with purchase'
+RULE_SQL = """CASE WHEN excluded IS NOT NULL THEN 'excluded product' WHEN f_tel THEN 'telecom' WHEN f_con THEN 'connectivity'
+ WHEN f_ev THEN 'event' WHEN f_cons AND NOT f_buy THEN 'consulting' WHEN f_cons THEN 'consulting with purchase'
  WHEN service IS NOT NULL AND NOT f_strong THEN 'service' WHEN service IS NOT NULL THEN 'service with product'
  WHEN physical IS NOT NULL AND NOT f_strong THEN 'physical' WHEN physical IS NOT NULL THEN 'physical with product'
- WHEN cat IS NOT NULL AND (f_ded OR f_buy) THEN 'category with product' WHEN cat IS NOT NULL AND NOT f_strong THEN 'category' WHEN cat IS NOT NULL THEN 'category unclear'
+ WHEN cat IS NOT NULL AND (f_ded OR f_buy) THEN 'category with product' WHEN cat IS NOT NULL AND f_generic THEN 'category' WHEN cat IS NOT NULL THEN 'category unclear'
  WHEN f_ded AND NOT f_goods THEN 'dedicated product' WHEN f_any AND NOT f_strong AND NOT f_goods AND f_sub THEN 'weak term in context'
  WHEN f_any AND NOT f_strong AND NOT f_goods THEN 'weak term' WHEN NOT f_any AND NOT f_goods AND f_lic THEN 'license'
  WHEN f_any AND NOT f_goods THEN 'product terms' WHEN f_goods AND NOT f_any THEN 'goods terms' WHEN f_goods THEN 'both' ELSE 'no terms' END"""
@@ -115,7 +125,7 @@ def t3(spark, sf):
 
 @query(
     "t4_context_flags",
-    f"SELECT doc_id, f_any AND NOT f_strong AS weak_only, f_tel AND NOT f_strong AS telecom, f_sub AS subscription, f_lic AS license, f_ded AS dedicated, f_buy AS purchase FROM ({sql_evidence(DOCS, 'doc_id')})",
+    f"SELECT doc_id, f_any AND NOT f_strong AS weak_only, f_tel AS telecom, f_sub AS subscription, f_lic AS license, f_ded AS dedicated, f_buy AS purchase FROM ({sql_evidence(DOCS, 'doc_id')})",
 )
 def t4(spark, sf):
     e = C.evidence(table(spark, sf, DOCS), "text", CORPUS)
@@ -125,17 +135,64 @@ def t4(spark, sf):
 
 @query(
     "t5_override_flags",
-    f"SELECT doc_id, f_con AND NOT f_ded AS connectivity, f_ev AND NOT f_ded AND NOT f_buy AS event, f_cons AND NOT f_buy AS consulting, f_cons AND f_buy AS mixed FROM ({sql_evidence(DOCS, 'doc_id')})",
+    f"SELECT doc_id, f_con AS connectivity, f_ev AS event, f_cons AND NOT f_buy AS consulting, f_cons AND f_buy AS mixed FROM ({sql_evidence(DOCS, 'doc_id')})",
 )
 def t5(spark, sf):
     e = C.evidence(table(spark, sf, DOCS), "text", CORPUS)
     return e.select("doc_id", F.col("is_connectivity").alias("connectivity"), F.col("is_event").alias("event"), F.col("is_consulting").alias("consulting"), F.col("is_consulting_mixed").alias("mixed"))
 
 
-@query("t6_decisions", f"SELECT doc_id, rule, label, label = 'product' AS is_relevant, label = 'review' AS needs_review FROM ({sql_classified()})")
+_CONFIDENCE = """CASE WHEN label = 'product' THEN CASE WHEN len(products) = 1 AND len(strong) = 0 THEN 0.75 ELSE 0.9 END WHEN rule = 'both' THEN 0.5
+ WHEN rule = 'no terms' THEN 0.3 WHEN label = 'review' THEN 0.4 ELSE 0.9 END::DOUBLE"""
+
+
+@query("t6_decisions", f"SELECT doc_id, rule, label, label = 'product' AS is_relevant, label = 'review' AS needs_review, {_CONFIDENCE} AS confidence FROM ({sql_classified()})")
 def t6(spark, sf):
     r = F.col("relevance")
-    return _classified(spark, sf).select("doc_id", r["rule"].alias("rule"), "label", r["is_relevant"].alias("is_relevant"), r["needs_review"].alias("needs_review"))
+    return _classified(spark, sf).select("doc_id", r["rule"].alias("rule"), "label", *(r[n].alias(n) for n in ("is_relevant", "needs_review", "confidence")))
+
+
+def sql_excerpt(flat: str, term: str) -> str:
+    """SQL of T7 on a text whose white space is collapsed."""
+    hit = f"regexp_extract({flat}, {_q(R.term_pattern(term))})"
+    begin, end = f"greatest(instr({flat}, {hit}) - 70, 1)", f"least(instr({flat}, {hit}) + length({hit}) + 70, length({flat}) + 1)"
+    return f"CASE WHEN {begin} > 1 THEN '...' ELSE '' END || substr({flat}, {begin}, {end} - {begin}) || CASE WHEN {end} <= length({flat}) THEN '...' ELSE '' END"
+
+
+def _sql_quotes() -> str:
+    parts = [
+        f"CASE WHEN list_contains({col}[1:4], {_q(t)}) THEN {_q(t + ': ')} || {sql_excerpt('flat', t)} END"
+        for col, terms in (("products", CORPUS.product_terms), ("goods", CORPUS.goods_terms))
+        for t in terms
+    ]
+    return f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
+
+
+_SAID = "CASE rule " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in C.SENTENCES.items()) + " END"
+_QUOTING = ", ".join(map(_q, C.QUOTING))
+
+
+@query(
+    "t6_reasons",
+    f"""WITH c AS (SELECT *, trim(regexp_replace(src, '\\s+', ' ', 'g')) AS flat FROM ({sql_classified()}))
+SELECT doc_id, array_to_string(CASE WHEN rule IN ({_QUOTING}) THEN {_sql_quotes()} ELSE [{_SAID}] END, '|') AS reasons,
+  coalesce(CASE WHEN rule = 'excluded product' THEN excluded WHEN rule LIKE 'service%' THEN service WHEN rule LIKE 'physical%' THEN physical WHEN rule LIKE 'category%' THEN cat
+  WHEN label = 'product' AND len(products) > 0 THEN array_to_string(products[1:3], ', ') END, '') AS notes FROM c""",
+)
+def t6_reasons(spark, sf):
+    """Why each document has its class."""
+    why, notes = C.explained(F.col("relevance"), CORPUS)
+    return _classified(spark, sf, keep=True).select("doc_id", F.array_join(why, "|").alias("reasons"), F.array_join(notes, "|").alias("notes"))
+
+
+#: Each document with the title of a notice, which is an input of its own.
+TITLED = "(SELECT d.*, b.text AS title FROM documents d, (SELECT count(*) AS n FROM benchmark) n JOIN benchmark b ON d.doc_id % n.n = b.item_id)"
+
+
+def titled(spark, sf):
+    """Documents with the title of a notice: one of the benchmark texts, a table of bounded size."""
+    titles = table(spark, sf, "benchmark").select(F.col("item_id").alias("__item"), F.col("text").alias("title"))
+    return table(spark, sf, DOCS).join(titles, F.col("doc_id") % titles.count() == F.col("__item")).drop("__item")
 
 
 _FLAT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
@@ -164,10 +221,10 @@ def t8(spark, sf):
 
 @query(
     "t9_structured_fields",
-    f"SELECT doc_id, CASE WHEN label = 'product' AND products = ['tion'] THEN 'generic term alone' ELSE rule END AS rule FROM ({sql_classified()})",
+    f"SELECT doc_id, CASE WHEN label = 'product' AND f_alone THEN 'generic term alone' ELSE rule END AS rule FROM ({sql_classified()})",
 )
 def t9(spark, sf):
-    r = C.structured_result(F.col("relevance"), F.col("__e_products"), "tion")
+    r = C.structured_result(F.col("relevance"))
     return _classified(spark, sf, keep=True).select("doc_id", r["rule"].alias("rule"))
 
 
@@ -226,15 +283,24 @@ def t13(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(C.title_words(F.col("p_name"), STOPS, 4), " ").alias("words"))
 
 
+def _sql_tokens(text: str) -> str:
+    return f"regexp_extract_all(lower({text}), '[a-z0-9_]+')"
+
+
+def _sql_held(words: str, tokens: str) -> str:
+    return f"list_filter({words}, lambda w: list_contains({tokens}, w) OR list_contains({tokens}, w || 's'))"
+
+
 @query(
     "t14_related_passages",
-    f"""WITH p AS (SELECT doc_id, {_PARTS} AS parts, {_title_sql("substr(text, 1, 40)", 5)} AS words FROM documents)
+    f"""WITH p AS (SELECT doc_id, {_PARTS.replace("coalesce(text, '')", sql_stripped("coalesce(text, '')"))} AS parts, {_title_sql("title", 5)} AS words FROM {TITLED}),
+q AS (SELECT *, list_transform(parts, lambda s: {_sql_tokens("s")}) AS tokens FROM p)
 SELECT doc_id, len(r)::INT AS n, md5(array_to_string(r, chr(10))) AS digest FROM (
-  SELECT doc_id, CASE WHEN len(words) = 0 THEN parts ELSE list_filter(parts, lambda s: len(list_filter(words, lambda w: contains(lower(s), w))) > 0) END AS r FROM p)""",
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN parts ELSE list_filter(parts, lambda s, i: len({_sql_held("words", "tokens[i]")}) > 0) END AS r FROM q)""",
 )
 def t14(spark, sf):
-    words = C.title_words(F.substring("text", 1, 40), STOPS)
-    rows = table(spark, sf, DOCS).select("doc_id", C.sentences(F.col("text"), True).alias("parts"), words.alias("words"))
+    words = C.title_words(F.col("title"), STOPS)
+    rows = titled(spark, sf).select("doc_id", C.sentences(R.stripped(F.col("text"), CORPUS.incidental), True).alias("parts"), words.alias("words"))
     r = C.related_passages(F.col("parts"), F.col("words"))
     return rows.select("doc_id", r.alias("r")).select("doc_id", F.size("r").alias("n"), F.md5(F.array_join("r", "\n")).alias("digest"))
 
@@ -251,26 +317,54 @@ def t15(spark, sf):
 MARKER = r"\n(The|Of|De|Der|And) "
 
 
-@query(
-    "t16_best_section",
-    f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_title_sql("substr(text, 1, 60)", 5)} AS words FROM documents),
-c AS (SELECT doc_id, words, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS chunk FROM (SELECT doc_id, words, string_split(regexp_replace(text, '{MARKER}', chr(1) || '\\0', 'g'), chr(1)) AS x FROM d)),
+_TITLE_IDS = f"list_transform(regexp_extract_all(title, '{MARKER}', 1), lambda x: upper(x))"
+
+
+def sql_sections(source: str, text: str) -> str:
+    """CTEs that end in ``best``: doc_id, title, section_id, score, n_sections, uncertain, section."""
+    return f"""d AS (SELECT doc_id, title, coalesce({text}, '') AS text, {_title_sql("title", 5)} AS words, {_TITLE_IDS} AS ids FROM {source}),
+c AS (SELECT doc_id, words, ids, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS chunk FROM (SELECT doc_id, words, ids, string_split(regexp_replace(text, '{MARKER}', chr(1) || '\\0', 'g'), chr(1)) AS x FROM d)),
 n AS (SELECT *, upper(regexp_extract(chunk, '{MARKER}', 1)) AS section_id FROM c),
-s AS (SELECT doc_id, section_id, any_value(words) AS words, string_agg(chunk, '' ORDER BY pos) AS section, min(pos) AS pos FROM n WHERE section_id <> '' GROUP BY doc_id, section_id),
-h AS (SELECT *, list_filter(words, lambda w: contains(lower(section), w)) AS held FROM s),
+s AS (SELECT doc_id, section_id, any_value(words) AS words, any_value(ids) AS ids, string_agg(chunk, chr(10) ORDER BY pos) AS section, min(pos) AS pos FROM n WHERE section_id <> '' GROUP BY doc_id, section_id),
+k AS (SELECT *, {_sql_tokens("section")} AS tokens FROM s),
+h AS (SELECT *, {_sql_held("words", "tokens")} AS held FROM k),
 a AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS k, flatten(list(held) OVER (PARTITION BY doc_id)) AS every FROM h),
-sc AS (SELECT *, len(list_filter(held, lambda w: len(list_filter(every, lambda v: v = w)) < k)) AS score FROM a),
-r AS (SELECT *, row_number() OVER o AS rn, lead(score) OVER o AS next FROM sc WINDOW o AS (PARTITION BY doc_id ORDER BY score DESC, pos))
-SELECT d.doc_id, CASE WHEN k >= 2 THEN section_id END AS section_id, CASE WHEN k >= 2 THEN score END::INT AS score, coalesce(k, 0)::BIGINT AS n_sections,
-  CASE WHEN coalesce(k, 0) < 2 THEN false ELSE score <= 0 OR score = coalesce(next, -1) END AS uncertain, md5(CASE WHEN coalesce(k, 0) < 2 THEN text ELSE section END) AS digest
-FROM d LEFT JOIN (SELECT * FROM r WHERE rn = 1) r ON d.doc_id = r.doc_id""",
+sc AS (SELECT *, CASE WHEN list_contains(ids, section_id) THEN 100 ELSE len(list_filter(held, lambda w: len(list_filter(every, lambda v: v = w)) < k)) END AS score FROM a),
+r AS (SELECT *, row_number() OVER o AS rn, lead(score) OVER o AS next FROM sc WINDOW o AS (PARTITION BY doc_id ORDER BY score DESC, pos)),
+best AS (SELECT d.doc_id, title, CASE WHEN k >= 2 THEN section_id END AS section_id, CASE WHEN k >= 2 THEN score END::INT AS score, coalesce(k, 0)::BIGINT AS n_sections,
+  coalesce(k, 0) >= 2 AND (score <= 0 OR (score = coalesce(next, -1) AND score < 100)) AS uncertain, CASE WHEN coalesce(k, 0) < 2 THEN text ELSE section END AS section
+FROM d LEFT JOIN (SELECT * FROM r WHERE rn = 1) r ON d.doc_id = r.doc_id)"""
+
+
+@query(
+    "t16_best_section",
+    f"WITH {sql_sections(TITLED, 'text')} SELECT doc_id, section_id, score, n_sections, uncertain, md5(CASE WHEN uncertain THEN '' ELSE section END) AS digest FROM best",
 )
 def t16(spark, sf):
-    docs = table(spark, sf, DOCS).select("doc_id", "text", C.title_words(F.substring("text", 1, 60), STOPS).alias("words"))
-    got = C.best_sections(docs, "doc_id", "text", "words", MARKER)
+    ids = F.transform(F.regexp_extract_all("title", F.lit(MARKER), F.lit(1)), lambda x: F.upper(x))
+    docs = titled(spark, sf).select("doc_id", "text", C.title_words(F.col("title"), STOPS).alias("words"), ids.alias("ids"))
+    got = C.best_sections(docs, "doc_id", "text", "words", MARKER, ids_col="ids")
     return got.select("doc_id", "section_id", "score", "n_sections", "uncertain", F.md5("section").alias("digest"))
 
 
+_FOCUS = f"""SELECT doc_id, title, section_id, uncertain, CASE WHEN len(named) > 0 AND len(list_filter(named, lambda s: regexp_matches(s, {_q(_STRONG)}))) = 0
+  THEN array_to_string(named, chr(10)) ELSE section END AS focus
+FROM (SELECT *, list_filter({_PARTS.replace("coalesce(text, '')", "section")}, lambda s: regexp_matches(s, {_q(_EITHER)})) AS named FROM best)"""
+
+
+@query(
+    "t10_document_classifier",
+    f"""WITH {sql_sections(TITLED, sql_stripped("coalesce(text, '')"))}, f AS ({_FOCUS}),
+x AS ({sql_classified('f', 'doc_id, section_id, uncertain', 'focus')}), t AS ({sql_classified('f', 'doc_id', 'title')})
+SELECT x.doc_id, CASE WHEN uncertain THEN 'section unclear' WHEN t.label = 'not relevant' AND x.label <> 'not relevant' THEN t.rule ELSE x.rule END AS rule, section_id
+FROM x JOIN t ON x.doc_id = t.doc_id""",
+)
+def t10_document(spark, sf):
+    """The whole document classifier: strip, select the section, focus, classify, title veto."""
+    got = C.classify_document(titled(spark, sf), "text", "title", CORPUS, MARKER, STOPS, newline_only=True)
+    return got.select("doc_id", "relevance.rule", "section_id")
+
+
 @query(
     "t17_actions",
     f"""SELECT doc_id, label, CASE label WHEN 'product' THEN 'download' WHEN 'review' THEN 'inspect' ELSE 'skip' END AS action,
@@ -281,30 +375,26 @@ def t17(spark, sf):
     return _classified(spark, sf).select("doc_id", "label", C.title_action(r).alias("action"), C.inspection_outcome(r).alias("inspected"))
 
 
-_CASCADE_TITLE = "regexp_extract(text, '^[^.\\n]*')"
-
-
 @query(
     "t18_evidence_cascade",
-    f"""WITH t AS ({sql_classified(DOCS, "doc_id", _CASCADE_TITLE)}), f AS ({sql_classified(DOCS, "doc_id", "substr(text, 1, 400)")}),
-g AS (SELECT doc_id, CASE WHEN label = 'product' AND products = ['{CORPUS.product_terms[0]}'] THEN 'review' ELSE label END AS label FROM f)
+    f"""WITH t AS ({sql_classified(TITLED, "doc_id", "title")}), f AS ({sql_classified(TITLED, "doc_id", "text")}),
+g AS (SELECT doc_id, CASE WHEN label = 'product' AND f_alone THEN 'review' ELSE label END AS label FROM f)
 SELECT t.doc_id, CASE WHEN t.label = 'product' THEN 'title-download' WHEN t.label = 'not relevant' THEN 'title-skip'
   WHEN g.label = 'product' THEN 'structured-download' WHEN g.label = 'not relevant' THEN 'structured-skip' ELSE 'inspect' END AS phase
 FROM t JOIN g ON t.doc_id = g.doc_id""",
 )
 def t18(spark, sf):
-    docs = table(spark, sf, DOCS).select("doc_id", F.regexp_extract("text", "^[^.\n]*", 0).alias("title"), F.substring("text", 1, 400).alias("fields"))
-    return C.cascade(docs, "title", "fields", CORPUS).select("doc_id", "phase")
+    return C.cascade(titled(spark, sf), "title", "text", CORPUS).select("doc_id", "phase")
 
 
 @query(
     "t19_scan_plan",
-    f"""WITH t AS ({sql_classified(DOCS, "doc_id", _CASCADE_TITLE)})
+    f"""WITH t AS ({sql_classified(TITLED, "doc_id", "title")})
 SELECT t.doc_id, CASE WHEN toxic = 1 THEN 'reuse' WHEN label = 'not relevant' THEN 'skip' WHEN quality = 1 THEN 'reuse' ELSE 'process' END AS plan
 FROM t LEFT JOIN labels l ON t.doc_id = l.doc_id""",
 )
 def t19(spark, sf):
-    docs = table(spark, sf, DOCS).select("doc_id", F.regexp_extract("text", "^[^.\n]*", 0).alias("title"))
+    docs = titled(spark, sf).select("doc_id", "title")
     state = table(spark, sf, "labels").select("doc_id", (F.col("toxic") == 1).alias("is_manual"), (F.col("quality") == 1).alias("reusable"))
     return C.scan_plan(docs, state, "doc_id", "title", CORPUS).select("doc_id", "plan")
 
@@ -335,13 +425,12 @@ def t22(spark, sf):
 
 @query(
     "t23_review_without_documents",
-    f"""WITH t AS ({sql_classified(DOCS, "doc_id, source", _CASCADE_TITLE)}), f AS ({sql_classified(DOCS, "doc_id", "substr(text, 1, 400)")}),
-g AS (SELECT doc_id, CASE WHEN label = 'product' AND products = ['{CORPUS.product_terms[0]}'] THEN 'review' ELSE label END AS label FROM f)
+    f"""WITH t AS ({sql_classified(TITLED, "doc_id, source", "title")}), f AS ({sql_classified(TITLED, "doc_id", "text")}),
+g AS (SELECT doc_id, CASE WHEN label = 'product' AND f_alone THEN 'review' ELSE label END AS label FROM f)
 SELECT t.doc_id, CASE WHEN t.label = 'product' THEN 'title-download' WHEN t.label = 'not relevant' THEN 'title-skip' WHEN g.label = 'product' THEN 'structured-download'
   WHEN g.label = 'not relevant' THEN 'structured-skip' WHEN source IN ('src1', 'src2') THEN 'review' ELSE 'inspect' END AS phase
 FROM t JOIN g ON t.doc_id = g.doc_id""",
 )
 def t23(spark, sf):
-    docs = table(spark, sf, DOCS).select("doc_id", "source", F.regexp_extract("text", "^[^.\n]*", 0).alias("title"), F.substring("text", 1, 400).alias("fields"))
     portal = F.when(F.col("source").isin("src1", "src2"), "legacy").otherwise("current")
-    return C.cascade(docs, "title", "fields", CORPUS).select("doc_id", C.review_without_documents(F.col("phase"), portal).alias("phase"))
+    return C.cascade(titled(spark, sf), "title", "text", CORPUS).select("doc_id", C.review_without_documents(F.col("phase"), portal).alias("phase"))

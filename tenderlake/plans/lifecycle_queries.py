@@ -9,7 +9,7 @@ from ..operators import classify as C
 from ..operators import lifecycle as L
 from ..operators import relational as R
 from ..session import table
-from .classify_queries import _CASCADE_TITLE, CORPUS, DOCS, sql_classified
+from .classify_queries import CORPUS, TITLED, sql_classified, titled
 from .registry import query
 
 
@@ -147,14 +147,13 @@ def m10(spark, sf):
 
 
 def _reclassified(spark, sf):
-    title = F.regexp_extract("text", "^[^.\n]*", 0)
-    new = C.classify(table(spark, sf, DOCS).withColumn("title", title), "title", CORPUS).select("doc_id", "title", C.label(F.col("relevance")).alias("after"))
+    new = C.classify(titled(spark, sf), "title", CORPUS).select("doc_id", "title", C.label(F.col("relevance")).alias("after"), F.col("relevance.rule").alias("rule"))
     old = table(spark, sf, "labels").select("doc_id", F.when(F.col("toxic") == 1, "manual").otherwise("automatic").alias("src"), F.when(F.col("quality") == 1, "product").otherwise("not relevant").alias("before"))
     return new.join(old, "doc_id")
 
 
-_RECLASS = f"""(SELECT t.doc_id, substr(title, 1, 160) AS title, label AS after, CASE WHEN toxic = 1 THEN 'manual' ELSE 'automatic' END AS src, CASE WHEN quality = 1 THEN 'product' ELSE 'not relevant' END AS before
-FROM ({sql_classified(f"(SELECT doc_id, {_CASCADE_TITLE} AS title FROM documents)", "doc_id, title", "title")}) t JOIN labels l ON t.doc_id = l.doc_id)"""
+_RECLASS = f"""(SELECT t.doc_id, title, label AS after, rule, CASE WHEN toxic = 1 THEN 'manual' ELSE 'automatic' END AS src, CASE WHEN quality = 1 THEN 'product' ELSE 'not relevant' END AS before
+FROM ({sql_classified(TITLED, "doc_id, title", "title")}) t JOIN labels l ON t.doc_id = l.doc_id)"""
 
 
 @query("m11_reclassification_plan", f"SELECT doc_id, CASE WHEN src = 'manual' THEN 'skip-manual' WHEN after = 'review' THEN 'keep' WHEN before = after THEN 'refresh' ELSE 'update' END AS plan FROM {_RECLASS}")
@@ -162,14 +161,15 @@ def m11(spark, sf):
     return _reclassified(spark, sf).select("doc_id", L.reclassification_plan(F.col("src"), F.col("before"), F.col("after")).alias("plan"))
 
 
-@query(
-    "a9_transitions",
-    f"SELECT before, after, count(*)::BIGINT AS n, CASE WHEN before = after THEN '' ELSE md5(string_agg(doc_id || ':' || title, '|' ORDER BY doc_id)) END AS moved FROM {_RECLASS} GROUP BY 1, 2",
-)
+@query("a9_transitions", f"SELECT before, after, count(*)::BIGINT AS n FROM {_RECLASS} GROUP BY 1, 2")
 def a9(spark, sf):
-    m = R.transition_matrix(_reclassified(spark, sf), "before", "after", "doc_id", "title")
-    text = F.array_join(F.transform("moved", lambda x: F.concat(x["key"].cast("string"), F.lit(":"), x["title"])), "|")
-    return m.select("before", "after", "n", F.when(F.size("moved") == 0, "").otherwise(F.md5(text)).alias("moved"))
+    return R.transition_matrix(_reclassified(spark, sf), "before", "after")
+
+
+@query("a9_moved", f"SELECT before, after, doc_id, substr(title, 1, 160) AS title, rule AS reason FROM {_RECLASS} WHERE before <> after")
+def a9_moved(spark, sf):
+    """Documents whose class changes, one row each."""
+    return R.moved(_reclassified(spark, sf), "before", "after", "doc_id", "title", "rule")
 
 
 @query(

@@ -239,20 +239,39 @@ def a3(spark, sf):
     )
 
 
+_SCANS = "(SELECT user_id % 20 AS scan, *, CASE WHEN user_id % 9 <> 0 THEN floor(value * 10)::BIGINT END AS ident FROM events)"
+_LISTED = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan, ident ORDER BY event_id) AS rn FROM {_SCANS} WHERE event_type = 'purchase') WHERE ident IS NULL OR rn = 1)"""
+
+
+def _scans(spark, sf):
+    ident = F.when(F.col("user_id") % 9 != 0, F.floor(F.col("value") * 10).cast("long"))
+    return table(spark, sf, "events").withColumn("scan", F.col("user_id") % 20), ident
+
+
 @query(
     "a4_scan_reports",
-    """WITH e AS (SELECT user_id % 20 AS scan, *, CASE WHEN user_id % 9 <> 0 THEN floor(value * 10)::BIGINT END AS ident FROM events),
-p AS (SELECT *, row_number() OVER (PARTITION BY scan, ident, event_type = 'purchase' ORDER BY event_id) AS rn FROM e)
-SELECT scan, count(*)::BIGINT AS discovered, count_if(event_type = 'purchase')::BIGINT AS products, count_if(event_type = 'error')::BIGINT AS errors,
-count_if(event_type = 'purchase' AND (ident IS NULL OR rn = 1))::BIGINT AS listed, count_if(event_type = 'purchase' AND (ident IS NULL OR rn = 1) AND value > 30)::BIGINT AS previously_saved,
-coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FILTER (WHERE event_type = 'error'), '') AS messages FROM p GROUP BY 1""",
+    f"""WITH l AS (SELECT scan, count(*) AS listed, count_if(value > 30) AS saved FROM {_LISTED} GROUP BY 1)
+SELECT e.scan, count(*)::BIGINT AS discovered, count_if(event_type = 'purchase')::BIGINT AS products, count_if(event_type = 'error')::BIGINT AS errors,
+coalesce(any_value(listed), 0)::BIGINT AS listed, coalesce(any_value(saved), 0)::BIGINT AS previously_saved FROM {_SCANS} e LEFT JOIN l ON e.scan = l.scan GROUP BY 1""",
 )
 def a4(spark, sf):
-    e = table(spark, sf, "events").withColumn("scan", F.col("user_id") % 20)
-    ident = F.when(F.col("user_id") % 9 != 0, F.floor(F.col("value") * 10).cast("long"))
-    r = R.scan_report(e, "scan", ident, "event_id", F.col("event_type") == "purchase", F.col("value") > 30, F.when(F.col("event_type") == "error", F.col("event_id").cast("string")), "props")
-    saved = F.size(F.filter("opportunities", lambda x: x["previously_saved"])).cast("long")
-    return r.select("scan", "discovered", "products", "errors", F.size("opportunities").cast("long").alias("listed"), saved.alias("previously_saved"), F.array_join("messages", ",").alias("messages"))
+    e, ident = _scans(spark, sf)
+    error = F.when(F.col("event_type") == "error", F.col("event_id").cast("string"))
+    return R.scan_report(e, "scan", ident, "event_id", F.col("event_type") == "purchase", F.col("value") > 30, error, "props")
+
+
+@query("a4_scan_listed", f"SELECT scan, event_id, ident AS identity, props AS title, value > 30 AS previously_saved FROM {_LISTED}")
+def a4_listed(spark, sf):
+    """The products that the reports of scans list."""
+    e, ident = _scans(spark, sf)
+    return R.scan_listed(e, "scan", ident, "event_id", F.col("event_type") == "purchase", F.col("value") > 30, "props")
+
+
+@query("a4_scan_errors", f"SELECT scan, event_id, event_id::VARCHAR AS message FROM {_SCANS} WHERE event_type = 'error'")
+def a4_errors(spark, sf):
+    """The messages that the reports of scans list."""
+    e, _ = _scans(spark, sf)
+    return R.scan_errors(e, "scan", "event_id", F.when(F.col("event_type") == "error", F.col("event_id").cast("string")))
 
 
 @query("a5_sum_with_coverage", "SELECT event_type, round(sum(CASE WHEN user_id % 3 > 0 THEN value END), 2) AS total, count_if(user_id % 3 > 0)::BIGINT AS recorded, count_if(user_id % 3 = 0)::BIGINT AS missing FROM events GROUP BY 1")

@@ -22,7 +22,20 @@ LABELLED = [
     ("Supply of CCTV cameras with software", "excluded product", "not relevant"),
     ("Internet subscription for one year", "telecom", "not relevant"),
     ("Satellite internet for the clinic", "connectivity", "not relevant"),
-    ("Workshop on web application design", "event", "not relevant"),
+    ("Workshop on system development", "event", "not relevant"),
+    ("Workshop on system development and accounting software", "dedicated product", "product"),
+    ("Workshop on web application design", "product terms", "product"),
+    ("Workshop with meals and snacks", "service", "not relevant"),
+    ("Internet subscription with antivirus", "product terms", "product"),
+    ("Internet plan for one year", "no terms", "review"),
+    ("Leased line and bundled software", "connectivity", "not relevant"),
+    ("Leased line and antivirus", "product terms", "product"),
+    ("Consulting services with accounting software and five seats", "consulting with purchase", "review"),
+    ("Consulting services on accounting software", "consulting", "not relevant"),
+    ("Category: construction with software", "category", "not relevant"),
+    ("User subscription", "weak term in context", "product"),
+    ("Information system for a yearly plan", "weak term", "review"),
+    ("Licenses per user for desktops", "no terms", "review"),
     ("Consulting services for a survey", "consulting", "not relevant"),
     ("Consulting services and procurement of software", "consulting with purchase", "review"),
     ("Catering for the staff meeting", "service", "not relevant"),
@@ -52,6 +65,51 @@ def test_labelled_titles(spark):
     assert [(r["rule"], r["l"]) for r in got] == [x[1:] for x in LABELLED]
 
 
+def test_documents_of_titles(spark):
+    marker, stops = r"PR No\. ([0-9]+)", ("supply",)
+    rows = [
+        (1, "PR No. 1 chairs\nPR No. 2 antivirus server", "Supply of antivirus", "product terms", "2"),
+        (2, "PR No. 1 antivirus\nPR No. 2 antivirus", "Supply of antivirus", "section unclear", "1"),
+        (3, "PR No. 1 antivirus\nPR No. 2 antivirus", "PR No. 2, antivirus", "product terms", "2"),
+        (4, "antivirus for all", "Furniture", "physical", None),
+        (5, "Repainting of walls.\nOther things of a web page", None, "service", None),
+        (6, None, None, "no terms", None), (7, "", "", "no terms", None),
+        (8, "Chairs compatible with any software", "Chairs", "no terms", None),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "id int, text string, title string")
+    got = C.classify_document(df, "text", "title", R.PROCUREMENT, marker, stops).orderBy("id").select("relevance.rule", "section_id").collect()
+    assert [tuple(r) for r in got] == [r[3:] for r in rows]
+    assert C.classify_document(df.filter("false"), "text", "title", R.PROCUREMENT, marker, stops).count() == 0
+
+
+def test_passages_hold_whole_words(spark):
+    df = spark.createDataFrame([(["An observer", "Two servers", "a server_x", "the Server."],)], "p array<string>")
+    words = lambda *w: F.array(*map(F.lit, w)) if w else F.array().cast("array<string>")
+    assert df.select(C.related_passages(F.col("p"), words("server")).alias("r")).first()["r"] == ["Two servers", "the Server."]
+    assert len(df.select(C.related_passages(F.col("p"), words()).alias("r")).first()["r"]) == 4
+
+
+def test_reasons_and_notes(spark):
+    df = spark.createDataFrame([(1, "antivirus"), (2, "tables and chairs"), (3, "bottled water"), (4, "annual subscription")], "id int, t string")
+    why, notes = C.explained(F.col("relevance"), R.PROCUREMENT)
+    got = C.classify(df, "t", R.PROCUREMENT, keep=True).orderBy("id").select(why.alias("w"), notes.alias("n"), "relevance.confidence").collect()
+    assert [(r["w"], r["n"], r["confidence"]) for r in got] == [
+        (["antivirus: antivirus"], ["antivirus"], 0.9), (["physical goods"], ["furniture"], 0.9), (["no known terms"], [], 0.3), (["subscription: annual subscription"], ["subscription"], 0.75),
+    ]
+
+
+def test_scan_lists_and_moved_rows(spark):
+    rows = [(1, 1, "a", True, None), (1, 2, "a", True, None), (1, 3, None, True, None), (1, 4, None, True, "bad"), (2, 5, "a", False, None), (None, 6, "b", True, None)]
+    df = spark.createDataFrame(rows, "scan int, n int, ident string, p boolean, err string").withColumn("title", F.lit("t"))
+    args = (df, "scan", F.col("ident"), "n", F.col("p"), F.col("n") == 1)
+    got = {r["scan"]: r for r in Rel.scan_report(*args, F.col("err"), "title").collect()}
+    assert (got[1]["discovered"], got[1]["listed"], got[1]["previously_saved"], got[1]["errors"]) == (4, 3, 1, 1)
+    assert got[2]["listed"] == 0 and got[None]["listed"] == 1
+    assert sorted(r["n"] for r in Rel.scan_listed(*args, "title").collect()) == [1, 3, 4, 6]
+    df = spark.createDataFrame([(1, "x", "x"), (2, "x", "y")], "k int, b string, a string").withColumns({"t": F.lit("long"), "why": F.lit("r")})
+    assert [tuple(r) for r in Rel.moved(df, "b", "a", "k", "t", "why", 2).collect()] == [("x", "y", 2, "lo", "r")]
+
+
 def test_reasons_quote_terms(spark):
     df = spark.createDataFrame([("x " * 100 + "antivirus and  laptop " + "y " * 100,)], "t string")
     r = C.classify(df, "t", R.PROCUREMENT, keep=True).select(C.reasons(R.PROCUREMENT).alias("r")).first()["r"]
@@ -66,6 +124,7 @@ def test_sections(spark):
     got = {r["k"]: r for r in C.best_sections(spark.createDataFrame(rows, "k int, t string, w array<string>"), "k", "t", "w", r"PR No\. ([0-9]+)").collect()}
     assert (got[1]["section_id"], got[1]["uncertain"], got[1]["n_sections"]) == ("2", False, 2) and "server" in got[1]["section"]
     assert got[2]["uncertain"] and got[6]["uncertain"] and not got[3]["uncertain"]
+    assert got[2]["section"] == "" and got[1]["section"].count("PR No. 1") == 0
     assert got[3]["section"] == "no marker" and got[4]["section"] == "PR No. 7 only" and got[5]["section"] == ""
 
 
