@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import CONTEXT, RuleSet, context_flags, excerpt, first_label, has, matches, stripped, terms_found
 from ..functions.text import bind
+from .relational import planned_rows
 
 #: Outcome of a decision: relevant, needs review, confidence, category.
 PRODUCT = (True, False, 0.9, "product")
@@ -333,15 +334,9 @@ def scan_plan(incoming: DataFrame, state: DataFrame, key: str, title_col: str, r
     decision is reused; then a clear negative title is skipped, even if a
     saved result could be reused.
     """
-    known = state.select(F.col(key).alias("__key"), "is_manual", "reusable")
-    rows = classify(incoming, title_col, rules, "__title").join(known, F.col(key) == F.col("__key"), "left")
-    plan = (
-        F.when(F.coalesce("is_manual", F.lit(False)), "reuse")
-        .when(title_action(F.col("__title")) == "skip", "skip")
-        .when(F.coalesce("reusable", F.lit(False)), "reuse")
-        .otherwise("process")
-    )
-    return rows.select(*incoming.columns, plan.alias("plan"))
+    rows = classify(incoming, title_col, rules, "__title")
+    skip = title_action(F.col("__title")) == "skip"
+    return planned_rows(rows, state, key, key, skip).select(*incoming.columns, "plan")
 
 
 def first_decisive_page(pages: DataFrame, key: str, page_col: str, text_col: str, rules: RuleSet, most: int = 6, least_chars: int = 40) -> DataFrame:

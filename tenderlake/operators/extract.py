@@ -45,10 +45,10 @@ def text_line_items(df: DataFrame, key: str, text_col: str, reach: int = 7, most
     longer than ``most`` or name a field for bidders are no items.
     """
     total = r"^([0-9][0-9,]*)\s+([A-Za-z.]+)\s+([0-9][0-9,]*(\.[0-9]{2})?)$"
-    lines = df.select(key, F.posexplode(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda s: F.trim(s))).alias("pos", "line"))
-    w = Window.partitionBy(key).orderBy("pos")
-    after = F.collect_list("line").over(w.rowsBetween(1, reach + 1))
-    heads = lines.withColumn("after", after).filter(F.col("line").rlike(r"^[0-9]{1,3}[.)]?$"))
+    head = r"^[0-9]{1,3}[.)]?$"
+    lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda s: F.trim(s))
+    followed = lambda ls: F.transform(ls, lambda s, i: F.when(s.rlike(head), F.struct(s.alias("line"), F.slice(ls, i + 2, reach + 1).alias("after"))))
+    heads = df.select(key, F.posexplode(F.filter(bind(lines, followed), lambda x: x.isNotNull())).alias("pos", "head")).select(key, "pos", "head.*")
     end = F.get(F.filter(F.transform("after", lambda s, i: F.when(s.rlike(total), i)), lambda i: i.isNotNull()), F.lit(0))
     found = heads.withColumn("end", end).filter("end >= 1")
     description = clean(F.array_join(F.slice("after", F.lit(1), F.col("end")), " "))
@@ -78,7 +78,7 @@ def first_capture(text: Column, rule: FieldRule) -> Column:
 
 #: Default rules for notices in English, written for this engine.
 DEADLINE = FieldRule("deadline", (r"(?i)deadline\s+of\s+submission\s*:?\s*([^\n]{6,60})", r"(?i)not\s+later\s+than\s+([^\n]{6,60})", r"(?i)submit\w*\s+(?:on\s+or\s+)?before\s+([^\n]{6,60})"), "[0-9]")
-DELIVERY = FieldRule("delivery_period", (r"(?i)delivery\s+(?:period|schedule|time)\s*:?\s*([^\n]{1,80})", r"(?i)within\s+([0-9]+\s+(?:calendar|working)?\s*days?[^\n]{0,40})"), "[0-9]")
+DELIVERY = FieldRule("delivery_period", (r"(?i)delivery\s+(?:period|schedule|time)\s*:?\s*([^\n]{1,80})", r"(?i)deliver\w*[^\n.]{0,60}?within\s+([0-9]+\s+(?:calendar|working)?\s*days?[^\n]{0,40})"), "[0-9]")
 LOCATION = FieldRule("delivery_location", (r"(?i)(?:place|location)\s+of\s+delivery\s*:?\s*([^\n]{3,120})", r"(?i)deliver(?:ed|y)?\s+to\s*:?\s*([^\n]{3,120})"), "(?i)(street|st\\.|avenue|building|city|barangay|road|hall|office)")
 SOLICITATION = FieldRule("solicitation_number", (r"(?i)rfq\s*(?:no\.?|number)\s*:?\s*([A-Z0-9][A-Z0-9 ./-]{2,40})", r"(?i)quotation\s+no\.?\s*:?\s*([A-Z0-9][A-Z0-9./-]{2,40})", r"(?i)solicitation\s+(?:no\.?|number)\s*:?\s*([A-Z0-9][A-Z0-9./-]{2,40})"), "^.{4,}")
 
@@ -135,20 +135,24 @@ def bucket_of(sentence: Column, buckets: tuple[tuple[str, str], ...] = BUCKETS)
     return F.coalesce(*hits, F.lit(buckets[-1][0]))
 
 
-def clauses(df: DataFrame, key: str, parts_col: str, buckets: tuple[tuple[str, str], ...] = BUCKETS, gate: str | None = None) -> DataFrame:
-    """Requirement clauses ``key, pos, bucket, clause``.
+def clause_array(parts: Column, buckets: tuple[tuple[str, str], ...] = BUCKETS, gate: str | None = None) -> Column:
+    """E14 within a row: the clauses among sentences, ``array<struct(pos, bucket, clause)>``, by lower-cased text.
 
     Repeats differing in case alone are dropped, and so is a clause with
-    which a longer one of its document begins. The longest text that starts
-    with a clause sorts right after it, so one look at the next row decides.
+    which a longer one begins. The longest text that starts with a clause
+    sorts right after it, so one look at the next one decides.
     """
-    rows = df.select(key, F.posexplode(F.col(parts_col)).alias("pos", "clause"))
-    rows = rows.filter(F.col("clause").rlike(gate)) if gate else rows
-    rows = rows.withColumn("__low", F.lower("clause"))
-    once = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(key, "__low").orderBy("pos"))).filter("__rn = 1").drop("__rn")
-    following = F.lead("__low").over(Window.partitionBy(key).orderBy("__low"))
-    kept = once.withColumn("__next", following).filter(F.col("__next").isNull() | ~F.startswith("__next", F.col("__low")))
-    return kept.select(key, "pos", bucket_of(F.col("clause"), buckets).alias("bucket"), "clause")
+    items = F.transform(parts, lambda c, i: F.struct(F.lower(c).alias("low"), i.alias("pos"), c.alias("clause")))
+    items = F.filter(items, lambda x: x["clause"].rlike(gate)) if gate else items
+    low = lambda xs, i: F.get(xs, i)["low"]
+    once = bind(F.sort_array(items), lambda xs: F.filter(xs, lambda x, i: ~x["low"].eqNullSafe(low(xs, i - 1))))
+    kept = bind(once, lambda xs: F.filter(xs, lambda x, i: ~F.coalesce(F.startswith(low(xs, i + 1), x["low"]), F.lit(False))))
+    return F.transform(kept, lambda x: F.struct(x["pos"].alias("pos"), bucket_of(x["clause"], buckets).alias("bucket"), x["clause"].alias("clause")))
+
+
+def clauses(df: DataFrame, key: str, parts_col: str, buckets: tuple[tuple[str, str], ...] = BUCKETS, gate: str | None = None) -> DataFrame:
+    """Requirement clauses ``key, pos, bucket, clause``; all of a document are in its row, so nothing is shuffled."""
+    return df.select(key, F.explode(clause_array(F.col(parts_col), buckets, gate)).alias("__c")).select(key, "__c.*")
 
 
 def once_across_buckets(rows: DataFrame, key: str, bucket_order: list[str]) -> DataFrame:
@@ -247,6 +251,74 @@ def document_requirements(df: DataFrame, key: str, text_col: str, source_col: st
     return df.select(key, *columns)
 
 
+#: Single fields of a requirements record, for notices in English; the notice's own column stands in where it has one.
+RECORD = (
+    FieldRule("product", (r"(?i)intends\s+to\s+(?:buy|procure)\s+[\"“]([^\"”\n]+)",)),
+    FieldRule("control_number", (r"(?i)control\s+no\.?\s*:?\s*([A-Z0-9-]+)",)),
+    DEADLINE,
+    FieldRule("budget", (r"(?i)(?:approved\s+budget|abc)[^\n]{0,80}?(?:php|₱)\s*([0-9,]+(?:\.[0-9]{2})?)",), "[0-9]"),
+    FieldRule("place", (r"(?i)place\s+of\s+delivery\s*:\s*([^\n]+)",)),
+    DELIVERY,
+    FieldRule("awarding", (r"(?i)awarding\s*:\s*([^\n]+)",)),
+    FieldRule("payment_terms", (r"(?i)payment\s+terms?\s*:\s*([^.]+\.)",)),
+    FieldRule("contact", (r"(?i)contact\s+person\s*:?\s*([^\n,;]{3,60})", r"(?i)attention\s*:\s*([^\n,;]{3,60})"), "[A-Za-z]{2}"),
+)
+REQUIRED_LINE = r"(?m)^[0-9]+[.)]\s+([^\n]+)$"
+REQUIRED_WORDS = r"(?i)permit|registration|omnibus|income\s+tax|certificate"
+#: Named sentences that a record quotes.
+QUOTED = (
+    ("warranty", r"warrant(y|ies)"), ("penalty", r"liquidated\s+damages|penalt(y|ies)"), ("validity", r"price\s+validity|validity\s+of"), ("partial", r"partial\s+(bids?|deliver(y|ies))"),
+    ("alternative", r"alternative\s+(bids?|offers?)"), ("tax", r"(vat|tax)\s+(inclusive|exclusive|exempt)"), ("training", r"training"), ("support", r"technical\s+support"), ("acceptance", r"inspection\s+and\s+acceptance"),
+)
+
+
+def required_documents(text: Column, bidder: str = BIDDER) -> Column:
+    """Numbered lines that name a document to hand in, without fields for bidders."""
+    lines = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(REQUIRED_LINE), F.lit(1)), lambda s: clean(s))
+    return F.filter(lines, lambda s: s.rlike(REQUIRED_WORDS) & ~s.rlike(bidder))
+
+
+def quoted_clauses(parts: Column, quoted: tuple[tuple[str, str], ...] = QUOTED) -> Column:
+    """For each named pattern the first sentence that holds it, ``array<struct(name, quote)>``."""
+    first = lambda p: F.get(F.filter(parts, lambda s: s.rlike(bounded(p))), F.lit(0))
+    found = F.array(*(F.struct(F.lit(n).alias("name"), first(p).alias("quote")) for n, p in quoted))
+    return F.filter(found, lambda x: x["quote"].isNotNull())
+
+
+def requirements_record(
+    df: DataFrame, key: str, text_col: str, source_col: str, parts: Column, notice: dict[str, str], rules: tuple[FieldRule, ...] = RECORD,
+    buckets: tuple[tuple[str, str], ...] = BUCKETS, gate: str | None = None, quoted: tuple[tuple[str, str], ...] = QUOTED,
+) -> DataFrame:
+    """The whole record of each document: fields, required documents, quotes, clauses by bucket, method, missing fields.
+
+    ``parts`` are the sentences of the text. A field that neither the document
+    nor the notice gives is null and is named in ``missing_fields``; none is
+    invented. Empty or null texts give records of the notice alone.
+    """
+    names = [r.name for r in rules]
+    rows = df.withColumns({"__parts": parts, "__required": required_documents(F.col(text_col)), "__method": submission_method(F.col(text_col))})
+    columns = {}
+    for r in rules:
+        doc = field(first_capture(F.col(text_col), r), F.col(source_col))
+        columns[r.name] = F.coalesce(doc, field(F.col(notice[r.name]), "notice")) if r.name in notice else doc
+    out = rows.withColumns(columns)
+    missing = F.array_compact(F.array(*(F.when(F.col(n).isNull(), F.lit(n)) for n in names)))
+    return out.select(
+        key, *names, F.col("__required").alias("required_documents"), F.col("__method").alias("submission_method"),
+        quoted_clauses(F.col("__parts"), quoted).alias("quotes"), clause_array(F.col("__parts"), buckets, gate).alias("clauses"), missing.alias("missing_fields"),
+    )
+
+
+def bulk_requirements(docs: DataFrame, chosen: DataFrame, key: str, **record) -> DataFrame:
+    """The records of the documents of chosen notices; pass the rest of ``requirements_record``'s arguments by name."""
+    return requirements_record(docs.join(chosen.select(key).distinct(), key, "left_semi"), key, **record)
+
+
+def identity_fields(df: DataFrame, key: str, names: dict[str, str]) -> DataFrame:
+    """Columns of a notice as provenance fields of the notice; blank ones are null."""
+    return df.select(key, *(field(clean(F.col(c).cast("string")), "notice").alias(n) for n, c in names.items()))
+
+
 def technical_summary(items: DataFrame, clause_rows: DataFrame, key: str, bucket_order: list[str]) -> DataFrame:
     """Per notice its facts, clauses in bucket order and source labels.
 

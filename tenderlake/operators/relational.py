@@ -155,6 +155,45 @@ def taken_elsewhere(rows: DataFrame, stored: DataFrame, number: str, key: str) -
     return rows.join(side, (F.col(number) == F.col("__n")) & (F.col(key) != F.col("__k")), "left_semi")
 
 
+def notice_summary(notices: DataFrame, columns: list[str], label: str, work_status: str, portal: str, product: str = "product", legacy: str = "legacy") -> DataFrame:
+    """Summary columns, the public status (of products alone, new by default) and whether the portal needs a login."""
+    status = F.when(F.col(label) == product, F.coalesce(work_status, F.lit("new")))
+    return notices.select(*columns, label, status.alias("public_status"), portal, (F.col(portal) == legacy).alias("login_required"))
+
+
+def reusable(has_requirements: Column, has_relevance: Column, label: Column) -> Column:
+    """P10: whether a saved packet can be reused: it has requirements and relevance, and a label. Never null."""
+    return F.coalesce(has_requirements & has_relevance & label.isNotNull(), F.lit(False))
+
+
+def as_field(value: Column, source: str = "notice") -> Column:
+    """A plain value as a provenance record; blank ones are null."""
+    text = F.nullif(F.trim(value.cast("string")), F.lit(""))
+    return F.when(text.isNotNull(), F.struct(text.alias("value"), F.lit(source).alias("source"), F.lit("high").alias("confidence")))
+
+
+def case_report(notices: DataFrame, items: DataFrame, key: str, item_key: str, quantity: str, fields: dict[str, Column], reviewed: Column) -> DataFrame:
+    """One wide row per notice: its fields as records, number and quantity of items, reviewed as true, false or unknown."""
+    sums = items.groupBy(F.col(item_key).alias("__k")).agg(F.count("*").alias("n_items"), F.sum(quantity).alias("quantity"))
+    rows = notices.join(sums, F.col(key) == F.col("__k"), "left")
+    return rows.select(key, *(as_field(c).alias(n) for n, c in fields.items()), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("quantity", F.lit(0.0)).alias("quantity"), reviewed.alias("reviewed"))
+
+
+def with_defaults(df: DataFrame, key: str, texts: dict[str, Column], nullable: dict[str, Column], lists: dict[str, Column]) -> DataFrame:
+    """A packet's fixed shape: texts default to the empty string, others to null, lists to the empty list."""
+    return df.select(
+        key, *(F.coalesce(c, F.lit("")).alias(n) for n, c in texts.items()), *(c.alias(n) for n, c in nullable.items()),
+        *(F.coalesce(F.array_compact(c), F.array().cast("array<string>")).alias(n) for n, c in lists.items()),
+    )
+
+
+def planned_rows(rows: DataFrame, state: DataFrame, row_key: str, key: str, clear_negative: Column) -> DataFrame:
+    """Rows with ``plan``: a manual decision is reused, a clear negative skipped, a reusable result reused, the rest processed."""
+    known = state.select(F.col(key).alias("__key"), F.col("is_manual").alias("__manual"), F.col("reusable").alias("__reusable"))
+    plan = F.when(F.coalesce("__manual", F.lit(False)), "reuse").when(clear_negative, "skip").when(F.coalesce("__reusable", F.lit(False)), "reuse").otherwise("process")
+    return rows.join(known, F.col(row_key) == F.col("__key"), "left").withColumn("plan", plan).drop("__key", "__manual", "__reusable")
+
+
 # ---- aggregates
 
 
@@ -213,16 +252,28 @@ def scan_report(rows: DataFrame, scan: str, identity: Column, order: str, is_pro
 
 
 def weekly_groups(rows: DataFrame, started: str, identity: str, kind: Column, order: str, title: str, zone: str = "Asia/Manila") -> DataFrame:
-    """Per local week and identity the best kind (0 new, 1 saved, 2 unknown), the first title of it, and how often it came.
+    """Per local week and identity the best kind (0 new, 1 saved, 2 unknown), its title, and how often it came.
 
-    The row of the best kind wins, then the earliest scan, then ``order``.
-    Rows without an identity aren't grouped.
+    The first row by scan, then ``order``, gives the title; the first new row
+    after it replaces it unless its own is blank. Rows without an identity
+    aren't grouped.
     """
     rows = rows.withColumn("week", local_week(F.col(started), zone)).withColumn("__kind", kind).filter(F.col(identity).isNotNull())
-    place = F.struct("__kind", started, order)
-    return rows.groupBy("week", identity).agg(
-        F.min("__kind").alias("kind"), F.min_by(title, place).alias("title"), F.min(started).alias("first_seen"), F.count("*").alias("seen")
-    )
+    place, named = F.struct(started, order), F.nullif(F.trim(title), F.lit(""))
+    found = rows.groupBy("week", identity).agg(
+        F.min("__kind").alias("kind"), F.min(started).alias("first_seen"), F.count("*").alias("seen"),
+        F.min_by(F.struct("__kind", named.alias("t")), place).alias("__first"), F.min_by(F.struct(named.alias("t")), F.when(F.col("__kind") == 0, place)).alias("__new"),
+    )
+    chosen = F.when(F.col("__first.__kind") == 0, F.col("__first.t")).otherwise(F.coalesce("__new.t", "__first.t"))
+    return found.select("week", identity, "kind", chosen.alias("title"), "first_seen", "seen")
+
+
+def weekly_state(groups: DataFrame, packets: DataFrame, identity: str, key: str, fields: dict[str, str], work_status: str) -> DataFrame:
+    """Weekly groups with fields of their saved packet, null where there is none; only new groups have a status."""
+    side = packets.select(F.col(key).alias("__k"), F.col(work_status).alias("__status"), *(F.col(c).alias(f"__f_{n}") for n, c in fields.items()))
+    rows = groups.join(side, F.col(identity) == F.col("__k"), "left")
+    status = F.when(F.col("kind") == 0, F.coalesce("__status", F.lit("not recorded")))
+    return rows.select("week", identity, "kind", *(F.col(f"__f_{n}").alias(n) for n in fields), status.alias("status"))
 
 
 def weekly_report(rows: DataFrame, started: str, identity: str, kind: Column, order: str, title: str, complete: Column, legacy: Column, zone: str = "Asia/Manila") -> DataFrame:
@@ -247,9 +298,54 @@ def moved(df: DataFrame, before: str, after: str, key: str, title: str, reason:
     return df.filter(F.col(before) != F.col(after)).select(before, after, key, F.substring(title, 1, most).alias("title"), F.col(reason).alias("reason"))
 
 
+def reclassify_counts(rows: DataFrame, by: str, error: Column, manual: Column, label: Column, inspected: Column, downloaded: Column) -> DataFrame:
+    """A3: per run what was examined: errors, else manual ones, else the reclassified by label; inspections and downloads of all."""
+    done = ~error & ~manual
+    return rows.groupBy(by).agg(
+        F.count("*").alias("examined"), F.count_if(error).alias("errors"), F.count_if(~error & manual).alias("manual"), F.count_if(done).alias("reclassified"),
+        *(F.count_if(done & (label == n)).alias(n.replace(" ", "_")) for n in ("product", "review", "not relevant")),
+        F.count_if(inspected).alias("inspected"), F.count_if(downloaded).alias("downloaded"),
+    )
+
+
+def award_summary(awards: DataFrame, pending: Column, published: Column, amount: str) -> DataFrame:
+    """One row: awards, pending, accepted, and the exact total of the published ones."""
+    total = F.sum(F.when(published, F.col(amount).cast("decimal(18,2)"))).cast("decimal(28,2)")
+    return awards.agg(F.count("*").alias("n"), F.count_if(pending).alias("pending"), F.count_if(~pending).alias("accepted"), total.alias("total"))
+
+
+def outcome_totals(records: DataFrame, outcome: str, checked_at: str, outcomes: dict[str, str], never: str) -> DataFrame:
+    """One row: records, those of each outcome, never checked, checked, and the last check."""
+    o = F.col(outcome)
+    return records.agg(
+        F.count("*").alias("n"), *(F.count_if(o == v).alias(n) for n, v in outcomes.items()), F.count_if(o == never).alias("never"),
+        (F.count("*") - F.count_if(o == never)).alias("checked"), F.max(F.when(o != never, F.col(checked_at))).alias("last_check"),
+    )
+
+
+def run_statistics(rows: DataFrame, run: str, key: str, order: str, page: Column, counters: dict[str, Column], stop_reason: Column) -> DataFrame:
+    """A10: per run its counters over the first row of each key, what came again, pages, errors and the first reason to stop.
+
+    ``counters`` should name the flags inspected, small_value, classified,
+    saved, already_saved, product, not_relevant, review and errors.
+    """
+    flags = F.struct(*(c.alias(n) for n, c in counters.items()))
+    keys = rows.groupBy(run, key).agg(F.count("*").alias("__n"), F.min_by(flags, order).alias("__first"))
+    counts = keys.groupBy(run).agg(
+        F.sum("__n").alias("listed"), (F.sum("__n") - F.count("*")).alias("duplicates_skipped"), *(F.count_if(F.col(f"__first.{n}")).alias(n) for n in counters)
+    )
+    stops = rows.groupBy(F.col(run).alias("__run")).agg(F.count_distinct(page).alias("pages_visited"), F.min_by(stop_reason, F.when(stop_reason.isNotNull(), F.col(order))).alias("stop_reason"))
+    return counts.join(stops, F.col(run).eqNullSafe(F.col("__run"))).drop("__run").withColumn("stopped", F.col("stop_reason").isNotNull())
+
+
 # ---- windows, order, limits, sets
 
 
+def latest_first(df: DataFrame, at: str, key: str) -> DataFrame:
+    """By time, latest first, then by key, largest first."""
+    return df.orderBy(F.desc(at), F.desc(key))
+
+
 def repeated_pages(rows: DataFrame, scan: str, page: str, identity: str) -> DataFrame:
     """Per page its ids, and whether they are those of the page before it."""
     pages = rows.groupBy(scan, page).agg(F.array_join(F.sort_array(F.collect_list(F.col(identity).cast("string"))), ",").alias("fingerprint"))

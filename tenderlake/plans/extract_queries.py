@@ -70,6 +70,37 @@ def e8(spark, sf):
     return got.select("doc_id", F.col("place.value").alias("place"), F.col("period.value").alias("period"), F.col("lang.value").alias("lang"), F.col("lang.source").alias("lang_source"))
 
 
+@query(
+    "e8_requirements_record",
+    """WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS p, o_custkey AS c FROM orders)
+SELECT k, CASE WHEN k % 2 = 0 THEN 'Item ' || p ELSE p END AS product, CASE WHEN k % 2 = 0 THEN 'rfq' ELSE 'notice' END AS product_source, CASE WHEN k % 3 > 0 THEN 'C-' || k END AS control_number,
+CASE WHEN k % 5 > 0 THEN c || '.00' ELSE c::VARCHAR END AS budget, CASE WHEN k % 5 > 0 THEN 'rfq' ELSE 'notice' END AS budget_source, CASE WHEN k % 4 = 0 THEN 'per lot' END AS awarding,
+CASE WHEN k % 7 = 0 THEN 'within 30 days.' END AS payment_terms, 'Ana ' || c AS contact, CASE WHEN k % 2 = 0 THEN 'Business permit|' ELSE '' END || 'Income tax return' AS required_documents,
+CASE WHEN k % 3 = 0 THEN 'training=Training of ' || c || ' users|' ELSE '' END || 'acceptance=Payment after inspection and acceptance' AS quotes,
+CASE WHEN k % 4 = 1 THEN 'sealed envelope' END AS submission_method,
+array_to_string(list_filter([CASE WHEN k % 3 = 0 THEN 'control_number' END, 'deadline', 'place', CASE WHEN k % 6 <> 0 THEN 'delivery_period' END, CASE WHEN k % 4 > 0 THEN 'awarding' END, CASE WHEN k % 7 > 0 THEN 'payment_terms' END], lambda x: x IS NOT NULL), ',') AS missing
+FROM o""",
+)
+def e8_record(spark, sf):
+    """The whole record of texts in which fields come and go."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    said = lambda n, r, *parts: F.when(k % n == r, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)))
+    text = F.concat_ws(
+        "\n", said(2, 0, 'The office intends to procure "Item ', F.col("o_orderpriority"), '"'), F.when(k % 3 > 0, F.concat(F.lit("CONTROL NO. : C-"), k.cast("string"))),
+        F.when(k % 5 > 0, F.concat(F.lit("Approved Budget for the contract (PHP "), c, F.lit(".00)"))), said(6, 0, "Delivery schedule: ", c, " days"), said(4, 0, "AWARDING: per lot"),
+        said(7, 0, "Payment terms:\nwithin 30 days. Not a term."), F.concat(F.lit("Attention: Ana "), c, F.lit(", head")), said(2, 0, "1. Business permit"), F.lit("2. Permit with printed name\n3) Income tax  return\n4. A chair"),
+        said(3, 0, "Training of ", c, " users"), F.lit("Payment after inspection and acceptance"), said(4, 1, "In a sealed envelope"),
+    )
+    docs = table(spark, sf, "orders").withColumns({"text": text, "file": F.lit("rfq"), "listed": c})
+    got = E.requirements_record(docs, "o_orderkey", "text", "file", C.sentences(F.col("text"), True), {"product": "o_orderpriority", "budget": "listed"})
+    quotes = F.array_join(F.transform("quotes", lambda x: F.concat(x["name"], F.lit("="), x["quote"])), "|")
+    return got.select(
+        k.alias("k"), F.col("product.value").alias("product"), F.col("product.source").alias("product_source"), F.col("control_number.value").alias("control_number"), F.col("budget.value").alias("budget"),
+        F.col("budget.source").alias("budget_source"), F.col("awarding.value").alias("awarding"), F.col("payment_terms.value").alias("payment_terms"), F.col("contact.value").alias("contact"),
+        F.array_join("required_documents", "|").alias("required_documents"), quotes.alias("quotes"), "submission_method", F.array_join("missing_fields", ",").alias("missing"),
+    )
+
+
 @query(
     "e10_delivery_period",
     """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_custkey || ' calendar days' WHEN 1 THEN '7 Days' WHEN 2 THEN o_custkey::VARCHAR ELSE '45' END AS value,
@@ -195,12 +226,34 @@ def e22(spark, sf):
     return table(spark, sf, DOCS).select("doc_id", E.wording_around(F.col("text"), "[A-Za-z]+ed under").alias("wording")).filter("wording IS NOT NULL")
 
 
+@query(
+    "e22_submission_methods",
+    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'send your quote by email to a' || o_custkey || '@x' WHEN 1 THEN 'courier' WHEN 2 THEN 'hand carried' END AS method FROM orders""",
+)
+def e22_methods(spark, sf):
+    k, c = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
+    text = F.when(k == 0, F.concat(F.lit("By courier, or send  your quote by email to a"), c, F.lit("@x. Thanks"))).when(k == 1, "Quotes by COURIER or sealed envelope").when(k == 2, "They are hand  carried").otherwise("couriers write e-mails")
+    return table(spark, sf, "orders").select("o_orderkey", E.submission_method(F.regexp_replace(text, " +", " ")).alias("method"))
+
+
+@query("e22_identity", "SELECT c_custkey, c_name AS agency, nullif(c_mktsegment, 'BUILDING') AS category, CASE WHEN c_mktsegment <> 'BUILDING' THEN 'notice' END AS category_source FROM customer")
+def e22_identity(spark, sf):
+    c = table(spark, sf, "customer").withColumn("segment", F.when(F.col("c_mktsegment") == "BUILDING", "  ").otherwise(F.col("c_mktsegment")))
+    got = E.identity_fields(c, "c_custkey", {"agency": "c_name", "category": "segment"})
+    return got.select("c_custkey", F.col("agency.value").alias("agency"), F.col("category.value").alias("category"), F.col("category.source").alias("category_source"))
+
+
 @query(
     "e23_bulk_requirements",
-    r"""SELECT d.doc_id, nullif(regexp_extract(text, '([0-9]+@)', 1), '') AS period, coalesce(nullif(regexp_extract(text, '\n(Die|Les?|Las?|The) ', 1), ''), lang) AS lang FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 1""",
+    f"""WITH f AS (SELECT d.doc_id, nullif(regexp_extract(text, '([0-9]+@)', 1), '') AS period, coalesce(nullif(regexp_extract(text, '\\n(Die|Les?|Las?|The) ', 1), ''), lang) AS lang
+  FROM documents d SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id),
+c AS (SELECT doc_id, count(*) AS n, md5(string_agg(bucket || ':' || clause, '|' ORDER BY lower(clause))) AS digest FROM ({_CLAUSES}) GROUP BY 1)
+SELECT f.doc_id, period, lang, coalesce(n, 0)::INT AS n_clauses, coalesce(digest, md5('')) AS digest, concat_ws(',', CASE WHEN period IS NULL THEN 'period' END, CASE WHEN lang IS NULL THEN 'lang' END) AS missing FROM f LEFT JOIN c ON f.doc_id = c.doc_id""",
 )
 def e23(spark, sf):
-    chosen = table(spark, sf, "labels").filter("quality = 1").select("doc_id")
-    docs = table(spark, sf, DOCS).join(chosen, "doc_id", "left_semi")
-    got = E.document_requirements(docs, "doc_id", "text", "source", {"lang": "lang"}, RULES[1:])
-    return got.select("doc_id", F.col("period.value").alias("period"), F.col("lang.value").alias("lang"))
+    """Records of the documents of chosen notices, with their clauses and what is missing."""
+    chosen = table(spark, sf, "labels").filter("quality = 1")
+    parts = E.complete_sentences(C.sentences(F.col("text"), True), 12, CUT, r"\s*[|]\s*", "(?i) ever.*$")
+    got = E.bulk_requirements(table(spark, sf, DOCS), chosen, "doc_id", text_col="text", source_col="source", parts=parts, notice={"lang": "lang"}, rules=RULES[1:], buckets=BUCKETS, quoted=(("to", "to"),))
+    text = F.array_join(F.transform("clauses", lambda x: F.concat(x["bucket"], F.lit(":"), x["clause"])), "|")
+    return got.select("doc_id", F.col("period.value").alias("period"), F.col("lang.value").alias("lang"), F.size("clauses").alias("n_clauses"), F.md5(text).alias("digest"), F.array_join("missing_fields", ",").alias("missing"))

@@ -61,8 +61,7 @@ def p5(spark, sf):
 
 @query("p6_notice_summary", f"SELECT reference, title, organization, day, label, CASE WHEN label = 'product' THEN coalesce(work_status, 'new') END AS public_status, portal, portal = 'legacy' AS login_required FROM {NOTICES}")
 def p6(spark, sf):
-    status = F.when(F.col("label") == "product", F.coalesce("work_status", F.lit("new")))
-    return _notices(spark, sf).select("reference", "title", "organization", "day", "label", status.alias("public_status"), "portal", (F.col("portal") == "legacy").alias("login_required"))
+    return R.notice_summary(_notices(spark, sf), ["reference", "title", "organization", "day"], "label", "work_status", "portal")
 
 
 @query(
@@ -78,33 +77,33 @@ def p9(spark, sf):
     return o.select("o_orderkey", F.md5(text).alias("digest"))
 
 
-@query("p10_reuse_eligible", "SELECT d.doc_id, l.quality IS NOT NULL AND l.quality = 1 AS reusable FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+@query("p10_reuse_eligible", "SELECT d.doc_id, coalesce(l.quality = 1 AND l.toxic IS NOT NULL, false) AS reusable FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def p10(spark, sf):
     d = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
-    return d.select("doc_id", (F.col("quality").isNotNull() & F.coalesce(F.col("quality") == 1, F.lit(False))).alias("reusable"))
+    label = F.when(F.col("quality") == 1, "product")
+    return d.select("doc_id", R.reusable(F.col("quality").isNotNull(), F.col("toxic").isNotNull(), label).alias("reusable"))
 
 
 @query(
     "p11_case_report",
-    """SELECT o_orderkey, c_name AS organization, 'PHP ' || format('{:,.2f}', o_totalprice::DECIMAL(18,2)::DOUBLE) AS budget, coalesce(n, 0)::BIGINT AS n_items, coalesce(qty, 0)::DOUBLE AS quantity,
+    """SELECT o_orderkey, c_name AS organization, 'PHP ' || format('{:,.2f}', o_totalprice::DECIMAL(18,2)::DOUBLE) AS budget, CASE WHEN o_totalprice IS NOT NULL THEN 'notice' END AS budget_source, coalesce(n, 0)::BIGINT AS n_items, coalesce(qty, 0)::DOUBLE AS quantity,
 CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS reviewed FROM orders LEFT JOIN customer ON o_custkey = c_custkey
 LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS qty FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""",
 )
 def p11(spark, sf):
     from ..functions.money import format_money
 
-    items = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"))
-    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return o.select(
-        "o_orderkey", F.col("c_name").alias("organization"), format_money(F.col("o_totalprice")).alias("budget"), F.coalesce("n", F.lit(0)).alias("n_items"),
-        F.coalesce("qty", F.lit(0.0)).alias("quantity"), F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False).alias("reviewed"),
-    )
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    fields = {"organization": F.col("c_name"), "budget": format_money(F.col("o_totalprice"))}
+    reviewed = F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False)
+    got = R.case_report(o, table(spark, sf, "lineitem"), "o_orderkey", "l_orderkey", "l_quantity", fields, reviewed)
+    return got.select("o_orderkey", F.col("organization.value").alias("organization"), F.col("budget.value").alias("budget"), F.col("budget.source").alias("budget_source"), "n_items", "quantity", "reviewed")
 
 
 @query("p12_packet_projection", "SELECT o_orderkey, coalesce(nullif(o_orderpriority, '5-LOW'), '') AS title, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS status, [o_orderpriority] AS tags FROM orders")
 def p12(spark, sf):
-    o = table(spark, sf, "orders")
-    return o.select("o_orderkey", F.coalesce(F.nullif("o_orderpriority", F.lit("5-LOW")), F.lit("")).alias("title"), F.nullif("o_orderstatus", F.lit("P")).alias("status"), F.array("o_orderpriority").alias("tags"))
+    texts = {"title": F.nullif("o_orderpriority", F.lit("5-LOW"))}
+    return R.with_defaults(table(spark, sf, "orders"), "o_orderkey", texts, {"status": F.nullif("o_orderstatus", F.lit("P"))}, {"tags": F.array("o_orderpriority")})
 
 
 @query(
@@ -113,8 +112,17 @@ def p12(spark, sf):
 FROM customer WHERE c_acctbal < 0 OR c_mktsegment = 'MACHINERY' OR c_nationkey > 20""",
 )
 def p13(spark, sf):
-    rules = {"amount": F.col("c_acctbal") >= 0, "segment": F.col("c_mktsegment") != "MACHINERY", "nation": F.col("c_nationkey") <= 20}
-    return R.validated(table(spark, sf, "customer"), "c_custkey", rules)[1].select("c_custkey", F.array_join("errors", ",").alias("errors"))
+    return R.validated(table(spark, sf, "customer"), "c_custkey", _customer_rules())[1].select("c_custkey", F.array_join("errors", ",").alias("errors"))
+
+
+def _customer_rules():
+    return {"amount": F.col("c_acctbal") >= 0, "segment": F.col("c_mktsegment") != "MACHINERY", "nation": F.col("c_nationkey") <= 20}
+
+
+@query("p13_valid", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal >= 0 AND c_mktsegment <> 'MACHINERY' AND c_nationkey <= 20")
+def p13_valid(spark, sf):
+    """The records that pass the same rules."""
+    return R.validated(table(spark, sf, "customer"), "c_custkey", _customer_rules())[0].select("c_custkey", "c_name")
 
 
 @query(
@@ -135,13 +143,13 @@ def j2(spark, sf):
 @query(
     "j3_scan_rows_state",
     """SELECT o_orderstatus, CASE WHEN c_acctbal < 0 THEN 'reuse' WHEN o_orderpriority = '5-LOW' THEN 'skip' WHEN c_nationkey < 5 THEN 'reuse' ELSE 'process' END AS plan, count(*)::BIGINT AS n
-FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 2 = 0 GROUP BY ALL""",
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_mktsegment <> 'BUILDING' GROUP BY ALL""",
 )
 def j3(spark, sf):
-    state = table(spark, sf, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") < 0).alias("is_manual"), (F.col("c_nationkey") < 5).alias("reusable"))
-    o = table(spark, sf, "orders").join(state, F.col("o_custkey") == F.col("k"), "left")
-    plan = F.when(F.coalesce("is_manual", F.lit(False)), "reuse").when(F.col("o_orderpriority") == "5-LOW", "skip").when(F.coalesce("reusable", F.lit(False)), "reuse").otherwise("process")
-    return o.groupBy("o_orderstatus", plan.alias("plan")).agg(F.count("*").alias("n"))
+    """Plans of scan rows; customers of one segment have no saved state."""
+    state = table(spark, sf, "customer").filter("c_mktsegment <> 'BUILDING'").select("c_custkey", (F.col("c_acctbal") < 0).alias("is_manual"), (F.col("c_nationkey") < 5).alias("reusable"))
+    rows = R.planned_rows(table(spark, sf, "orders"), state, "o_custkey", "c_custkey", F.col("o_orderpriority") == "5-LOW")
+    return rows.groupBy("o_orderstatus", "plan").agg(F.count("*").alias("n"))
 
 
 @query("j4_snapshot_overlay", "SELECT event_id, coalesce(c_mktsegment, event_type) AS label, c_custkey IS NOT NULL AS found FROM events LEFT JOIN customer ON user_id = c_custkey AND c_nationkey < 12")
@@ -166,13 +174,13 @@ SELECT week, user_id, c_name AS title, CASE WHEN kind = 0 THEN coalesce(c_mktseg
 def j5(spark, sf):
     g = R.weekly_groups(table(spark, sf, "events"), "ts", "user_id", _kind(), "event_id", "event_type")
     c = table(spark, sf, "customer").filter("c_acctbal > 0")
-    return g.join(c, F.col("user_id") == F.col("c_custkey"), "left").select("week", "user_id", F.col("c_name").alias("title"), F.when(F.col("kind") == 0, F.coalesce("c_mktsegment", F.lit("not recorded"))).alias("status"))
+    return R.weekly_state(g, c, "user_id", "c_custkey", {"title": "c_name"}, "c_mktsegment").drop("kind")
 
 
-@query("j6_marking_live_over_stored", "SELECT o_orderkey, coalesce(c_name, 'stored ' || o_custkey) AS title, c_custkey IS NOT NULL AS found FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 3 <> 0")
+@query("j6_marking_live_over_stored", "SELECT o_orderkey, coalesce(c_name, 'stored ' || o_custkey) AS title, c_custkey IS NOT NULL AS found FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_mktsegment <> 'MACHINERY'")
 def j6(spark, sf):
     marks = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), F.concat(F.lit("stored "), F.col("o_custkey").cast("string")).alias("title"))
-    return R.overlay(marks, table(spark, sf, "customer").filter("c_custkey % 3 <> 0"), "c_custkey", {"title": "c_name"}).select("o_orderkey", "title", "found")
+    return R.overlay(marks, table(spark, sf, "customer").filter("c_mktsegment <> 'MACHINERY'"), "c_custkey", {"title": "c_name"}).select("o_orderkey", "title", "found")
 
 
 @query("j7_award_overview", "SELECT c_custkey, coalesce(outcome, 'never') AS outcome FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderstatus) AS outcome FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) ON c_custkey = o_custkey")
@@ -192,17 +200,20 @@ def j8(spark, sf):
     return R.exact_awards(table(spark, sf, "lineitem"), wanted, "l_orderkey", "l_partkey", 3).select("l_orderkey", "l_partkey", "truncated")
 
 
-@query(
-    "j8_detail_conflicts",
-    "SELECT l_orderkey, l_partkey, l_suppkey, p_size AS detail_reference FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <> l_suppkey AND p_size < 10",
-)
-def j8_detail(spark, sf):
+def _details(spark, sf):
     details = table(spark, sf, "part").filter("p_size < 10").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("bigint").alias("l_suppkey"), F.col("p_retailprice").alias("price"))
-    listed = table(spark, sf, "lineitem").withColumn("price", F.lit(None).cast("double"))
-    odd = listed.join(details.select(F.col("l_partkey").alias("n"), F.col("l_suppkey").alias("r")), F.col("l_partkey") == F.col("n")).filter("r != l_suppkey")
-    conflicts = R.checked_details(listed, details, "l_suppkey", "l_partkey", ["price"])[1]
-    keyed = odd.select("l_orderkey", "l_partkey", "l_suppkey", F.col("r").cast("int").alias("detail_reference"))
-    return keyed.join(conflicts.select(F.col("l_partkey"), F.col("l_suppkey")).distinct(), ["l_partkey", "l_suppkey"], "left_semi")
+    return R.checked_details(table(spark, sf, "lineitem").withColumn("price", F.lit(None).cast("double")), details, "l_suppkey", "l_partkey", ["price"])
+
+
+@query("j8_detail_conflicts", "SELECT l_partkey, l_suppkey, p_size::BIGINT AS detail_reference FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <> l_suppkey AND p_size < 10")
+def j8_detail(spark, sf):
+    return _details(spark, sf)[1]
+
+
+@query("j8_detail_values", "SELECT l_orderkey, l_linenumber, l_partkey, p_retailprice AS price FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 10) ON l_partkey = p_partkey WHERE p_size IS NULL OR p_size = l_suppkey")
+def j8_values(spark, sf):
+    """List rows without a conflict, with the values of their details."""
+    return _details(spark, sf)[0].select("l_orderkey", "l_linenumber", "l_partkey", "price")
 
 
 @query("j9_uniqueness_guard", "SELECT a.o_orderkey, a.o_custkey FROM orders a SEMI JOIN (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'P') b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey WHERE a.o_orderstatus = 'F'")
@@ -230,13 +241,15 @@ def a2(spark, sf):
 
 @query(
     "a3_reclassify_counts",
-    "SELECT user_id % 7 AS run, count(*)::BIGINT AS examined, count_if(event_type = 'error')::BIGINT AS errors, count_if(event_type = 'signup')::BIGINT AS manual, count_if(event_type NOT IN ('error', 'signup'))::BIGINT AS reclassified, count_if(event_type = 'view')::BIGINT AS inspected FROM events GROUP BY 1",
+    """SELECT user_id % 7 AS run, count(*)::BIGINT AS examined, count_if(event_type = 'error')::BIGINT AS errors, count_if(event_type = 'signup')::BIGINT AS manual, count_if(event_type NOT IN ('error', 'signup'))::BIGINT AS reclassified,
+count_if(event_type = 'purchase')::BIGINT AS product, count_if(event_type = 'click')::BIGINT AS review, count_if(event_type NOT IN ('error', 'signup', 'purchase', 'click'))::BIGINT AS not_relevant,
+count_if(event_type = 'view')::BIGINT AS inspected, count_if(value > 100)::BIGINT AS downloaded FROM events GROUP BY 1""",
 )
 def a3(spark, sf):
     t = F.col("event_type")
-    return table(spark, sf, "events").groupBy((F.col("user_id") % 7).alias("run")).agg(
-        F.count("*").alias("examined"), F.count_if(t == "error").alias("errors"), F.count_if(t == "signup").alias("manual"), F.count_if(~t.isin("error", "signup")).alias("reclassified"), F.count_if(t == "view").alias("inspected")
-    )
+    label = F.when(t == "purchase", "product").when(t == "click", "review").otherwise("not relevant")
+    e = table(spark, sf, "events").withColumn("run", F.col("user_id") % 7)
+    return R.reclassify_counts(e, "run", t == "error", t == "signup", label, t == "view", F.col("value") > 100)
 
 
 _SCANS = "(SELECT user_id % 20 AS scan, *, CASE WHEN user_id % 9 <> 0 THEN floor(value * 10)::BIGINT END AS ident FROM events)"
@@ -295,38 +308,31 @@ def a6(spark, sf):
 
 @query("a7_award_summary", "SELECT count(*)::BIGINT AS n, count_if(o_orderpriority = '1-URGENT')::BIGINT AS pending, count_if(o_orderpriority <> '1-URGENT')::BIGINT AS accepted, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice::DECIMAL(18,2) END)::DECIMAL(28,2) AS total FROM orders")
 def a7(spark, sf):
-    pending = F.col("o_orderpriority") == "1-URGENT"
-    total = F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice").cast("decimal(18,2)"))).cast("decimal(28,2)")
-    return table(spark, sf, "orders").agg(F.count("*").alias("n"), F.count_if(pending).alias("pending"), F.count_if(~pending).alias("accepted"), total.alias("total"))
+    return R.award_summary(table(spark, sf, "orders"), F.col("o_orderpriority") == "1-URGENT", F.col("o_orderstatus") == "F", "o_totalprice")
 
 
 @query("a8_outcome_totals", "SELECT count(*)::BIGINT AS n, count_if(o_orderstatus = 'F')::BIGINT AS published, count_if(o_orderstatus = 'O')::BIGINT AS never, (count(*) - count_if(o_orderstatus = 'O'))::BIGINT AS checked, max(CASE WHEN o_orderstatus <> 'O' THEN o_orderdate END) AS last_check FROM orders")
 def a8(spark, sf):
-    s = F.col("o_orderstatus")
-    return table(spark, sf, "orders").agg(F.count("*").alias("n"), F.count_if(s == "F").alias("published"), F.count_if(s == "O").alias("never"), (F.count("*") - F.count_if(s == "O")).alias("checked"), F.max(F.when(s != "O", F.col("o_orderdate"))).alias("last_check"))
+    return R.outcome_totals(table(spark, sf, "orders"), "o_orderstatus", "o_orderdate", {"published": "F"}, "O")
 
 
 @query(
     "a10_run_statistics",
-    """WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id % 10, floor(value * 10)::BIGINT ORDER BY event_id) AS rn FROM events)
-SELECT user_id % 10 AS run, count(*)::BIGINT AS listed, count_if(rn > 1)::BIGINT AS duplicates_skipped, count_if(rn = 1 AND event_type = 'purchase')::BIGINT AS saved, count_if(rn = 1 AND event_type = 'signup')::BIGINT AS already_saved,
-count_if(rn = 1 AND event_type = 'error')::BIGINT AS errors, bool_or(event_type = 'error' AND value > 100) AS stopped FROM k GROUP BY 1""",
+    """WITH k AS (SELECT *, user_id % 10 AS run, row_number() OVER (PARTITION BY user_id % 10, floor(value * 10)::BIGINT ORDER BY event_id) AS rn FROM events)
+SELECT run, count(*)::BIGINT AS listed, count_if(rn > 1)::BIGINT AS duplicates_skipped, count_if(rn = 1)::BIGINT AS inspected, count_if(rn = 1 AND value < 50)::BIGINT AS small_value, count_if(rn = 1 AND event_type <> 'error')::BIGINT AS classified,
+count_if(rn = 1 AND event_type = 'purchase')::BIGINT AS saved, count_if(rn = 1 AND event_type = 'signup')::BIGINT AS already_saved, count_if(rn = 1 AND event_type = 'click')::BIGINT AS product, count_if(rn = 1 AND event_type = 'view')::BIGINT AS not_relevant,
+count_if(rn = 1 AND event_type NOT IN ('click', 'view', 'error'))::BIGINT AS review, count_if(rn = 1 AND event_type = 'error')::BIGINT AS errors, count(DISTINCT event_id // 250)::BIGINT AS pages_visited,
+arg_min('at ' || event_id, event_id) FILTER (WHERE event_type = 'error' AND value > 100) AS stop_reason, bool_or(event_type = 'error' AND value > 100) AS stopped FROM k GROUP BY 1""",
 )
 def a10(spark, sf):
-    from pyspark.sql import Window
-
     e = table(spark, sf, "events").withColumns({"run": F.col("user_id") % 10, "key": F.floor(F.col("value") * 10).cast("long")})
-    e = e.withColumn("rn", F.row_number().over(Window.partitionBy("run", "key").orderBy("event_id")))
-    first, t = F.col("rn") == 1, F.col("event_type")
-    return e.groupBy("run").agg(
-        F.count("*").alias("listed"), F.count_if(~first).alias("duplicates_skipped"), F.count_if(first & (t == "purchase")).alias("saved"), F.count_if(first & (t == "signup")).alias("already_saved"),
-        F.count_if(first & (t == "error")).alias("errors"), F.bool_or((t == "error") & (F.col("value") > 100)).alias("stopped"),
-    )
-
-
-@query("w1_keep_first", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
-def w1(spark, sf):
-    return R.first_per_key(table(spark, sf, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id")
+    t = F.col("event_type")
+    counters = {
+        "inspected": F.lit(True), "small_value": F.col("value") < 50, "classified": t != "error", "saved": t == "purchase", "already_saved": t == "signup",
+        "product": t == "click", "not_relevant": t == "view", "review": ~t.isin("click", "view", "error"), "errors": t == "error",
+    }
+    stop = F.when((t == "error") & (F.col("value") > 100), F.concat(F.lit("at "), F.col("event_id").cast("string")))
+    return R.run_statistics(e, "run", "key", "event_id", F.floor(F.col("event_id") / 250), counters, stop)
 
 
 _PAGES = "(SELECT user_id % 30 AS scan, event_id // 250 AS page, ((event_id // 500) * 7 + user_id % 5) % 11 AS ident, ts FROM events)"
@@ -352,7 +358,7 @@ def w3(spark, sf):
     return R.best_with_tie(table(spark, sf, "lineitem"), "l_orderkey", "l_quantity", "l_linenumber", 40).select("l_orderkey", "l_quantity", "tied")
 
 
-@query("w4_precedence_first", f"SELECT week, user_id, arg_min(event_type, (kind, ts, event_id)) AS title, min(kind)::INT AS kind, count(*)::BIGINT AS seen FROM {WEEKLY} GROUP BY 1, 2")
+@query("w4_precedence_first", f"SELECT week, user_id, coalesce(arg_min(event_type, (ts, event_id)) FILTER (WHERE kind = 0), arg_min(event_type, (ts, event_id))) AS title, min(kind)::INT AS kind, count(*)::BIGINT AS seen FROM {WEEKLY} GROUP BY 1, 2")
 def w4(spark, sf):
     return R.weekly_groups(table(spark, sf, "events"), "ts", "user_id", _kind(), "event_id", "event_type").select("week", "user_id", "title", "kind", "seen")
 
@@ -402,7 +408,7 @@ def l4(spark, sf):
 
 @query("l5_list_orders", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC")
 def l5(spark, sf):
-    return table(spark, sf, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    return R.latest_first(table(spark, sf, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey")
 
 
 @query("u1_portal_union", "SELECT 'current' AS portal, c_custkey AS k, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT 'legacy', s_suppkey, s_name, NULL FROM supplier")

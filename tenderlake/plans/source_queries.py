@@ -31,7 +31,8 @@ def _listing_pages(spark, sf, tail: str = ""):
 def s1(spark, sf):
     k = _s("o_orderkey")
     name = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("legacy-"), k)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("report-"), k)).otherwise(k)
-    return table(spark, sf, "orders").select("o_orderkey", name.alias("storage_id")).filter(T.safe_key(F.col("storage_id")))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.concat(name, F.lit(".json")).alias("file"))
+    return S.stored_rows(rows, F.col("file")).select("o_orderkey", "storage_id")
 
 
 @query("s2_listing_rows", "SELECT o_custkey AS page, o_orderkey::VARCHAR AS reference, '/detail?refID=' || o_orderkey AS url, o_orderpriority AS mode, o_orderstatus AS status FROM orders")
@@ -143,7 +144,7 @@ def s13(spark, sf):
     text = F.to_json(F.struct(_s("user_id").alias("scan_id"), "started_at", "discovered"))
     broken = r.select(F.when(F.col("user_id") % 9 == 0, F.concat(F.lit("{"), text)).otherwise(text).alias("report"))
     parsed = broken.select(F.from_json("report", "scan_id string, started_at timestamp_ntz, discovered bigint, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
-    return parsed.filter(F.col("r._corrupt").isNull() & F.col("r.scan_id").rlike("^[0-9]+$")).select("r.scan_id", "r.started_at", "r.discovered").orderBy(F.desc("started_at"), F.desc("scan_id"))
+    return S.newest_readable(parsed.select("r.*"))
 
 
 @query(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
+
 PACKET = """portal string, id string, title string, organization string, posted_date string,
 relevance struct<is_relevant:boolean,needs_review:boolean,confidence:double,category:string,reasons:array<string>,notes:array<string>>,
 classification string, classification_source string, reviewed boolean, reviewed_at timestamp, work_status string, has_requirements boolean"""
@@ -18,8 +20,13 @@ def packets(spark: SparkSession, directory: str, schema: str = PACKET) -> DataFr
     The id of a row is that of its file.
     """
     rows = spark.read.schema(schema + ", _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").json(directory)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
-    return rows.withColumn("storage_id", name).filter(F.col("storage_id").rlike("^([0-9]+|legacy-[0-9]+)$") & F.col("_corrupt").isNull()).drop("_corrupt")
+    return stored_rows(rows.filter(F.col("_corrupt").isNull()).drop("_corrupt"), F.col("_metadata.file_name"))
+
+
+def stored_rows(rows: DataFrame, file_name: Column) -> DataFrame:
+    """The rows whose file is named by a storage id, with that ``storage_id``."""
+    named = rows.withColumn("storage_id", F.regexp_extract(file_name, r"^(.*)\.json$", 1))
+    return named.filter(F.col("storage_id").rlike("^([0-9]+|legacy-[0-9]+)$"))
 
 
 def text_sections(texts: DataFrame, key: str, text_col: str, marker: str, name_group: int = 1, default: Column | None = None) -> DataFrame:
@@ -28,16 +35,15 @@ def text_sections(texts: DataFrame, key: str, text_col: str, marker: str, name_g
     Each ``marker`` line starts a section and names it. A text without one is
     one section named by ``default``.
     """
-    whole = F.coalesce(F.col(text_col), F.lit(""))
-    parts = texts.select(key, (default if default is not None else F.col(key).cast("string")).alias("__name"), F.posexplode(F.split(whole, f"(?={marker})")).alias("position", "chunk"))
-    named = parts.withColumn("filename", F.regexp_extract("chunk", marker, name_group))
-    any_marker = F.max(F.col("filename") != "").over(Window.partitionBy(key))
-    kept = named.withColumn("__any", any_marker).filter(~F.col("__any") | (F.col("filename") != ""))
-    place = F.row_number().over(Window.partitionBy(key).orderBy("position")) - 1
-    return kept.select(
-        key, place.alias("position"), F.when(F.col("__any"), F.col("filename")).otherwise(F.col("__name")).alias("filename"),
-        F.when(F.col("__any"), F.regexp_replace("chunk", f"^{marker}", "")).otherwise(F.col("chunk")).alias("text"),
-    )
+    named = F.transform(
+        F.split(F.coalesce(F.col(text_col), F.lit("")), f"(?={marker})"), lambda c: F.struct(F.regexp_extract(c, marker, name_group).alias("filename"), c.alias("chunk"))
+    )
+    whole = default if default is not None else F.col(key).cast("string")
+    marked = lambda xs: F.filter(xs, lambda x: x["filename"] != "")
+    plain = lambda xs: F.transform(xs, lambda x: F.struct(whole.alias("filename"), x["chunk"].alias("text")))
+    cut = lambda ms: F.transform(ms, lambda x: F.struct(x["filename"].alias("filename"), F.regexp_replace(x["chunk"], f"^{marker}", "").alias("text")))
+    sections = bind(named, lambda xs: bind(marked(xs), lambda ms: F.when(F.size(ms) > 0, cut(ms)).otherwise(plain(xs))))
+    return texts.select(key, F.posexplode(sections).alias("position", "__s")).select(key, "position", "__s.*")
 
 
 def text_with_fallback(documents: DataFrame, extracted: DataFrame, key: str, text: str, raw: str) -> tuple[DataFrame, DataFrame]:
@@ -52,6 +58,11 @@ def text_with_fallback(documents: DataFrame, extracted: DataFrame, key: str, tex
 def snapshots(spark: SparkSession, directory: str, schema: str = REPORT) -> DataFrame:
     """Readable reports with numeric ids, newest first; others are dropped."""
     rows = spark.read.schema(schema + ", _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").json(directory)
+    return newest_readable(rows)
+
+
+def newest_readable(rows: DataFrame) -> DataFrame:
+    """Parsed reports with a numeric id and nothing in ``_corrupt``, newest first."""
     return rows.filter(F.col("scan_id").rlike("^[0-9]+$") & F.col("_corrupt").isNull()).drop("_corrupt").orderBy(F.desc("started_at"), F.desc("scan_id"))
 
 

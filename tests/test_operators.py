@@ -110,6 +110,39 @@ def test_scan_lists_and_moved_rows(spark):
     assert [tuple(r) for r in Rel.moved(df, "b", "a", "k", "t", "why", 2).collect()] == [("x", "y", 2, "lo", "r")]
 
 
+def test_requirement_records(spark):
+    rows = [
+        (1, 'Intends to procure "Antivirus"\nPayment terms: within 30 days.\n1. Business permit\n2. Printed name and permit\nTraining of users', "title"),
+        (2, None, "title"), (3, "", None),
+    ]
+    df = spark.createDataFrame(rows, "id int, text string, title string").withColumn("file", F.lit("rfq"))
+    got = {r["id"]: r for r in E.requirements_record(df, "id", "text", "file", C.sentences(F.col("text")), {"product": "title"}).collect()}
+    assert (got[1]["product"]["value"], got[1]["product"]["source"]) == ("Antivirus", "rfq") and got[1]["payment_terms"]["value"] == "within 30 days."
+    assert got[1]["required_documents"] == ["Business permit"] and [(x["name"], x["quote"]) for x in got[1]["quotes"]] == [("training", "Training of users")]
+    assert got[1]["delivery_period"] is None and "delivery_period" in got[1]["missing_fields"]
+    assert (got[2]["product"]["value"], got[2]["product"]["source"]) == ("title", "notice") and got[2]["clauses"] == []
+    assert got[3]["product"] is None and got[3]["missing_fields"] == [r.name for r in E.RECORD]
+    bulk = E.bulk_requirements(df, df.filter("id < 3").union(df.filter("id < 2")), "id", text_col="text", source_col="file", parts=C.sentences(F.col("text")), notice={})
+    assert sorted(r["id"] for r in bulk.collect()) == [1, 2]
+
+
+def test_clauses_within_a_row(spark):
+    df = spark.createDataFrame([(1, ["Beta", "alpha one", "Alpha", "beta", "alphabet", "zeta"]), (2, []), (3, None)], "id int, parts array<string>")
+    got = sorted((r["id"], r["pos"], r["clause"]) for r in E.clauses(df, "id", "parts").collect())
+    assert got == [(1, 0, "Beta"), (1, 1, "alpha one"), (1, 4, "alphabet"), (1, 5, "zeta")]
+
+
+def test_weekly_titles(spark):
+    at = lambda d: dt.datetime(2026, 3, d, 12)
+    rows = [
+        (1, at(3), "a", 2, "first"), (2, at(4), "a", 1, "saved"), (3, at(5), "b", 2, "first"), (4, at(6), "b", 0, "new"), (5, at(7), "b", 0, "later"),
+        (6, at(3), "c", 1, "first"), (7, at(4), "c", 0, " "), (8, at(3), "d", 0, ""), (9, at(4), "d", 1, "saved"), (10, at(3), None, 0, "none"),
+    ]
+    df = spark.createDataFrame(rows, "n int, ts timestamp, ident string, kind int, title string")
+    got = {r["ident"]: (r["kind"], r["title"], r["seen"]) for r in Rel.weekly_groups(df, "ts", "ident", F.col("kind"), "n", "title").collect()}
+    assert got == {"a": (1, "first", 2), "b": (0, "new", 3), "c": (0, "first", 2), "d": (0, None, 2)}
+
+
 def test_reasons_quote_terms(spark):
     df = spark.createDataFrame([("x " * 100 + "antivirus and  laptop " + "y " * 100,)], "t string")
     r = C.classify(df, "t", R.PROCUREMENT, keep=True).select(C.reasons(R.PROCUREMENT).alias("r")).first()["r"]
