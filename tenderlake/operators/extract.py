@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import bounded
+from ..functions.rules import matches
 from ..functions.text import bind, capture, clean, field
 
 
@@ -131,7 +131,7 @@ BUCKETS = (
 
 def bucket_of(sentence: Column, buckets: tuple[tuple[str, str], ...] = BUCKETS) -> Column:
     """The first bucket whose words occur, the last one otherwise."""
-    hits = [F.when(sentence.rlike(bounded(p)), F.lit(n)) for n, p in buckets[:-1]]
+    hits = [F.when(matches(sentence, p), F.lit(n)) for n, p in buckets[:-1]]
     return F.coalesce(*hits, F.lit(buckets[-1][0]))
 
 
@@ -280,7 +280,7 @@ def required_documents(text: Column, bidder: str = BIDDER) -> Column:
 
 def quoted_clauses(parts: Column, quoted: tuple[tuple[str, str], ...] = QUOTED) -> Column:
     """For each named pattern the first sentence that holds it, ``array<struct(name, quote)>``."""
-    first = lambda p: F.get(F.filter(parts, lambda s: s.rlike(bounded(p))), F.lit(0))
+    first = lambda p: F.get(F.filter(parts, lambda s: matches(s, p)), F.lit(0))
     found = F.array(*(F.struct(F.lit(n).alias("name"), first(p).alias("quote")) for n, p in quoted))
     return F.filter(found, lambda x: x["quote"].isNotNull())
 

@@ -228,4 +228,4 @@ def st5(spark, sf):
     out, checkpoint = _paths(spark)
     spelled = F.when(F.col("event_type") == "click", "yes").when(F.col("event_type") == "error", "Not-Relevant").when(F.col("event_type") == "view", "review")
     J.decision_state(_stream(spark, sf).withColumn("word", spelled), out, checkpoint, "user_id", "word", "ts", "event_id").awaitTermination()
-    return J.last(spark, out).select("user_id", "decision", "event_id")
+    return J.current(spark, out, "user_id").select("user_id", "decision", "event_id")

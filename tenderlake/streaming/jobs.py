@@ -26,24 +26,21 @@ def _run(stream: DataFrame, checkpoint: str, mode: str, each: Callable[[DataFram
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, key: str, order: str) -> StreamingQuery:
-    """ST1: the first row of each key is saved, once, whatever later batches bring."""
-    names, schema = stream.columns, stream.schema
+    """ST1: the first row of each key is saved, once, whatever later batches bring; rows without a key are one key.
 
-    def each(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        target = _parts(spark, path, schema, epoch)
-        new = L.keep_first_append(target, batch, key, order).filter("outcome = 'saved'").select(*names)
-        new.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    Spark's state holds the first row of each key by time of batch, then by
+    ``order``. A batch writes the keys that it saw first, and reads nothing
+    that was written before.
+    """
+    names = stream.columns
+    now = F.col("__now")
+    first = F.min_by(F.struct(*names), F.struct(now.alias("at"), F.col(order).alias("place")))
+    result = stream.withColumn("__now", F.current_timestamp()).groupBy(F.col(key).alias("__key")).agg(first.alias("__row"), F.min(now).alias("__first"), F.max(now).alias("__last"))
 
-    return _run(stream, checkpoint, "append", each)
+    def each(batch: DataFrame, epoch: int) -> None:
+        batch.filter("__first = __last").select("__row.*").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-
-def _parts(spark: SparkSession, path: str, schema, epoch: int) -> DataFrame:
-    """Rows of the batches before ``epoch``."""
-    if epoch == 0:
-        return spark.createDataFrame([], schema)
-    rows = spark.read.option("basePath", path).parquet(path)
-    return rows.filter(F.col("epoch") < epoch).drop("epoch")
+    return _run(result, checkpoint, "update", each)
 
 
 def saved(spark: SparkSession, path: str) -> DataFrame:
@@ -68,38 +65,35 @@ def running_counts(stream: DataFrame, scan: Column, **counts: Column) -> DataFra
 
 
 def keep_last(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Writes each complete result; the last one stands."""
+    """Writes each complete result over the one before the last; the last one stands."""
 
     def each(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/slot={epoch % 2}")
 
     return _run(result, checkpoint, "complete", each)
 
 
 def last(spark: SparkSession, path: str) -> DataFrame:
-    """The latest complete result."""
+    """The latest complete result; at most two are kept."""
     rows = spark.read.option("basePath", path).parquet(path)
     newest = rows.agg(F.max("epoch")).first()[0]
-    return rows.filter(F.col("epoch") == newest).drop("epoch")
+    return rows.filter(F.col("epoch") == newest).drop("epoch", "slot")
 
 
 def decision_state(stream: DataFrame, path: str, checkpoint: str, key: str, value: str, at: str, order: str) -> StreamingQuery:
-    """ST5: the last valid decision of each key, folded batch by batch into a state table of one version per batch."""
+    """ST5: the last valid decision of each key, held in Spark's state; a batch writes the keys that it changed."""
+    valid = stream.select(key, L.normal_decision(F.col(value)).alias("decision"), at, order).filter("decision IS NOT NULL")
+    place = F.struct(at, order)
+    result = valid.groupBy(key).agg(F.max_by("decision", place).alias("decision"), F.max(place).alias("__place")).select(key, "decision", "__place.*")
 
     def each(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = batch.select(key, L.normal_decision(F.col(value)).alias("decision"), at, order).filter("decision IS NOT NULL")
-        known = _state(spark, path, new.schema, epoch)
-        place = F.struct(at, order)
-        both = known.unionByName(new)
-        folded = both.groupBy(key).agg(F.max_by("decision", place).alias("decision"), F.max(place).alias("p")).select(key, "decision", f"p.{at}", f"p.{order}")
-        folded.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-
-    return _run(stream, checkpoint, "append", each)
-
-
-def _state(spark: SparkSession, path: str, schema, epoch: int) -> DataFrame:
-    """The state that the batch before ``epoch`` left."""
-    if epoch == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(f"{path}/epoch={epoch - 1}")
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return _run(result, checkpoint, "update", each)
+
+
+def current(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The latest row of each key that the batches of a job have written."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    names = [c for c in rows.columns if c not in (key, "epoch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*names), "epoch").alias("__row")).select(key, "__row.*")

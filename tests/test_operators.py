@@ -315,7 +315,7 @@ def test_streams_equal_batches(spark, tmp_path):
     assert saved.count() == saved.select("key").distinct().count() == 7
     J.decision_state(stream(), str(tmp_path / "b"), str(tmp_path / "bc"), "key", "word", "ts", "event_id").awaitTermination()
     batch = {r["key"]: r["decision"] for r in L.decisions(df, "key", "word", "ts", "event_id").collect()}
-    assert {r["key"]: r["decision"] for r in J.last(spark, str(tmp_path / "b")).collect()} == batch
+    assert {r["key"]: r["decision"] for r in J.current(spark, str(tmp_path / "b"), "key").collect()} == batch
     J.keep_last(J.weekly_counts(stream(), "ts", "30 days"), str(tmp_path / "c"), str(tmp_path / "cc")).awaitTermination()
     weeks = {r["w"]: r["n"] for r in df.groupBy(D.local_week(F.col("ts")).alias("w")).agg(F.count("*").alias("n")).collect()}
     assert {r["w"]: r["n"] for r in J.last(spark, str(tmp_path / "c")).select((F.col("start") + F.expr("INTERVAL 8 HOURS")).cast("date").alias("w"), "n").collect()} == weeks
