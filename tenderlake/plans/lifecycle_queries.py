@@ -9,7 +9,7 @@ from ..operators import classify as C
 from ..operators import lifecycle as L
 from ..operators import relational as R
 from ..session import table
-from .classify_queries import CORPUS, TITLED, sql_classified, titled
+from .classify_queries import CORPUS, DOCS, TITLED, sql_classified, titled
 from .registry import query
 
 
