@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(name: str = "tenderlake", **conf: str) -> SparkSession:
@@ -14,16 +15,22 @@ def build_session(name: str = "tenderlake", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def dealt(scan: DataFrame) -> DataFrame:
+    """``scan``, dealt over the cores if fewer of its partitions than there are cores hold rows.
+
+    A file of one row group is cut into many splits, of which one has all the
+    rows. So partitions with rows are counted, which reads the footers only.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    filled = scan.select(F.spark_partition_id().alias("part")).distinct().count()
+    return scan.repartition(cores) if filled < cores else scan
+
+
 #: Tables of long texts, whose rows cost much more than reading them.
 LONG_TEXTS = ("documents", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables under ``sf_dir``.
-
-    Long texts that are read in fewer partitions than there are cores (a
-    single row group is one) are dealt over the cores.
-    """
+    """One of the Parquet tables under ``sf_dir``; long texts are ``dealt``."""
     found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return found.repartition(cores) if name in LONG_TEXTS and found.rdd.getNumPartitions() < cores else found
+    return dealt(found) if name in LONG_TEXTS else found

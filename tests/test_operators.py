@@ -14,6 +14,7 @@ from tenderlake.operators import classify as C
 from tenderlake.operators import extract as E
 from tenderlake.operators import lifecycle as L
 from tenderlake.operators import relational as Rel
+from tenderlake.session import dealt
 from tenderlake.sources import files as S
 from tenderlake.sources import html as H
 from tenderlake.streaming import jobs as J
@@ -319,3 +320,19 @@ def test_streams_equal_batches(spark, tmp_path):
     J.keep_last(J.weekly_counts(stream(), "ts", "30 days"), str(tmp_path / "c"), str(tmp_path / "cc")).awaitTermination()
     weeks = {r["w"]: r["n"] for r in df.groupBy(D.local_week(F.col("ts")).alias("w")).agg(F.count("*").alias("n")).collect()}
     assert {r["w"]: r["n"] for r in J.last(spark, str(tmp_path / "c")).select((F.col("start") + F.expr("INTERVAL 8 HOURS")).cast("date").alias("w"), "n").collect()} == weeks
+
+
+def test_one_row_group_is_dealt_over_the_cores(spark, tmp_path):
+    path = f"{tmp_path}/one.parquet"
+    spark.range(20_000).selectExpr("id AS doc_id", "repeat(cast(id AS string), 40) AS text").repartition(1).write.option("parquet.block.size", 1 << 30).parquet(path)
+    splits = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        scan = spark.read.parquet(path)
+        assert scan.rdd.getNumPartitions() >= 4
+        sizes = dealt(scan).groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) == 4 and min(r["count"] for r in sizes) > 4_000
+        many = spark.range(100, numPartitions=9)
+        assert dealt(many).rdd.getNumPartitions() == 9
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", splits)
