@@ -12,13 +12,14 @@ from . import (
     queries_packing,
     queries_quality_rules,
     queries_simhash,
+    queries_spelling,
     queries_substring_dedup,
     queries_warc,
 )
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (queries_lm, queries_chat, queries_warc, queries_classifiers, queries_decontaminate, queries_packing, queries_substring_dedup, queries_simhash, queries_quality_rules):
+for _module in (queries_lm, queries_chat, queries_warc, queries_classifiers, queries_decontaminate, queries_packing, queries_substring_dedup, queries_simhash, queries_quality_rules, queries_spelling):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
 QUERIES["pipeline"] = corpus_pipeline.run
