@@ -14,12 +14,14 @@ from . import (
     queries_simhash,
     queries_spelling,
     queries_substring_dedup,
+    queries_urls,
     queries_warc,
+    queries_whitening,
 )
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (queries_lm, queries_chat, queries_warc, queries_classifiers, queries_decontaminate, queries_packing, queries_substring_dedup, queries_simhash, queries_quality_rules, queries_spelling):
+for _module in (queries_lm, queries_chat, queries_warc, queries_classifiers, queries_decontaminate, queries_packing, queries_substring_dedup, queries_simhash, queries_quality_rules, queries_spelling, queries_urls, queries_whitening):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
 QUERIES["pipeline"] = corpus_pipeline.run

@@ -20,7 +20,7 @@ def test_sql(spark, name):
 
 
 def test_every_operator_has_its_query():
-    assert {int(n[2:].split("_")[0]) for n in registered.QUERIES if n.startswith("op")} == set(range(1, 11)) and "pipeline" in registered.QUERIES
+    assert {int(n[2:].split("_")[0]) for n in registered.QUERIES if n.startswith("op")} == set(range(1, 14)) and "pipeline" in registered.QUERIES
 
 
 def test_pipeline_stages_on_odd_rows(spark):
@@ -63,4 +63,4 @@ for name, query in __spark_entry__.queries().items():
 """
     keep = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=keep, capture_output=True, text=True, timeout=900)
-    assert done.returncode == 0 and done.stdout.count("ran ") == 11, done.stderr[-3000:]
+    assert done.returncode == 0 and done.stdout.count("ran ") == 14, done.stderr[-3000:]
