@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: The provenance field: a value and where it comes from.
 FIELD = "struct<value:string,num:double,source:string,page:int,confidence:string,scope:string,role:string,note:string,constraint:string,quantity:int,unit:string>"
@@ -119,14 +123,46 @@ def screened_emails(text: Column, official: str = r"\.gov(\.|$)") -> Column:
     return F.struct(F.coalesce(first_official, F.get(fine, F.lit(0))).alias("chosen"), F.filter(found, lambda e: ~good(e)).alias("candidates"))
 
 
-def attachment_names(df: DataFrame, key: str, order: str, *candidates: str, extension: str = "pdf", out: str = "name") -> DataFrame:
-    """Per row the first candidate that looks like a file name, made safe, with ``_n`` for repeats in a notice.
+def base_name(text: Column) -> Column:
+    """What follows the last slash of either kind, without quotes around it; null if nothing is left."""
+    last = F.regexp_extract(F.trim(text), r"([^/\\]*)$", 1)
+    return F.nullif(F.trim(F.regexp_replace(last, "^\"+|\"+$", "")), F.lit(""))
+
+
+def _unescaped(text: Column) -> Column:
+    """Percent escapes of UTF-8 decoded, or the text as it is where they can't be; a plus stays one."""
+    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+
+
+def disposition_name(header: Column) -> Column:
+    """The file name in a content-disposition header: the extended form (``charset'lang'escaped``) before the plain one."""
+    extended = F.regexp_replace(F.trim(F.regexp_extract(header, r"(?i)filename\*\s*=\s*([^;]+)", 1)), '^"(.*)"$', "$1")
+    coded = F.regexp_extract(extended, "^[^']*'[^']*'(.*)$", 1)
+    plain = F.regexp_extract(header, r'(?i)filename\s*=\s*(?:"([^"]*)"|([^";]+))', 1)
+    plain = F.when(plain != "", plain).otherwise(F.regexp_extract(header, r'(?i)filename\s*=\s*(?:"([^"]*)"|([^";]+))', 2))
+    return base_name(F.when(extended != "", F.when(coded != "", _unescaped(coded)).otherwise(extended)).otherwise(plain))
+
+
+def url_name(url: Column) -> Column:
+    """The last part of a URL's path, unescaped; null if the path ends in a slash or is empty."""
+    path = F.regexp_extract(F.regexp_replace(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), "^([^?#]*)", 1)
+    return _unescaped(F.nullif(F.regexp_extract(path, "([^/]*)$", 1), F.lit("")))
+
 
-    Names are compared in lower case. Rows without a plausible name are
-    called after the key and their place. A suffix that meets a name that is
-    there already is followed by a second number.
+def looks_like_file_name(name: Column) -> Column:
+    """Whether a name has a stem of its own and an extension of 1 to 8 letters or digits; ``download.pdf`` and the like don't."""
+    base = F.coalesce(base_name(name), F.lit(""))
+    return base.rlike(r"^.+\.[A-Za-z0-9]{1,8}$") & ~base.contains("..") & ~base.rlike(r"(?i)^(download|attachment|file|document)\.[^.]*$")
+
+
+def attachment_names(df: DataFrame, key: str, order: str, *candidates: Column, extension: str = "pdf", out: str = "name") -> DataFrame:
+    """Per row the first candidate that looks like a file name, made safe and free within the notice.
+
+    Candidates are tried in order, such as a link's text, ``disposition_name``
+    and ``url_name``. Rows without one are called after the key and their
+    place. Names are compared in lower case.
     """
-    plausible = lambda c: F.when(F.trim(F.col(c)).rlike(r"^[^/?*<>|]{1,200}\.[A-Za-z0-9]{1,5}$"), F.trim(F.col(c)))
+    plausible = lambda c: F.when(looks_like_file_name(c), base_name(c))
     rn = F.row_number().over(Window.partitionBy(key).orderBy(order))
     fallback = F.concat(F.col(key).cast("string"), F.lit("_"), padded(rn, 2), F.lit(f".{extension}"))
     safe = F.regexp_replace(F.coalesce(*map(plausible, candidates)), "[^A-Za-z0-9._ -]+", "_")
@@ -134,13 +170,49 @@ def attachment_names(df: DataFrame, key: str, order: str, *candidates: str, exte
     return collision_suffix(named, key, order, "__base", out).drop("__base")
 
 
-def collision_suffix(df: DataFrame, key: str, order: str, name: str, out: str) -> DataFrame:
-    """The n-th repeat of a name within ``key`` gets ``_n`` before its extension; a second pass where that name is taken."""
+#: A name as its stem, without numbers at its end, these numbers, and its extension.
+_NAME = r"(?s)^(.+?)((?:_[0-9]+)*)(\.[A-Za-z0-9]{1,5})?$"
 
-    def once(rows: DataFrame, source: str, target: str) -> DataFrame:
-        n = F.row_number().over(Window.partitionBy(key, F.lower(source)).orderBy(order)) - 1
-        stem, ext = F.regexp_extract(source, r"^(.*?)(\.[A-Za-z0-9]{1,5})?$", 1), F.regexp_extract(source, r"^(.*?)(\.[A-Za-z0-9]{1,5})?$", 2)
-        return rows.withColumn(target, F.when(n == 0, F.col(source)).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), ext)))
 
-    first = once(df, name, "__first")
-    return once(first, "__first", out).drop("__first")
+def collision_suffix(df: DataFrame, key: str, order: str, name: str, out: str) -> DataFrame:
+    """Names made free within ``key``: in ``order``, a name in use gets the least ``_n`` before its extension that isn't.
+
+    Names are compared in lower case; a null name stays null. Names can only
+    meet if they are equal up to numbers at their ends, so these families are
+    judged by themselves. In a family of one name the n-th repeat gets ``_n``,
+    which is a window; a family with several is folded in order by one task,
+    as a stream that keeps the names in use and not the rows.
+    """
+    lower = F.lower(F.col(name))
+    family = F.concat(F.regexp_extract(lower, _NAME, 1), F.lit("/"), F.regexp_extract(lower, _NAME, 3))
+    rows = df.withColumns({"__family": F.when(lower.rlike("^(_[0-9]+)*$"), "/").otherwise(family), "__lower": lower})
+    family = Window.partitionBy(key, "__family")
+    rows = rows.withColumn("__several", F.min("__lower").over(family) != F.max("__lower").over(family))
+    n = F.row_number().over(family.orderBy(order)) - 1
+    stem, ext = F.regexp_extract(name, r"(?s)^(.+?)(\.[A-Za-z0-9]{1,5})?$", 1), F.regexp_extract(name, r"(?s)^(.+?)(\.[A-Za-z0-9]{1,5})?$", 2)
+    numbered = F.when(F.col(name).isNull() | (n == 0), F.col(name)).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), ext))
+    plain = rows.filter(~F.coalesce("__several", F.lit(False))).withColumn(out, numbered)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, used, following = None, set(), {}
+        for batch in batches:
+            groups = zip(batch.column("__key").to_pylist(), batch.column("__family").to_pylist())
+            free = []
+            for now, own, stem, ext in zip(groups, batch.column("__own").to_pylist(), batch.column("__stem").to_pylist(), batch.column("__ext").to_pylist()):
+                if now != group:
+                    group, used, following = now, set(), {}
+                found, low = own, own.lower()
+                if low in used:
+                    k = following.get(low, 1)
+                    while (found := f"{stem}_{k}{ext}").lower() in used:
+                        k += 1
+                    following[low] = k + 1
+                used.add(found.lower())
+                free.append(found)
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(free, pa.string())], ["__row", "free"])
+
+    several = rows.filter("__several").select(F.struct(*df.columns).alias("__row"), F.col(key).cast("string").alias("__key"), "__family", F.col(name).alias("__own"), stem.alias("__stem"), ext.alias("__ext"), F.col(order).alias("__order"))
+    dealt = several.repartition("__key", "__family").sortWithinPartitions("__key", "__family", "__order")
+    kinds = StructType([dealt.schema["__row"], StructField("free", StringType())])
+    folded = dealt.mapInArrow(fold, kinds).select("__row.*", F.col("free").alias(out))
+    return plain.select(*df.columns, out).unionByName(folded)

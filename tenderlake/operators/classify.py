@@ -177,9 +177,9 @@ def sentences(text: Column, newline_only: bool = False) -> Column:
 
 
 def item_focus(parts: Column, rules: RuleSet, whole: Column | None = None) -> Column:
-    """Sentences that name a service, a physical good or a goods term; if there are none, or one of them
-    names a strong product term too, the whole text (all sentences, if it isn't given)."""
-    either = "|".join([p for _, p in (*rules.services, *rules.physical)] + [r"\s+".join(t.split()) + "s?" for t in rules.goods_terms])
+    """Sentences that name a service or a goods term; if there are none, or one of them names a strong
+    product term too, the whole text (all sentences, if it isn't given). Physical goods don't count."""
+    either = "|".join([p for _, p in rules.services] + [r"\s+".join(t.split()) + "s?" for t in rules.goods_terms])
     strong = "|".join(r"\s+".join(t.split()) + "s?" for t in rules.strong_terms)
     everything = F.array_join(parts, "\n") if whole is None else whole
     focused = F.filter(parts, lambda s: matches(s, either))

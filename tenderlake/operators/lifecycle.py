@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import known_date, slash_date
+from ..functions.money import money
+
 
 def normal_decision(text: Column) -> Column:
     """M1: product, not relevant or review from common spellings, else null."""
@@ -81,18 +84,49 @@ def merged_checks(previous: DataFrame, checks: DataFrame, key: str, ok: str, awa
     return rows.select(key, outcome.alias("outcome"), F.when(keep, F.coalesce("__a", F.lit(0))).otherwise(F.coalesce(awards, F.lit(0))).alias(awards))
 
 
-def import_merge(stored: DataFrame, incoming: DataFrame, key: str, fields: list[str], order: str, lifecycle: dict[str, list[tuple[str, str]] | None]) -> tuple[DataFrame, DataFrame]:
+def meaning(value: Column, kind: Column) -> Column:
+    """M8: what a text says, by which values are compared: an amount's number, a date's day, any other text trimmed."""
+    day = F.coalesce(known_date(value), slash_date(value).cast("date"), F.to_date(F.try_to_timestamp(F.trim(value), F.lit("d MMMM yyyy"))))
+    said = F.when(kind == "amount", money(value).cast("string")).when(kind == "date", day.cast("string"))
+    return F.coalesce(said, F.trim(value))
+
+
+def screened_import(incoming: DataFrame, key: str, kinds: dict[str, str], required: list[str] = []) -> tuple[DataFrame, DataFrame]:  # noqa: B006
+    """M8: the rows of an import that can be read, and the others as ``key, error``.
+
+    A row is rejected for the first of: no key, a required field without
+    text, an amount or date (``kinds``) that isn't one. Blank fields are null.
+    """
+    clean = incoming.select(*(F.nullif(F.trim(F.col(c)), F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in incoming.dtypes))
+    checks = [F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in [key, *required]]
+    checks += [F.when(F.col(c).isNotNull() & money(F.col(c)).isNull(), F.lit(f"unrecognized amount: {c}")) for c, k in kinds.items() if k == "amount"]
+    checks += [F.when(F.col(c).isNotNull() & ~meaning(F.col(c), F.lit("date")).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.lit(f"unrecognized date: {c}")) for c, k in kinds.items() if k == "date"]
+    judged = clean.withColumn("__error", F.coalesce(*checks))
+    return judged.filter("__error IS NULL").drop("__error"), judged.filter("__error IS NOT NULL").select(key, F.col("__error").alias("error"))
+
+
+def import_duplicates(stored: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
+    """M8: ``key, order`` of each incoming row whose key is stored already or came before it in the import."""
+    known = stored.select(F.col(key).alias("__k")).distinct()
+    first = incoming.groupBy(F.col(key).alias("__i")).agg(F.min(order).alias("__first"))
+    rows = incoming.select(key, order).join(first, F.col(key) == F.col("__i")).join(known, F.col(key) == F.col("__k"), "left")
+    return rows.filter(F.col("__k").isNotNull() | (F.col(order) > F.col("__first"))).select(key, order)
+
+
+def import_merge(stored: DataFrame, incoming: DataFrame, key: str, fields: list[str], order: str, lifecycle: dict[str, list[tuple[str, str]] | None], kinds: dict[str, str] = {}) -> tuple[DataFrame, DataFrame]:  # noqa: B006
     """M8: merged records, and the changes and conflicts ``key, field, stored, incoming, action`` of each field.
 
     Incoming rows of a key are folded in order: a null field is filled; a
     field in ``lifecycle`` takes an allowed change (None: any); another
-    value is a conflict and the stored one stays. Equal and null values do
-    nothing. All values are compared as text.
+    value is a conflict and the stored one stays. Null values do nothing, nor
+    do those of the same ``meaning``, by the ``kinds`` of the fields.
     """
+    kind = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair)), F.col("field")), F.lit("text")) if kinds else F.lit("text")
     text = lambda df: df.select(key, *(F.col(f).cast("string").alias(f) for f in fields), *([order] if order in df.columns else []))
     long = lambda df, *more: df.unpivot([key, *more], fields, "field", "value")
     old = long(text(stored)).withColumnsRenamed({key: "__k", "field": "__f", "value": "stored"})
-    new = long(text(incoming), order).filter("value IS NOT NULL").groupBy(key, "field").agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col("value")))).alias("steps"))
+    new = long(text(incoming), order).filter("value IS NOT NULL").withColumn("says", meaning(F.col("value"), kind))
+    new = new.groupBy(key, "field").agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col("value"), F.col("says")))).alias("steps"))
 
     def allowed(f: Column, now: Column, then: Column) -> Column:
         out = F.lit(False)
@@ -103,13 +137,14 @@ def import_merge(stored: DataFrame, incoming: DataFrame, key: str, fields: list[
 
     def fold(acc: Column, step: Column) -> Column:
         now, then = acc["now"], step["value"]
-        action = F.when(now.isNull(), "filled").when(now == then, "same").when(allowed(F.col("field"), now, then), "changed").otherwise("conflict")
+        action = F.when(now.isNull(), "filled").when(acc["says"] == step["says"], "same").when(allowed(F.col("field"), now, then), "changed").otherwise("conflict")
         entry = F.struct(now.alias("stored"), then.alias("incoming"), action.alias("action"))
-        return F.struct(F.when(action.isin("filled", "changed"), then).otherwise(now).alias("now"), F.concat(acc["log"], F.array(entry)).alias("log"))
+        taken = action.isin("filled", "changed")
+        return F.struct(F.when(taken, then).otherwise(now).alias("now"), F.when(taken, step["says"]).otherwise(acc["says"]).alias("says"), F.concat(acc["log"], F.array(entry)).alias("log"))
 
     joined = new.join(old, (F.col(key) == F.col("__k")) & (F.col("field") == F.col("__f")), "full_outer")
     joined = joined.select(F.coalesce(key, "__k").alias(key), F.coalesce("field", "__f").alias("field"), "stored", "steps")
-    start = F.struct(F.col("stored").alias("now"), F.array().cast("array<struct<stored:string,incoming:string,action:string>>").alias("log"))
+    start = F.struct(F.col("stored").alias("now"), meaning(F.col("stored"), kind).alias("says"), F.array().cast("array<struct<stored:string,incoming:string,action:string>>").alias("log"))
     steps = F.coalesce("steps", F.array().cast(joined.schema["steps"].dataType))
     done = joined.withColumn("r", F.aggregate(steps, start, fold))
     merged = done.groupBy(key).pivot("field", fields).agg(F.first("r.now"))
@@ -128,14 +163,22 @@ def history(versions: DataFrame, key: str, order: str, content: list[str]) -> Da
     return changed.withColumn("version", F.row_number().over(w)).withColumn("until", F.lead(order).over(w)).drop("__h", "__b")
 
 
-def party_standing(bids: DataFrame, key: str, name: Column, aliases: DataFrame, alias: str) -> DataFrame:
-    """Per bid: own, other, mixed or unverified, from its parties; ``aliases`` are our names, normalised (a small table)."""
+def party_standing(bids: DataFrame, key: str, name: Column, aliases: DataFrame, alias: str, outcome: Column | None = None) -> DataFrame:
+    """Per bid: own, other, mixed or unverified, from its parties; ``aliases`` are our names, normalised (a small table).
+
+    ``outcome`` is that of the bid's check, the same in all of its rows:
+    failed, conflict and none stand for themselves, anything but published is
+    never. A blank party is no other party, so it doesn't make an own award
+    mixed; others beside a blank one are unverified.
+    """
     rows = bids.withColumn("__n", name).join(aliases.select(F.col(alias).alias("__a")).distinct(), F.col("__n") == F.col("__a"), "left")
     own, blank = F.col("__a").isNotNull(), F.coalesce("__n", F.lit("")) == ""
-    return rows.groupBy(key).agg(
-        F.when(F.bool_and(blank), "unverified").when(F.bool_and(own), "own").when(F.bool_or(own), "mixed").when(F.bool_or(blank), "unverified").otherwise("other").alias("standing"),
-        F.count("*").alias("n_parties"),
-    )
+    ours, named = F.bool_or(own), F.bool_or(~own & ~blank)
+    standing = F.when(ours & named, "mixed").when(ours, "own").when(named & ~F.bool_or(blank), "other").otherwise("unverified")
+    if outcome is not None:
+        found = F.max(outcome)
+        standing = F.when(found.isin("failed", "conflict", "none"), found).when(F.coalesce(found, F.lit("")) != "published", "never").otherwise(standing)
+    return rows.groupBy(key).agg(standing.alias("standing"), F.count("*").alias("n_parties"))
 
 
 def reclassification_plan(stored_source: Column, stored_label: Column, new_label: Column) -> Column:

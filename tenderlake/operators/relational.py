@@ -166,17 +166,24 @@ def reusable(has_requirements: Column, has_relevance: Column, label: Column) ->
     return F.coalesce(has_requirements & has_relevance & label.isNotNull(), F.lit(False))
 
 
-def as_field(value: Column, source: str = "notice") -> Column:
-    """A plain value as a provenance record; blank ones are null."""
-    text = F.nullif(F.trim(value.cast("string")), F.lit(""))
-    return F.when(text.isNotNull(), F.struct(text.alias("value"), F.lit(source).alias("source"), F.lit("high").alias("confidence")))
+def as_field(value: Column, record: bool = False) -> Column:
+    """A provenance record as it is (``record``), or a plain value as one whose source and confidence aren't recorded; blank ones are null."""
+    text = F.nullif(F.trim((value["value"] if record else value).cast("string")), F.lit(""))
+    source = value["source"] if record else F.lit(None).cast("string")
+    confidence = F.coalesce(value["confidence"], F.lit("not recorded")) if record else F.lit("not recorded")
+    return F.when(text.isNotNull(), F.struct(text.alias("value"), source.alias("source"), confidence.alias("confidence")))
 
 
 def case_report(notices: DataFrame, items: DataFrame, key: str, item_key: str, quantity: str, fields: dict[str, Column], reviewed: Column) -> DataFrame:
-    """One wide row per notice: its fields as records, number and quantity of items, reviewed as true, false or unknown."""
+    """One wide row per notice: its fields as records, number and quantity of items, reviewed as true, false or unknown.
+
+    Fields that are structs with ``value``, ``source`` and ``confidence`` keep them.
+    """
     sums = items.groupBy(F.col(item_key).alias("__k")).agg(F.count("*").alias("n_items"), F.sum(quantity).alias("quantity"))
     rows = notices.join(sums, F.col(key) == F.col("__k"), "left")
-    return rows.select(key, *(as_field(c).alias(n) for n, c in fields.items()), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("quantity", F.lit(0.0)).alias("quantity"), reviewed.alias("reviewed"))
+    kinds = rows.select(*(c.alias(n) for n, c in fields.items())).dtypes
+    records = [as_field(fields[n], kind.startswith("struct")).alias(n) for n, kind in kinds]
+    return rows.select(key, *records, F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("quantity", F.lit(0.0)).alias("quantity"), reviewed.alias("reviewed"))
 
 
 def with_defaults(df: DataFrame, key: str, texts: dict[str, Column], nullable: dict[str, Column], lists: dict[str, Column]) -> DataFrame:
@@ -223,31 +230,40 @@ def coverage_sum(df: DataFrame, value: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.sum(x).alias("total"), F.count(x).alias("recorded"), (F.count("*") - F.count(x)).alias("missing"))
 
 
-def scan_listed(rows: DataFrame, scan: str, identity: Column, order: str, is_product: Column, known: Column, title: str) -> DataFrame:
+def scan_listed(rows: DataFrame, scan: str, identity: Column, order: str, is_product: Column, known: Column, title: str, error: Column) -> DataFrame:
     """A4: the product rows that a scan's report lists: ``scan, order, identity, title, previously_saved``.
 
-    Rows of one identity are listed once, the first by ``order``; those without an identity are all listed.
+    Rows with an error are passed over, products or not. Rows of one identity are listed once, the first by ``order``; those without an identity are all listed.
     """
     item = [F.col(order), identity.alias("identity"), F.col(title).alias("title"), F.coalesce(known, F.lit(False)).alias("previously_saved")]
-    found = rows.filter(is_product).select(scan, *item)
+    found = rows.filter(is_product & error.isNull()).select(scan, *item)
     named = found.filter("identity IS NOT NULL").groupBy(scan, "identity").agg(F.min_by(F.struct(order, "title", "previously_saved"), order).alias("__first"))
     return named.select(scan, f"__first.{order}", "identity", "__first.title", "__first.previously_saved").unionByName(found.filter("identity IS NULL"))
 
 
-def scan_errors(rows: DataFrame, scan: str, order: str, error: Column) -> DataFrame:
-    """A4: the messages of a scan: ``scan, order, message``."""
-    return rows.select(scan, order, error.alias("message")).filter("message IS NOT NULL")
+def scan_errors(rows: DataFrame, scan: str, order: str, error: Column, stopped: Column | None = None) -> DataFrame:
+    """A4: the messages of a scan: ``scan, order, message``.
+
+    ``stopped`` is what ended the scan as a whole, the same in all of its
+    rows; it is a message (with a null ``order``) if no row has an error.
+    """
+    found = rows.select(scan, order, error.alias("message")).filter("message IS NOT NULL")
+    if stopped is None:
+        return found
+    whole = rows.groupBy(scan).agg(F.count(error).alias("__n"), F.max(stopped).alias("message")).filter("__n = 0 AND message IS NOT NULL")
+    return found.unionByName(whole.select(scan, F.lit(None).cast(rows.schema[order].dataType).alias(order), "message"))
 
 
-def scan_report(rows: DataFrame, scan: str, identity: Column, order: str, is_product: Column, known: Column, error: Column, title: str) -> DataFrame:
+def scan_report(rows: DataFrame, scan: str, identity: Column, order: str, is_product: Column, known: Column, error: Column, title: str, stopped: Column | None = None) -> DataFrame:
     """A4: one row per scan with its counts; ``scan_listed`` and ``scan_errors`` give what is counted, as rows.
 
     Lists grow with the scan, so they aren't collected into its row.
     """
-    listed = scan_listed(rows, scan, identity, order, is_product, known, title).groupBy(F.col(scan).alias("__scan")).agg(
+    listed = scan_listed(rows, scan, identity, order, is_product, known, title, error).groupBy(F.col(scan).alias("__scan")).agg(
         F.count("*").alias("listed"), F.count_if("previously_saved").alias("previously_saved")
     )
-    counts = rows.groupBy(scan).agg(F.count("*").alias("discovered"), F.count_if(is_product).alias("products"), F.count(error).alias("errors"))
+    whole = F.when((F.count(error) == 0) & F.max(stopped).isNotNull(), 1).otherwise(F.count(error)) if stopped is not None else F.count(error)
+    counts = rows.groupBy(scan).agg(F.count("*").alias("discovered"), F.count_if(is_product).alias("products"), whole.cast("long").alias("errors"))
     return counts.join(listed, F.col(scan).eqNullSafe(F.col("__scan")), "left").drop("__scan").fillna(0, ["listed", "previously_saved"])
 
 

@@ -244,7 +244,7 @@ def t10(spark, sf):
 
 
 _PARTS = "list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\n+'), lambda s: trim(s)), lambda s: s <> '')"
-_EITHER = R.bounded("|".join([p for _, p in (*CORPUS.services, *CORPUS.physical)] + [rf"{t}s?" for t in CORPUS.goods_terms]))
+_EITHER = R.bounded("|".join([p for _, p in CORPUS.services] + [rf"{t}s?" for t in CORPUS.goods_terms]))
 _STRONG = R.bounded("|".join(r"\s+".join(t.split()) + "s?" for t in CORPUS.strong_terms))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.money import format_money
 from ..functions.text import party_name
 from ..operators import classify as C
 from ..operators import lifecycle as L
@@ -96,20 +97,22 @@ def m7(spark, sf):
 def _imports(spark, sf):
     c = table(spark, sf, "customer")
     nation = F.when(F.col("c_custkey") % 5 == 0, None).otherwise(F.col("c_nationkey").cast("string"))
-    stored = c.filter("c_custkey % 10 < 8").select("c_custkey", F.col("c_mktsegment").alias("status"), nation.alias("nation"), F.col("c_name").alias("name"))
+    stored = c.filter("c_custkey % 10 < 8").select("c_custkey", F.col("c_mktsegment").alias("status"), nation.alias("nation"), F.col("c_name").alias("name"), format_money(F.abs("c_acctbal")).alias("amount"))
     new_status = F.when(F.col("c_mktsegment") == "BUILDING", "MACHINERY").otherwise("FURNITURE")
     new_name = F.when(F.col("c_custkey") % 4 == 0, "other").otherwise(F.col("c_name"))
-    incoming = c.filter("c_custkey % 10 > 1").select("c_custkey", new_status.alias("status"), F.col("c_nationkey").cast("string").alias("nation"), new_name.alias("name"), F.lit(1).alias("seq"))
-    return L.import_merge(stored, incoming, "c_custkey", ["status", "nation", "name"], "seq", {"status": [("BUILDING", "MACHINERY")]})
+    amount = (F.abs("c_acctbal").cast("decimal(18,2)") + (F.col("c_custkey") % 7 == 0).cast("int")).cast("string")
+    incoming = c.filter("c_custkey % 10 > 1").select("c_custkey", new_status.alias("status"), F.col("c_nationkey").cast("string").alias("nation"), new_name.alias("name"), amount.alias("amount"), F.lit(1).alias("seq"))
+    return L.import_merge(stored, incoming, "c_custkey", ["status", "nation", "name", "amount"], "seq", {"status": [("BUILDING", "MACHINERY")]}, {"amount": "amount"})
 
 
-IMPORTED = """WITH s AS (SELECT c_custkey AS k, c_mktsegment AS status, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey::VARCHAR END AS nation, c_name AS name FROM customer WHERE c_custkey % 10 < 8),
-i AS (SELECT c_custkey AS k, CASE WHEN c_mktsegment = 'BUILDING' THEN 'MACHINERY' ELSE 'FURNITURE' END AS status, c_nationkey::VARCHAR AS nation, CASE WHEN c_custkey % 4 = 0 THEN 'other' ELSE c_name END AS name FROM customer WHERE c_custkey % 10 > 1)"""
+IMPORTED = """WITH s AS (SELECT c_custkey AS k, c_mktsegment AS status, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey::VARCHAR END AS nation, c_name AS name, abs(c_acctbal)::DECIMAL(18,2) AS amount FROM customer WHERE c_custkey % 10 < 8),
+i AS (SELECT c_custkey AS k, CASE WHEN c_mktsegment = 'BUILDING' THEN 'MACHINERY' ELSE 'FURNITURE' END AS status, c_nationkey::VARCHAR AS nation, CASE WHEN c_custkey % 4 = 0 THEN 'other' ELSE c_name END AS name, abs(c_acctbal)::DECIMAL(18,2) + CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END AS amount FROM customer WHERE c_custkey % 10 > 1)"""
+_PESOS = "'PHP ' || format('{:,.2f}', s.amount::DOUBLE)"
 
 
 @query(
     "m8_import_merge",
-    f"""{IMPORTED} SELECT coalesce(s.k, i.k) AS c_custkey, CASE WHEN s.status IS NULL OR (s.status = 'BUILDING' AND i.status = 'MACHINERY') THEN i.status ELSE s.status END AS status, coalesce(s.nation, i.nation) AS nation, coalesce(s.name, i.name) AS name FROM s FULL JOIN i ON s.k = i.k""",
+    f"""{IMPORTED} SELECT coalesce(s.k, i.k) AS c_custkey, CASE WHEN s.status IS NULL OR (s.status = 'BUILDING' AND i.status = 'MACHINERY') THEN i.status ELSE s.status END AS status, coalesce(s.nation, i.nation) AS nation, coalesce(s.name, i.name) AS name, coalesce({_PESOS}, i.amount::DECIMAL(18,2)::VARCHAR) AS amount FROM s FULL JOIN i ON s.k = i.k""",
 )
 def m8(spark, sf):
     return _imports(spark, sf)[0]
@@ -117,13 +120,44 @@ def m8(spark, sf):
 
 @query(
     "m8_import_log",
-    f"""{IMPORTED}, l AS (SELECT coalesce(s.k, i.k) AS c_custkey, unnest([{{'field': 'status', 'a': s.status, 'b': i.status}}, {{'field': 'nation', 'a': s.nation, 'b': i.nation}}, {{'field': 'name', 'a': s.name, 'b': i.name}}]) AS x FROM s FULL JOIN i ON s.k = i.k)
+    f"""{IMPORTED}, l AS (SELECT coalesce(s.k, i.k) AS c_custkey, unnest([{{'field': 'status', 'a': s.status, 'b': i.status}}, {{'field': 'nation', 'a': s.nation, 'b': i.nation}}, {{'field': 'name', 'a': s.name, 'b': i.name}}, {{'field': 'amount', 'a': {_PESOS}, 'b': CASE WHEN s.amount = i.amount THEN NULL ELSE i.amount::DECIMAL(18,2)::VARCHAR END}}]) AS x FROM s FULL JOIN i ON s.k = i.k)
 SELECT c_custkey, x.field AS field, x.a AS stored, x.b AS incoming, CASE WHEN x.a IS NULL THEN 'filled' WHEN x.field = 'status' AND x.a = 'BUILDING' AND x.b = 'MACHINERY' THEN 'changed' ELSE 'conflict' END AS action FROM l WHERE x.b IS NOT NULL AND x.a IS DISTINCT FROM x.b""",
 )
 def m8_log(spark, sf):
     return _imports(spark, sf)[1]
 
 
+def _batch(spark, sf):
+    """Orders as an import of texts: some without a key, a customer, or an amount or date that can be read; each key up to twice."""
+    n = F.col("o_orderkey") % 7
+    key = F.when(F.col("o_orderkey") % 11 != 0, F.floor(F.col("o_orderkey") / 2).cast("string"))
+    amount = F.when(n == 1, "about a million").when(n == 2, format_money(F.col("o_totalprice"))).otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    day = F.when(n == 3, "31-Feb-1995").when(n == 4, "soon").when(n == 5, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "d MMMM yyyy"))
+    rows = table(spark, sf, "orders").select(key.alias("award"), F.when(n != 0, F.concat(F.lit(" c"), F.col("o_custkey").cast("string"))).otherwise(" ").alias("supplier"), amount.alias("amount"), day.alias("day"), F.col("o_orderkey").alias("seq"))
+    return L.screened_import(rows, "award", {"amount": "amount", "day": "date"}, ["supplier"])
+
+
+_BATCH = """(SELECT CASE WHEN o_orderkey % 11 <> 0 THEN (o_orderkey // 2)::VARCHAR END AS award, o_orderkey AS seq, o_orderkey % 7 AS n,
+CASE WHEN o_orderkey % 11 = 0 THEN 'missing award' WHEN o_orderkey % 7 = 0 THEN 'missing supplier' WHEN o_orderkey % 7 = 1 THEN 'unrecognized amount: amount' WHEN o_orderkey % 7 IN (3, 4) THEN 'unrecognized date: day' END AS error FROM orders)"""
+
+
+@query("m8_import_rejected", f"SELECT award, error FROM {_BATCH} WHERE error IS NOT NULL")
+def m8_rejected(spark, sf):
+    """Rows of an import that can't be read, with the reason."""
+    return _batch(spark, sf)[1]
+
+
+@query(
+    "m8_import_duplicates",
+    f"""WITH b AS (SELECT * FROM {_BATCH} WHERE error IS NULL), k AS (SELECT DISTINCT c_custkey::VARCHAR AS award FROM customer)
+SELECT award, seq FROM b WHERE award IN (SELECT award FROM k) OR EXISTS (SELECT 1 FROM b AS x WHERE x.award = b.award AND x.seq < b.seq)""",
+)
+def m8_duplicates(spark, sf):
+    """Rows of an import whose key is stored or came before."""
+    stored = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("award"))
+    return L.import_duplicates(stored, _batch(spark, sf)[0], "award", "seq")
+
+
 @query(
     "m9_history",
     """WITH b AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events), c AS (SELECT * FROM b WHERE before IS NULL OR before <> event_type)
@@ -135,15 +169,21 @@ def m9(spark, sf):
 
 @query(
     "m10_party_standing",
-    """WITH r AS (SELECT l_orderkey, CASE WHEN l_suppkey % 10 = 9 THEN '' ELSE trim(regexp_replace(upper(s_name), '[^A-Z0-9]+', ' ', 'g')) END AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
-o AS (SELECT r.*, n IN (SELECT trim(regexp_replace(upper(s_name), '[^A-Z0-9]+', ' ', 'g')) FROM supplier WHERE s_suppkey < 30) AS own FROM r)
-SELECT l_orderkey, CASE WHEN bool_and(n = '') THEN 'unverified' WHEN bool_and(own) THEN 'own' WHEN bool_or(own) THEN 'mixed' WHEN bool_or(n = '') THEN 'unverified' ELSE 'other' END AS standing, count(*)::BIGINT AS n_parties FROM o GROUP BY 1""",
+    """WITH r AS (SELECT l_orderkey, o_orderpriority AS p, CASE WHEN l_suppkey % 10 >= 6 THEN '' ELSE trim(regexp_replace(upper(s_name), '[^A-Z0-9]+', ' ', 'g')) END AS n
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey),
+o AS (SELECT r.*, n IN (SELECT trim(regexp_replace(upper(s_name), '[^A-Z0-9]+', ' ', 'g')) FROM supplier WHERE s_suppkey < 50) AS own FROM r),
+c AS (SELECT l_orderkey, any_value(p) AS p, count_if(own) AS ours, count_if(n = '') AS blank, count(*)::BIGINT AS n_parties FROM o GROUP BY 1)
+SELECT l_orderkey, CASE p[1] WHEN '1' THEN 'failed' WHEN '2' THEN 'conflict' WHEN '3' THEN 'never' ELSE
+  CASE WHEN ours > 0 AND ours + blank < n_parties THEN 'mixed' WHEN ours > 0 THEN 'own' WHEN blank = 0 THEN 'other' ELSE 'unverified' END END AS standing, n_parties FROM c""",
 )
 def m10(spark, sf):
     s = table(spark, sf, "supplier")
-    bids = table(spark, sf, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    name = F.when(F.col("l_suppkey") % 10 == 9, "").otherwise(party_name(F.col("s_name")))
-    return L.party_standing(bids.select("l_orderkey", "l_suppkey", "s_name"), "l_orderkey", name, s.filter("s_suppkey < 30").select(party_name(F.col("s_name")).alias("alias")), "alias")
+    bids = table(spark, sf, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    name = F.when(F.col("l_suppkey") % 10 >= 6, "").otherwise(party_name(F.col("s_name")))
+    first = F.substring("o_orderpriority", 1, 1)
+    outcome = F.when(first == "1", "failed").when(first == "2", "conflict").when(first != "3", "published")
+    ours = s.filter("s_suppkey < 50").select(party_name(F.col("s_name")).alias("alias"))
+    return L.party_standing(bids.select("l_orderkey", "l_suppkey", "s_name", "o_orderpriority"), "l_orderkey", name, ours, "alias", outcome)
 
 
 def _reclassified(spark, sf):

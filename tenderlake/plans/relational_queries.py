@@ -86,7 +86,8 @@ def p10(spark, sf):
 
 @query(
     "p11_case_report",
-    """SELECT o_orderkey, c_name AS organization, 'PHP ' || format('{:,.2f}', o_totalprice::DECIMAL(18,2)::DOUBLE) AS budget, CASE WHEN o_totalprice IS NOT NULL THEN 'notice' END AS budget_source, coalesce(n, 0)::BIGINT AS n_items, coalesce(qty, 0)::DOUBLE AS quantity,
+    """SELECT o_orderkey, c_name AS organization, CASE WHEN c_name IS NOT NULL THEN 'not recorded' END AS organization_confidence, 'PHP ' || format('{:,.2f}', o_totalprice::DECIMAL(18,2)::DOUBLE) AS budget,
+CASE WHEN o_orderpriority LIKE '1%' THEN 'annex.pdf' WHEN o_orderpriority LIKE '2%' THEN NULL ELSE 'notice' END AS budget_source, CASE WHEN o_orderpriority LIKE '1%' THEN 'medium' WHEN o_orderpriority LIKE '2%' THEN 'low' ELSE 'high' END AS budget_confidence, coalesce(n, 0)::BIGINT AS n_items, coalesce(qty, 0)::DOUBLE AS quantity,
 CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS reviewed FROM orders LEFT JOIN customer ON o_custkey = c_custkey
 LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS qty FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""",
 )
@@ -94,10 +95,15 @@ def p11(spark, sf):
     from ..functions.money import format_money
 
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    fields = {"organization": F.col("c_name"), "budget": format_money(F.col("o_totalprice"))}
+    first = F.substring("o_orderpriority", 1, 1)
+    budget = F.struct(
+        format_money(F.col("o_totalprice")).alias("value"), F.when(first == "1", "annex.pdf").when(first != "2", "notice").alias("source"),
+        F.when(first == "1", "medium").when(first == "2", "low").otherwise("high").alias("confidence"),
+    )
+    fields = {"organization": F.col("c_name"), "budget": budget}
     reviewed = F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False)
     got = R.case_report(o, table(spark, sf, "lineitem"), "o_orderkey", "l_orderkey", "l_quantity", fields, reviewed)
-    return got.select("o_orderkey", F.col("organization.value").alias("organization"), F.col("budget.value").alias("budget"), F.col("budget.source").alias("budget_source"), "n_items", "quantity", "reviewed")
+    return got.select("o_orderkey", F.col("organization.value").alias("organization"), F.col("organization.confidence").alias("organization_confidence"), F.col("budget.value").alias("budget"), F.col("budget.source").alias("budget_source"), F.col("budget.confidence").alias("budget_confidence"), "n_items", "quantity", "reviewed")
 
 
 @query("p12_packet_projection", "SELECT o_orderkey, coalesce(nullif(o_orderpriority, '5-LOW'), '') AS title, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS status, [o_orderpriority] AS tags FROM orders")
@@ -252,39 +258,41 @@ def a3(spark, sf):
     return R.reclassify_counts(e, "run", t == "error", t == "signup", label, t == "view", F.col("value") > 100)
 
 
-_SCANS = "(SELECT user_id % 20 AS scan, *, CASE WHEN user_id % 9 <> 0 THEN floor(value * 10)::BIGINT END AS ident FROM events)"
-_LISTED = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan, ident ORDER BY event_id) AS rn FROM {_SCANS} WHERE event_type = 'purchase') WHERE ident IS NULL OR rn = 1)"""
+_SCANS = "(SELECT user_id % 200 AS scan, *, CASE WHEN user_id % 9 <> 0 THEN floor(value * 10)::BIGINT END AS ident FROM events)"
+_LISTED = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan, ident ORDER BY event_id) AS rn FROM {_SCANS} WHERE event_type = 'purchase' AND value <= 60) WHERE ident IS NULL OR rn = 1)"""
+_MESSAGES = f"""(SELECT scan, event_id, 'row ' || event_id AS message FROM {_SCANS} WHERE event_type = 'error' OR value > 60
+UNION ALL SELECT scan, NULL, 'ended early' FROM {_SCANS} GROUP BY scan HAVING scan % 3 = 0 AND count_if(event_type = 'error' OR value > 60) = 0)"""
 
 
 def _scans(spark, sf):
     ident = F.when(F.col("user_id") % 9 != 0, F.floor(F.col("value") * 10).cast("long"))
-    return table(spark, sf, "events").withColumn("scan", F.col("user_id") % 20), ident
+    error = F.when((F.col("event_type") == "error") | (F.col("value") > 60), F.concat(F.lit("row "), F.col("event_id").cast("string")))
+    return table(spark, sf, "events").withColumn("scan", F.col("user_id") % 200), ident, error, F.when(F.col("scan") % 3 == 0, "ended early")
 
 
 @query(
     "a4_scan_reports",
-    f"""WITH l AS (SELECT scan, count(*) AS listed, count_if(value > 30) AS saved FROM {_LISTED} GROUP BY 1)
-SELECT e.scan, count(*)::BIGINT AS discovered, count_if(event_type = 'purchase')::BIGINT AS products, count_if(event_type = 'error')::BIGINT AS errors,
-coalesce(any_value(listed), 0)::BIGINT AS listed, coalesce(any_value(saved), 0)::BIGINT AS previously_saved FROM {_SCANS} e LEFT JOIN l ON e.scan = l.scan GROUP BY 1""",
+    f"""WITH l AS (SELECT scan, count(*) AS listed, count_if(value > 30) AS saved FROM {_LISTED} GROUP BY 1), m AS (SELECT scan, count(*) AS errors FROM {_MESSAGES} GROUP BY 1)
+SELECT e.scan, count(*)::BIGINT AS discovered, count_if(event_type = 'purchase')::BIGINT AS products, coalesce(any_value(m.errors), 0)::BIGINT AS errors,
+coalesce(any_value(listed), 0)::BIGINT AS listed, coalesce(any_value(saved), 0)::BIGINT AS previously_saved FROM {_SCANS} e LEFT JOIN l ON e.scan = l.scan LEFT JOIN m ON e.scan = m.scan GROUP BY 1""",
 )
 def a4(spark, sf):
-    e, ident = _scans(spark, sf)
-    error = F.when(F.col("event_type") == "error", F.col("event_id").cast("string"))
-    return R.scan_report(e, "scan", ident, "event_id", F.col("event_type") == "purchase", F.col("value") > 30, error, "props")
+    e, ident, error, stopped = _scans(spark, sf)
+    return R.scan_report(e, "scan", ident, "event_id", F.col("event_type") == "purchase", F.col("value") > 30, error, "props", stopped)
 
 
 @query("a4_scan_listed", f"SELECT scan, event_id, ident AS identity, props AS title, value > 30 AS previously_saved FROM {_LISTED}")
 def a4_listed(spark, sf):
     """The products that the reports of scans list."""
-    e, ident = _scans(spark, sf)
-    return R.scan_listed(e, "scan", ident, "event_id", F.col("event_type") == "purchase", F.col("value") > 30, "props")
+    e, ident, error, _ = _scans(spark, sf)
+    return R.scan_listed(e, "scan", ident, "event_id", F.col("event_type") == "purchase", F.col("value") > 30, "props", error)
 
 
-@query("a4_scan_errors", f"SELECT scan, event_id, event_id::VARCHAR AS message FROM {_SCANS} WHERE event_type = 'error'")
+@query("a4_scan_errors", f"SELECT * FROM {_MESSAGES}")
 def a4_errors(spark, sf):
     """The messages that the reports of scans list."""
-    e, _ = _scans(spark, sf)
-    return R.scan_errors(e, "scan", "event_id", F.when(F.col("event_type") == "error", F.col("event_id").cast("string")))
+    e, _, error, stopped = _scans(spark, sf)
+    return R.scan_errors(e, "scan", "event_id", error, stopped)
 
 
 @query("a5_sum_with_coverage", "SELECT event_type, round(sum(CASE WHEN user_id % 3 > 0 THEN value END), 2) AS total, count_if(user_id % 3 > 0)::BIGINT AS recorded, count_if(user_id % 3 = 0)::BIGINT AS missing FROM events GROUP BY 1")
@@ -335,6 +343,11 @@ def a10(spark, sf):
     return R.run_statistics(e, "run", "key", "event_id", F.floor(F.col("event_id") / 250), counters, stop)
 
 
+@query("w1_keep_first", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def w1(spark, sf):
+    return R.first_per_key(table(spark, sf, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id")
+
+
 _PAGES = "(SELECT user_id % 30 AS scan, event_id // 250 AS page, ((event_id // 500) * 7 + user_id % 5) % 11 AS ident, ts FROM events)"
 
 

@@ -159,10 +159,18 @@ def w5(spark, sf):
 
 @query(
     "e21_attachment_names",
-    r"""WITH p AS (SELECT page_id, regexp_extract(url, 'https?://([^/]+)', 1) AS host, regexp_replace(regexp_extract(url, '[^/?#]*://[^/]+/([^?#]*)', 1), '/', '_', 'g') || '.html' AS base FROM pages),
-r AS (SELECT *, row_number() OVER (PARTITION BY host, lower(base) ORDER BY page_id) - 1 AS n FROM p)
-SELECT page_id, CASE WHEN n = 0 THEN base ELSE regexp_replace(base, '\.html$', '') || '_' || n || '.html' END AS name FROM r""",
+    r"""WITH p AS (SELECT page_id, regexp_extract(url, 'https?://([^/]+)', 1) AS host, regexp_extract(url, '://[^/?#]*[^?#]*/([^/?#]*)', 1) AS last FROM pages),
+q AS (SELECT page_id, host, CASE WHEN page_id % 3 = 0 THEN 'p' || page_id % 5 || ' x.pdf' WHEN page_id % 3 = 1 THEN 'Page ' || page_id % 4 || '+ü.html' WHEN last LIKE '%.html' THEN last
+  ELSE host || '_' || lpad((row_number() OVER (PARTITION BY host ORDER BY page_id))::VARCHAR, 2, '0') || '.pdf' END AS raw FROM p),
+b AS (SELECT page_id, host, regexp_replace(raw, '[^A-Za-z0-9._ -]+', '_', 'g') AS base FROM q),
+r AS (SELECT *, row_number() OVER (PARTITION BY host, lower(base) ORDER BY page_id) - 1 AS n FROM b)
+SELECT page_id, CASE WHEN n = 0 THEN base ELSE regexp_replace(base, '\.[a-z]*$', '') || '_' || n || regexp_extract(base, '\.[a-z]*$') END AS name FROM r""",
 )
 def e21(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "https?://([^/]+)", 1).alias("host"), F.concat(F.regexp_replace(F.regexp_extract("url", "[^/?#]*://[^/]+/([^?#]*)", 1), "/", "_"), F.lit(".html")).alias("link"), F.lit(None).cast("string").alias("disposition"))
-    return T.attachment_names(p, "host", "page_id", "disposition", "link").select("page_id", "name")
+    """Names from made-up headers of both forms, else from the url, else after the host and place; free within a host."""
+    n = lambda k: (F.col("page_id") % k).cast("string")
+    plain = F.concat(F.lit('attachment; filename="dir/p'), n(5), F.lit(' x.pdf"'))
+    extended = F.concat(F.lit("attachment; filename=\"old.txt\"; filename*=UTF-8''Page%20"), n(4), F.lit("+%C3%BC.html"))
+    header = F.when(F.col("page_id") % 3 == 0, plain).when(F.col("page_id") % 3 == 1, extended)
+    p = table(spark, sf, "pages").select("page_id", "url", F.regexp_extract("url", "https?://([^/]+)", 1).alias("host"), header.alias("header"))
+    return T.attachment_names(p, "host", "page_id", T.disposition_name(F.col("header")), T.url_name(F.col("url"))).select("page_id", "name")

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,9 +106,12 @@ def test_scan_lists_and_moved_rows(spark):
     df = spark.createDataFrame(rows, "scan int, n int, ident string, p boolean, err string").withColumn("title", F.lit("t"))
     args = (df, "scan", F.col("ident"), "n", F.col("p"), F.col("n") == 1)
     got = {r["scan"]: r for r in Rel.scan_report(*args, F.col("err"), "title").collect()}
-    assert (got[1]["discovered"], got[1]["listed"], got[1]["previously_saved"], got[1]["errors"]) == (4, 3, 1, 1)
+    assert (got[1]["discovered"], got[1]["listed"], got[1]["previously_saved"], got[1]["errors"]) == (4, 2, 1, 1)
     assert got[2]["listed"] == 0 and got[None]["listed"] == 1
-    assert sorted(r["n"] for r in Rel.scan_listed(*args, "title").collect()) == [1, 3, 4, 6]
+    assert sorted(r["n"] for r in Rel.scan_listed(*args, "title", F.col("err")).collect()) == [1, 3, 6]
+    ended = F.when(F.coalesce("scan", F.lit(0)) < 3, "stopped")
+    assert sorted(tuple(r) for r in Rel.scan_errors(df, "scan", "n", F.col("err"), ended).fillna(0).collect()) == [(0, 0, "stopped"), (1, 4, "bad"), (2, 0, "stopped")]
+    assert {r["scan"]: r["errors"] for r in Rel.scan_report(*args, F.col("err"), "title", ended).collect()} == {1: 1, 2: 1, None: 1}
     df = spark.createDataFrame([(1, "x", "x"), (2, "x", "y")], "k int, b string, a string").withColumns({"t": F.lit("long"), "why": F.lit("r")})
     assert [tuple(r) for r in Rel.moved(df, "b", "a", "k", "t", "why", 2).collect()] == [("x", "y", 2, "lo", "r")]
 
@@ -211,10 +216,48 @@ def test_fields_and_emails(spark):
         T.field(F.lit("x"), "doc", colour=F.lit("red"))
 
 
-def test_collision_suffix_meets_a_taken_name(spark):
-    rows = [(1, 1, "a.pdf"), (1, 2, "A.pdf"), (1, 3, "a_1.pdf"), (2, 4, "a.pdf"), (1, 5, "b")]
-    got = [r["n"] for r in T.collision_suffix(spark.createDataFrame(rows, "k int, o int, name string"), "k", "o", "name", "n").orderBy("o").collect()]
-    assert got[0] == "a.pdf" and got[3] == "a.pdf" and len({x.lower() for x in (got[0], got[1], got[2], got[4])}) == 4
+def one_after_the_other(names):
+    used, out = set(), []
+    for name in names:
+        stem, dot, ext = name.rpartition(".") if re.search(r".\.[A-Za-z0-9]{1,5}$", name) else (name, "", "")
+        free, n = name, 0
+        while free.lower() in used:
+            n += 1
+            free = f"{stem}_{n}{dot}{ext}"
+        used.add(free.lower())
+        out.append(free)
+    return out
+
+
+def test_names_are_free_as_if_taken_one_after_the_other(spark):
+    r = random.Random(5)
+    lists = [["a", "a", "a_1", "a_1_1"], ["a_1", "a", "a", "a_1"], ["a.pdf", "A.PDF", "a_1.pdf", "b"], ["a_1_1", "a_1", "a_1", "a", "a", "a"], ["x"] * 50, ["_1", "_1", "", "", ".pdf", ".pdf"]]
+    lists += [[r.choice(["a", "A", "a_1", "a_2", "a_1_1", "a_1_2", "a_10", "b.pdf", "b_1.pdf", "B_1.PDF", "b_1_1.pdf", "a_", "a_01"]) for _ in range(r.randint(1, 30))] for _ in range(60)]
+    rows = [(k, i, n) for k, names in enumerate(lists) for i, n in enumerate(names)] + [(None, 0, "a"), (None, 1, "a"), (1, 99, None)]
+    df = spark.createDataFrame(rows, "k int, o int, name string").withColumns({"stem": F.lit(1), "out": F.lit(2)}).repartition(5)
+    got = T.collision_suffix(df, "k", "o", "name", "free")
+    assert got.columns == [*df.columns, "free"]
+    found = {(x["k"], x["o"]): x["free"] for x in got.collect()}
+    assert len(found) == len(rows) and found[None, 1] == "a_1" and found[1, 99] is None
+    for k, names in enumerate(lists):
+        assert [found[k, i] for i in range(len(names))] == one_after_the_other(names), names
+
+
+def test_file_names_of_headers_and_urls(spark):
+    headers = [
+        ('attachment; filename="a b.pdf"', "a b.pdf"), ("attachment; filename=c.pdf; size=3", "c.pdf"), ("attachment; filename*=UTF-8''na%C3%AFve%2B%20x.pdf; filename=plain.pdf", "naïve+ x.pdf"),
+        ("inline; FILENAME*=utf-8'en'%zz.pdf", "%zz.pdf"), ('attachment; filename="C:\\\\dir\\\\d.doc"', "d.doc"), ("attachment; filename=/x/y/e.doc", "e.doc"), ("attachment", None), (None, None), ("attachment; filename*=\"f.pdf\"", "f.pdf"),
+    ]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(headers)], "i int, h string")
+    got = {r["i"]: r["n"] for r in df.select("i", T.disposition_name(F.col("h")).alias("n")).collect()}
+    assert [got[i] for i in range(len(headers))] == [n for _, n in headers]
+    urls = [("https://x/a/b%20c.pdf?y=1/2", "b c.pdf"), ("https://x/a/", None), ("https://x", None), ("/d/e+f.pdf#z", "e+f.pdf"), (None, None), ("https://x/%zz.pdf", "%zz.pdf")]
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "i int, u string")
+    got = {r["i"]: r["n"] for r in df.select("i", T.url_name(F.col("u")).alias("n")).collect()}
+    assert [got[i] for i in range(len(urls))] == [n for _, n in urls]
+    looks = {"a.pdf": True, "download.pdf": False, "Document.doc": False, "a": False, ".pdf": False, "a..pdf": False, "x/y.pdf": True, "a.verylongext": False, "..": False, "": False}
+    df = spark.createDataFrame([(k,) for k in looks], "n string")
+    assert {r["n"]: r["ok"] for r in df.select("n", T.looks_like_file_name(F.col("n")).alias("ok")).collect()} == looks
 
 
 def test_unwrapped_lines_and_items(spark):
@@ -249,6 +292,31 @@ def test_import_merge_folds_in_order(spark):
     assert sorted((r["k"], r["field"], r["action"]) for r in log.collect()) == [(1, "acceptance", "changed"), (1, "acceptance", "conflict"), (1, "agency", "conflict"), (1, "agency", "filled"), (3, "acceptance", "filled")]
 
 
+def test_import_compares_meanings_and_screens_rows(spark):
+    stored = spark.createDataFrame([(1, "PHP 80,000.00", "5 March 2024", "City Hall")], "k int, amount string, day string, agency string")
+    rows = [(1, 1, "80000", "2024-03-05", " City Hall "), (1, 2, "PHP 80,000.5", "5-Mar-2024", "Town"), (2, 3, "1", "5/3/2024", None)]
+    new = spark.createDataFrame(rows, "k int, seq int, amount string, day string, agency string")
+    kinds = {"amount": "amount", "day": "date"}
+    merged, log = L.import_merge(stored, new, "k", ["amount", "day", "agency"], "seq", {}, kinds)
+    assert sorted((r["k"], r["field"], r["incoming"], r["action"]) for r in log.collect()) == [
+        (1, "agency", "Town", "conflict"), (1, "amount", "PHP 80,000.5", "conflict"), (2, "amount", "1", "filled"), (2, "day", "5/3/2024", "filled"),
+    ]
+    assert {r["k"]: r["amount"] for r in merged.collect()} == {1: "PHP 80,000.00", 2: "1"}
+    odd = spark.createDataFrame([(None, 1, "1", None, "a"), (3, 2, "x", None, "a"), (4, 3, "5", "32-Jan-2024", "a"), (5, 4, None, " ", " "), (6, 5, None, None, "a")], "k int, seq int, amount string, day string, agency string")
+    good, bad = L.screened_import(odd, "k", kinds, ["agency"])
+    assert [r["k"] for r in good.collect()] == [6]
+    assert sorted((r["k"] or 0, r["error"]) for r in bad.collect()) == [(0, "missing k"), (3, "unrecognized amount: amount"), (4, "unrecognized date: day"), (5, "missing agency")]
+    assert sorted(tuple(r) for r in L.import_duplicates(stored, new, "k", "seq").collect()) == [(1, 1), (1, 2)]
+
+
+def test_standing_of_a_bid(spark):
+    rows = [(1, "us", "published"), (1, "", "published"), (2, "us", "published"), (2, "x", "published"), (3, "x", "published"), (3, None, "published"), (4, "x", "published"), (5, "us", "failed"), (6, None, "none"), (7, "us", None), (8, "", "published"), (9, "us", "conflict"), (10, "us", "published"), (10, "", "published"), (10, "y", "published")]
+    bids = spark.createDataFrame(rows, "bid int, name string, outcome string")
+    ours = spark.createDataFrame([("us",)], "alias string")
+    got = {r["bid"]: r["standing"] for r in L.party_standing(bids, "bid", F.col("name"), ours, "alias", F.col("outcome")).collect()}
+    assert got == {1: "own", 2: "mixed", 3: "unverified", 4: "other", 5: "failed", 6: "none", 7: "never", 8: "unverified", 9: "conflict", 10: "mixed"}
+
+
 def test_upsert_and_write_once_are_idempotent(spark):
     cur = spark.createDataFrame([(1, "a", "manual"), (2, "b", None)], "k int, v string, src string")
     new = spark.createDataFrame([(2, "c", "auto"), (3, "d", "auto")], "k int, v string, src string")
