@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..operators import classify as C
+from ..operators import dictionary as Dict
 from ..session import table
 from .registry import query
 
@@ -107,6 +108,30 @@ def t1(spark, sf):
     return table(spark, sf, DOCS).select("doc_id", F.array_join(R.terms_found(F.col("text"), CORPUS.product_terms + CORPUS.goods_terms), ",").alias("terms"))
 
 
+_WORDS = "list_filter(regexp_split_to_array(r, '\\s+'), lambda w: w <> '')"
+_RUNS = "unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9_\\s]+'))"
+
+
+def _grams(source: str, keys: str) -> str:
+    """Words and pairs of words of each row, one after the other in a run."""
+    return f"""(WITH r AS (SELECT {keys}, {_RUNS} AS r FROM {source}), w AS (SELECT {keys}, {_WORDS} AS w FROM r)
+SELECT DISTINCT {keys}, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM w)"""
+
+
+@query(
+    "t1_large_dictionary",
+    f"""WITH terms AS (SELECT gram, row_number() OVER (ORDER BY md5(gram)) AS place FROM (SELECT DISTINCT gram FROM {_grams('benchmark', 'item_id')})),
+hits AS (SELECT DISTINCT doc_id, place, t.gram FROM {_grams('documents', 'doc_id')} g JOIN terms t ON g.gram = t.gram OR g.gram = t.gram || 's')
+SELECT d.doc_id, count(gram)::BIGINT AS n, md5(coalesce(string_agg(gram, ',' ORDER BY place), '')) AS digest FROM documents d LEFT JOIN hits h ON d.doc_id = h.doc_id GROUP BY 1""",
+)
+def t1_large(spark, sf):
+    """All words and pairs of words of the benchmark, some ten thousand terms, in documents."""
+    items = table(spark, sf, "benchmark").select(F.explode(Dict.ngrams(Dict.phrases(F.col("text")), [1, 2])).alias("gram")).distinct()
+    entries = Dict.dictionary(items.withColumn("place", F.md5("gram")), "gram", "place")
+    got = Dict.dictionary_terms(table(spark, sf, DOCS), "doc_id", "text", entries)
+    return got.select("doc_id", F.size("terms").cast("bigint").alias("n"), F.md5(F.array_join("terms", ",")).alias("digest"))
+
+
 @query("t2_strip_incidental", f"SELECT doc_id, length(s)::INT AS n, md5(s) AS digest FROM (SELECT doc_id, {sql_stripped('text')} AS s FROM documents)")
 def t2(spark, sf):
     s = R.stripped(F.col("text"), CORPUS.incidental)

@@ -13,6 +13,7 @@ from tenderlake.functions import money as M
 from tenderlake.functions import rules as R
 from tenderlake.functions import text as T
 from tenderlake.operators import classify as C
+from tenderlake.operators import dictionary as Dict
 from tenderlake.operators import extract as E
 from tenderlake.operators import lifecycle as L
 from tenderlake.operators import relational as Rel
@@ -404,3 +405,27 @@ def test_one_row_group_is_dealt_over_the_cores(spark, tmp_path):
         assert dealt(many).rdd.getNumPartitions() == 9
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", splits)
+
+
+def test_dictionary_join_equals_patterns(spark, monkeypatch):
+    r = random.Random(8)
+    words = ["web", "app", "apps", "data", "base", "a_b", "x1", "s"]
+    texts = ["".join(r.choice(words) + r.choice([" ", " ", "\n\t", "-", ", ", "", "s ", "S. ", "é", " "]) for _ in range(r.randint(0, 25))) for _ in range(200)] + [None, "", "   ", "WEB  APP", "webs apps", "x" * 50_000 + " web"]
+    terms = ["web app", "web", "Data  Base", "app", "apps", "s", "x1", "web app data base", "web", "none"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "web"), (0, "base")], "k int, t string").withColumns({"gram": F.lit(1), "term": F.lit(2)})
+    table = spark.createDataFrame(list(enumerate(terms)), "place int, term string")
+
+    def found(entries):
+        return {x["k"]: x["terms"] for x in Dict.dictionary_terms(df, "k", "t", entries).collect()}
+
+    expect = {}
+    for k, t in [*enumerate(texts), (None, "web"), (0, "base")]:
+        hits = [w for i, w in enumerate(terms) if terms.index(w) == i and re.search(r"(^|[^A-Za-z0-9_])(" + r"\s+".join(w.split()) + r"s?)($|[^A-Za-z0-9_])", t or "", re.I | re.A)]
+        expect[k] = sorted({*expect.get(k, []), *hits}, key=terms.index)
+    entries = Dict.dictionary(table, "term", "place")
+    assert found(entries) == expect
+    monkeypatch.setattr(Dict, "BROADCAST_TERMS", 0)
+    assert found(entries) == expect
+    assert set(map(tuple, found(entries.limit(0)).values())) == {()} and Dict.dictionary_terms(df.limit(0), "k", "t", entries).count() == 0
+    with pytest.raises(Exception, match="not words: c"):
+        Dict.dictionary(spark.createDataFrame([(1, "c++")], "place int, term string"), "term", "place").collect()
