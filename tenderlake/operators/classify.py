@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import CONTEXT, RuleSet, context_flags, excerpt, first_label, has, matches, stripped, terms_found
@@ -38,11 +40,16 @@ def evidence(df: DataFrame, text_col: str, rules: RuleSet, prefix: str = "") ->
 
 
 def decision(prefix: str = "") -> Column:
+    """T6 over the columns that ``evidence`` adds."""
+    return decision_by(lambda name: F.col(f"{prefix}{name}"))
+
+
+def decision_by(c: Callable[[str], Column]) -> Column:
     """The first step that applies, as ``struct(rule, is_relevant, needs_review, confidence, category)``.
 
-    A product found by one weak term alone has confidence 0.75.
+    ``c`` gives the terms, labels and flags by name. A product found by one
+    weak term alone has confidence 0.75.
     """
-    c = lambda name: F.col(f"{prefix}{name}")
     is_ = lambda name: c(f"is_{name}")
     category = c("category_label").isNotNull()
     only_goodsless = ~is_("any_goods")
@@ -176,11 +183,16 @@ def sentences(text: Column, newline_only: bool = False) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), pattern), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def focus_patterns(rules: RuleSet) -> tuple[str, str]:
+    """What names an item (a service or a goods term), and what names a strong product term."""
+    words = lambda terms: [r"\s+".join(t.split()) + "s?" for t in terms]
+    return "|".join([p for _, p in rules.services] + words(rules.goods_terms)), "|".join(words(rules.strong_terms))
+
+
 def item_focus(parts: Column, rules: RuleSet, whole: Column | None = None) -> Column:
     """Sentences that name a service or a goods term; if there are none, or one of them names a strong
     product term too, the whole text (all sentences, if it isn't given). Physical goods don't count."""
-    either = "|".join([p for _, p in rules.services] + [r"\s+".join(t.split()) + "s?" for t in rules.goods_terms])
-    strong = "|".join(r"\s+".join(t.split()) + "s?" for t in rules.strong_terms)
+    either, strong = focus_patterns(rules)
     everything = F.array_join(parts, "\n") if whole is None else whole
     focused = F.filter(parts, lambda s: matches(s, either))
     return bind(focused, lambda f: F.when((F.size(f) > 0) & ~F.exists(f, lambda s: matches(s, strong)), F.array_join(f, "\n")).otherwise(everything))
@@ -339,25 +351,6 @@ def scan_plan(incoming: DataFrame, state: DataFrame, key: str, title_col: str, r
     return planned_rows(rows, state, key, key, skip).select(*incoming.columns, "plan")
 
 
-def first_decisive_page(pages: DataFrame, key: str, page_col: str, text_col: str, rules: RuleSet, most: int = 6, least_chars: int = 40) -> DataFrame:
-    """Per ``key`` the first page at which the text read so far decides: ``key, page, label``; page is null for review.
-
-    Pages are read in order up to ``most``; a prefix with fewer than
-    ``least_chars`` characters besides white space doesn't decide.
-    """
-    order = Window.partitionBy(key).orderBy(page_col)
-    read = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = pages.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most)
-    prefix = rows.withColumn("prefix", F.array_join(F.collect_list(F.coalesce(F.col(text_col), F.lit(""))).over(read), "\n"))
-    decided = classify(prefix, "prefix", rules, "rel")
-    enough = F.length(F.regexp_replace("prefix", r"\s", "")) >= least_chars
-    ok = enough & ~F.col("rel.needs_review")
-    found = decided.groupBy(key).agg(
-        F.min(F.when(ok, F.col(page_col))).alias("page"), F.min_by(F.when(ok, label(F.col("rel"))), F.when(ok, F.col(page_col))).alias("label")
-    )
-    return found.withColumn("label", F.coalesce("label", F.lit("review")))
-
-
 def review_without_documents(phase: Column, portal: Column) -> Column:
     """A notice of the second portal that needs its document is for review."""
     return F.when((phase == "inspect") & (portal == "legacy"), "review").otherwise(phase)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..operators import classify as C
 from ..operators import dictionary as Dict
+from ..operators.progressive import progressive_decision
 from ..session import table
 from .registry import query
 
@@ -435,17 +436,25 @@ def t21(spark, sf):
     return table(spark, sf, DOCS).select("doc_id", C.usable(F.col("text")).alias("usable"))
 
 
+_PREFIXES = """(SELECT conv_id, turn, prefix, title, substr(string_split(prefix, ' that ')[1], 1, 4000) AS text FROM (
+  SELECT conv_id, turn, string_agg(coalesce(text, ''), chr(10)) OVER w AS prefix, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) p
+  JOIN (SELECT item_id, text AS title FROM benchmark) b ON p.conv_id % (SELECT count(*) FROM benchmark) = b.item_id WHERE rn <= 6)"""
+
+
 @query(
     "t22_first_decisive_page",
-    f"""WITH p AS (SELECT conv_id, turn, string_agg(coalesce(text, ''), chr(10)) OVER w AS prefix, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn
-  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)),
-c AS ({sql_classified('(SELECT * FROM p WHERE rn <= 6)', 'conv_id, turn, prefix', 'prefix')}),
-ok AS (SELECT * FROM c WHERE label <> 'review' AND length(regexp_replace(prefix, '\\s', '', 'g')) >= 40)
-SELECT x.conv_id, y.page, coalesce(y.label, 'review') AS label FROM (SELECT DISTINCT conv_id FROM conversations) x
-LEFT JOIN (SELECT conv_id, min(turn) AS page, arg_min(label, turn) AS label FROM ok GROUP BY conv_id) y ON x.conv_id = y.conv_id""",
+    f"""WITH best AS (SELECT conv_id AS doc_id, turn, prefix, title, NULL AS section_id, false AS uncertain, {sql_stripped('text')} AS section FROM {_PREFIXES}),
+f AS ({_FOCUS.replace("SELECT doc_id, title", "SELECT doc_id, turn, prefix, title")}), x AS ({sql_classified('f', 'doc_id, turn, prefix', 'focus')}), t AS ({sql_classified('f', 'doc_id, turn', 'title')}),
+c AS (SELECT x.doc_id AS conv_id, x.turn, x.prefix, CASE WHEN t.label = 'not relevant' THEN t.label ELSE x.label END AS label FROM x JOIN t ON x.doc_id = t.doc_id AND x.turn = t.turn),
+ok AS (SELECT * FROM c WHERE label <> 'review' AND length(regexp_replace(prefix, '\\s', '', 'g')) >= 40),
+y AS (SELECT conv_id, min(turn) AS page, arg_min(label, turn) AS label FROM ok GROUP BY conv_id),
+n AS (SELECT c.conv_id, count(*)::INT AS n_read FROM c LEFT JOIN y ON c.conv_id = y.conv_id WHERE c.turn <= coalesce(page, c.turn) GROUP BY 1)
+SELECT n.conv_id, page, coalesce(label, 'review') AS label, n_read FROM n LEFT JOIN y ON n.conv_id = y.conv_id""",
 )
 def t22(spark, sf):
-    return C.first_decisive_page(table(spark, sf, "conversations"), "conv_id", "turn", "text", CORPUS)
+    titles = table(spark, sf, "benchmark").select(F.col("item_id").alias("__item"), F.col("text").alias("title"))
+    pages = table(spark, sf, "conversations").join(titles, F.col("conv_id") % titles.count() == F.col("__item"))
+    return progressive_decision(pages, "conv_id", "turn", "text", CORPUS, "title", marker=" that ", newline_only=True)
 
 
 @query(

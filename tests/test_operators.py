@@ -17,6 +17,7 @@ from tenderlake.operators import dictionary as Dict
 from tenderlake.operators import extract as E
 from tenderlake.operators import lifecycle as L
 from tenderlake.operators import relational as Rel
+from tenderlake.operators.progressive import progressive_decision
 from tenderlake.session import dealt
 from tenderlake.sources import files as S
 from tenderlake.sources import html as H
@@ -429,3 +430,32 @@ def test_dictionary_join_equals_patterns(spark, monkeypatch):
     assert set(map(tuple, found(entries.limit(0)).values())) == {()} and Dict.dictionary_terms(df.limit(0), "k", "t", entries).count() == 0
     with pytest.raises(Exception, match="not words: c"):
         Dict.dictionary(spark.createDataFrame([(1, "c++")], "place int, term string"), "term", "place").collect()
+
+
+@pytest.mark.parametrize("newline_only", [True, False])
+def test_progressive_evidence_equals_whole_prefixes(spark, newline_only):
+    """Terms, phrases and item sentences across page ends; each prefix classified as a document by itself is the measure."""
+    r = random.Random(11)
+    bits = ["license", "key", "software", "antivirus", "printer", "toner", "catering", "web", "application", "compatible with", "any software", "workshop", "furniture", "tires", "plain words", "annual", "subscription", "cctv", "supply of software"]
+    ends = [". ", ".\n", " ", " ", "\n", "; ", "! ", "\n\n"]
+    rows, titles = [], ["", "Supply of antivirus", "Catering for a meeting", None, "Office things"]
+    for k in range(150):
+        for p in range(r.randint(1, 8)):
+            text = "".join(r.choice(bits) + r.choice(ends) for _ in range(r.randint(0, 7))) if r.random() > 0.5 else r.choice(["nothing here.", "more plain text", None, "page of words without end " * 3])
+            rows.append((k, p * 2 + 1, text, titles[k % 5]))
+    pages = spark.createDataFrame(rows, "k int, p int, t string, title string")
+    found = {x["k"]: (x["page"], x["label"], x["n_read"]) for x in progressive_decision(pages, "k", "p", "t", R.PROCUREMENT, "title", newline_only=newline_only, marker="plain w", budget=160).collect()}
+    prefixes = []
+    for k in range(150):
+        texts = [(p, t or "") for kk, p, t, _ in rows if kk == k][:6]
+        for i, (p, _) in enumerate(texts):
+            whole = "\n".join(t for _, t in texts[: i + 1])
+            prefixes.append((k, p, i + 1, whole.split("plain w")[0][:160], titles[k % 5], len(re.sub(r"\s", "", whole)) >= 40))
+    df = spark.createDataFrame(prefixes, "k int, p int, n int, t string, title string, enough boolean")
+    judged = C.classify_document(df, "t", "title", R.PROCUREMENT, "never-there-([0-9]+)", (), newline_only=newline_only)
+    expect = {}
+    for x in sorted(judged.select("k", "p", "n", "enough", C.label(F.col("relevance")).alias("label")).collect(), key=lambda x: (x["k"], x["n"])):
+        if expect.get(x["k"], (None,))[0] is None:
+            expect[x["k"]] = (x["p"], x["label"], x["n"]) if x["enough"] and x["label"] != "review" else (None, "review", x["n"])
+    assert found == expect and len({v[1] for v in found.values()}) == 3 and len({v[2] for v in found.values()}) > 3
+    assert progressive_decision(pages.limit(0), "k", "p", "t", R.PROCUREMENT).count() == 0
