@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import rules as R
 from ..functions import text as T
+from ..operators import classify as C
+from ..operators import lifecycle as L
 from ..sources import files as S
 from ..sources import html as H
+from ..sources.store import KeyedStore
 from ..streaming import jobs as J
-from ..session import table
+from ..session import shared_path, table
 from .registry import query
 
 
@@ -174,12 +175,59 @@ def s17(spark, sf):
     return part.select("p_partkey", F.array_join(R.terms_found(F.col("p_name"), rules.product_terms), ",").alias("terms"))
 
 
+# ---- versioned sinks
+
+
+def _order_rows(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("work"), "o_totalprice")
+
+
+@query(
+    "s12_versioned_upsert",
+    """WITH n AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'done' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 5 = 0 THEN 'in-progress' END AS work, o_totalprice + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS o_totalprice FROM orders),
+o AS (SELECT o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderkey % 5 = 0 THEN 'in-progress' END AS work, o_totalprice FROM orders WHERE o_orderkey % 2 = 0)
+SELECT 2 AS version, id, status, work, o_totalprice FROM n WHERE id % 2 = 0 OR id % 3 = 0 UNION ALL SELECT 1, * FROM o""",
+)
+def s12_versioned(spark, sf):
+    """Two batches of orders on disk, each of them applied twice; both versions read back. The work status of an order survives."""
+    rows = _order_rows(spark, sf)
+    path = shared_path(spark, "orders-store")
+    KeyedStore.create(spark, path, rows.schema, "id", 16)
+    merge = lambda current, incoming: L.upsert(current, incoming, "id", ["work"])
+    first = rows.filter("id % 2 = 0").withColumn("work", F.when(F.col("id") % 5 == 0, "in-progress"))
+    second = rows.filter("id % 3 = 0").withColumns({"status": F.lit("done"), "o_totalprice": F.col("o_totalprice") + 1, "work": F.when((F.col("id") % 5 == 0), F.when(F.col("id") % 2 == 0, "new").otherwise("in-progress"))})
+    for _ in range(2):
+        KeyedStore(spark, path).upsert(first, merge, "portal", 0)
+        KeyedStore(spark, path).upsert(second, merge, "portal", 1)
+    found = KeyedStore(spark, path)
+    return found.read().withColumn("version", F.lit(found.version)).unionByName(found.read(1).withColumn("version", F.lit(1)))
+
+
+@query(
+    "s11_write_once_store",
+    """WITH e AS (SELECT user_id, event_id, event_id // (SELECT max(event_id) // 3 + 1 FROM events) AS batch FROM events), f AS (SELECT user_id, min(event_id) AS first FROM e GROUP BY 1)
+SELECT e.user_id, event_id, batch::INT AS batch, CASE WHEN event_id = first THEN 'saved' ELSE 'exists' END AS outcome FROM e JOIN f ON e.user_id = f.user_id""",
+)
+def s11_store(spark, sf):
+    """Three batches of events, each applied twice, into a table that keeps the first row of a user; what became of every row."""
+    rows = table(spark, sf, "events").select("user_id", "event_id")
+    third = rows.agg(F.floor(F.max("event_id") / 3) + 1).first()[0] or 1
+    path = shared_path(spark, "first-store")
+    KeyedStore.create(spark, path, rows.schema, "user_id", 16)
+    found = []
+    for n in range(3):
+        part = rows.filter((F.col("event_id") >= n * third) & (F.col("event_id") < (n + 1) * third))
+        for _ in range(2):
+            last = KeyedStore(spark, path).append_first(part, "event_id", "events", n)
+        found.append(last.withColumn("batch", F.lit(n)))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 # ---- streams
 
 
 def _paths(spark) -> tuple[str, str]:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
-    one = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    one = shared_path(spark, "stream")
     return f"{one}/out", f"{one}/checkpoint"
 
 
@@ -229,3 +277,102 @@ def st5(spark, sf):
     spelled = F.when(F.col("event_type") == "click", "yes").when(F.col("event_type") == "error", "Not-Relevant").when(F.col("event_type") == "view", "review")
     J.decision_state(_stream(spark, sf).withColumn("word", spelled), out, checkpoint, "user_id", "word", "ts", "event_id").awaitTermination()
     return J.current(spark, out, "user_id").select("user_id", "decision", "event_id")
+
+
+#: Titles of listed rows are types of events: errors are clearly negative, purchases products, the others open.
+EVENT_RULES = R.RuleSet(product_terms=("purchase",), goods_terms=(), excluded=(("failure", "error"),))
+
+
+def _landed(spark, sf, parts: int):
+    """Events in files by event id, one after the other: yields the folder after each file has come."""
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder, step = shared_path(spark, "landed"), (e.agg(F.floor(F.max("event_id") / parts) + 1).first()[0] or 1)
+    for n in range(parts):
+        e.filter((F.col("event_id") >= n * step) & (F.col("event_id") < (n + 1) * step)).coalesce(1).write.mode("append").parquet(folder)
+        yield folder, e.schema
+
+
+@query(
+    "st1_planned_ingest",
+    """WITH s AS (SELECT user_id, min(event_id) FILTER (WHERE event_type <> 'error') AS first FROM events WHERE user_id % 10 > 1 GROUP BY 1)
+SELECT event_id, e.user_id, CASE WHEN e.user_id % 10 = 0 THEN 'reuse' WHEN event_type = 'error' THEN 'skip' WHEN e.user_id % 10 = 1 OR event_id <> first THEN 'reuse' ELSE 'process' END AS plan,
+  first AS saved_event, CASE WHEN e.user_id % 10 <= 1 THEN 'not relevant' ELSE (SELECT CASE event_type WHEN 'purchase' THEN 'product' ELSE 'review' END FROM events x WHERE x.event_id = s.first) END AS label
+FROM events e LEFT JOIN s ON e.user_id = s.user_id""",
+)
+def st1_planned(spark, sf):
+    """Three files of listed rows, the stream stopped and started again between them: the plan of each row and what is saved for its key."""
+    plans, checkpoint = _paths(spark)
+    store = shared_path(spark, "scan-store")
+    seed = table(spark, sf, "events").filter("user_id % 10 < 2").select("user_id").distinct().select(
+        "user_id", F.lit(None).cast("long").alias("saved_event"), F.lit("not relevant").alias("label"), (F.col("user_id") % 10 == 0).alias("is_manual"), (F.col("user_id") % 10 == 1).alias("reusable")
+    )
+    KeyedStore.create(spark, store, seed.schema, "user_id", 16).upsert(seed, lambda current, incoming: incoming, "seed", 0)
+
+    def process(rows):
+        found = C.classify(rows, "event_type", EVENT_RULES)
+        return found.select("user_id", F.col("event_id").alias("saved_event"), C.label(F.col("relevance")).alias("label"), F.lit(False).alias("is_manual"), F.lit(True).alias("reusable"))
+
+    for folder, schema in _landed(spark, sf, 3):
+        J.planned_ingest(J.files_stream(spark, folder, schema), store, plans, checkpoint, "event_type", "event_id", EVENT_RULES, process, []).awaitTermination()
+    kept = KeyedStore(spark, store).read().select("user_id", "saved_event", "label")
+    return J.saved(spark, plans).select("event_id", "user_id", "plan").join(kept, "user_id", "left")
+
+
+@query(
+    "st3_weekly_groups",
+    """WITH e AS (SELECT date_trunc('week', ts + INTERVAL 8 HOUR)::DATE AS week, user_id, min(CASE event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END) AS kind FROM events WHERE user_id % 11 > 0 GROUP BY 1, 2),
+m AS (SELECT max(ts) AS last FROM events)
+SELECT week, count_if(kind = 0)::BIGINT AS new, count_if(kind = 1)::BIGINT AS saved, count_if(kind = 2)::BIGINT AS unknown FROM e, m WHERE week + INTERVAL 7 DAY - INTERVAL 8 HOUR <= last - INTERVAL 1 DAY GROUP BY 1""",
+)
+def st3_groups(spark, sf):
+    """The weeks that have closed, counted by their best kind of each user, as the weekly report has them."""
+    out, checkpoint = _paths(spark)
+    rows = _stream(spark, sf).withColumn("ident", F.when(F.col("user_id") % 11 > 0, F.col("user_id")))
+    kind = F.when(F.col("event_type") == "signup", 0).when(F.col("event_type") == "purchase", 1).otherwise(2)
+    J.appended(J.weekly_groups(rows, "ts", "1 day", "ident", kind), out, checkpoint).awaitTermination()
+    found = J.saved(spark, out)
+    return found.select((F.col("start") + F.expr("INTERVAL 8 HOURS")).cast("date").alias("week"), "new", "saved", "unknown")
+
+
+@query(
+    "st4_observed_progress",
+    """SELECT count(*)::BIGINT AS n, count_if(event_type = 'error')::BIGINT AS errors, count_if(event_type = 'purchase')::BIGINT AS product, 4::BIGINT AS batches FROM events""",
+)
+def st4_observed(spark, sf):
+    """Counters that left the batches of a running stream while it wrote something else."""
+    out, checkpoint = _paths(spark)
+    for folder, schema in _landed(spark, sf, 4):
+        pass
+    t = F.col("event_type")
+    rows = J.observed(J.files_stream(spark, folder, schema, files_per_batch=1), "scan", errors=t == "error", product=t == "purchase")
+    with J.progress(spark, "scan") as seen:
+        seen.follow(rows.select("event_id").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return spark.createDataFrame([(*(seen.totals.get(k, 0) for k in ("n", "errors", "product")), len(seen.history))], "n long, errors long, product long, batches long")
+
+
+_COMMANDS = """(SELECT user_id AS key, event_id, ts, CASE event_type WHEN 'click' THEN 'product' WHEN 'error' THEN 'not relevant' WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'review' END END AS decision,
+  CASE WHEN event_type = 'purchase' THEN CASE event_id % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'in-progress' END END AS status, event_type = 'signup' AND event_id % 2 = 0 AS is_read, event_type = 'signup' AND event_id % 2 = 1 AS is_review FROM events)"""
+
+
+@query(
+    "st5_lifecycle_state",
+    f"""SELECT key, arg_max(decision, (ts, event_id)) FILTER (WHERE decision IS NOT NULL) AS decision, max(ts) FILTER (WHERE decision IS NOT NULL) AS decided_at, arg_max(status, (ts, event_id)) FILTER (WHERE status IS NOT NULL) AS work_status,
+min(ts) FILTER (WHERE is_read) AS first_read, min(ts) FILTER (WHERE is_review OR decision IS NOT NULL) AS first_review FROM {_COMMANDS} GROUP BY 1
+HAVING count_if(decision IS NOT NULL OR status IS NOT NULL OR is_read OR is_review) > 0""",
+)
+def st5_lifecycle(spark, sf):
+    """Decision, work status, first read and first review of each user, by a stateful operator over three files and restarts."""
+    checkpoint = shared_path(spark, "lifecycle")
+    store = shared_path(spark, "lifecycle-store")
+    made = False
+    for folder, schema in _landed(spark, sf, 3):
+        t, n = F.col("event_type"), F.col("event_id")
+        op = F.when(t == "purchase", "work_status").when(t == "signup", F.when(n % 2 == 0, "read").otherwise("review")).otherwise("decide")
+        said = F.when(t == "click", "YES").when(t == "error", "not_relevant").when((t == "view") & (n % 2 == 0), "unsure").when(t == "purchase", F.when(n % 3 == 0, "Finished").when(n % 3 == 1, "in progress").otherwise("?"))
+        rows = J.files_stream(spark, folder, schema).withColumns({"op": op, "said": said})
+        commands = J.lifecycle_commands(rows, "user_id", "op", "said", "ts", "event_id")
+        if not made:
+            made = bool(KeyedStore.create(spark, store, StructType.fromDDL(f"key bigint, {J.LIFECYCLE}"), "key", 16))
+        J.lifecycle_state(commands, store, checkpoint, idle_days=5).awaitTermination()
+    zone_free = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return KeyedStore(spark, store).read().select("key", "decision", zone_free("decided_at"), "work_status", zone_free("first_read"), zone_free("first_review"))

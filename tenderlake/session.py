@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,20 @@ def build_session(name: str = "tenderlake", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path that nothing else uses, in the folder that driver and executors share.
+
+    That is ``spark.checkpoint.dir``; where it is unset, a folder under /tmp
+    in local mode and an error elsewhere.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def dealt(scan: DataFrame) -> DataFrame:
     """``scan``, dealt over the cores if fewer of its partitions than there are cores hold rows.
 

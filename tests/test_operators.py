@@ -21,6 +21,7 @@ from tenderlake.operators.progressive import progressive_decision
 from tenderlake.session import dealt
 from tenderlake.sources import files as S
 from tenderlake.sources import html as H
+from tenderlake.sources.store import KeyedStore
 from tenderlake.streaming import jobs as J
 
 LABELLED = [
@@ -459,3 +460,97 @@ def test_progressive_evidence_equals_whole_prefixes(spark, newline_only):
             expect[x["k"]] = (x["p"], x["label"], x["n"]) if x["enough"] and x["label"] != "review" else (None, "review", x["n"])
     assert found == expect and len({v[1] for v in found.values()}) == 3 and len({v[2] for v in found.values()}) > 3
     assert progressive_decision(pages.limit(0), "k", "p", "t", R.PROCUREMENT).count() == 0
+
+
+def test_keyed_store(spark, tmp_path):
+    path = f"{tmp_path}/store"
+    kinds = "k string, v int, keep string"
+    df = lambda *rows: spark.createDataFrame(list(rows), kinds)
+    merge = lambda current, incoming: L.upsert(current, incoming, "k", ["keep"])
+    rows = lambda version=None: sorted(tuple(r) for r in KeyedStore(spark, path).read(version).collect())
+    store = KeyedStore.create(spark, path, df(("a", 1, None)).schema, "k", 4)
+    assert rows() == [] and store.version == 0
+    assert store.upsert(df(("a", 1, None), ("b", 2, "x"), ("b", 1, "old"), (None, 9, None)), merge, "s", 0, order="v")
+    assert rows() == [("a", 1, None), ("b", 2, "x")]
+    assert not KeyedStore(spark, path).upsert(df(("a", 7, None)), merge, "s", 0) and rows() == [("a", 1, None), ("b", 2, "x")]
+    kept = dict(KeyedStore(spark, path).state["files"])
+    assert KeyedStore(spark, path).upsert(df(("b", 3, "y")), merge, "s", 1) and rows() == [("a", 1, None), ("b", 3, "x")] and rows(1) == [("a", 1, None), ("b", 2, "x")]
+    changed = [b for b, f in KeyedStore(spark, path).state["files"].items() if kept.get(b) != f]
+    assert len(changed) == 1
+    # a writer that opened an older version can't overwrite a newer one, and what it wrote isn't seen
+    with pytest.raises(FileExistsError):
+        store.upsert(df(("z", 1, None)), merge, "other", 0)
+    assert rows() == [("a", 1, None), ("b", 3, "x")]
+    assert KeyedStore(spark, path).vacuum(1) >= 1 and rows() == [("a", 1, None), ("b", 3, "x")]
+    # an empty batch is a batch; deleting all rows of a bucket leaves none
+    assert KeyedStore(spark, path).upsert(df(("a", 1, None)).limit(0), merge, "s", 2) and not KeyedStore(spark, path).upsert(df(("a", 5, None)), merge, "s", 2)
+    assert KeyedStore(spark, path).upsert(df(("a", 1, None), ("b", 1, None)), lambda current, incoming: current.limit(0), "s", 3) and rows() == []
+    for n in range(12):
+        out = KeyedStore(spark, path).append_first(df(("a", n, None), ("a", n + 1, None), (f"k{n}", n, None), (None, 1, None)), "v", "once", n)
+        assert sorted((r["k"], r["v"], r["outcome"]) for r in out.collect()) == [("a", n, "saved" if n == 0 else "exists"), ("a", n + 1, "exists"), (f"k{n}", n, "saved")]
+        again = KeyedStore(spark, path).append_first(df(("a", 100, None)), "v", "once", n)
+        assert again.count() == 3
+    assert rows() == sorted([("a", 0, None), *((f"k{n}", n, None) for n in range(12))])
+    assert max(len(f) for f in KeyedStore(spark, path).state["files"].values()) <= 8
+    with pytest.raises(FileNotFoundError):
+        KeyedStore(spark, f"{tmp_path}/none")
+
+
+def test_lifecycle_of_late_commands_and_cleared_state(spark, tmp_path):
+    """Commands out of order over five files and restarts, with timers that clear the state in between; a file that comes again changes nothing."""
+    r = random.Random(4)
+    rows = []
+    for i in range(400):
+        op = r.choice(["decide", "work_status", "read", "review", "other"])
+        value = {"decide": r.choice(["yes", "Not_Relevant", "unsure", "maybe"]), "work_status": r.choice(["open", "In Progress", "done", "later"])}.get(op)
+        rows.append((r.choice([1, 2, 3, 4, None]), op, value, dt.datetime(2026, 1, 1) + dt.timedelta(hours=r.randint(0, 24 * 60)), i))
+    rows.sort(key=lambda x: x[3] + dt.timedelta(hours=r.randint(-200, 200)))
+    df = spark.createDataFrame(rows, "notice int, op string, value string, at timestamp, seq long")
+    commands = lambda d: J.lifecycle_commands(d, "notice", "op", "value", "at", "seq")
+    store = KeyedStore.create(spark, f"{tmp_path}/store", J.StructType.fromDDL(f"key int, {J.LIFECYCLE}"), "key", 2)
+    before = spark.conf.get(J.STATE_STORE)
+    for n in range(5):
+        spark.createDataFrame(rows[n * 80 : n * 80 + 80], df.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        J.lifecycle_state(commands(J.files_stream(spark, f"{tmp_path}/in", df.schema)), store.path, f"{tmp_path}/c", idle_days=1).awaitTermination()
+    assert spark.conf.get(J.STATE_STORE) == before
+    got = sorted(tuple(x) for x in KeyedStore(spark, store.path).read().select("key", *(f.name for f in J.StructType.fromDDL(J.LIFECYCLE))).collect())
+    assert got == sorted(tuple(x) for x in J.lifecycle_batch(commands(df)).collect()) and len(got) == 4
+
+
+def test_planned_ingest_replays_and_counts(spark, tmp_path):
+    rules = R.RuleSet(product_terms=("software",), goods_terms=(), excluded=(("catering", "catering"),))
+    rows = [(1, "a", "Software"), (2, "a", "Software again"), (3, "b", "Catering"), (4, "b", "Desk"), (5, "m", "Catering"), (6, "s", "Desk"), (7, "a", "Catering"), (8, None, "Desk"), (9, "b", None)]
+    df = spark.createDataFrame(rows, "n long, k string, title string")
+    seed = spark.createDataFrame([("m", "review", True, False), ("s", "review", False, True)], "k string, label string, is_manual boolean, reusable boolean")
+    store = KeyedStore.create(spark, f"{tmp_path}/store", seed.schema, "k", 4)
+    store.upsert(seed, lambda current, incoming: incoming, "seed", 0)
+
+    def process(found):
+        done = C.classify(found, "title", rules)
+        return done.select("k", C.label(F.col("relevance")).alias("label"), F.lit(False).alias("is_manual"), F.lit(True).alias("reusable"))
+
+    def run(checkpoint):
+        stream = J.files_stream(spark, f"{tmp_path}/in", df.schema, files_per_batch=1)
+        J.planned_ingest(stream, store.path, f"{tmp_path}/plans", f"{tmp_path}/{checkpoint}", "title", "n", rules, process, []).awaitTermination()
+
+    for part in (rows[:4], rows[4:7], rows[7:]):
+        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run("c")
+    plans = lambda: {x["n"]: x["plan"] for x in J.saved(spark, f"{tmp_path}/plans").collect()}
+    assert plans() == {1: "process", 2: "reuse", 3: "skip", 4: "process", 5: "reuse", 6: "reuse", 7: "skip", 8: "process", 9: "reuse"}
+    kept = lambda: sorted(tuple(x)[:2] for x in KeyedStore(spark, store.path).read().collect())
+    assert kept() == [("a", "product"), ("b", "review"), ("m", "review"), ("s", "review")]
+    version = KeyedStore(spark, store.path).version
+    run("lost-checkpoint")  # all batches come again, under the numbers they had
+    assert KeyedStore(spark, store.path).version == version and kept() == [("a", "product"), ("b", "review"), ("m", "review"), ("s", "review")]
+
+
+def test_progress_rises_while_a_stream_runs(spark, tmp_path):
+    df = spark.range(40).withColumn("bad", F.col("id") % 4 == 0)
+    for n in range(4):
+        df.filter(F.col("id") % 4 == n).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    rows = J.observed(J.files_stream(spark, f"{tmp_path}/in", df.schema, files_per_batch=1), "c", bad=F.col("bad"))
+    with J.progress(spark, "c") as seen:
+        seen.follow(rows.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start())
+    assert seen.totals == {"n": 40, "bad": 10} and [h["n"] for h in seen.history] == [10, 20, 30, 40]
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 40
