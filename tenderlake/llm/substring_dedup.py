@@ -4,7 +4,8 @@ Words become codes of four bytes, once for each document, and codes are cut
 into k-mers; a document keeps those whose hash is least in some sliding
 window. Every place of a seed is linked to its first one (in the document
 with the least id that has it), so a passage that thousands of documents
-share gives thousands of links and not their square. A pair of documents gets
+share gives thousands of links and not their square. Seeds come in two
+lengths, since the first places of short ones may lie in short quotes. A pair of documents gets
 the codes around its seeds alone. Runs of seeds on one diagonal are fragments;
 those with enough equal words around them are chained in order, with costs for
 the gaps, through a Fenwick tree. Along each chain words are aligned from the
@@ -30,6 +31,10 @@ from .common import SPACE_CLASS, materialise, small_side
 #: Words in a k-mer, and k-mers in a window of which the least is kept. Equal runs of K + SPAN - 1 words always share a seed.
 K = 5
 SPAN = 8
+#: The same for long seeds. A short seed may be first held by a document that quotes a few words of a passage; a long one is
+#: first held by a document with a part of it that counts, so exact repeats are found whatever earlier documents quote.
+LONG_K = 20
+LONG_SPAN = 16
 #: Cost of a word of gap on either side; a seed of K words pays for a gap of 25 words on both.
 GAP_COST = 0.1
 #: Words of the shortest part of a passage (parts may have other first holders), of the shortest passage that is reported, least share of equal words.
@@ -118,7 +123,10 @@ def code_table(docs: DataFrame) -> DataFrame:
 
 
 def seed_table(coded: DataFrame, k: int = K, span: int = SPAN) -> DataFrame:
-    """``doc, pos, key`` of ``coded(doc, codes)``."""
+    """``doc, pos, key`` of ``coded(doc, codes)``: seeds of ``k`` words and, with keys of their own, of LONG_K words.
+
+    Equal long seeds begin with equal short ones, so both are matches of ``k`` words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +134,8 @@ def seed_table(coded: DataFrame, k: int = K, span: int = SPAN) -> DataFrame:
                 part = batch.slice(a, 250)
                 cells = part.column(1).to_pylist()
                 size = np.fromiter(map(len, cells), np.int64, len(cells)) // 4
-                of, pos, key = seeds_of(np.frombuffer(b"".join(cells), np.uint32), size, k, span)
+                codes = np.frombuffer(b"".join(cells), np.uint32)
+                of, pos, key = (np.concatenate(x) for x in zip(seeds_of(codes, size, k, span), seeds_of(codes, size, LONG_K, LONG_SPAN), strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(pos.astype(np.int32)), pa.array(key.view(np.int64))], ["doc", "pos", "key"])
 
     return coded.mapInArrow(run, f"doc {coded.schema['doc'].dataType.simpleString()}, pos int, key long")

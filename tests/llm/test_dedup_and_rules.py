@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from tenderlake.llm import decontaminate, quality_rules, simhash, substring_dedup
@@ -259,3 +260,24 @@ def test_fuzzy_passages_near_the_limits_are_found(spark):
         docs += [row(2 * i + d, " ".join(words(80, 4000 + 2 * i + d, 10**6).split() + (q if d else p) + words(80, 5000 + 2 * i + d, 10**6).split())) for d in (0, 1)]
     got = substring_dedup.passages(table(spark, docs)).collect()
     assert len(got) >= 0.9 * pairs and all(r["id"] % 2 and 78 <= r["start"] <= 90 and 129 <= r["end"] <= 141 and r["identity"] >= 0.8 for r in got)
+
+
+@pytest.mark.parametrize("n_words", [60, 100, 200])
+def test_exact_passages_whose_words_earlier_documents_quote(spark, n_words):
+    """Two documents with one passage, after others that quote short overlapping pieces of it (12, 16, 19 and 30 words)."""
+    docs, held = [], []
+    for quote, step in ((12, 6), (16, 8), (19, 10), (30, 10)):
+        for case in range(25):
+            key = 10**6 + (quote * 25 + case) * 1_000 + n_words * 10**7
+            p = words(n_words, key, 10**9).split()
+            pieces = [p[i : i + quote] for i in range(0, n_words - quote + 1, step)]
+            docs += [row(key + j, f"{words(30, key + 100 + j, 10**9)} {' '.join(piece)} {words(30, key + 200 + j, 10**9)}") for j, piece in enumerate(pieces)]
+            docs += [row(key + 900 + d, f"{words(40, key + 300 + d, 10**9)} {' '.join(p)} {words(40, key + 310 + d, 10**9)}") for d in (0, 1)]
+            held.append((quote, key + 901))
+    found = {}
+    for r in substring_dedup.passages(table(spark, docs)).collect():
+        found.setdefault(r["id"], set()).update(range(r["start"], r["end"]))
+    for quote in (12, 16, 19, 30):
+        whole = [len(found.get(i, set()) & set(range(40, 40 + n_words))) >= 0.8 * n_words for q, i in held if q == quote]
+        assert sum(whole) >= 0.95 * len(whole), (quote, sum(whole))
+    assert all(i % 1000 >= 900 for i in found), "short quotes aren't passages"
