@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..operators import classify as C
 from ..operators import dictionary as Dict
+from ..operators import pattern_table as P
 from ..operators.progressive import progressive_decision
 from ..session import table
 from .registry import query
@@ -149,6 +150,20 @@ def t3(spark, sf):
     return table(spark, sf, DOCS).select("doc_id", *(R.first_label(t, f).alias(n) for n, f in labels.items()))
 
 
+_SETS = {"excluded": CORPUS.excluded, "service": CORPUS.services, "physical": CORPUS.physical}
+
+
+@query(
+    "t3_table_labels",
+    " UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule_set, {sql_label('text', f)} AS label FROM documents WHERE {sql_label('text', f)} IS NOT NULL" for n, f in _SETS.items()),
+)
+def t3_table(spark, sf):
+    """The families as rows of a table."""
+    rows = [(n, i, label, R.bounded(p), None) for n, f in _SETS.items() for i, (label, p) in enumerate(f)]
+    rules = P.pattern_rows(spark.createDataFrame(rows, "rule_set string, step int, label string, pattern string, anchor string"))
+    return P.table_labels(table(spark, sf, DOCS), "doc_id", "text", rules)
+
+
 @query(
     "t4_context_flags",
     f"SELECT doc_id, f_any AND NOT f_strong AS weak_only, f_tel AS telecom, f_sub AS subscription, f_lic AS license, f_ded AS dedicated, f_buy AS purchase FROM ({sql_evidence(DOCS, 'doc_id')})",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..operators import classify as C
 from ..operators import extract as E
+from ..operators import pattern_table as P
 from ..session import table
 from .classify_queries import _PARTS, _q
 from .registry import query
@@ -159,6 +160,24 @@ def e15(spark, sf):
     return E.template_items(parts, "p_partkey", "text", templates).select("p_partkey", "template", "quantity", "duration")
 
 
+_AFTER = r"(?i)(?:^|[^a-z0-9_]){}\s+([a-z]+)"
+
+
+@query(
+    "e15_table_templates",
+    f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS w FROM benchmark),
+h AS (SELECT doc_id, w, regexp_extract_all(text, replace('{_AFTER}', '{{}}', w)) AS q FROM documents JOIN w ON contains(lower(text), w))
+SELECT doc_id, w AS template, len(q)::INT AS n, md5(array_to_string(q, '|')) AS digest FROM h WHERE len(q) > 0""",
+)
+def e15_table(spark, sf):
+    """Some hundreds of templates, one for each longer word of the benchmark, in one pass over documents."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("w")).distinct()
+    templates = words.select(F.lit("items").alias("rule_set"), F.lit(1).alias("step"), F.col("w").alias("label"), F.replace(F.lit(_AFTER), F.lit("{}"), F.col("w")).alias("pattern"), F.col("w").alias("anchor"))
+    hits = P.pattern_hits(table(spark, sf, DOCS), "doc_id", "text", P.pattern_rows(templates))
+    quotes = F.transform(F.sort_array(F.collect_list(F.struct("pos", "quote"))), lambda x: x["quote"])
+    return hits.groupBy("doc_id", F.col("label").alias("template")).agg(F.count("*").cast("int").alias("n"), F.md5(F.array_join(quotes, "|")).alias("digest"))
+
+
 @query(
     "e16_structured_items",
     """WITH t AS (SELECT l_orderkey, 'text item' AS description, l_quantity AS quantity, 'lot' AS unit, NULL::DOUBLE AS licenses FROM lineitem WHERE l_orderkey % 3 = 0 AND l_returnflag = 'R'),

@@ -16,6 +16,7 @@ from tenderlake.operators import classify as C
 from tenderlake.operators import dictionary as Dict
 from tenderlake.operators import extract as E
 from tenderlake.operators import lifecycle as L
+from tenderlake.operators import pattern_table as P
 from tenderlake.operators import relational as Rel
 from tenderlake.operators.progressive import progressive_decision
 from tenderlake.session import dealt
@@ -554,3 +555,25 @@ def test_progress_rises_while_a_stream_runs(spark, tmp_path):
         seen.follow(rows.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start())
     assert seen.totals == {"n": 40, "bad": 10} and [h["n"] for h in seen.history] == [10, 20, 30, 40]
     assert spark.read.parquet(f"{tmp_path}/out").count() == 40
+
+
+def test_templates_from_a_table(spark):
+    rows = [
+        ("items", 1, "licenses", r"(?i)([0-9,]+|many)\s+licenses?(?: for ([0-9]+ (?:year|month)s?))?", "license"), ("items", 2, "seats", r"([0-9]+) seats?()", None),
+        *(("items", 3, f"t{i}", rf"product{i}x ([0-9]+)()", f"Product{i}x") for i in range(500)),
+    ]
+    table = spark.createDataFrame(rows, "rule_set string, step int, label string, pattern string, anchor string")
+    texts = [(1, "Buy 1,200 Licenses for 2 years, 3 seats, and many licenses. 5 Seats no.", "a"), (2, "product7x 4 and product499x 1, product7x 2", "b"), (3, None, "c"), (4, "", "d"), (None, "2 seats", "e")]
+    df = spark.createDataFrame(texts, "k int, t string, label string")
+    constants = spark.createDataFrame([(r[2], f"D {r[2]}", "unit", "type", r[2] == "licenses") for r in rows], "label string, description string, unit string, license_type string, counts_licenses boolean")
+    found = P.table_items(df, "k", "t", P.pattern_rows(table), constants, F.concat(F.lit("f"), F.coalesce(F.col("k").cast("string"), F.lit("-"))))
+    got = sorted((r["k"] or 0, r["item_no"], r["template"], r["quantity"], r["licenses"], r["duration"], r["confidence"], r["source"]) for r in found.collect())
+    assert got == [
+        (1, 1, "licenses", 1200.0, 1200.0, "2 years", "high", "f1"), (1, 2, "licenses", None, None, None, "medium", "f1"), (1, 3, "seats", 3.0, None, None, "high", "f1"),
+        (2, 1, "t499", 1.0, None, None, "high", "f2"), (2, 2, "t7", 4.0, None, None, "high", "f2"), (2, 3, "t7", 2.0, None, None, "high", "f2"),
+    ]
+    few, many = (P.table_labels(df, "k", "t", P.pattern_rows(t))._jdf.queryExecution().toString() for t in (table.limit(2), table))
+    assert len(few) == len(many), "the plan grows with the rows"
+    for bad in ((None, 1, "a", "x", None), ("s", 1, "a", "", None), ("s", 1, "a", "x*", None), ("s", None, "a", "x", None)):
+        with pytest.raises(ValueError):
+            P.pattern_rows(spark.createDataFrame([bad], table.schema))
