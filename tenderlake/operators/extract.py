@@ -337,3 +337,90 @@ def technical_summary(items: DataFrame, clause_rows: DataFrame, key: str, bucket
     labels = F.transform(sources, lambda s, i: F.concat(F.lit("Document "), F.lpad((i + 1).cast("string"), 2, "0"), F.lit(": "), s))
     out = listed.select(key, F.transform("c", lambda x: F.struct(x["bucket"], x["clause"])).alias("clauses"), labels.alias("documents"))
     return out.join(facts, key, "left").withColumn("facts", F.coalesce("facts", F.array().cast("array<string>")))
+
+
+#: Fixed values. Names that aren't documents of a notice; the second stands for the notice itself.
+NO_DOCUMENTS = ("metadata.json", "notice")
+_RECORD = "struct<value:string,source:string>"
+
+
+def summary_facts(items: DataFrame, notices: DataFrame, key: str, pos: str, license_type: str, duration: str, delivery: str, deployment: str) -> DataFrame:
+    """The facts of each notice, a row each: ``key, place, label, value, source``.
+
+    License type and duration of each item, numbered if there are several
+    items; the duration of the delivery only if no item has one; then the
+    deployment. All are structs ``value, source``; those without a value are no facts.
+    """
+    record = lambda c: F.when(F.coalesce(F.trim(F.col(c)["value"]), F.lit("")) != "", F.struct(F.trim(F.col(c)["value"]).alias("value"), F.col(c)["source"].alias("source"))).cast(_RECORD)
+    of_key = Window.partitionBy(key)
+    nth = F.row_number().over(of_key.orderBy(pos))
+    suffix = F.when(F.count("*").over(of_key) > 1, F.concat(F.lit(" "), nth.cast("string"))).otherwise("")
+    rows = items.select(key, nth.alias("__n"), suffix.alias("__suffix"), record(license_type).alias("__type"), record(duration).alias("__duration"))
+    both = F.array(F.struct(F.lit(0).alias("i"), F.lit("License type").alias("label"), F.col("__type").alias("r")), F.struct(F.lit(1).alias("i"), F.lit("Duration").alias("label"), F.col("__duration").alias("r")))
+    of_items = rows.select(key, (F.col("__n") * 2).alias("__at"), "__suffix", F.explode(both).alias("f")).filter("f.r IS NOT NULL")
+    of_items = of_items.select(key, (F.col("__at") + F.col("f.i")).alias("at"), F.concat("f.label", "__suffix").alias("label"), "f.r.*")
+    timed = rows.filter("__duration IS NOT NULL").select(F.col(key).alias("__k")).distinct()
+    rest = notices.join(timed, F.col(key) == F.col("__k"), "left")
+    late = F.lit((1 << 31) - 3)
+    own = F.array(
+        F.struct(late.alias("at"), F.lit("Duration").alias("label"), F.when(F.col("__k").isNull(), record(delivery)).alias("r")),
+        F.struct((late + 1).alias("at"), F.lit("Deployment").alias("label"), record(deployment).alias("r")),
+    )
+    of_notice = rest.select(key, F.explode(own).alias("f")).filter("f.r IS NOT NULL").select(key, "f.at", "f.label", "f.r.*")
+    place = F.row_number().over(Window.partitionBy(key).orderBy("at"))
+    return of_items.unionByName(of_notice).withColumn("place", place).select(key, "place", "label", "value", "source")
+
+
+def source_documents(named: DataFrame, key: str, tier: str, pos: str, name: str) -> DataFrame:
+    """The documents of a notice in the order in which they are named first: ``key, number, name``.
+
+    ``tier`` ranks where a name comes from: listed sources, clauses, facts,
+    files of the packet. Blank names and ``NO_DOCUMENTS`` don't count.
+    """
+    text = F.trim(F.col(name))
+    kept = named.select(key, text.alias("name"), F.struct(tier, pos).alias("__at")).filter(F.coalesce("name", F.lit("")) != "").filter(~F.col("name").isin(*NO_DOCUMENTS))
+    first = kept.groupBy(key, "name").agg(F.min("__at").alias("__at"))
+    return first.select(key, F.row_number().over(Window.partitionBy(key).orderBy("__at", "name")).alias("number"), "name")
+
+
+def cited(facts: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    """Facts with ``source_label``: the number of the document that they cite, the notice, or a document that isn't listed; null without a source."""
+    numbers = documents.select(F.col(key).alias("__k"), F.col("name").alias("__name"), "number")
+    rows = facts.join(numbers, (F.col(key) == F.col("__k")) & (F.trim("source") == F.col("__name")), "left")
+    label = F.when(F.coalesce(F.trim("source"), F.lit("")) == "", None).when(F.trim("source") == NO_DOCUMENTS[1], "Notice")
+    numbered = F.concat(F.lit("Document "), F.lpad(F.col("number").cast("string"), F.greatest(F.lit(2), F.length(F.col("number").cast("string"))), F.lit("0")))
+    return rows.withColumn("source_label", label.when(F.col("number").isNotNull(), numbered).otherwise("Source document")).drop("__k", "__name", "number")
+
+
+def name_forms(name: Column) -> tuple[Column, Column]:
+    """A file name in lower case with single spaces for ``_``, ``-`` and white space; and that without its extension."""
+    plain = F.trim(F.regexp_replace(F.lower(name), r"[\s_-]+", " "))
+    return plain, F.regexp_replace(plain, r"\.[a-z0-9]{1,8}$", "")
+
+
+def document_links(documents: DataFrame, files: DataFrame, states: DataFrame, key: str, name: str = "name", filename: str = "filename", url: str = "url", state: str = "state") -> DataFrame:
+    """What each document name of a notice leads to: ``key, name, href, status, tier``.
+
+    A name is looked for among the notice's files as it is, then in its plain
+    form, then without extension (``exact``, ``plain``, ``stem``); each tier
+    sees the names that the one before left over. A tier that finds one URL
+    is ``available``, several are ``ambiguous`` and end the search, none at
+    all is ``unavailable``. While the files aren't ``ready`` a name is
+    ``unknown`` after an error and ``checking`` otherwise, also without a state.
+    """
+    listed = files.filter(F.col(url).isNotNull()).select(F.col(key).alias("__k"), F.col(filename).alias("exact"), *(f.alias(n) for f, n in zip(name_forms(F.col(filename)), ("plain", "stem"), strict=True)), F.col(url).alias("__url"))
+    now = states.select(F.col(key).alias("__s"), F.col(state).alias("__state"))
+    names = documents.select(key, F.col(name).alias("name")).distinct().join(now, F.col(key) == F.col("__s"), "left").drop("__s")
+    forms = dict(zip(("exact", "plain", "stem"), (F.col("name"), *name_forms(F.col("name"))), strict=True))
+    ready = F.coalesce(F.col("__state"), F.lit("")) == "ready"
+    waiting = F.when(F.col("__state").isin("error", "unavailable"), "unknown").otherwise("checking")
+    nothing = F.lit(None).cast("string")
+    out = names.filter(~ready).select(key, "name", nothing.alias("href"), waiting.alias("status"), nothing.alias("tier"))
+    left = names.filter(ready).select(key, "name")
+    for tier, form in forms.items():
+        met = listed.groupBy("__k", F.col(tier).alias("__form")).agg(F.count_distinct("__url").alias("__n"), F.min("__url").alias("__url"))
+        found = left.withColumn("__form_of", form).join(met, (F.col(key) == F.col("__k")) & (F.col("__form_of") == F.col("__form")), "left")
+        one = F.col("__n") == 1
+        hit = found.filter("__n IS NOT NULL").select(key, "name", F.when(one, F.col("__url")).alias("href"), F.when(one, "available").otherwise("ambiguous").alias("status"), F.lit(tier).alias("tier"))
+        out, left = out.unionByName(hit), found.filter("__n IS NULL").select(key, "name")
+    return out.unionByName(left.select(key, "name", nothing.alias("href"), F.lit("unavailable").alias("status"), nothing.alias("tier")))

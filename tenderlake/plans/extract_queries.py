@@ -236,6 +236,71 @@ def e20(spark, sf):
     return s.select("doc_id", F.size("clauses").alias("n_clauses"), F.md5(text).alias("digest"), F.array_join("documents", ",").alias("documents"), F.array_join("facts", ",").alias("facts"))
 
 
+_FACTS = """(WITH i AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n, count(*) OVER (PARTITION BY l_orderkey) AS m, l_partkey,
+    CASE WHEN l_returnflag = 'R' THEN 'per user' END AS kind, CASE WHEN l_linestatus = 'F' AND l_linenumber % 3 = 0 THEN l_quantity::INT || ' months' END AS months FROM lineitem),
+x AS (SELECT k, 2 * n AS ord, 'License type' || CASE WHEN m > 1 THEN ' ' || n ELSE '' END AS label, kind AS value, 'Part ' || l_partkey || '.pdf' AS source FROM i WHERE kind IS NOT NULL
+UNION ALL SELECT k, 2 * n + 1, 'Duration' || CASE WHEN m > 1 THEN ' ' || n ELSE '' END, months, 'notice' FROM i WHERE months IS NOT NULL
+UNION ALL SELECT o_orderkey, 1000000, 'Duration', '30 days', 'TOR.pdf' FROM orders WHERE o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT k FROM i WHERE months IS NOT NULL)
+UNION ALL SELECT o_orderkey, 1000001, 'Deployment', 'cloud', CASE WHEN o_orderkey % 8 = 0 THEN 'elsewhere.pdf' END FROM orders WHERE o_orderkey % 4 = 0)
+SELECT k, row_number() OVER (PARTITION BY k ORDER BY ord) AS place, label, value, source FROM x)"""
+
+
+def _facts(spark, sf):
+    """Facts of orders: license types of returned lines, durations of some, a delivery time and a deployment of some orders."""
+    li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    record = lambda value, source: F.struct(value.alias("value"), source.alias("source"))
+    months = F.when((F.col("l_linestatus") == "F") & (F.col("l_linenumber") % 3 == 0), F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" months")))
+    items = li.select(F.col("l_orderkey").alias("k"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("pos"), record(F.when(F.col("l_returnflag") == "R", " per user "), F.concat(F.lit("Part "), F.col("l_partkey").cast("string"), F.lit(".pdf"))).alias("kind"), record(months, F.lit("notice")).alias("months"))
+    notices = o.select(
+        F.col("o_orderkey").alias("k"), record(F.when(F.col("o_orderstatus") == "O", "30 days"), F.lit("TOR.pdf")).alias("delivery"),
+        record(F.when(F.col("o_orderkey") % 4 == 0, "cloud"), F.when(F.col("o_orderkey") % 8 == 0, "elsewhere.pdf")).alias("deployment"),
+    )
+    return E.summary_facts(items, notices, "k", "pos", "kind", "months", "delivery", "deployment")
+
+
+@query(
+    "e20_cited_facts",
+    f"""WITH f AS {_FACTS}, s AS (SELECT o_orderkey AS k, 0 AS tier, 0 AS pos, 'RFQ.pdf' AS name FROM orders UNION ALL SELECT k, 2, place, source FROM f WHERE source NOT IN ('notice', 'elsewhere.pdf') UNION ALL SELECT o_orderkey, 3, 0, 'TOR.pdf' FROM orders WHERE o_orderkey % 3 = 0),
+d AS (SELECT k, name, row_number() OVER (PARTITION BY k ORDER BY min((tier, pos)), name) AS number FROM s GROUP BY 1, 2)
+SELECT f.k, place::INT AS place, label, value, CASE WHEN source IS NULL THEN NULL WHEN source = 'notice' THEN 'Notice' WHEN number IS NULL THEN 'Source document' ELSE 'Document ' || lpad(number::VARCHAR, 2, '0') END AS source_label
+FROM f LEFT JOIN d ON f.k = d.k AND f.source = d.name""",
+)
+def e20_cited(spark, sf):
+    """Facts with the numbers of the documents that they cite; one document is cited and not listed."""
+    f = _facts(spark, sf)
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    named = o.select("k", F.lit(0).alias("tier"), F.lit(0).alias("pos"), F.lit("RFQ.pdf").alias("name")).union(f.filter("source <> 'elsewhere.pdf'").select("k", F.lit(2), "place", "source")).union(o.filter("k % 3 = 0").select("k", F.lit(3), F.lit(0), F.lit("TOR.pdf")))
+    documents = E.source_documents(named, "k", "tier", "pos", "name")
+    return E.cited(f, documents, "k").select("k", "place", "label", "value", "source_label")
+
+
+@query(
+    "e20_document_links",
+    r"""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey::VARCHAR AS p FROM lineitem),
+d AS (SELECT DISTINCT k, 'Part ' || p || '.pdf' AS name FROM l),
+f AS (SELECT k, CASE n % 4 WHEN 0 THEN 'Part ' || p || '.pdf' WHEN 1 THEN 'PART__' || p || '.pdf' WHEN 2 THEN 'part-' || p || '.docx' ELSE 'other ' || p || '.pdf' END AS filename, 'u/' || n AS url FROM l
+  UNION ALL SELECT k, ' PART ' || p || '.txt', 'v/' || n FROM l WHERE n % 3 = 0),
+g AS (SELECT *, trim(regexp_replace(lower(filename), '[\s_-]+', ' ', 'g')) AS plain FROM f),
+e AS (SELECT *, trim(regexp_replace(lower(name), '[\s_-]+', ' ', 'g')) AS plain FROM d),
+m AS (SELECT e.k, name, count(DISTINCT url) FILTER (filename = name) AS n1, min(url) FILTER (filename = name) AS u1, count(DISTINCT url) FILTER (g.plain = e.plain) AS n2, min(url) FILTER (g.plain = e.plain) AS u2, count(DISTINCT url) AS n3, min(url) AS u3
+  FROM e LEFT JOIN g ON e.k = g.k AND regexp_replace(g.plain, '\.[a-z0-9]{1,8}$', '') = regexp_replace(e.plain, '\.[a-z0-9]{1,8}$', '') GROUP BY 1, 2),
+r AS (SELECT k, name, CASE WHEN n1 > 0 THEN 'exact' WHEN n2 > 0 THEN 'plain' WHEN n3 > 0 THEN 'stem' END AS tier, CASE WHEN n1 > 0 THEN n1 WHEN n2 > 0 THEN n2 ELSE n3 END AS n, CASE WHEN n1 > 0 THEN u1 WHEN n2 > 0 THEN u2 ELSE u3 END AS u FROM m)
+SELECT k, name, CASE WHEN o_orderstatus <> 'P' AND k % 10 < 9 THEN tier END AS tier, CASE WHEN o_orderstatus <> 'P' AND k % 10 < 9 AND n = 1 THEN u END AS href,
+CASE WHEN o_orderstatus = 'P' THEN 'unknown' WHEN k % 10 = 9 THEN 'checking' WHEN n = 0 THEN 'unavailable' WHEN n = 1 THEN 'available' ELSE 'ambiguous' END AS status FROM r JOIN orders ON k = o_orderkey""",
+)
+def e20_links(spark, sf):
+    """Names of parts resolved to files that are called like them, nearly like them, or like nothing else."""
+    p = F.col("l_partkey").cast("string")
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), p.alias("p"))
+    part = F.concat(F.lit("Part "), F.col("p"), F.lit(".pdf"))
+    n = F.col("n") % 4
+    called = F.when(n == 0, part).when(n == 1, F.concat(F.lit("PART__"), F.col("p"), F.lit(".pdf"))).when(n == 2, F.concat(F.lit("part-"), F.col("p"), F.lit(".docx"))).otherwise(F.concat(F.lit("other "), F.col("p"), F.lit(".pdf")))
+    files = li.select("k", called.alias("filename"), F.concat(F.lit("u/"), F.col("n").cast("string")).alias("url"))
+    files = files.union(li.filter("n % 3 = 0").select("k", F.concat(F.lit(" PART "), F.col("p"), F.lit(".txt")), F.concat(F.lit("v/"), F.col("n").cast("string"))))
+    state = F.when(F.col("o_orderstatus") == "P", "error").when(F.col("o_orderkey") % 10 < 9, "ready")
+    return E.document_links(li.select("k", part.alias("name")), files, table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), state.alias("state")), "k")
+
+
 @query(
     "e22_wordings",
     r"""WITH f AS (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS flat FROM documents), h AS (SELECT *, regexp_extract(flat, '[A-Za-z]+ed under') AS hit FROM f), p AS (SELECT *, instr(flat, hit) AS p0 FROM h WHERE hit <> '')

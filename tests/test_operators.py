@@ -577,3 +577,14 @@ def test_templates_from_a_table(spark):
     for bad in ((None, 1, "a", "x", None), ("s", 1, "a", "", None), ("s", 1, "a", "x*", None), ("s", None, "a", "x", None)):
         with pytest.raises(ValueError):
             P.pattern_rows(spark.createDataFrame([bad], table.schema))
+
+
+def test_links_of_document_names(spark):
+    names = spark.createDataFrame([(1, "A_b.pdf"), (1, "C.pdf"), (1, "d.pdf"), (1, "e.pdf"), (1, "A_b.pdf"), (2, "A_b.pdf"), (3, "x"), (4, "x"), (1, "f.pdf")], "k int, name string")
+    files = spark.createDataFrame([(1, "A_b.pdf", "u1"), (1, "a b.pdf", "u2"), (1, "c.PDF", "u3"), (1, "c.pdf", "u3"), (1, "D.doc", "u4"), (1, "d.txt", "u5"), (1, "e", None), (1, "F.doc", "u6"), (3, "x", "u7"), (4, "x", "u8")], "k int, filename string, url string")
+    states = spark.createDataFrame([(1, "ready"), (3, "error"), (4, None)], "k int, state string")
+    got = {(r["k"], r["name"]): (r["href"], r["status"], r["tier"]) for r in E.document_links(names, files, states, "k").collect()}
+    assert got == {
+        (1, "A_b.pdf"): ("u1", "available", "exact"), (1, "C.pdf"): ("u3", "available", "plain"), (1, "d.pdf"): (None, "ambiguous", "stem"), (1, "e.pdf"): (None, "unavailable", None),
+        (1, "f.pdf"): ("u6", "available", "stem"), (2, "A_b.pdf"): (None, "checking", None), (3, "x"): (None, "unknown", None), (4, "x"): (None, "checking", None),
+    }
