@@ -289,13 +289,15 @@ def best_sections(df: DataFrame, key: str, text_col: str, words_col: str, marker
     return df.select(key, best_section(F.col(text_col), F.col(words_col), ids, marker, id_group).alias("__best")).select(key, "__best.*")
 
 
-def classify_document(df: DataFrame, text_col: str, title_col: str, rules: RuleSet, marker: str, stop_words: tuple[str, ...], id_group: int = 1, newline_only: bool = False, out_col: str = "relevance") -> DataFrame:
-    """A document's result for the notice of a title, as ``classify`` gives it, and ``section_id``.
+def classify_document(df: DataFrame, text_col: str, title_col: str, rules: RuleSet, marker: str, stop_words: tuple[str, ...], id_group: int = 1, newline_only: bool = False, out_col: str = "relevance", passed_over: tuple[str, ...] = ()) -> DataFrame:
+    """A document's result for the notice of a title, as ``classify`` gives it, ``section_id`` and ``notes``.
 
     Incidental phrases go, the section of the notice is selected (by ids that
     the title names, then by its words), item sentences are focused on, the
     rest is classified, and a clear negative title beats a product or review
-    result. A document whose section is uncertain is for review.
+    result. A document whose section is uncertain is for review. Notes say
+    which section was taken, which others name products (other than those
+    ``passed_over``), and that a title's exclusion stands.
     """
     title = F.coalesce(F.col(title_col), F.lit(""))
     ids = bind(F.split(title, f"(?={marker})"), lambda cs: F.transform(cs, lambda c: F.upper(F.regexp_extract(c, marker, id_group))))
@@ -309,7 +311,39 @@ def classify_document(df: DataFrame, text_col: str, title_col: str, rules: RuleS
     )
     judged = F.when(title != "", vetoed(F.col("__document"), F.col("__title"))).otherwise(F.col("__document"))
     result = F.when(F.col("__best.uncertain"), unsure).otherwise(judged)
-    return rows.select(*df.columns, F.col("__best.section_id").alias("section_id"), result.alias(out_col))
+    stands = ~F.col("__best.uncertain") & (title != "") & (F.col("__document.is_relevant") | F.col("__document.needs_review")) & ~F.col("__title.is_relevant") & ~F.col("__title.needs_review")
+    sections = F.when(F.col("__best.n_sections") >= 2, section_notes(F.col("__clean"), F.col("__best"), rules, marker, id_group, passed_over)).otherwise(F.array().cast("array<string>"))
+    notes = F.concat(sections, F.when(stands, F.array(F.lit("the title's exclusion stands"))).otherwise(F.array().cast("array<string>")))
+    return rows.select(*df.columns, F.col("__best.section_id").alias("section_id"), notes.alias("notes"), result.alias(out_col))
+
+
+def section_notes(text: Column, best: Column, rules: RuleSet, marker: str, id_group: int = 1, passed_over: tuple[str, ...] = ()) -> Column:
+    """What is said about the choice of a section, and about other sections that name product terms."""
+    telling = tuple(t for t in rules.product_terms if t not in passed_over)
+    others = lambda xs: F.filter(xs, lambda x: (x["id"] != best["section_id"]) & (F.size(terms_found(x["text"], telling)) > 0))
+    named = bind(sections_of(text, marker, id_group), lambda xs: F.transform(others(xs), lambda x: F.concat(F.lit("products in another section: "), x["id"])))
+    taken = F.concat(F.array(F.concat(F.lit("section "), best["section_id"])), named)
+    return F.when(best["uncertain"], F.array(F.lit("no one section of this notice"))).otherwise(taken)
+
+
+def reclassified_by_text(
+    packets: DataFrame, title_col: str, source_col: str, label_col: str, text_col: str, has_files: Column, rules: RuleSet, marker: str, stop_words: tuple[str, ...], **document
+) -> DataFrame:
+    """A packet's new label from what is stored: adds ``basis``, ``new_label`` and ``to_download``.
+
+    A manual decision stays (manual). A clear title decides (title); a product
+    without files is to be downloaded. Otherwise the saved text is classified
+    as a document (text), and without one the label stays until a document
+    has been inspected (needs document). Saved text that is empty is text.
+    """
+    rows = classify(packets, title_col, rules, "__named")
+    manual = F.coalesce(F.col(source_col) == "manual", F.lit(False))
+    open_ = ~manual & F.col("__named.needs_review")
+    rows = rows.withColumn("__saved", F.when(open_ & F.col(text_col).isNotNull(), F.col(text_col)).otherwise(""))
+    rows = classify_document(rows, "__saved", title_col, rules, marker, stop_words, out_col="__read", **document)
+    basis = F.when(manual, "manual").when(~F.col("__named.needs_review"), "title").when(F.col(text_col).isNotNull(), "text").otherwise("needs document")
+    new = F.when(basis == "title", label(F.col("__named"))).when(basis == "text", label(F.col("__read"))).otherwise(F.col(label_col))
+    return rows.select(*packets.columns, basis.alias("basis"), new.alias("new_label"), ((basis == "title") & (new == "product") & ~has_files).alias("to_download"))
 
 
 def usable(text: Column, letters: int = 200) -> Column:
@@ -322,19 +356,30 @@ def portion(text: Column, marker: str, budget: int = 4_000) -> Column:
     return F.substring(F.get(F.split(F.coalesce(text, F.lit("")), marker, 2), F.lit(0)), 1, budget)
 
 
-def cascade(df: DataFrame, title_col: str, structured_col: str, rules: RuleSet) -> DataFrame:
-    """The title decides if it can; only undecided rows look at their structured fields.
+def classify_structured(df: DataFrame, text_col: str, title_col: str, rules: RuleSet, marker: str, stop_words: tuple[str, ...], out_col: str = "relevance", **document) -> DataFrame:
+    """``classify_document`` on the text of structured fields; a product that rests on the generic term alone, in all of the text, is for review."""
+    rows = classify_document(df, text_col, title_col, rules, marker, stop_words, out_col="__judged", **document)
+    # only products are looked at again; the patterns pass over an empty text
+    again = rows.withColumn("__all", F.when(F.col("__judged.is_relevant"), F.col(text_col)).otherwise(""))
+    done = classify(again, "__all", rules, "__whole", keep=True).withColumn(out_col, structured_result(F.col("__judged")))
+    return done.select(*df.columns, "section_id", "notes", out_col)
+
+
+def cascade(df: DataFrame, title_col: str, structured_col: str, rules: RuleSet, marker: str, stop_words: tuple[str, ...], **document) -> DataFrame:
+    """The title decides if it can; only undecided rows look at their structured fields, as T9 does.
 
     Adds ``phase`` (title-skip, title-download, structured-skip,
-    structured-download, inspect), ``rule`` and ``category``.
+    structured-download, inspect), ``rule`` and ``category``. Without text in
+    its fields an undecided row keeps the title's result and is to inspect.
     """
     titled = classify(df, title_col, rules, "__title")
     open_ = F.col("__title.needs_review")
     done = titled.filter(~open_).select(
         *df.columns, F.concat(F.lit("title-"), title_action(F.col("__title"))).alias("phase"), "__title.rule", "__title.category"
     )
-    second = classify(titled.filter(open_), structured_col, rules, "__fields", keep=True)
-    second = second.withColumn("__fields", structured_result(F.col("__fields")))
+    second = classify_structured(titled.filter(open_), structured_col, title_col, rules, marker, stop_words, "__fields", **document)
+    blank = F.trim(F.coalesce(F.col(structured_col), F.lit(""))) == ""
+    second = second.withColumn("__fields", F.when(blank, F.col("__title")).otherwise(F.col("__fields")))
     phase = F.when(F.col("__fields.needs_review"), "inspect").otherwise(F.concat(F.lit("structured-"), title_action(F.col("__fields"))))
     return done.unionByName(second.select(*df.columns, phase.alias("phase"), "__fields.rule", "__fields.category"))
 
@@ -351,6 +396,7 @@ def scan_plan(incoming: DataFrame, state: DataFrame, key: str, title_col: str, r
     return planned_rows(rows, state, key, key, skip).select(*incoming.columns, "plan")
 
 
-def review_without_documents(phase: Column, portal: Column) -> Column:
-    """A notice of the second portal that needs its document is for review."""
-    return F.when((phase == "inspect") & (portal == "legacy"), "review").otherwise(phase)
+def review_without_documents(phase: Column, portal: Column) -> tuple[Column, Column]:
+    """``phase`` and ``reason``: a notice of the second portal that needs its document is for review, and says why."""
+    forced = (phase == "inspect") & (portal == "legacy")
+    return F.when(forced, "review").otherwise(phase).alias("phase"), F.when(forced, "its documents are not public").alias("reason")

@@ -260,15 +260,6 @@ def t8(spark, sf):
     return got.select("item_id", "r.rule", "r.needs_review", "r.confidence")
 
 
-@query(
-    "t9_structured_fields",
-    f"SELECT doc_id, CASE WHEN label = 'product' AND f_alone THEN 'generic term alone' ELSE rule END AS rule FROM ({sql_classified()})",
-)
-def t9(spark, sf):
-    r = C.structured_result(F.col("relevance"))
-    return _classified(spark, sf, keep=True).select("doc_id", r["rule"].alias("rule"))
-
-
 @query(
     "t10_title_veto",
     f"""WITH d AS ({sql_classified()}), b AS ({sql_classified('benchmark', 'item_id')}), n AS (SELECT count(*) AS n FROM benchmark)
@@ -393,17 +384,49 @@ _FOCUS = f"""SELECT doc_id, title, section_id, uncertain, CASE WHEN len(named) >
 FROM (SELECT *, list_filter({_PARTS.replace("coalesce(text, '')", "section")}, lambda s: regexp_matches(s, {_q(_EITHER)})) AS named FROM best)"""
 
 
-@query(
-    "t10_document_classifier",
-    f"""WITH {sql_sections(TITLED, sql_stripped("coalesce(text, '')"))}, f AS ({_FOCUS}),
-x AS ({sql_classified('f', 'doc_id, section_id, uncertain', 'focus')}), t AS ({sql_classified('f', 'doc_id', 'title')})
-SELECT x.doc_id, CASE WHEN uncertain THEN 'section unclear' WHEN t.label = 'not relevant' AND x.label <> 'not relevant' THEN t.rule ELSE x.rule END AS rule, section_id
-FROM x JOIN t ON x.doc_id = t.doc_id""",
-)
+_T10 = f"""{sql_sections(TITLED, sql_stripped("coalesce(text, '')"))}, f AS ({_FOCUS}),
+x AS ({sql_classified('f', 'doc_id, section_id, uncertain', 'focus')}), t AS ({sql_classified('f', 'doc_id', 'title')}),
+o AS (SELECT sc.doc_id, list('products in another section: ' || sc.section_id ORDER BY sc.pos) AS others FROM sc JOIN best ON sc.doc_id = best.doc_id
+  WHERE sc.section_id <> best.section_id AND len({sql_terms("sc.section", tuple(t for t in CORPUS.product_terms if t != "heen"))}) > 0 GROUP BY 1),
+z AS (SELECT x.doc_id, x.section_id, t.label AS title_label, t.rule AS title_rule, NOT x.uncertain AND t.label = 'not relevant' AND x.label <> 'not relevant' AS vetoed, x.uncertain,
+  CASE WHEN x.uncertain THEN 'section unclear' WHEN vetoed THEN t.rule ELSE x.rule END AS rule, CASE WHEN x.uncertain THEN 'review' WHEN vetoed THEN 'not relevant' ELSE x.label END AS label,
+  list_concat(CASE WHEN best.n_sections < 2 THEN [] WHEN x.uncertain THEN ['no one section of this notice'] ELSE list_concat(['section ' || x.section_id], coalesce(others, [])) END,
+    CASE WHEN vetoed THEN ['the title''s exclusion stands'] ELSE [] END) AS notes
+  FROM x JOIN t ON x.doc_id = t.doc_id JOIN best ON x.doc_id = best.doc_id LEFT JOIN o ON x.doc_id = o.doc_id)"""
+#: T9 on top: the whole text of products once more.
+_T9 = f"""{_T10}, w AS ({sql_classified(TITLED, "doc_id, text", "text")}),
+y AS (SELECT z.doc_id, title_label, z.label = 'product' AND w.f_alone AS alone, CASE WHEN alone THEN 'generic term alone' ELSE z.rule END AS rule, CASE WHEN alone THEN 'review' ELSE z.label END AS label, trim(coalesce(w.text, '')) = '' AS blank FROM z JOIN w ON z.doc_id = w.doc_id)"""
+_PHASE = """CASE WHEN title_label = 'product' THEN 'title-download' WHEN title_label = 'not relevant' THEN 'title-skip' WHEN blank THEN 'inspect'
+  WHEN label = 'product' THEN 'structured-download' WHEN label = 'not relevant' THEN 'structured-skip' ELSE 'inspect' END"""
+_DOCUMENT = {"marker": MARKER, "stop_words": STOPS, "newline_only": True, "passed_over": ("heen",)}
+
+
+@query("t10_document_classifier", f"WITH {_T10} SELECT doc_id, rule, section_id, array_to_string(notes, '; ') AS notes FROM z")
 def t10_document(spark, sf):
     """The whole document classifier: strip, select the section, focus, classify, title veto."""
-    got = C.classify_document(titled(spark, sf), "text", "title", CORPUS, MARKER, STOPS, newline_only=True)
-    return got.select("doc_id", "relevance.rule", "section_id")
+    got = C.classify_document(titled(spark, sf), "text", "title", CORPUS, **_DOCUMENT)
+    return got.select("doc_id", "relevance.rule", "section_id", F.array_join("notes", "; ").alias("notes"))
+
+
+@query("t9_structured_fields", f"WITH {_T9} SELECT doc_id, rule FROM y")
+def t9(spark, sf):
+    got = C.classify_structured(titled(spark, sf), "text", "title", CORPUS, **_DOCUMENT)
+    return got.select("doc_id", "relevance.rule")
+
+
+@query(
+    "m11_reclassified_by_text",
+    f"""WITH {_T10} SELECT z.doc_id, CASE WHEN toxic = 1 THEN 'manual' WHEN title_label <> 'review' THEN 'title' WHEN z.doc_id % 4 <> 0 AND d.text IS NOT NULL THEN 'text' ELSE 'needs document' END AS basis,
+CASE basis WHEN 'title' THEN title_label WHEN 'text' THEN z.label ELSE CASE WHEN quality = 1 THEN 'product' ELSE 'not relevant' END END AS new_label,
+basis = 'title' AND title_label = 'product' AND z.doc_id % 3 <> 0 AS to_download FROM z JOIN labels l ON z.doc_id = l.doc_id JOIN documents d ON z.doc_id = d.doc_id""",
+)
+def m11_by_text(spark, sf):
+    """Labels of saved packets from their titles and saved texts; every fourth has no text, every third has files."""
+    packets = titled(spark, sf).join(table(spark, sf, "labels"), "doc_id").select(
+        "doc_id", "title", F.when(F.col("doc_id") % 4 != 0, F.col("text")).alias("saved"), F.when(F.col("toxic") == 1, "manual").otherwise("automatic").alias("source"), F.when(F.col("quality") == 1, "product").otherwise("not relevant").alias("stored")
+    )
+    got = C.reclassified_by_text(packets, "title", "source", "stored", "saved", F.col("doc_id") % 3 == 0, CORPUS, **_DOCUMENT)
+    return got.select("doc_id", "basis", "new_label", "to_download")
 
 
 @query(
@@ -416,16 +439,9 @@ def t17(spark, sf):
     return _classified(spark, sf).select("doc_id", "label", C.title_action(r).alias("action"), C.inspection_outcome(r).alias("inspected"))
 
 
-@query(
-    "t18_evidence_cascade",
-    f"""WITH t AS ({sql_classified(TITLED, "doc_id", "title")}), f AS ({sql_classified(TITLED, "doc_id", "text")}),
-g AS (SELECT doc_id, CASE WHEN label = 'product' AND f_alone THEN 'review' ELSE label END AS label FROM f)
-SELECT t.doc_id, CASE WHEN t.label = 'product' THEN 'title-download' WHEN t.label = 'not relevant' THEN 'title-skip'
-  WHEN g.label = 'product' THEN 'structured-download' WHEN g.label = 'not relevant' THEN 'structured-skip' ELSE 'inspect' END AS phase
-FROM t JOIN g ON t.doc_id = g.doc_id""",
-)
+@query("t18_evidence_cascade", f"WITH {_T9} SELECT doc_id, {_PHASE} AS phase FROM y")
 def t18(spark, sf):
-    return C.cascade(titled(spark, sf), "title", "text", CORPUS).select("doc_id", "phase")
+    return C.cascade(titled(spark, sf), "title", "text", CORPUS, **_DOCUMENT).select("doc_id", "phase")
 
 
 @query(
@@ -474,12 +490,11 @@ def t22(spark, sf):
 
 @query(
     "t23_review_without_documents",
-    f"""WITH t AS ({sql_classified(TITLED, "doc_id, source", "title")}), f AS ({sql_classified(TITLED, "doc_id", "text")}),
-g AS (SELECT doc_id, CASE WHEN label = 'product' AND f_alone THEN 'review' ELSE label END AS label FROM f)
-SELECT t.doc_id, CASE WHEN t.label = 'product' THEN 'title-download' WHEN t.label = 'not relevant' THEN 'title-skip' WHEN g.label = 'product' THEN 'structured-download'
-  WHEN g.label = 'not relevant' THEN 'structured-skip' WHEN source IN ('src1', 'src2') THEN 'review' ELSE 'inspect' END AS phase
-FROM t JOIN g ON t.doc_id = g.doc_id""",
+    f"""WITH {_T9}, p AS (SELECT y.doc_id, {_PHASE} AS phase, source FROM y JOIN documents d ON y.doc_id = d.doc_id)
+SELECT doc_id, CASE WHEN phase = 'inspect' AND source IN ('src1', 'src2') THEN 'review' ELSE phase END AS phase,
+  CASE WHEN phase = 'inspect' AND source IN ('src1', 'src2') THEN 'its documents are not public' END AS reason FROM p""",
 )
 def t23(spark, sf):
     portal = F.when(F.col("source").isin("src1", "src2"), "legacy").otherwise("current")
-    return C.cascade(titled(spark, sf), "title", "text", CORPUS).select("doc_id", C.review_without_documents(F.col("phase"), portal).alias("phase"))
+    got = C.cascade(titled(spark, sf), "title", "text", CORPUS, **_DOCUMENT)
+    return got.select("doc_id", *C.review_without_documents(F.col("phase"), portal))

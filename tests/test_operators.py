@@ -173,7 +173,7 @@ def test_sections(spark):
 
 def test_cascade_and_veto(spark):
     rows = [(1, "Accounting software", "x"), (2, "Furniture", "accounting software"), (3, "Bottled water", "Annual subscription"), (4, "Bottled water", "software"), (5, "Bottled water", "chairs and furniture")]
-    got = {r["id"]: r["phase"] for r in C.cascade(spark.createDataFrame(rows, "id int, title string, fields string"), "title", "fields", R.PROCUREMENT).collect()}
+    got = {r["id"]: r["phase"] for r in C.cascade(spark.createDataFrame(rows, "id int, title string, fields string"), "title", "fields", R.PROCUREMENT, "PR ([0-9-]+)", ()).collect()}
     assert got == {1: "title-download", 2: "title-skip", 3: "structured-download", 4: "inspect", 5: "structured-skip"}
 
 
