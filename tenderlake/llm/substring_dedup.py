@@ -33,8 +33,9 @@ K = 5
 SPAN = 8
 #: The same for long seeds. A short seed may be first held by a document that quotes a few words of a passage; a long one is
 #: first held by a document with a part of it that counts, so exact repeats are found whatever earlier documents quote.
+#: Equal runs of LONG_K + LONG_SPAN - 1 words share one, which is less than a passage.
 LONG_K = 20
-LONG_SPAN = 16
+LONG_SPAN = 24
 #: Cost of a word of gap on either side; a seed of K words pays for a gap of 25 words on both.
 GAP_COST = 0.1
 #: Words of the shortest part of a passage (parts may have other first holders), of the shortest passage that is reported, least share of equal words.
