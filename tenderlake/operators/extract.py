@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.money import money
 from ..functions.rules import matches
 from ..functions.text import bind, capture, clean, field
+from .lifecycle import completeness
 
 
 def unwrap_lines(text: Column, block_start: str = r"^([0-9]+[.)]|[-*•]|[A-Z][A-Za-z ]{1,30}:)") -> Column:
@@ -38,25 +40,28 @@ BIDDER = r"(?i)(bidder|signature|printed name|tin no|company name)"
 
 
 def text_line_items(df: DataFrame, key: str, text_col: str, reach: int = 7, most: int = 300, bidder: str = BIDDER) -> DataFrame:
-    """Item rows of a text table: ``key, item_no, description, quantity, unit, amount, quote``.
+    """Item rows of a text table: ``key, item_no, item_reference, description, quantity, unit, amount, quote``.
 
-    An item number stands alone on a line; one to ``reach`` lines of
-    description follow, then ``quantity unit amount``. Descriptions that are
+    An item number of one or two digits stands alone on a line; one to
+    ``reach - 1`` lines of description follow, then ``quantity unit amount``
+    with two decimals. A line before the number that starts like ``2024-05-``
+    is the item's reference. Blank lines don't count. Descriptions that are
     longer than ``most`` or name a field for bidders are no items.
     """
-    total = r"^([0-9][0-9,]*)\s+([A-Za-z.]+)\s+([0-9][0-9,]*(\.[0-9]{2})?)$"
-    head = r"^[0-9]{1,3}[.)]?$"
-    lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda s: F.trim(s))
-    followed = lambda ls: F.transform(ls, lambda s, i: F.when(s.rlike(head), F.struct(s.alias("line"), F.slice(ls, i + 2, reach + 1).alias("after"))))
+    total = r"^([0-9]+)\s+(\S+)\s+([0-9,]*[0-9]\.[0-9]{2})$"
+    head = r"^[0-9]{1,2}$"
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    before = lambda ls, i: F.when(F.get(ls, i - 1).rlike("^[0-9]{4}-[0-9]{2}-"), F.get(ls, i - 1))
+    followed = lambda ls: F.transform(ls, lambda s, i: F.when(s.rlike(head), F.struct(s.alias("line"), before(ls, i).alias("reference"), F.slice(ls, i + 2, reach).alias("after"))))
     heads = df.select(key, F.posexplode(F.filter(bind(lines, followed), lambda x: x.isNotNull())).alias("pos", "head")).select(key, "pos", "head.*")
     end = F.get(F.filter(F.transform("after", lambda s, i: F.when(s.rlike(total), i)), lambda i: i.isNotNull()), F.lit(0))
     found = heads.withColumn("end", end).filter("end >= 1")
     description = clean(F.array_join(F.slice("after", F.lit(1), F.col("end")), " "))
     part = lambda i: F.regexp_extract(F.get("after", F.col("end")), total, i)
     rows = found.select(
-        key, "pos", F.regexp_extract("line", "[0-9]+", 0).cast("int").alias("item_no"), description.alias("description"),
+        key, "pos", F.col("line").cast("int").alias("item_no"), F.col("reference").alias("item_reference"), description.alias("description"),
         F.regexp_replace(part(1), ",", "").try_cast("double").alias("quantity"), part(2).alias("unit"), F.regexp_replace(part(3), ",", "").try_cast("decimal(18,2)").alias("amount"),
-        F.array_join(F.concat(F.array("line"), F.slice("after", F.lit(1), F.col("end") + 1)), "\n").alias("quote"),
+        F.array_join(F.concat(F.array("reference", "line"), F.slice("after", F.lit(1), F.col("end") + 1)), "\n").alias("quote"),
     )
     return rows.filter((F.length("description") <= most) & ~F.col("description").rlike(bidder)).drop("pos")
 
@@ -155,6 +160,16 @@ def clauses(df: DataFrame, key: str, parts_col: str, buckets: tuple[tuple[str, s
     return df.select(key, F.explode(clause_array(F.col(parts_col), buckets, gate)).alias("__c")).select(key, "__c.*")
 
 
+#: How software is run, by its wordings.
+DEPLOYMENTS = (("cloud-based", r"cloud[- ]?based"), ("on-premise", r"on[- ]?premises?"))
+
+
+def deployment(text: Column, source: Column, wordings: tuple[tuple[str, str], ...] = DEPLOYMENTS) -> Column:
+    """How software is run, as a field of medium confidence, if exactly one of the wordings occurs; null otherwise."""
+    found = F.array_compact(F.array(*(F.when(matches(text, p), F.lit(n)) for n, p in wordings)))
+    return bind(found, lambda f: F.when(F.size(f) == 1, field(F.get(f, F.lit(0)), source, confidence="medium")))
+
+
 def once_across_buckets(rows: DataFrame, key: str, bucket_order: list[str]) -> DataFrame:
     """Each clause text once in a notice, in the first bucket of a fixed order, then by source and place."""
     rank = F.array_position(F.array(*map(F.lit, bucket_order)), F.col("bucket"))
@@ -314,6 +329,36 @@ def bulk_requirements(docs: DataFrame, chosen: DataFrame, key: str, **record) ->
     return requirements_record(docs.join(chosen.select(key).distinct(), key, "left_semi"), key, **record)
 
 
+def full_records(records: DataFrame, items: DataFrame, notices: DataFrame, key: str, budget: str, listed: str, core: dict[str, str]) -> DataFrame:
+    """The whole record of each notice: ``key, record, items, budget, status, missing_fields, review_fields``.
+
+    ``records`` are those of ``requirements_record`` (``budget`` names their
+    field of it), ``items`` those of E15, E16 or ``merged_items``, ``listed``
+    is the notice's own budget. The budgets are reconciled (E17), the
+    document's first. Missing are the budget, items, and the ``core`` fields
+    (name in the result to field of the record) that nothing gives. A record
+    whose budgets disagree needs review; one with something missing, or with
+    an item that has neither quantity nor licenses, is partial (E19).
+    """
+    names = [c for c in items.columns if c != key]
+    listed_items = items.groupBy(F.col(key).alias("__i")).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("items"))
+    rows = records.join(listed_items, F.col(key) == F.col("__i"), "left").join(notices.select(F.col(key).alias("__n"), F.col(listed).cast("decimal(18,2)").alias("__listed")), F.col(key) == F.col("__n"), "left")
+    found = F.col(budget)
+    candidates = rows.select(key, F.explode(F.array(
+        F.struct(F.lit(0).alias("rank"), found["source"].alias("source"), money(found["value"]).alias("value")),
+        F.struct(F.lit(1).alias("rank"), F.lit("notice").alias("source"), F.col("__listed").alias("value")),
+    )).alias("c")).select(key, "c.*")
+    agreed = reconciled(candidates, key, "value", "rank", "source").select(F.col(key).alias("__b"), F.struct("value", "from_source", "scope", "conflicts").alias("__budget"), F.col("needs_review").alias("__differs"))
+    rows = rows.join(agreed, F.col(key) == F.col("__b"), "left").withColumn("items", F.coalesce("items", F.array().cast(listed_items.schema["items"].dataType)))
+    differs = F.coalesce("__differs", F.lit(False))
+    needed = {"budget": F.col("__budget"), "items": F.when(F.size("items") > 0, F.lit(True)), **{n: F.col(c) for n, c in core.items()}}
+    gaps = {"an item": F.when(~F.exists("items", lambda x: x["quantity"].isNull() & x["licenses"].isNull()), F.lit(True))}
+    missing, status = completeness(needed, gaps, differs)
+    record = F.struct(*(c for c in records.columns if c not in (key, "missing_fields")))
+    review = F.when(differs, F.array(F.lit("budget"))).otherwise(F.array().cast("array<string>"))
+    return rows.select(key, record.alias("record"), "items", F.col("__budget").alias("budget"), status.alias("status"), missing.alias("missing_fields"), review.alias("review_fields"))
+
+
 def identity_fields(df: DataFrame, key: str, names: dict[str, str]) -> DataFrame:
     """Columns of a notice as provenance fields of the notice; blank ones are null."""
     return df.select(key, *(field(clean(F.col(c).cast("string")), "notice").alias(n) for n, c in names.items()))

@@ -26,6 +26,34 @@ def decisions(commands: DataFrame, key: str, value: str, *order: str) -> DataFra
     return valid.groupBy(key).agg(F.max_by("decision", place).alias("decision"), F.max(order[0]).alias("decided_at"), F.count("*").alias("n_decisions"))
 
 
+#: What a decision by a person says; such a reason replaces an earlier one.
+DECIDED = {"product": "a person marked this as a product", "not relevant": "a person marked this as not relevant", "review": "a person kept this for review"}
+
+
+def applied_decisions(packets: DataFrame, decided: DataFrame, key: str, label: str = "label", category: str = "category", reasons: str = "reasons", status: str = "work_status", at: str = "reviewed_at") -> DataFrame:
+    """M1: packets with the decisions of ``decisions`` applied; the others as they were.
+
+    A decision sets the label and both flags (``is_relevant``,
+    ``needs_review``), the category (a product's or other goods'; kept for
+    review, those two are unknown), the manual source and the time of review,
+    and replaces the reason of an earlier decision. A product without a work
+    status is new; other packets keep theirs.
+    """
+    side = decided.select(F.col(key).alias("__k"), F.col("decision").alias("__d"), F.col("decided_at").alias("__at"))
+    rows = packets.join(side, F.col(key) == F.col("__k"), "left")
+    d, made = F.col("__d"), F.col("__d").isNotNull()
+    said = F.element_at(F.create_map(*(F.lit(x) for pair in DECIDED.items() for x in pair)), d)
+    kept = F.filter(F.coalesce(F.col(reasons), F.array().cast("array<string>")), lambda x: ~x.isin(*DECIDED.values()))
+    of_kind = F.when(d == "product", "product").when(d == "not relevant", "goods").when(F.col(category).isin("product", "goods"), "unknown").otherwise(F.col(category))
+    label_now = F.coalesce(d, F.col(label))
+    new = {
+        label: label_now, "is_relevant": F.when(made, d == "product").otherwise(F.col("is_relevant")), "needs_review": F.when(made, d == "review").otherwise(F.col("needs_review")),
+        category: F.when(made, of_kind).otherwise(F.col(category)), reasons: F.when(made, F.concat(kept, F.array(said))).otherwise(F.col(reasons)), "source": F.when(made, "manual").otherwise(F.col("source")),
+        at: F.when(made, F.col("__at")).otherwise(F.col(at)), status: F.when(made, work_status(F.col(status), label_now)).otherwise(F.col(status)),
+    }
+    return rows.select(*(new[c].alias(c) if c in new else F.col(c) for c in packets.columns))
+
+
 def manual_over_automatic(automatic: DataFrame, manual: DataFrame, key: str, column: str) -> DataFrame:
     """M2: a manual value stays, whatever is found later; ``source`` says which it is."""
     side = manual.select(F.col(key).alias("__k"), F.col(column).alias("__m")).filter("__m IS NOT NULL")

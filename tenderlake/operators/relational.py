@@ -304,6 +304,29 @@ def weekly_report(rows: DataFrame, started: str, identity: str, kind: Column, or
     return runs.join(groups, "week", "left").fillna(0, ["new", "saved", "unknown"])
 
 
+WORK_STATUSES = ("new", "in-progress", "done")
+
+
+def weekly_status(groups: DataFrame, packets: DataFrame, identity: str, key: str, work_status: str) -> DataFrame:
+    """Per week the new groups by the current work status of their packets: ``week, new_status, in_progress, done, not_recorded``.
+
+    Weeks without a new group aren't listed; a status that isn't one of
+    ``WORK_STATUSES``, and a group without a packet, is not recorded.
+    """
+    rows = weekly_state(groups, packets, identity, key, {}, work_status).filter("kind = 0")
+    n = lambda s: F.count_if(F.col("status") == s)
+    return rows.groupBy("week").agg(n("new").alias("new_status"), n("in-progress").alias("in_progress"), n("done").alias("done"), F.count_if(~F.col("status").isin(*WORK_STATUSES)).alias("not_recorded"))
+
+
+def weekly_errors(rows: DataFrame, scan: str, started: str, order: str, reference: Column, error: Column, stopped: Column | None = None, zone: str = "Asia/Manila") -> DataFrame:
+    """The messages of a week's scans: ``week, scan, started_at, reference, message``, as A4 reports them; a scan's start is its first."""
+    of_scan = rows.groupBy(F.col(scan).alias("__s")).agg(F.min(started).alias("started_at"))
+    named = rows.select(F.col(scan).alias("__n"), F.col(order).alias("__o"), reference.alias("reference"))
+    found = scan_errors(rows, scan, order, error, stopped).join(of_scan, F.col(scan).eqNullSafe(F.col("__s")))
+    found = found.join(named, F.col(scan).eqNullSafe(F.col("__n")) & (F.col(order) == F.col("__o")), "left")
+    return found.select(local_week(F.col("started_at"), zone).alias("week"), scan, "started_at", F.nullif(F.trim(F.col("reference").cast("string")), F.lit("")).alias("reference"), "message")
+
+
 def transition_matrix(df: DataFrame, before: str, after: str) -> DataFrame:
     """How many rows go from each label to each."""
     return df.groupBy(before, after).agg(F.count("*").alias("n"))

@@ -8,7 +8,8 @@ from ..functions import rules as R
 from ..operators import classify as C
 from ..operators import extract as E
 from ..operators import pattern_table as P
-from ..session import table
+from ..session import shared_path, table
+from ..sources.store import KeyedStore
 from .classify_queries import _PARTS, _q
 from .registry import query
 
@@ -38,17 +39,18 @@ def e6(spark, sf):
 
 @query(
     "e7_text_line_items",
-    """SELECT l_orderkey AS k, l_linenumber AS item_no, 'Part ' || l_partkey || ' of ' || l_suppkey AS description, l_quantity AS quantity, 'lot' AS unit, l_extendedprice::DECIMAL(18,2) AS amount
+    """SELECT l_orderkey AS k, l_linenumber AS item_no, CASE WHEN l_suppkey % 3 = 0 THEN '2024-05-' || l_partkey END AS item_reference, 'Part ' || l_partkey || ' of ' || l_suppkey AS description, l_quantity AS quantity, 'lot' AS unit, l_extendedprice::DECIMAL(18,2) AS amount
 FROM lineitem WHERE l_partkey % 7 > 0""",
 )
 def e7(spark, sf):
     item = F.col("l_linenumber").cast("string")
     described = F.when(F.col("l_partkey") % 7 == 0, "Signature of bidder").otherwise(F.concat(F.lit("Part "), F.col("l_partkey").cast("string"), F.lit("\n  of "), F.col("l_suppkey").cast("string")))
     total = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" lot "), F.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2))
-    block = F.concat_ws("\n", item, described, total)
+    reference = F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("2024-05-"), F.col("l_partkey").cast("string")))
+    block = F.concat_ws("\n", reference, item, described, total)
     place = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", block.alias("b"))
     notes = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(place)), lambda x: x["b"]), "\n\n").alias("text"))
-    return E.text_line_items(notes, "k", "text").select("k", "item_no", "description", "quantity", "unit", "amount")
+    return E.text_line_items(notes, "k", "text").select("k", "item_no", "item_reference", "description", "quantity", "unit", "amount")
 
 
 RULES = (
@@ -145,6 +147,20 @@ def e14(spark, sf):
     return E.clauses(_pieces(spark, sf), "doc_id", "parts", BUCKETS).select("doc_id", "pos", "bucket", F.md5("clause").alias("digest"))
 
 
+_RUN = (("first", r"heen"), ("second", r"las?|der"))
+
+
+@query(
+    "e14_deployment",
+    f"""SELECT doc_id, CASE WHEN a AND NOT b THEN 'first' WHEN b AND NOT a THEN 'second' END AS deployment, CASE WHEN a <> b THEN source END AS source
+FROM (SELECT doc_id, source, regexp_matches(text, {_q(R.bounded(_RUN[0][1]))}) AS a, regexp_matches(text, {_q(R.bounded(_RUN[1][1]))}) AS b FROM documents)""",
+)
+def e14_deployment(spark, sf):
+    """One of two wordings, where the other doesn't occur."""
+    got = table(spark, sf, DOCS).select("doc_id", E.deployment(F.col("text"), F.col("source"), _RUN).alias("d"))
+    return got.select("doc_id", F.col("d.value").alias("deployment"), F.col("d.source").alias("source"))
+
+
 @query(
     "e15_template_items",
     "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'licenses' ELSE 'subscription' END AS template, p_size AS quantity, CASE WHEN p_size % 3 = 0 THEN NULL ELSE '2 years' END AS duration FROM part WHERE p_size > 0",
@@ -341,3 +357,39 @@ def e23(spark, sf):
     got = E.bulk_requirements(table(spark, sf, DOCS), chosen, "doc_id", text_col="text", source_col="source", parts=parts, notice={"lang": "lang"}, rules=RULES[1:], buckets=BUCKETS, quoted=(("to", "to"),))
     text = F.array_join(F.transform("clauses", lambda x: F.concat(x["bucket"], F.lit(":"), x["clause"])), "|")
     return got.select("doc_id", F.col("period.value").alias("period"), F.col("lang.value").alias("lang"), F.size("clauses").alias("n_clauses"), F.md5(text).alias("digest"), F.array_join("missing_fields", ",").alias("missing"))
+
+
+_BUDGETED = """(SELECT doc_id, text, source, CASE doc_id % 4 WHEN 0 THEN o_totalprice::DECIMAL(18,2) WHEN 1 THEN o_totalprice::DECIMAL(18,2) + 1 END AS said, CASE WHEN doc_id % 5 > 0 THEN o_totalprice::DECIMAL(18,2) END AS listed, doc_id % 3 = 0 AS due
+  FROM documents JOIN orders ON doc_id = o_orderkey WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))"""
+
+
+@query(
+    "e23_full_records",
+    f"""WITH b AS {_BUDGETED}, i AS (SELECT l_orderkey, count(*)::INT AS n, bool_or(l_linestatus = 'O' AND l_returnflag = 'R') AS gap, sum(CASE WHEN l_linestatus = 'F' THEN l_quantity END) AS licenses FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)
+SELECT b.doc_id, coalesce(said, listed) AS budget, CASE WHEN said IS NOT NULL THEN source WHEN listed IS NOT NULL THEN 'notice' END AS budget_source, CASE WHEN said IS NULL AND listed IS NULL THEN NULL WHEN said IS NULL OR listed IS NULL THEN 'single' WHEN said = listed THEN 'corroborated' ELSE 'conflicting' END AS scope,
+coalesce(n, 0)::INT AS n_items, licenses, CASE WHEN due THEN '7 May 2026' END AS deadline,
+CASE WHEN coalesce(said <> listed, false) THEN 'needs_review' WHEN coalesce(said, listed) IS NULL OR coalesce(n, 0) = 0 OR NOT due OR coalesce(gap, false) THEN 'partial' ELSE 'complete' END AS status,
+concat_ws(',', CASE WHEN coalesce(said, listed) IS NULL THEN 'budget' END, CASE WHEN coalesce(n, 0) = 0 THEN 'items' END, CASE WHEN NOT due THEN 'deadline' END) AS missing
+FROM b LEFT JOIN i ON b.doc_id = l_orderkey""",
+)
+def e23_full(spark, sf):
+    """Whole records of chosen documents, with items of the order of that number, two sources of the budget and a status; written to a store and read."""
+    chosen = table(spark, sf, "labels").filter("quality = 1")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    k = F.col("doc_id") % 4
+    said = F.when(k == 0, F.col("price")).when(k == 1, F.col("price") + 1)
+    tail = F.concat(F.coalesce(F.concat(F.lit("\nApproved budget: PHP "), F.format_number(said, 2)), F.lit("")), F.when(F.col("doc_id") % 3 == 0, "\nDeadline of submission: 7 May 2026\n").otherwise("\n"))
+    docs = table(spark, sf, DOCS).join(o, "doc_id").withColumns({"full": F.concat("text", tail), "listed": F.when(F.col("doc_id") % 5 > 0, F.col("price"))})
+    li = table(spark, sf, "lineitem").filter("l_returnflag <> 'N'")
+    gap = (F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "R")
+    lots = li.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("name"), F.when(~gap, F.col("l_quantity")).alias("quantity"), F.when(F.col("l_linestatus") == "F", "License").otherwise("lot").alias("unit"))
+    items = E.structured_items(lots, "doc_id", "name", "quantity", "unit")
+    parts = E.complete_sentences(C.sentences(F.col("full"), True), 12, CUT, r"\s*[|]\s*", "(?i) ever.*$")
+    got = E.full_records(E.bulk_requirements(docs, chosen, "doc_id", text_col="full", source_col="source", parts=parts, notice={}, rules=(E.DEADLINE, E.RECORD[3]), buckets=BUCKETS), items, docs.select("doc_id", "listed"), "doc_id", "budget", "listed", {"deadline": "deadline"})
+    path = shared_path(spark, "requirements-store")
+    KeyedStore.create(spark, path, got.schema, "doc_id", 16).upsert(got, lambda current, incoming: incoming, "job", 0)
+    rows = KeyedStore(spark, path).read()
+    return rows.select(
+        "doc_id", F.col("budget.value").alias("budget"), F.col("budget.from_source").alias("budget_source"), F.col("budget.scope").alias("scope"), F.size("items").alias("n_items"),
+        F.aggregate("items", F.lit(None).cast("double"), lambda acc, x: F.coalesce(acc + x["licenses"], acc, x["licenses"])).alias("licenses"), F.col("record.deadline.value").alias("deadline"), "status", F.array_join("missing_fields", ",").alias("missing"),
+    )

@@ -28,6 +28,27 @@ def m1(spark, sf):
     return L.decisions(_events(spark, sf).withColumn("value_text", spelled), "user_id", "value_text", "ts", "event_id")
 
 
+@query(
+    "m1_applied_decisions",
+    """WITH v AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'click' THEN 'product' WHEN 'error' THEN 'not relevant' WHEN 'view' THEN 'review' END AS d FROM events),
+m AS (SELECT user_id, arg_max(d, (ts, event_id)) AS d, max(ts) AS decided_at FROM v WHERE d IS NOT NULL GROUP BY 1)
+SELECT c_custkey, coalesce(d, 'review') AS label, CASE WHEN d IS NULL THEN false ELSE d = 'product' END AS is_relevant, CASE WHEN d IS NULL THEN true ELSE d = 'review' END AS needs_review,
+CASE d WHEN 'product' THEN 'product' WHEN 'not relevant' THEN 'goods' WHEN 'review' THEN CASE WHEN c_mktsegment = 'BUILDING' THEN 'unknown' ELSE 'mixed' END ELSE CASE WHEN c_mktsegment = 'BUILDING' THEN 'goods' ELSE 'mixed' END END AS category,
+CASE d WHEN 'product' THEN 'terms; a person marked this as a product' WHEN 'not relevant' THEN 'terms; a person marked this as not relevant' WHEN 'review' THEN 'terms; a person kept this for review' ELSE 'terms; a person kept this for review' END AS reasons,
+CASE WHEN d IS NULL THEN 'automatic' ELSE 'manual' END AS source, coalesce(decided_at, TIMESTAMP '2020-01-01') AS reviewed_at, CASE WHEN c_custkey % 3 = 0 THEN 'done' WHEN d = 'product' THEN 'new' END AS work_status
+FROM customer LEFT JOIN m ON c_custkey = user_id""",
+)
+def m1_applied(spark, sf):
+    """Packets of customers with the decisions of their users."""
+    spelled = F.when(F.col("event_type") == "click", " Software").when(F.col("event_type") == "error", "NOT_relevant").when(F.col("event_type") == "view", "unsure").otherwise("?")
+    made = L.decisions(_events(spark, sf).withColumn("value_text", spelled), "user_id", "value_text", "ts", "event_id").withColumnRenamed("user_id", "c_custkey")
+    packets = table(spark, sf, "customer").select(
+        "c_custkey", F.lit("review").alias("label"), F.lit(False).alias("is_relevant"), F.lit(True).alias("needs_review"), F.when(F.col("c_mktsegment") == "BUILDING", "goods").otherwise("mixed").alias("category"),
+        F.array(F.lit("terms"), F.lit(L.DECIDED["review"])).alias("reasons"), F.lit("automatic").alias("source"), F.lit("2020-01-01").cast("timestamp_ntz").alias("reviewed_at"), F.when(F.col("c_custkey") % 3 == 0, "done").alias("work_status"),
+    )
+    return L.applied_decisions(packets, made, "c_custkey").withColumn("reasons", F.array_join("reasons", "; "))
+
+
 @query(
     "m2_manual_over_automatic",
     f"SELECT c.doc_id, CASE WHEN toxic = 1 THEN 'not relevant' ELSE label END AS label, CASE WHEN toxic = 1 THEN 'manual' ELSE 'automatic' END AS source FROM ({sql_classified()}) c LEFT JOIN labels l ON c.doc_id = l.doc_id",

@@ -314,6 +314,32 @@ def a6(spark, sf):
     return R.weekly_report(e, "ts", "ident", _kind(), "event_id", "event_type", complete, F.col("value") < 0)
 
 
+@query(
+    "a6_weekly_status",
+    f"""WITH g AS (SELECT week, user_id, min(kind) AS kind FROM {WEEKLY} GROUP BY 1, 2),
+s AS (SELECT week, CASE WHEN c_custkey IS NULL THEN 'none' ELSE CASE c_nationkey % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'in-progress' WHEN 2 THEN 'done' ELSE 'none' END END AS status FROM g LEFT JOIN customer ON user_id = c_custkey AND c_acctbal > 0 WHERE kind = 0)
+SELECT week, count_if(status = 'new')::BIGINT AS new_status, count_if(status = 'in-progress')::BIGINT AS in_progress, count_if(status = 'done')::BIGINT AS done, count_if(status = 'none')::BIGINT AS not_recorded FROM s GROUP BY 1""",
+)
+def a6_status(spark, sf):
+    """The new groups of a week by the work status of their packets."""
+    g = R.weekly_groups(table(spark, sf, "events"), "ts", "user_id", _kind(), "event_id", "event_type")
+    n = F.col("c_nationkey") % 4
+    packets = table(spark, sf, "customer").filter("c_acctbal > 0").withColumn("status", F.when(n == 0, "new").when(n == 1, "in-progress").when(n == 2, "done").otherwise("later"))
+    return R.weekly_status(g, packets, "user_id", "c_custkey", "status")
+
+
+@query(
+    "a6_weekly_errors",
+    f"""WITH m AS {_MESSAGES}, s AS (SELECT scan, min(ts) AS started_at FROM {_SCANS} GROUP BY 1)
+SELECT date_trunc('week', started_at + INTERVAL 8 HOUR)::DATE AS week, m.scan, started_at, CASE WHEN user_id % 9 <> 0 THEN (user_id)::VARCHAR END AS reference, message FROM m JOIN s ON m.scan = s.scan LEFT JOIN events e ON m.event_id = e.event_id""",
+)
+def a6_errors(spark, sf):
+    """The messages of the scans of a week."""
+    e, _, error, stopped = _scans(spark, sf)
+    reference = F.when(F.col("user_id") % 9 != 0, F.col("user_id"))
+    return R.weekly_errors(e, "scan", "ts", "event_id", reference, error, stopped)
+
+
 @query("a7_award_summary", "SELECT count(*)::BIGINT AS n, count_if(o_orderpriority = '1-URGENT')::BIGINT AS pending, count_if(o_orderpriority <> '1-URGENT')::BIGINT AS accepted, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice::DECIMAL(18,2) END)::DECIMAL(28,2) AS total FROM orders")
 def a7(spark, sf):
     return R.award_summary(table(spark, sf, "orders"), F.col("o_orderpriority") == "1-URGENT", F.col("o_orderstatus") == "F", "o_totalprice")
