@@ -6,10 +6,12 @@ engine; a boundary is anything but an ASCII letter, digit or underscore.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EDGE = "[^A-Za-z0-9_]"
@@ -180,6 +182,13 @@ def load_rules(table: DataFrame) -> RuleSet:
     )
 
 
+def procurement_rules(spark: SparkSession) -> RuleSet:
+    """The rules of ``data/procurement_rules.csv``, for notices in English; a copy of that file with other rows is another classifier."""
+    text = (Path(__file__).resolve().parents[1] / "data" / "procurement_rules.csv").read_text(encoding="utf-8")
+    rows = [(s, int(n), label, pattern) for s, n, label, pattern in csv.reader(text.splitlines()[1:], delimiter=";", quoting=csv.QUOTE_NONE)]
+    return load_rules(spark.createDataFrame(rows, "rule_set string, step int, label string, pattern string"))
+
+
 def excerpt(text: Column, term: str, around: int = 70) -> Column:
     """A term with ``around`` characters of white-space-collapsed text on either side, dots where it is cut."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))

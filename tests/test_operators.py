@@ -588,3 +588,22 @@ def test_links_of_document_names(spark):
         (1, "A_b.pdf"): ("u1", "available", "exact"), (1, "C.pdf"): ("u3", "available", "plain"), (1, "d.pdf"): (None, "ambiguous", "stem"), (1, "e.pdf"): (None, "unavailable", None),
         (1, "f.pdf"): ("u6", "available", "stem"), (2, "A_b.pdf"): (None, "checking", None), (3, "x"): (None, "unknown", None), (4, "x"): (None, "checking", None),
     }
+
+
+PROCURED = [
+    ("Supply of payroll software for the treasurer", "product"), ("Renewal of antivirus licenses, 50 seats", "product"), ("Supply and delivery of bond paper and folders", "not relevant"),
+    ("Catering for the system development workshop", "not relevant"), ("Supply of diesel for the motor pool", "not relevant"), ("Procurement of 12 laptops with pre-installed software", "not relevant"),
+    ("Annual subscription", "product"), ("Internet subscription for the main office", "not relevant"), ("Subscription to a magazine", "review"), ("Information system", "review"),
+    ("Repair of the roof and accounting system", "review"), ("CCTV with software", "not relevant"), ("Consultancy on software", "not relevant"), ("Consulting services and supply of software", "review"),
+    ("Printing of forms", "not relevant"), ("Mobile app for tourists", "product"), ("Laptops and antivirus", "review"), ("Various items", "review"), ("Calibration of weighing scales", "not relevant"),
+    ("Generator set with control software of the machine", "not relevant"), ("50 perpetual licences, standard edition", "product"), ("Medals and trophies for the software contest", "review"),
+    ("Seminar on system development and team building", "not relevant"), ("Video conferencing license, yearly", "product"), ("Furniture", "not relevant"),
+]
+
+
+def test_rules_of_the_data_file_on_labelled_titles(spark):
+    rules = R.procurement_rules(spark)
+    assert len(rules.product_terms) >= 19 and len(rules.services) >= 14 and len(rules.physical) >= 25 and len(rules.excluded) >= 5 and set(rules.context) == set(R.CONTEXT)
+    df = spark.createDataFrame(PROCURED, "t string, label string")
+    got = {r["t"]: (r["found"], r["rule"]) for r in C.classify(df, "t", rules).select("t", C.label(F.col("relevance")).alias("found"), "relevance.rule").collect()}
+    assert {t: got[t] for t, expect in PROCURED if got[t][0] != expect} == {}
