@@ -186,6 +186,44 @@ def case_report(notices: DataFrame, items: DataFrame, key: str, item_key: str, q
     return rows.select(key, *records, F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("quantity", F.lit(0.0)).alias("quantity"), reviewed.alias("reviewed"))
 
 
+def whole_case_report(
+    notices: DataFrame, key: str, plain: dict[str, Column], fields: dict[str, Column], reviewed: Column, items: DataFrame, item_order: str, item_fields: dict[str, Column],
+    facts: DataFrame, documents: DataFrame, conflicts: DataFrame, clauses: DataFrame, emails: Column,
+) -> DataFrame:
+    """P11 in full: one wide row per notice, with lists of what belongs to it.
+
+    ``plain`` columns are trimmed texts, ``fields`` and ``item_fields`` become
+    records (``as_field``). ``facts`` (E20: place, label, value, source_label),
+    ``documents`` (number, name), ``conflicts`` (field, value, source) and
+    ``clauses`` have rows by key; clauses are counted. ``emails`` is the array
+    of candidates. A notice without requirements has empty lists, null
+    records and ``has_requirements`` false: nothing is made up for it.
+    """
+
+    def listed(rows: DataFrame, called: str, *order: Column, **columns: Column) -> DataFrame:
+        entry = F.struct(F.struct(*order).alias("__at"), F.struct(*(c.alias(n) for n, c in columns.items())).alias("__x"))
+        gathered = F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["__x"])
+        return rows.groupBy(F.col(key).alias("__k")).agg(gathered.alias(called))
+
+    kinds = dict(items.select(*(c.alias(n) for n, c in item_fields.items())).dtypes)
+    records = {n: as_field(c, kinds[n].startswith("struct")) for n, c in item_fields.items()}
+    lists = [
+        listed(items, "items", F.col(item_order), **records),
+        listed(facts, "facts", F.col("place"), label=F.col("label"), value=F.col("value"), source_label=F.col("source_label")),
+        listed(documents, "documents", F.col("number"), name=F.col("name")),
+        listed(conflicts, "conflicts", F.col("field"), F.col("source"), field=F.col("field"), value=F.col("value"), source=F.col("source")),
+        clauses.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("n_clauses")),
+    ]
+    own = notices.select(*(c.alias(n) for n, c in fields.items())).dtypes
+    texts = [F.nullif(F.trim(c.cast("string")), F.lit("")).alias(n) for n, c in plain.items()]
+    out = notices.select(key, *texts, *(as_field(fields[n], kind.startswith("struct")).alias(n) for n, kind in own), emails.alias("email_candidates"), reviewed.alias("reviewed"))
+    for side in lists:
+        name = side.columns[1]
+        empty = F.lit(0).cast("long") if name == "n_clauses" else F.array().cast(side.schema[name].dataType)
+        out = out.join(side, F.col(key) == F.col("__k"), "left").drop("__k").withColumn(name, F.coalesce(name, empty))
+    return out.withColumn("has_requirements", (F.size("items") > 0) | (F.size("facts") > 0) | (F.col("n_clauses") > 0))
+
+
 def with_defaults(df: DataFrame, key: str, texts: dict[str, Column], nullable: dict[str, Column], lists: dict[str, Column]) -> DataFrame:
     """A packet's fixed shape: texts default to the empty string, others to null, lists to the empty list."""
     return df.select(

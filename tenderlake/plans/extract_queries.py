@@ -8,6 +8,7 @@ from ..functions import rules as R
 from ..operators import classify as C
 from ..operators import extract as E
 from ..operators import pattern_table as P
+from ..operators import relational as Rel
 from ..session import shared_path, table
 from ..sources.store import KeyedStore
 from .classify_queries import _PARTS, _q
@@ -290,6 +291,37 @@ def e20_cited(spark, sf):
     return E.cited(f, documents, "k").select("k", "place", "label", "value", "source_label")
 
 
+@query(
+    "p11_whole_report",
+    f"""WITH f AS {_FACTS}, x AS (SELECT k, string_agg(label || '=' || value || '@' || CASE WHEN source IS NULL THEN '-' WHEN source = 'notice' THEN 'Notice' ELSE 'Source document' END, '|' ORDER BY place) AS facts FROM f GROUP BY 1),
+i AS (SELECT l_orderkey AS k, string_agg(coalesce(CASE WHEN l_returnflag = 'R' THEN 'per user/high' END, '-') || ':' || CASE WHEN l_partkey % 5 = 0 THEN '-' ELSE l_quantity::INT || '/not recorded' END, '|' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS items FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1),
+c AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
+SELECT o_orderkey, c_name AS organization, coalesce(items, '') AS items, coalesce(facts, '') AS facts, CASE WHEN o_orderkey % 2 = 0 THEN 'RFQ.pdf' ELSE '' END AS documents, CASE WHEN o_orderkey % 7 = 0 THEN 'budget=1' ELSE '' END AS conflicts,
+coalesce(c.n, 0)::BIGINT AS n_clauses, CASE WHEN o_orderkey % 3 = 0 THEN 'a@b' ELSE '' END AS emails, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS reviewed, items IS NOT NULL OR facts IS NOT NULL OR c.n IS NOT NULL AS has_requirements
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN i ON o_orderkey = i.k LEFT JOIN x ON o_orderkey = x.k LEFT JOIN c ON o_orderkey = c.k""",
+)
+def p11_whole(spark, sf):
+    """Whole reports of orders: records of items with and without a source, facts, documents, conflicts, clauses."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    li = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey").withColumn("at", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    kind = F.struct(F.when(F.col("l_returnflag") == "R", "per user").alias("value"), F.lit("notice").alias("source"), F.lit("high").alias("confidence"))
+    keys = o.select("o_orderkey")
+    facts = E.cited(_facts(spark, sf).withColumnRenamed("k", "o_orderkey"), keys.select("o_orderkey", F.lit(1).alias("number"), F.lit("none.pdf").alias("name")), "o_orderkey")
+    documents = keys.filter("o_orderkey % 2 = 0").select("o_orderkey", F.lit(1).alias("number"), F.lit("RFQ.pdf").alias("name"))
+    conflicts = keys.filter("o_orderkey % 7 = 0").select("o_orderkey", F.lit("budget").alias("field"), F.lit("1").alias("value"), F.lit("notice").alias("source"))
+    emails = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("a@b"))).otherwise(F.array().cast("array<string>"))
+    reviewed = F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False)
+    amount = F.when(F.col("l_partkey") % 5 != 0, F.col("l_quantity").cast("int"))
+    got = Rel.whole_case_report(o, "o_orderkey", {"organization": F.col("c_name")}, {}, reviewed, li.filter("l_returnflag <> 'N'"), "at", {"kind": kind, "quantity": amount}, facts, documents, conflicts, li.filter("l_returnflag = 'A'"), emails)
+    said = lambda x: F.coalesce(F.concat(x["value"], F.lit("/"), x["confidence"]), F.lit("-"))
+    return got.select(
+        "o_orderkey", "organization", F.array_join(F.transform("items", lambda x: F.concat(said(x["kind"]), F.lit(":"), said(x["quantity"]))), "|").alias("items"),
+        F.array_join(F.transform("facts", lambda x: F.concat(x["label"], F.lit("="), x["value"], F.lit("@"), F.coalesce(x["source_label"], F.lit("-")))), "|").alias("facts"),
+        F.array_join(F.transform("documents", lambda x: x["name"]), "|").alias("documents"), F.array_join(F.transform("conflicts", lambda x: F.concat(x["field"], F.lit("="), x["value"])), "|").alias("conflicts"),
+        "n_clauses", F.array_join("email_candidates", "|").alias("emails"), "reviewed", "has_requirements",
+    )
+
+
 @query(
     "e20_document_links",
     r"""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey::VARCHAR AS p FROM lineitem),

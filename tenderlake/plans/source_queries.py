@@ -166,6 +166,15 @@ def s15(spark, sf):
     return S.review_list(rows, "reference", ["title"])
 
 
+@query("s15_batch_summary", "SELECT o_orderdate::VARCHAR AS day, o_orderkey, o_orderstatus FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)")
+def s15_summary(spark, sf):
+    """The orders of the last day, written as the summary of a batch and read back."""
+    rows = table(spark, sf, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    path = shared_path(spark, "batch-summary")
+    S.write_batch_summary(rows, "day", ["o_orderkey", "o_orderstatus"], path)
+    return spark.read.schema("day string, o_orderkey long, o_orderstatus string").json(path)
+
+
 @query("s17_rule_load", "SELECT p_partkey, split_part(p_name, ' ', 1) AS terms FROM part")
 def s17(spark, sf):
     """Rules made of the first words of part names, loaded and applied to the names."""

@@ -83,6 +83,12 @@ def manifests(files: DataFrame, key: str, path: str, stored: DataFrame | None =
     )
 
 
+def write_batch_summary(rows: DataFrame, batch: str, columns: list[str], path: str) -> None:
+    """The rows of the last batch as JSON, one object a line, so that a batch of any size can be written by many tasks; an earlier summary is replaced."""
+    last = rows.agg(F.max(batch).alias("__last"))
+    rows.join(F.broadcast(last), F.col(batch) == F.col("__last"), "left_semi").select(batch, *columns).write.mode("overwrite").json(path)
+
+
 def review_list(rows: DataFrame, reference: str, columns: list[str]) -> DataFrame:
     """Flat review rows, those without a reference dropped, by number of reference, largest first."""
     number = F.col(reference).try_cast("bigint")
