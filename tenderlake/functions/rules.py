@@ -1,7 +1,7 @@
 """Rules as data: term lists, phrase lists and ordered families, and the columns they give.
 
-All patterns avoid lookaround and ``\\b``, so that they mean the same in any
-engine; a boundary is anything but an ASCII letter, digit or underscore.
+Rules avoid lookaround and ``\\b``, so that they mean the same in any engine; a
+boundary is anything but an ASCII letter, digit or underscore.
 """
 
 from __future__ import annotations
@@ -9,11 +9,13 @@ from __future__ import annotations
 import csv
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+WORD = "[A-Za-z0-9_]"
 EDGE = "[^A-Za-z0-9_]"
 
 
@@ -92,22 +94,59 @@ CONTEXT = (
 )
 
 
-def may_hold(text: Column, term: str) -> Column:
-    """False only where a term can't occur: its first word isn't in the lower-cased text. Cheaper than the pattern by far."""
-    word = term.split()[0] if term.strip() else ""
-    return F.lower(text).contains(word) if word.isascii() and word.isalnum() and word == word.lower() else F.lit(True)
+def needed_literals(pattern: str) -> list[str]:
+    """Lower-case strings of which each match of ``pattern``, in any case, holds at least one; empty if that can't be told.
+
+    Each alternative needs its longest run of plain letters, digits and
+    spaces; what stands in groups or classes or is optional is passed over.
+    """
+    runs, run, depth, i = [[]], "", 0, 0
+    while i <= len(pattern):
+        c = pattern[i] if i < len(pattern) else "|"
+        plain = depth == 0 and c.isascii() and (c.isalnum() or c == " ")
+        if plain:
+            run, i = run + c.lower(), i + 1
+            continue
+        if depth == 0 and run:
+            # a quantifier that allows none takes the last letter away
+            runs[-1].append(run[:-1] if c in "?*{" else run)
+            run = ""
+        if c == "\\":
+            i += 2
+            continue
+        if c == "[":
+            end = pattern.find("]", i + 2)
+            if end < 0:
+                return []
+            i = end + 1
+            continue
+        depth += (c == "(") - (c == ")")
+        if c == "|" and depth == 0:
+            runs.append([])
+        i += 1
+    longest = [max(r, key=len, default="") for r in runs[:-1]]
+    return longest if depth == 0 and longest and all(len(x) > 1 for x in longest) else []
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Whether ``pattern`` occurs between boundaries. A look without them comes first; it is cheaper and mostly says no."""
-    return text.rlike(f"(?i)(?:{pattern})") & text.rlike(bounded(pattern))
+    """Whether ``pattern`` occurs between boundaries.
+
+    What any match needs is looked for in the lower-cased text first, then
+    the pattern without boundaries; both are cheaper and mostly say no.
+    """
+    # the same boundaries as ``bounded`` has, but without a step of their own at every place
+    found = text.rlike(f"(?i)(?:{pattern})") & text.rlike(f"(?i)(?<!{WORD})(?:{pattern})(?!{WORD})")
+    literals = needed_literals(pattern)
+    if not literals:
+        return found
+    return reduce(Column.__or__, (F.lower(text).contains(x) for x in literals)) & found
 
 
 def terms_found(text: Column, terms: tuple[str, ...]) -> Column:
     """The terms that occur in ``text``, in the order of the list."""
     if not terms:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*(F.when(may_hold(text, t) & matches(text, r"\s+".join(t.split()) + "s?"), F.lit(t)) for t in terms)))
+    return F.array_compact(F.array(*(F.when(matches(text, r"\s+".join(t.split()) + "s?"), F.lit(t)) for t in terms)))
 
 
 def stripped(text: Column, phrases: tuple[str, ...]) -> Column:

@@ -607,3 +607,11 @@ def test_rules_of_the_data_file_on_labelled_titles(spark):
     df = spark.createDataFrame(PROCURED, "t string, label string")
     got = {r["t"]: (r["found"], r["rule"]) for r in C.classify(df, "t", rules).select("t", C.label(F.col("relevance")).alias("found"), "relevance.rule").collect()}
     assert {t: got[t] for t, expect in PROCURED if got[t][0] != expect} == {}
+
+
+def test_needed_literals():
+    cases = {
+        "hand|anand": ["hand", "anand"], r"whe[a-z]*on": ["whe"], r"esth?at[a-z]*": ["est"], "things?": ["thing"], r"apache\s+license": ["license"], r"la?s": [], "ab*c|de": [], "a": [], "": [],
+        r"(?:forms|books)": [], r"printing\s+of\s+(?:forms|books)": ["printing"], r"x{0,2}abc": ["abc"], r"e-?mail": ["mail"], "A B": ["a b"], r"c\+\+": [], r"tires?|car\s+batter(?:y|ies)": ["tire", "batter"], r"[a-z]+|foo": [],
+    }
+    assert {p: R.needed_literals(p) for p in cases} == cases
