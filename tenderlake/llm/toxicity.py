@@ -1,38 +1,44 @@
 """Toxicity by the nearest labelled examples, by exact TF-IDF cosine.
 
 The space has every term of the labelled examples; document frequencies come
-from all documents, and norms from whole texts. A term that goes with the
-label is stretched by the strength of that association, or neighbours would
-share a subject rather than a tone. The examples are an inverted index in
-blocks, with the largest weight of each term in each block. A query visits
-blocks in order of their upper bounds and stops when no other block can hold
-a nearer example, so the neighbours are exact. Their votes, weighted by
-similarity, are calibrated on the examples themselves, each one left out of
-its own vote.
+from all documents, and norms from whole texts. The examples are an inverted
+index in blocks, with the largest weight of each term in each block. A query
+visits blocks in order of their upper bounds and stops when no other block can
+hold a nearer example, so the neighbours are exact. As neighbours share a
+subject rather than a tone, the distance that weights their votes stretches
+terms that go with the label. Votes are calibrated on the examples themselves,
+each one left out of its own vote.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, process_cache
 
-#: Labelled rows in the index, chosen by a hash of their id; neighbours; examples in a block.
+#: Labelled rows in the index, chosen by a hash of their id, and the most bytes of their texts; neighbours that vote, and
+#: those of them that are given as evidence; examples in a block.
 EXAMPLES = 8_000
-NEIGHBOURS = 15
+EXAMPLE_BYTES = 128 << 20
+NEIGHBOURS = 100
+EVIDENCE = 15
 BLOCK = 64
-#: A term that the label decides alone weighs 1 + RELEVANCE times its TF-IDF; a chi-square up to CHANCE counts as none.
+#: In the distance of a vote, a term that the label decides alone weighs 1 + RELEVANCE times its TF-IDF; a chi-square up to
+#: CHANCE counts as none. A vote weighs its cosine there to the power of SHARPNESS, the base rate as one of weight PRIOR.
 RELEVANCE = 10.0
 CHANCE = 10.0
+SHARPNESS = 4
+PRIOR = 0.01
 #: Terms in more than this share of the examples are kept as columns of a block, all others as postings.
 FREQUENT = 1 / 16
 #: Cosines are sums of single-precision products and are rounded to six digits; bounds allow for more than their error.
@@ -122,7 +128,7 @@ class BlockMaxIndex:
         np.put_along_axis(visit, first, True, 1)
         self._visit(visit, score, full, found)
         best = np.take_along_axis(found, first[:, :, None], 1).reshape(n, -1)
-        least = np.maximum(np.partition(best, -k, 1)[:, -k] if best.shape[1] >= k else 0.0, 0.0)
+        least = np.maximum(np.partition(best, -k, 1)[:, -k], 0.0) if best.shape[1] >= k else np.zeros(n)
         more = (bound >= least[:, None] - ROUNDING) & (bound > 0) & ~visit
         self._visit(more, score, full, found)
         self.asked += bound.size
@@ -147,10 +153,31 @@ def unit_vector(terms: np.ndarray, tf: np.ndarray, scale: np.ndarray) -> np.ndar
     return w / np.sqrt((w * w).sum()) if len(w) else w
 
 
+class Stretched:
+    """Unit vectors of the examples (entries in the order of examples) with their terms stretched."""
+
+    def __init__(self, n: int, example: np.ndarray, term: np.ndarray, weight: np.ndarray, stretch: np.ndarray):
+        self.stretch, self.term = stretch, term
+        self.start = np.searchsorted(example, np.arange(n + 1))
+        stretched = weight * stretch[term]
+        self.weight = stretched / np.sqrt(np.bincount(example, stretched * stretched, n))[example]
+        self.query = np.zeros(len(stretch))
+
+    def cosines(self, terms: np.ndarray, weights: np.ndarray, examples: np.ndarray) -> np.ndarray:
+        """Of the query ``terms, weights``, which aren't stretched yet, with each of ``examples``."""
+        stretched = weights * self.stretch[terms]
+        self.query[terms] = stretched / np.sqrt(stretched @ stretched)
+        size = self.start[examples + 1] - self.start[examples]
+        at = np.arange(size.sum()) + np.repeat(self.start[examples] - np.cumsum(size) + size, size)
+        found = np.bincount(np.repeat(np.arange(len(examples)), size), self.weight[at] * self.query[self.term[at]], len(examples))
+        self.query[terms] = 0
+        return np.minimum(found, 1)
+
+
 def vote(labels: np.ndarray, cosines: np.ndarray, base: float) -> float:
-    """Share of the label among the neighbours, each weighted by the inverse of its distance; the base rate has a weight of 1."""
-    weights = 1 / (1.05 - np.minimum(cosines, 1))
-    return float((weights @ labels + base) / (weights.sum() + 1))
+    """Share of the label among the neighbours, each weighted by its nearness, and the base rate."""
+    weights = cosines**SHARPNESS
+    return float((weights @ labels + PRIOR * base) / (weights.sum() + PRIOR))
 
 
 def calibrate(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,11 +249,15 @@ def score(
     text_col: str = "text",
     examples: int = EXAMPLES,
     k: int = NEIGHBOURS,
+    evidence: int = EVIDENCE,
+    example_bytes: int = EXAMPLE_BYTES,
 ) -> DataFrame:
     """``id, held_out, score, neighbours, cosines`` of every row of ``docs``.
 
     ``held_out`` is a condition on ``id``; rows that meet it are no examples.
-    ``neighbours`` are ids of the nearest examples, and ``cosines`` theirs. A text
+    At most ``examples`` labelled rows are, taken in the order of a hash of
+    their id up to ``example_bytes`` of text. The ``k`` nearest of them vote.
+    ``neighbours`` are ids of the nearest ``evidence`` of those, and ``cosines`` theirs. A text
     without a term of the examples, as null and empty ones, has no neighbours and gets the rate of such
     examples. Of an id with several labels or texts the highest label and
     the least text count. Without examples every score is 0. Repeated rows
@@ -237,6 +268,10 @@ def score(
     chosen = known.filter(~held_out).groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(examples)
     # at most ``examples`` rows of two numbers are broadcast
     with_text = materialise(rows.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")), "examples")
+    # the order is of at most ``examples`` rows, without their texts
+    length = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64(F.col("id").cast("string")), "id"))
+    within = with_text.select("id", length.alias("so_far")).filter(F.col("so_far") <= example_bytes).select("id")
+    with_text = with_text.join(F.broadcast(within), "id")
     n_ones, n_examples = with_text.agg(F.sum("label"), F.count("*")).first()
     context = docs.sparkSession.sparkContext
     held = _count_terms(with_text.select("label", "text")).orderBy("term").toArrow()
@@ -244,7 +279,7 @@ def score(
     terms = context.broadcast(held["term"].to_numpy())
     often = _count_terms(rows.select(F.lit(0), "text"), terms).orderBy("term").toArrow()["n"].to_numpy()
     stretch = relevance(held["n"].to_numpy().astype(float), held["ones"].to_numpy().astype(float), n_examples, n_ones or 0)
-    scale = (np.log((1 + rows.count()) / (1 + often)) + 1) * stretch
+    scale = np.log((1 + rows.count()) / (1 + often)) + 1
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,22 +297,28 @@ def score(
     of = np.repeat(np.arange(len(ids), dtype=np.int32), size)
     weight /= np.sqrt(np.bincount(of, weight * weight, len(ids)))[of]
     base = float(y.mean()) if ids else 0.0
-    share = context.broadcast((scale, y, ids, base, of, bag_terms, weight.astype(np.float32)))
+    share = context.broadcast((scale, stretch, y, ids, base, of, bag_terms, weight.astype(np.float32)))
+    key = uuid4().hex
 
     def votes(of_examples: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scale, y, ids, base, *entries = share.value
-            index, place = BlockMaxIndex(len(ids), len(scale), *entries), {i: j for j, i in enumerate(ids)}
+            scale, stretch, y, ids, base, *entries = share.value
+            built = process_cache("toxicity-index", dict)  # one index a worker, across its tasks
+            if key not in built:
+                built.clear()
+                built[key] = BlockMaxIndex(len(ids), len(scale), *entries), Stretched(len(ids), *entries, stretch), {i: j for j, i in enumerate(ids)}
+            index, near_label, place = built[key]
             for batch in batches:
                 for a in range(0, batch.num_rows, QUERIES):
                     part = batch.slice(a, QUERIES)
                     bags = [_bag(text, terms.value) for text in part.column(2).cast(pa.binary()).to_pylist()]
                     own = [place.get(i, -1) for i in part.column(0).to_pylist()] if of_examples else None
-                    got = index.nearest([(t, unit_vector(t, tf, scale)) for t, tf in bags], k, own)
+                    asked = [(t, unit_vector(t, tf, scale)) for t, tf in bags]
+                    got = index.nearest(asked, k, own)
                     kind = part.column(0).type
-                    near = pa.array([[ids[x] for x in i] for i, _ in got], pa.list_(kind))
-                    cast = pa.array([vote(y[i], s, base) if len(i) else None for i, s in got], pa.float64())
-                    cosine = pa.array([s for _, s in got], pa.list_(pa.float64()))
+                    near = pa.array([[ids[x] for x in i[:evidence]] for i, _ in got], pa.list_(kind))
+                    cast = pa.array([vote(y[i], near_label.cosines(*q, i), base) if len(i) else None for q, (i, _) in zip(asked, got, strict=True)], pa.float64())
+                    cosine = pa.array([s[:evidence] for _, s in got], pa.list_(pa.float64()))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), cast, near, cosine], ["id", "mark", "vote", "neighbours", "cosines"])
 
         return run
