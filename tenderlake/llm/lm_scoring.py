@@ -2,9 +2,11 @@
 
 A small network sees the words on both sides of a place, but not the word
 itself, and predicts it. The most frequent words have an id each and all
-others share ids by hash, so every word has a probability of its own id. Ids
-are grouped into classes; the network gives the class, then the id within its
-class. It is trained in numpy on every word of every document: documents are
+others share ids by hash. Ids are grouped into classes; the network gives the
+class, then the id within its class, and counts over the corpus give the word
+among those that share an id: a word that is listed has its own share of the
+occurrences, and the words that aren't divide what is left. The list grows
+with the square root of the number of words in the corpus. The network is trained in numpy on every word of every document: documents are
 dealt into shards by hash, a copy of the network is trained on each shard, and
 the copies are averaged, so the result doesn't depend on how the table is
 partitioned. A document's score is the sum of the log probabilities of all of
@@ -27,13 +29,19 @@ from .common import materialise
 
 #: Ids, a square number, so that there are as many classes as ids in a class; half of them are for frequent words, half for hashes.
 VOCABULARY = 4_096
+#: Words that have a share of their own are at most LISTED times the root of the number of words in the corpus, taken by
+#: frequency, in steps of a STEPS-th of a doubling.
+LISTED = 4
+STEPS = 8
 #: Numbers to an id, words seen on either side.
 WIDTH = 16
 SIDE = 2
-#: Rounds of training over all words, documents in a shard (on average), and most partitions that shards are dealt over.
+#: Rounds of training over all words, documents in a shard (on average); up to SHARD_PARTITIONS every shard is a task of its
+#: own, beyond that a task has as many shards as this needs, and at most TASK_SHARDS.
 ROUNDS = 1
 SHARD_DOCUMENTS = 2_000
 SHARD_PARTITIONS = 2_000
+TASK_SHARDS = 64
 RATE = 40.0
 BATCH = 8_192
 #: Most that a step changes a weight; it holds where few ids share all of a batch.
@@ -82,8 +90,37 @@ def word_counts(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, bucket int, n long").groupBy("word", "bucket").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[dict[bytes, int], np.ndarray]:
-    """Ids of the most frequent words, most frequent first, and the counts of all ids: words, then hashes of all others."""
+def word_shares(counts: DataFrame, top: list[bytes], buckets: int, listed: int = LISTED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and log shares of the listed words among those of their bucket, by hash, and the log share of a word that isn't listed, by bucket.
+
+    ``counts`` are those of ``word_counts`` and ``top`` the words with an id of their own, which have none here.
+    """
+    spark = counts.sparkSession
+    rest = counts.join(F.broadcast(spark.createDataFrame([(w,) for w in top], "word binary")), "word", "left_anti")
+    step = F.floor(F.log2("n") * STEPS).cast("int")
+    steps = rest.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).orderBy(F.desc("step")).collect()  # at most 64 * STEPS rows
+    most, least = listed * isqrt(sum(r["n"] for r in steps)), None
+    for r in steps:
+        most -= r["words"]
+        if most < 0:
+            break
+        least = r["step"]
+    # sublinear in the corpus: at most ``most`` rows of a hash, a bucket and a count
+    some = rest.filter(step >= least if least is not None else F.lit(False)).select(F.col("word"), "bucket", "n").toArrow()
+    hashes = np.array([xxhash.xxh64_intdigest(w.as_py()) for w in some["word"]], np.uint64)
+    bucket, n = some["bucket"].to_numpy().astype(np.int64), some["n"].to_numpy().astype(float)
+    total, words = np.zeros(buckets), np.zeros(buckets)
+    for r in rest.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():  # at most ``buckets`` rows
+        total[r["bucket"]], words[r["bucket"]] = r["n"], r["words"]
+    left, unlisted = total - np.bincount(bucket, n, buckets), words - np.bincount(bucket, minlength=buckets)
+    with np.errstate(divide="ignore"):
+        other = np.log(np.where(unlisted > 0, left / np.maximum(unlisted * total, 1), 1.0))
+    order = np.argsort(hashes)
+    return hashes[order], np.log(n / total[bucket])[order].astype(np.float32), other.astype(np.float32)
+
+
+def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[dict[bytes, int], np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids of the most frequent words, most frequent first, the counts of all ids (words, then hashes of all others) and the shares of these."""
     own = size // 2
     counts = materialise(word_counts(docs, size - own), "word-counts")
     top = counts.orderBy(F.desc("n"), "word").limit(own).collect()
@@ -93,7 +130,8 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[dict[bytes, int
         n[own + r["bucket"]] = r["n"]
     for r in top:
         n[own + r["bucket"]] -= r["n"]
-    return {bytes(r["word"]): i for i, r in enumerate(top)}, n
+    known = {bytes(r["word"]): i for i, r in enumerate(top)}
+    return known, n, word_shares(counts, list(known), size - own)
 
 
 class MaskedModel:
@@ -187,11 +225,24 @@ class MaskedModel:
             move(self.context[j], np.stack([np.bincount(at, x, self.size + 1) for x in columns], 1).astype(np.float32))
 
 
-def _padded(texts: list[bytes | None], known: WordIds, size: int, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all texts with padding between them, the places of words, and the text of each."""
+def _log_shares(words: list[bytes], shares: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Log share of each of ``words``, which have no id of their own, among the words of its id."""
+    listed, log_share, other = shares
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    found = other[(hashes % np.uint64(len(other))).astype(np.int64)].astype(float)
+    if len(listed):
+        at = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
+        found = np.where(listed[at] == hashes, log_share[at], found)
+    return found
+
+
+def _padded(texts: list[bytes | None], known: WordIds, size: int, side: int, spelled: list[list[bytes]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all texts with padding between them, the places of words, and the text of each; words without an id of their own go to ``spelled``."""
     ids, at, of, end = [np.full(side, size)], [], [], side
     for j, text in enumerate(texts):
         words = words_of(text)
+        if spelled is not None:
+            spelled.append([w for w in words if w not in known])
         ids += [np.fromiter(map(known.__getitem__, words), np.int64, len(words)), np.full(side, size)]
         at.append(np.arange(end, end + len(words)))
         of.append(np.full(len(words), j))
@@ -225,20 +276,20 @@ def _summed(chunks: DataFrame) -> tuple[np.ndarray, int]:
     return np.concatenate([r["values"] for r in got] or [np.zeros(0)]), got[0]["seen"] if got else 0
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, size: int = VOCABULARY, shard_documents: int = SHARD_DOCUMENTS, rate: float = RATE) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """Known words, counts of ids and weights, from all of ``docs(id, text)``.
+def train(docs: DataFrame, rounds: int = ROUNDS, size: int = VOCABULARY, shard_documents: int = SHARD_DOCUMENTS, rate: float = RATE) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Known words, counts of ids, weights and shares of words, from all of ``docs(id, text)``.
 
     A round trains a copy on each shard, on every word of its documents in the
     order of a hash, and averages the copies by their words. Tasks send the
     sum of their own copies, and the driver gets the sum of all.
     """
-    known, counts = vocabulary(docs, size)
+    known, counts, shares = vocabulary(docs, size)
     flat = MaskedModel(counts).flat
     context = docs.sparkSession.sparkContext
     shards = max(1, -(-docs.count() // shard_documents))
     rank = F.xxhash64("id", "text")
     dealt = docs.select(F.pmod(rank, F.lit(shards)).cast("int").alias("shard"), rank.alias("rank"), "text")
-    parts = min(shards, SHARD_PARTITIONS)
+    parts = max(min(shards, SHARD_PARTITIONS), -(-shards // TASK_SHARDS))
     for n in range(rounds):
         sent = context.broadcast((known, counts, flat))
 
@@ -277,7 +328,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS, size: int = VOCABULARY, shard_d
         total, seen = _summed(materialise(ordered.mapInArrow(run, "chunk int, seen long, values array<double>"), "model-sums"))
         if seen:
             flat = (total / seen).astype(np.float32)
-    return known, counts, flat
+    return known, counts, flat, shares
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -292,17 +343,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how
     sent = docs.sparkSession.sparkContext.broadcast(train(rows, **how))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts, flat = sent.value
+        known, counts, flat, shares = sent.value
         model, known = MaskedModel(counts), WordIds(known, len(counts) // 2, len(counts) - len(counts) // 2)
         model.flat[:] = flat
         for part, texts in _texts(batches, 1):
-            ids, at, of = _padded(texts, known, model.size, model.side)
-            total = np.zeros(len(texts))
+            spelled: list[list[bytes]] = []
+            ids, at, of = _padded(texts, known, model.size, model.side, spelled)
+            hashed = np.array([len(w) for w in spelled], np.int64)
+            total = np.bincount(np.repeat(np.arange(len(texts)), hashed), _log_shares([w for x in spelled for w in x], shares), len(texts)).astype(float)
             for a in range(0, len(at), 16_384):
                 p = at[a : a + 16_384]
                 total += np.bincount(of[a : a + 16_384], weights=model.log_probabilities(model.windows(ids, p), ids[p]), minlength=len(texts))
             n = np.bincount(of, minlength=len(texts))
-            hashed = np.bincount(of, weights=ids[at] >= known.own, minlength=len(texts)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(hashed), pa.array(total)], ["id", "n_words", "hashed_words", "log_probability"])
 
     kind = rows.schema["id"].dataType.simpleString()

@@ -9,11 +9,11 @@ from . import warc
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Type, payload and place of the record of every page."""
+    """Type and payload of the record of every page, read by its place in the index."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path, _ = warc.write_archives(pages)
     kind = pages.schema["page_id"].dataType
-    return warc.read_archives(spark, path).select(
+    return warc.read_by_index(spark, path).select(
         F.col("page").cast(kind).alias("page_id"),
         "payload_bytes",
         "payload_digest",

@@ -217,6 +217,43 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("bundle", "data").mapInPandas(run, schema)
 
 
+def read_by_index(spark: SparkSession, path: str, pages: DataFrame | None = None) -> DataFrame:
+    """Every record, or those of ``pages(page)``, by its entry in the index: ``record, page, record_type, payload_bytes, payload_digest, refers_to``.
+
+    The frame of an entry is found by the seek table of its bundle, and only
+    frames that hold wanted records are decompressed. A record at another
+    place than its entry says is an error. Pages without an id are only read
+    where all records are. Repeated rows have an entry and a record each.
+    """
+    stored = spark.read.parquet(path)
+    if pages is not None:
+        # the wanted places meet their bundle by its name; bundles without any aren't read
+        places = stored.select("bundle", F.explode(F.arrays_zip("records", "pages", "frames", "offsets")).alias("x")).select("bundle", "x.*")
+        wanted = places.join(pages.select(F.col("page").cast("string").alias("pages")).distinct(), "pages", "left_semi")
+        lists = [F.collect_list(c).alias(c) for c in ("records", "pages", "frames", "offsets")]  # a bundle's records are bounded by its size
+        stored = stored.select("bundle", "data").join(wanted.groupBy("bundle").agg(*lists), "bundle")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            for data, records, pages, places, offsets in rows.itertuples(index=False):
+                table, out, held = seek_table(data), [], (-1, b"")
+                for n, at, record, page in sorted(zip(places, offsets, records, pages, strict=True), key=lambda x: x[:2]):
+                    if held[0] != n:
+                        held = n, read_frame(data, table[n])
+                    headers, block, _ = parse_record(held[1], at)
+                    if headers["WARC-Record-ID"] != record:
+                        raise ValueError(f"another record than {record} at {n}, {at}")
+                    payload, kind = block[block.index(b"\r\n\r\n") + 4 :], headers["WARC-Type"]
+                    digest, length = headers["WARC-Payload-Digest"].removeprefix("sha1:"), int(headers["WARC-Payload-Length"])
+                    if kind != "revisit":
+                        length, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                    out.append((record, page, kind, length, digest, headers.get("WARC-Refers-To-Page-ID")))
+                yield pd.DataFrame(out, columns=["record", "page", "record_type", "payload_bytes", "payload_digest", "refers_to"])
+
+    schema = "record string, page string, record_type string, payload_bytes long, payload_digest string, refers_to string"
+    return stored.select("data", "records", "pages", "frames", "offsets").mapInPandas(run, schema)
+
+
 def export_bundle(spark: SparkSession, path: str, bundle: str, to: str) -> None:
     """One bundle as a file on the driver's machine."""
     row = spark.read.parquet(path).filter(F.col("bundle") == bundle).select("data").first()
