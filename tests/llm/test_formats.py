@@ -8,9 +8,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tenderlake.llm import chat, packing, warc
@@ -158,6 +160,17 @@ def test_warc_round_trip(spark):
         assert warc.record_at(bundles[r["bundle"]], r["frame"], r["offset"])[0]["WARC-Page-ID"] == str(r["page"])
     whole = b"".join(zstandard.ZstdDecompressor().decompressobj(read_across_frames=True).decompress(b) for b in bundles.values())
     assert whole.count(b"WARC-Record-ID") == len(rows)
+    whole = ["page", "record_type", "payload_bytes", "payload_digest", "refers_to"]
+    by_index = warc.read_by_index(spark, path)
+    assert sorted(map(str, by_index.select(whole).collect())) == sorted(map(str, warc.read_archives(spark, path).select(whole).collect()))
+    wanted = index.filter("page IS NOT NULL").select("page").limit(3)
+    ids = {str(r["page"]) for r in wanted.collect()}
+    some = warc.read_by_index(spark, path, spark.createDataFrame([(i,) for i in ids] * 2, "page string")).collect()
+    assert sorted(map(str, some)) == sorted(str(r) for r in by_index.collect() if r["page"] in ids)
+    moved = spark.read.parquet(path).withColumn("offsets", F.transform("offsets", lambda x: F.lit(0).cast("long"))).withColumn("frames", F.transform("frames", lambda x: F.lit(0)))
+    moved.write.parquet(path + "-moved")
+    with pytest.raises(Exception, match="another record than"):
+        warc.read_by_index(spark, path + "-moved").collect()
     path, _ = warc.write_archives(df, min_bytes=9)
     assert warc.read_archives(spark, path).filter("record_type = 'revisit'").count() == 0
     path, index = warc.write_archives(df.limit(0))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tenderlake.llm import lm_scoring, quality_classifier, toxicity
@@ -88,15 +89,10 @@ def test_toxicity_neighbours_are_those_of_whole_texts(spark):
     held = {r["id"] for r in got if r["held_out"]}
     texts = {d[0]: toxicity.Counter(toxicity.terms_of((d[1] or "").encode())) for d in docs + odd_rows()}
     truth = {i: t for i, _, t, _ in labels if i not in held}
-    n, ones = toxicity.Counter(), toxicity.Counter()
-    for i, t in truth.items():
-        n.update(texts[i].keys())
-        ones.update(texts[i].keys() if t else ())
+    n = toxicity.Counter(t for i in truth for t in texts[i])
     rows = docs + odd_rows()
     often = toxicity.Counter(t for d in rows for t in set(toxicity.terms_of((d[1] or "").encode())))
-    terms = sorted(n)
-    stretch = dict(zip(terms, toxicity.relevance(np.array([n[t] for t in terms], float), np.array([ones[t] for t in terms], float), len(truth), sum(truth.values())), strict=True))
-    weigh = lambda bag: {t: (1 + np.log(c)) * (np.log((1 + len(rows)) / (1 + often[t])) + 1) * stretch[t] for t, c in bag.items() if t in stretch}
+    weigh = lambda bag: {t: (1 + np.log(c)) * (np.log((1 + len(rows)) / (1 + often[t])) + 1) for t, c in bag.items() if t in n}
     unit = lambda v: {t: x / np.sqrt(sum(y * y for y in v.values())) for t, x in v.items()}
     vectors = {i: unit(weigh(texts[i])) for i in truth}
     for r in got:
@@ -109,6 +105,31 @@ def test_toxicity_neighbours_are_those_of_whole_texts(spark):
     assert sum(bool(r["neighbours"]) for r in got if r["id"] in texts and 100 <= (r["id"] or 0)) == len(docs)
 
 
+def test_toxicity_votes_by_stretched_distance():
+    r = np.random.default_rng(3)
+    bags = [np.sort(r.choice(40, 6, replace=False)) for _ in range(20)]
+    entries = np.repeat(np.arange(20), 6), np.concatenate(bags), np.full(120, 6**-0.5)
+    stretch = 1 + 9 * r.random(40)
+    dense = np.zeros((20, 40))
+    for i, b in enumerate(bags):
+        dense[i, b] = stretch[b]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    near = toxicity.Stretched(20, *entries, stretch)
+    for i in range(20):
+        some = r.choice(20, 7, replace=False)
+        assert np.allclose(near.cosines(bags[i], np.full(6, 6**-0.5), some), dense[some] @ dense[i])
+    assert toxicity.vote(np.array([1.0, 0.0]), np.array([1.0, 0.5]), 0.0) > 0.9 and toxicity.vote(np.zeros(0), np.zeros(0), 0.3) == pytest.approx(0.3)
+
+
+def test_toxicity_examples_are_bounded_by_bytes(spark):
+    docs, labels = labelled(60)
+    df, lab = table(spark, docs), spark.createDataFrame(labels, LABELS)
+    size = sum(len(d[1].encode()) for d in docs) / len(docs)
+    got = toxicity.score(df, lab, held_out(F.col("id"), 5, 0), evidence=1000, k=1000, example_bytes=int(size * 20)).collect()
+    assert 10 <= len(set(sum((r["neighbours"] for r in got), []))) <= 30
+    assert {r["score"] for r in toxicity.score(df, lab, held_out(F.col("id"), 5, 0), example_bytes=0).collect()} == {0.0}
+
+
 def naive_log_probability(model, ids, at):
     """Of one place, from the weights alone."""
     h = model.bias.astype(float).copy()
@@ -159,15 +180,35 @@ def test_lm_scores(spark, monkeypatch):
 def test_lm_scores_are_sums_over_all_words_and_free_of_partitions(spark):
     docs = [row(100 + i, words(40 + i, i, 90)) for i in range(50)] + odd_rows()[:6] + odd_rows()[8:]
     rows = [(r[0], r[1]) for r in docs]
-    known, counts, flat = lm_scoring.train(spark.createDataFrame(rows, "id long, text string").repartition(5), size=64, shard_documents=10)
+    known, counts, flat, shares = lm_scoring.train(spark.createDataFrame(rows, "id long, text string").repartition(5), size=64, shard_documents=10)
     model, known = lm_scoring.MaskedModel(counts), lm_scoring.WordIds(known, 32, 32)
     model.flat[:] = flat
-    assert counts.sum() == sum(len(lm_scoring.words_of((t or "").encode())) for _, t in rows)
+    occurs = lm_scoring.Counter(w for _, t in rows for w in lm_scoring.words_of((t or "").encode()))
+    assert counts.sum() == sum(occurs.values())
+    hashes = set(shares[0].tolist())
+    listed = {w for w in occurs if w not in known and lm_scoring.xxhash.xxh64_intdigest(w) in hashes}
+    totals, others, n_others = lm_scoring.Counter(), lm_scoring.Counter(), lm_scoring.Counter()
+    for w, c in occurs.items():
+        if w not in known:
+            totals[known[w]] += c
+            if w not in listed:
+                others[known[w]] += c
+                n_others[known[w]] += 1
+    assert 0 < len(listed) < len(occurs) - 32 and min(occurs[w] for w in listed) > max(c for w, c in occurs.items() if w not in known and w not in listed)
+    # the words of an id share its probability
+    for b in range(32):
+        here = [w for w in occurs if w not in known and known[w] == 32 + b]
+        assert not here or abs(np.exp(lm_scoring._log_shares(here, shares)).sum() - 1) < 1e-5
     for parts in (1, 7):
         for r in lm_scoring.score(table(spark, docs).repartition(parts), size=64, shard_documents=10).collect():
             if r["id"] in (None, 5):
                 continue
             ids, at, _ = lm_scoring._padded([next(t for i, t in rows if i == r["id"]) and next(t for i, t in rows if i == r["id"]).encode()], known, 64, model.side)
             expect = sum(naive_log_probability(model, ids, x) for x in at[:400])
+            text = next(t for i, t in rows if i == r["id"]) or ""
+            for w in lm_scoring.words_of(text.encode()):
+                if w not in known:
+                    b = known[w]
+                    expect += np.log((occurs[w] if w in listed else others[b] / n_others[b]) / totals[b])
             if len(at) <= 400:
                 assert abs(r["log_probability"] - expect) < 1e-3 * max(1, len(at) / 10) and r["n_words"] == len(at)
