@@ -18,6 +18,11 @@ from ..functions.text import clean
 
 #: Rows of configuration that are read to the driver and broadcast; a larger table is an error.
 MOST_ROWS = 100_000
+#: What a pattern may open with so that a match begins just before a word, in any case: the start of the text or no letter, digit or underscore.
+OPENINGS = ("(?i)(?:^|[^a-z0-9_])", "(?i)(?:^|[^A-Za-z0-9_])", "(?i)(^|[^a-z0-9_])", "(?i)(^|[^A-Za-z0-9_])")
+_WORD = re.compile("[A-Za-z0-9_]+")
+#: Hits that a worker holds before it hands them on.
+HELD_HITS = 20_000
 #: Columns of a table of patterns; ``anchor`` may be null, and then every text is searched.
 COLUMNS = ("rule_set", "step", "label", "pattern", "anchor")
 
@@ -39,42 +44,85 @@ def pattern_rows(table: DataFrame) -> list[tuple]:
     return rows
 
 
+def _opens_with(pattern: str, anchor: str) -> bool:
+    """Whether each match of ``pattern`` begins with an edge and then ``anchor``, a plain word, so that the words of a text tell where."""
+    rest = next((pattern[len(o) :] for o in OPENINGS if pattern.startswith(o)), "")
+    if not _WORD.fullmatch(anchor) or rest[: len(anchor)].lower() != anchor:
+        return False
+    rest = rest[len(anchor) :]
+    return "|" not in rest and rest[:1] not in ("?", "*", "+", "{")
+
+
+def _matches_before(search: re.Pattern, text: str, places: list[int]) -> Iterator[re.Match]:
+    """What ``finditer`` gives of a pattern that ``_opens_with`` a word, if that begins words at ``places`` only."""
+    end = 0
+    for place in places:
+        start = max(place - 1, 0)
+        if start >= end and (m := search.match(text, start)):
+            end = m.end()
+            yield m
+
+
 def pattern_hits(df: DataFrame, key: str, text_col: str, rows: list[tuple], every: bool = True) -> DataFrame:
     """``key, rule_set, step, label, pos, quote, parts`` of each match of each pattern, or of its first one only (not ``every``).
 
     Patterns are Python's, with ASCII classes; case matters unless a pattern
     starts with ``(?i)``. ``parts`` are its groups, null where one has no part.
-    Anchors are looked for in the lower-cased text. Null texts have no match.
+    Anchors are looked for in the lower-cased text. Where a pattern opens with
+    an edge (``OPENINGS``) and its anchor, a text's words are looked up among
+    the anchors, and only these places are matched, so that thousands of such
+    patterns cost one pass. Null texts have no match.
     """
     shared = df.sparkSession.sparkContext.broadcast(rows)
     kind = df.schema[key].dataType.simpleString()
     names = ["key", "rule_set", "step", "label", "pos", "quote", "parts"]
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled: dict[str, re.Pattern] = {}
         by_anchor: dict[str, list[tuple]] = {}
+        by_word: dict[str, list[tuple]] = {}
         for row in shared.value:
-            by_anchor.setdefault((row[4] or "").lower(), []).append(row)
+            anchor = (row[4] or "").lower()
+            (by_word if _opens_with(row[3], anchor) else by_anchor).setdefault(anchor, []).append(row)
+        lengths = sorted({len(w) for w in by_word})
+
+        def matches(text: str) -> Iterator[tuple[tuple, Iterator[re.Match]]]:
+            search = lambda p: compiled.get(p) or compiled.setdefault(p, re.compile(p, re.ASCII))
+            low = text.lower()
+            for anchor, several in by_anchor.items():
+                if anchor in low:
+                    yield from ((row, search(row[3]).finditer(text)) for row in several)
+            at: dict[str, list[int]] = {}
+            for m in _WORD.finditer(text) if by_word else ():
+                word = m.group().lower()
+                for n in lengths:
+                    if n > len(word):
+                        break
+                    if word[:n] in by_word:
+                        at.setdefault(word[:n], []).append(m.start())
+            for anchor, places in at.items():
+                yield from ((row, _matches_before(search(row[3]), text, places)) for row in by_word[anchor])
+
         for batch in batches:
             at: list[int] = []
             found: list[list] = [[] for _ in names[1:]]
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            ready = lambda: pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(c, k) for c, k in zip(found, kinds, strict=True))], names)  # noqa: E731, B023
+            for i, text in enumerate(batch.column(1)):
+                text = text.as_py()
                 if not text:
                     continue
-                low = text.lower()
-                for anchor, several in by_anchor.items():
-                    if anchor not in low:
-                        continue
-                    for name, step, label, pattern, _ in several:
-                        search = compiled.get(pattern) or compiled.setdefault(pattern, re.compile(pattern, re.ASCII))
-                        for n, m in enumerate(search.finditer(text)):
-                            at.append(i)
-                            for cell, value in zip(found, (name, step, label, n, m.group(0), list(m.groups())), strict=True):
-                                cell.append(value)
-                            if not every:
-                                break
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(c, k) for c, k in zip(found, kinds, strict=True))], names)
+                for (name, step, label, _, _), hits in matches(text):
+                    for n, m in enumerate(hits):
+                        at.append(i)
+                        for cell, value in zip(found, (name, step, label, n, m.group(0), list(m.groups())), strict=True):
+                            cell.append(value)
+                        if not every:
+                            break
+                        if len(at) >= HELD_HITS:
+                            yield ready()
+                            at, found = [], [[] for _ in names[1:]]
+            yield ready()
 
     out = df.select(key, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"key {kind}, rule_set string, step int, label string, pos int, quote string, parts array<string>")
     return out.withColumnRenamed("key", key)
