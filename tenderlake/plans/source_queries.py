@@ -38,7 +38,7 @@ def s1(spark, sf):
 
 @query("s2_listing_rows", "SELECT o_custkey AS page, o_orderkey::VARCHAR AS reference, '/detail?refID=' || o_orderkey AS url, o_orderpriority AS mode, o_orderstatus AS status FROM orders")
 def s2(spark, sf):
-    got = H.listing_rows(H.cells(_listing_pages(spark, sf)), r"/detail\?refID=([0-9]+)", ["reference_text", "mode", "status"])
+    got = H.listing_rows(H.table_rows(_listing_pages(spark, sf)), r"/detail\?refID=([0-9]+)", ["reference_text", "mode", "status"])
     return got.select("page", "reference", "url", "mode", "status")
 
 
@@ -54,7 +54,7 @@ def s3(spark, sf):
         F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("<p>Status : "), F.col("o_orderstatus"), F.lit("</p>"))).otherwise(""),
     )
     pages = table(spark, sf, "orders").select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
-    return H.notices(H.cells(pages), {"title": ["Title", "Notice Title"], "mode": ["Mode"], "status": ["Status"]})
+    return H.notices(H.whole_pages(pages), {"title": ["Title", "Notice Title"], "mode": ["Mode"], "status": ["Status"]})
 
 
 @query("s4_item_tables", "SELECT l_orderkey AS page, 'Part ' || l_partkey AS name, l_suppkey::VARCHAR AS unspsc, l_quantity::INT::VARCHAR AS quantity FROM lineitem")
@@ -62,7 +62,7 @@ def s4(spark, sf):
     row = F.concat(F.lit("<tr><td>"), _s("l_suppkey"), F.lit("<td>Part "), _s("l_partkey"), F.lit("</td><td>"), F.col("l_quantity").cast("int").cast("string"), F.lit("</td></tr>"))
     pages = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_join(F.collect_list(row), "").alias("rows"))
     pages = pages.select("page_id", F.concat(F.lit("<table><tr><th>UNSPSC</th><th>Item Description</th><th>Qty</th></tr>"), "rows", F.lit("<tr><td></td><td> </td><td></td></tr></table><table><tr><td>a</td></tr><tr><td>b</td></tr></table>")).alias("html"))
-    return H.table_items(H.cells(pages), {"unspsc": "(?i)unspsc", "name": "(?i)description", "quantity": "(?i)qty"}, "name", "(?i)unspsc|lot|item").select("page", "name", "unspsc", "quantity")
+    return H.table_items(H.table_rows(pages), {"unspsc": "(?i)unspsc", "name": "(?i)description", "quantity": "(?i)qty"}, "name", "(?i)unspsc|lot|item").select("page", "name", "unspsc", "quantity")
 
 
 @query(
@@ -73,7 +73,7 @@ def s5(spark, sf):
     pages = _listing_pages(spark, sf)
     again = F.regexp_extract("html", r"(<a href=\"/detail\?refID=[0-9]+\">)", 1)
     html = F.concat("html", again, F.lit("again</a>"), F.when(F.col("page_id") % 2 == 0, '<a href="/list?page=2">Next</a>').otherwise(""))
-    got = H.open_list(H.cells(pages.withColumn("html", html)), r"/detail\?refID=([0-9]+)", r"/list\?page=", "(?i)transaction error")
+    got = H.open_list(H.whole_pages(pages.withColumn("html", html)), r"/detail\?refID=([0-9]+)", r"/list\?page=", "(?i)transaction error")
     return got.select("page", F.array_join("ids", ",").alias("ids"), F.array_join("duplicates", ",").alias("duplicates"), "has_next", "failed")
 
 
@@ -82,7 +82,7 @@ def s6(spark, sf):
     area = F.when(F.col("c_nationkey") > 3, F.concat(F.lit("<tr><td>Area of Delivery :</td><td>"), _s("c_nationkey"), F.lit("</td></tr>"))).otherwise("")
     html = F.concat(F.lit("<table><tr><td>Title:</td><td>"), "c_name", F.lit("</td></tr><tr><td>Title</td><td>second</td></tr>"), area, F.lit("<tr><td>Category/</td><td> "), "c_mktsegment", F.lit("</td></tr></table>"))
     pages = table(spark, sf, "customer").select(F.col("c_custkey").alias("page_id"), html.alias("html"))
-    return H.notices(H.cells(pages), {"title": ["title"], "category": ["category"], "area": ["area"]}, prefix=True)
+    return H.notices(H.whole_pages(pages), {"title": ["title"], "category": ["category"], "area": ["area"]}, prefix=True)
 
 
 @query(
@@ -105,7 +105,7 @@ def s7_names(spark, sf):
 
 @query("s8_award_lists", "SELECT o_custkey AS page, o_orderkey::VARCHAR AS award, o_orderpriority AS title FROM orders WHERE o_custkey % 5 > 1")
 def s8(spark, sf):
-    return H.award_list(H.cells(_award_pages(spark, sf)), ["award", "title", "supplier"], "Reference", "No Records Found")[0].select("page", "award", "title").filter("award != 'no link'")
+    return H.award_rows(H.table_rows(_award_pages(spark, sf)), ["award", "title", "supplier"], "Reference").select("page", "award", "title").filter("award != 'no link'")
 
 
 @query("s8_malformed_pages", "SELECT DISTINCT o_custkey AS page, 'no award header' AS reason FROM orders WHERE o_custkey % 5 = 0")
