@@ -453,19 +453,22 @@ def document_links(documents: DataFrame, files: DataFrame, states: DataFrame, ke
     all is ``unavailable``. While the files aren't ``ready`` a name is
     ``unknown`` after an error and ``checking`` otherwise, also without a state.
     """
-    listed = files.filter(F.col(url).isNotNull()).select(F.col(key).alias("__k"), F.col(filename).alias("exact"), *(f.alias(n) for f, n in zip(name_forms(F.col(filename)), ("plain", "stem"), strict=True)), F.col(url).alias("__url"))
+    nothing = F.lit(None).cast("string")
     now = states.select(F.col(key).alias("__s"), F.col(state).alias("__state"))
-    names = documents.select(key, F.col(name).alias("name")).distinct().join(now, F.col(key) == F.col("__s"), "left").drop("__s")
-    forms = dict(zip(("exact", "plain", "stem"), (F.col("name"), *name_forms(F.col("name"))), strict=True))
+    names = documents.select(key, F.col(name).alias("name")).repartition(key).distinct().join(now, F.col(key) == F.col("__s"), "left").drop("__s")
     ready = F.coalesce(F.col("__state"), F.lit("")) == "ready"
     waiting = F.when(F.col("__state").isin("error", "unavailable"), "unknown").otherwise("checking")
-    nothing = F.lit(None).cast("string")
     out = names.filter(~ready).select(key, "name", nothing.alias("href"), waiting.alias("status"), nothing.alias("tier"))
-    left = names.filter(ready).select(key, "name")
-    for tier, form in forms.items():
-        met = listed.groupBy("__k", F.col(tier).alias("__form")).agg(F.count_distinct("__url").alias("__n"), F.min("__url").alias("__url"))
-        found = left.withColumn("__form_of", form).join(met, (F.col(key) == F.col("__k")) & (F.col("__form_of") == F.col("__form")), "left")
-        one = F.col("__n") == 1
-        hit = found.filter("__n IS NOT NULL").select(key, "name", F.when(one, F.col("__url")).alias("href"), F.when(one, "available").otherwise("ambiguous").alias("status"), F.lit(tier).alias("tier"))
-        out, left = out.unionByName(hit), found.filter("__n IS NULL").select(key, "name")
-    return out.unionByName(left.select(key, "name", nothing.alias("href"), F.lit("unavailable").alias("status"), nothing.alias("tier")))
+    # names that are equal are equal in plain form, and those are equal without extension: names and files meet once, by the last
+    listed = files.filter(F.col(url).isNotNull() & F.col(filename).isNotNull()).select(key, F.col(filename).alias("name"), F.col(url).cast("string").alias("__url"))
+    both = names.filter(ready).select(key, "name", nothing.alias("__url"), F.lit(True).alias("__asked")).union(listed.select("*", F.lit(False)))
+    plain, stem = name_forms(F.col("name"))
+    both = both.withColumns({"__plain": plain, "__stem": stem})
+    tiers = {"exact": Window.partitionBy(key, "__stem", "__plain", "name"), "plain": Window.partitionBy(key, "__stem", "__plain"), "stem": Window.partitionBy(key, "__stem")}
+    for tier, w in reversed(tiers.items()):
+        both = both.withColumns({f"__{tier}_least": F.min("__url").over(w), f"__{tier}_most": F.max("__url").over(w)})
+    met = F.coalesce(*(F.when(F.col(f"__{t}_least").isNotNull(), F.struct(F.col(f"__{t}_least").alias("least"), F.col(f"__{t}_most").alias("most"), F.lit(t).alias("tier"))) for t in tiers))
+    found = both.filter("__asked").withColumn("__met", met)
+    one = F.col("__met.least") == F.col("__met.most")
+    status = F.when(one, "available").when(F.col("__met").isNull(), "unavailable").otherwise("ambiguous")
+    return out.unionByName(found.select(key, "name", F.when(one, F.col("__met.least")).alias("href"), status.alias("status"), F.col("__met.tier").alias("tier")))
