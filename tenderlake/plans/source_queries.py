@@ -370,7 +370,7 @@ min(ts) FILTER (WHERE is_read) AS first_read, min(ts) FILTER (WHERE is_review OR
 HAVING count_if(decision IS NOT NULL OR status IS NOT NULL OR is_read OR is_review) > 0""",
 )
 def st5_lifecycle(spark, sf):
-    """Decision, work status, first read and first review of each user, by a stateful operator over three files and restarts."""
+    """Decision, work status, first read and first review of each user, merged by key over three files and restarts."""
     checkpoint = shared_path(spark, "lifecycle")
     store = shared_path(spark, "lifecycle-store")
     made = False
