@@ -154,24 +154,35 @@ def unit_vector(terms: np.ndarray, tf: np.ndarray, scale: np.ndarray) -> np.ndar
 
 
 class Stretched:
-    """Unit vectors of the examples (entries in the order of examples) with their terms stretched."""
+    """Unit vectors of the examples (entries in the order of examples) with their terms stretched.
+
+    Few terms are stretched, so that a product there is the plain one and what these few terms add to it.
+    """
 
     def __init__(self, n: int, example: np.ndarray, term: np.ndarray, weight: np.ndarray, stretch: np.ndarray):
-        self.stretch, self.term = stretch, term
-        self.start = np.searchsorted(example, np.arange(n + 1))
-        stretched = weight * stretch[term]
-        self.weight = stretched / np.sqrt(np.bincount(example, stretched * stretched, n))[example]
+        self.stretch, self.more = stretch, stretch * stretch - 1
+        self.norm = np.sqrt(np.bincount(example, (weight * stretch[term]) ** 2, n))
+        some = np.flatnonzero(stretch[term] != 1)
+        self.all, self.few = ((np.searchsorted(e, np.arange(n + 1)), t, w) for e, t, w in ((example, term, weight), (example[some], term[some], weight[some])))
         self.query = np.zeros(len(stretch))
 
-    def cosines(self, terms: np.ndarray, weights: np.ndarray, examples: np.ndarray) -> np.ndarray:
-        """Of the query ``terms, weights``, which aren't stretched yet, with each of ``examples``."""
-        stretched = weights * self.stretch[terms]
-        self.query[terms] = stretched / np.sqrt(stretched @ stretched)
-        size = self.start[examples + 1] - self.start[examples]
-        at = np.arange(size.sum()) + np.repeat(self.start[examples] - np.cumsum(size) + size, size)
-        found = np.bincount(np.repeat(np.arange(len(examples)), size), self.weight[at] * self.query[self.term[at]], len(examples))
+    def _products(self, entries: tuple[np.ndarray, np.ndarray, np.ndarray], terms: np.ndarray, weights: np.ndarray, examples: np.ndarray) -> np.ndarray:
+        """Of the query ``terms, weights`` with the entries (start, term and weight) of each of ``examples``."""
+        start, term, weight = entries
+        self.query[terms] = weights
+        size = start[examples + 1] - start[examples]
+        at = np.arange(size.sum()) + np.repeat(start[examples] - np.cumsum(size) + size, size)
+        found = np.bincount(np.repeat(np.arange(len(examples)), size), weight[at] * self.query[term[at]], len(examples))
         self.query[terms] = 0
-        return np.minimum(found, 1)
+        return found
+
+    def cosines(self, terms: np.ndarray, weights: np.ndarray, examples: np.ndarray, plain: np.ndarray | None = None) -> np.ndarray:
+        """Of the query ``terms, weights``, which aren't stretched yet, with each of ``examples``; ``plain`` are the cosines without stretching, if known."""
+        if plain is None:
+            plain = self._products(self.all, terms, weights, examples)
+        stretched = weights * self.stretch[terms]
+        found = plain + self._products(self.few, terms, weights * self.more[terms], examples)
+        return np.minimum(found / (np.sqrt(stretched @ stretched) * self.norm[examples]), 1)
 
 
 def vote(labels: np.ndarray, cosines: np.ndarray, base: float) -> float:
@@ -317,7 +328,7 @@ def score(
                     got = index.nearest(asked, k, own)
                     kind = part.column(0).type
                     near = pa.array([[ids[x] for x in i[:evidence]] for i, _ in got], pa.list_(kind))
-                    cast = pa.array([vote(y[i], near_label.cosines(*q, i), base) if len(i) else None for q, (i, _) in zip(asked, got, strict=True)], pa.float64())
+                    cast = pa.array([vote(y[i], near_label.cosines(*q, i, s), base) if len(i) else None for q, (i, s) in zip(asked, got, strict=True)], pa.float64())
                     cosine = pa.array([s[:evidence] for _, s in got], pa.list_(pa.float64()))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), cast, near, cosine], ["id", "mark", "vote", "neighbours", "cosines"])
 

@@ -121,6 +121,26 @@ def test_toxicity_votes_by_stretched_distance():
     assert toxicity.vote(np.array([1.0, 0.0]), np.array([1.0, 0.5]), 0.0) > 0.9 and toxicity.vote(np.zeros(0), np.zeros(0), 0.3) == pytest.approx(0.3)
 
 
+def test_toxicity_reads_only_stretched_terms_of_known_neighbours():
+    r = np.random.default_rng(4)
+    bags = [np.sort(r.choice(400, 60, replace=False)) for _ in range(30)]
+    weights = [w / np.linalg.norm(w) for w in r.random((30, 60)) + 0.1]
+    entries = np.repeat(np.arange(30), 60), np.concatenate(bags), np.concatenate(weights)
+    stretch = np.ones(400)
+    stretch[:12] += 9 * r.random(12)
+    dense = np.zeros((30, 400))
+    for i, b in enumerate(bags):
+        dense[i, b] = weights[i]
+    wide = dense * stretch
+    wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+    near = toxicity.Stretched(30, *entries, stretch)
+    assert len(near.few[1]) == np.isin(entries[1], np.arange(12)).sum() < len(near.all[1]) / 10
+    near.all = None  # with plain cosines at hand the other entries aren't read
+    for i in range(30):
+        some = r.choice(30, 9, replace=False)
+        assert np.allclose(near.cosines(bags[i], weights[i], some, np.round(dense[some] @ dense[i], 6)), wide[some] @ wide[i], atol=2e-6)
+
+
 def test_toxicity_examples_are_bounded_by_bytes(spark):
     docs, labels = labelled(60)
     df, lab = table(spark, docs), spark.createDataFrame(labels, LABELS)
