@@ -16,7 +16,8 @@ its words.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 from math import isqrt
 
 import numpy as np
@@ -46,6 +47,8 @@ RATE = 40.0
 BATCH = 8_192
 #: Most that a step changes a weight; it holds where few ids share all of a batch.
 MOVE = 0.1
+#: Exponents up to this are taken as they are.
+EXPONENT = 60.0
 #: Documents whose words a task holds at a time.
 DOCUMENTS = 200
 #: Parameters in a row of the averaging shuffle.
@@ -134,6 +137,17 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[dict[bytes, int
     return known, n, word_shares(counts, list(known), size - own)
 
 
+def _settled(z: np.ndarray) -> np.ndarray:
+    """``z`` itself where no exponential of it can leave single precision, else shifted by the largest value of each row."""
+    if z.size and (z.max() > EXPONENT or z.min() < -EXPONENT):
+        z -= z.max(1, keepdims=True)
+    return z
+
+
+def _totals(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
 class MaskedModel:
     """Weights as views of one flat array. Padding beyond an end of a text has the id ``size``."""
 
@@ -166,27 +180,34 @@ class MaskedModel:
     def hidden(self, around: np.ndarray) -> np.ndarray:
         h = np.repeat(self.bias[None], around.shape[1], 0)
         for j, ids in enumerate(around):
-            h += self.context[j][ids]
+            h += np.take(self.context[j], ids, axis=0)
         return np.tanh(h)
 
     def _by_class(self, around: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
         """The places in order of the class of their word, their hidden values and classes, and ``class, begin, end``."""
         c = self.class_of[target]
-        order = np.argsort(c, kind="stable")
+        order = np.argsort(c.astype(np.uint16 if self.classes <= 1 << 16 else np.int64), kind="stable")  # short integers are sorted by radix
         begin = np.searchsorted(c[order], np.arange(self.classes + 1)).tolist()
         return order, self.hidden(around[:, order]), c[order], [(k, a, b) for k, (a, b) in enumerate(zip(begin[:-1], begin[1:], strict=True)) if a < b]
 
+    def _members(self, h: np.ndarray, groups: list[tuple[int, int, int]]) -> np.ndarray:
+        """What each place in order of classes gives the ids within its class, before normalising."""
+        z = np.empty((len(h), self.members), np.float32)
+        for k, a, b in groups:
+            np.matmul(h[a:b], self.to_member[k], out=z[a:b])
+            z[a:b] += self.member_bias[k]
+        return z
+
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log probability of each target id given the words around it."""
         order, h, c, groups = self._by_class(around, target)
         member = self.member_of[target[order]]
-        z = h @ self.to_class + self.class_bias
-        z -= z.max(1, keepdims=True)
-        found = z[np.arange(len(c)), c] - np.log(np.exp(z).sum(1))
-        for k, a, b in groups:
-            z = h[a:b] @ self.to_member[k] + self.member_bias[k]
-            z -= z.max(1, keepdims=True)
-            found[a:b] += z[np.arange(b - a), member[a:b]] - np.log(np.exp(z).sum(1))
+        found = np.zeros(len(c), np.float32)
+        for z, which in ((h @ self.to_class + self.class_bias, c), (self._members(h, groups), member)):
+            z = _settled(z)
+            found += z[np.arange(len(c)), which]
+            np.exp(z, out=z)
+            found -= np.log(_totals(z))
         out = np.empty(len(target))
         out[order] = found
         return out
@@ -200,9 +221,9 @@ class MaskedModel:
             weights -= np.minimum(np.maximum(change, -MOVE), MOVE)
 
         def error(z: np.ndarray, which: np.ndarray) -> np.ndarray:
-            z -= z.max(1, keepdims=True)
+            z = _settled(z)
             np.exp(z, out=z)
-            z /= z.sum(1, keepdims=True)
+            z /= _totals(z)[:, None]
             z[np.arange(len(z)), which] -= 1
             return z
 
@@ -211,24 +232,31 @@ class MaskedModel:
         e *= scale
         move(self.to_class, h.T @ e)
         move(self.class_bias, e.sum(0))
+        e = error(self._members(h, groups), member)
+        to_member, member_bias = np.zeros_like(self.to_member), np.zeros_like(self.member_bias)
         for k, a, b in groups:
-            e = error(h[a:b] @ self.to_member[k] + self.member_bias[k], member[a:b])
-            back[a:b] += e @ self.to_member[k].T
-            e *= scale
-            move(self.to_member[k], h[a:b].T @ e)
-            move(self.member_bias[k], e.sum(0))
+            back[a:b] += e[a:b] @ self.to_member[k].T
+            np.matmul(h[a:b].T, e[a:b], out=to_member[k])
+            e[a:b].sum(0, out=member_bias[k])
+        move(self.to_member, to_member * scale)
+        move(self.member_bias, member_bias * scale)
         back *= scale * (1 - h * h)
         move(self.bias, back.sum(0))
         columns = back.T.astype(float)
         for j, ids in enumerate(around):
             at = ids[order]
-            move(self.context[j], np.stack([np.bincount(at, x, self.size + 1) for x in columns], 1).astype(np.float32))
+            change = np.array([np.bincount(at, x, self.size + 1) for x in columns])
+            move(self.context[j], change.T.astype(np.float32, order="C"))
+
+
+def _hashes(words: Iterable[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
 
 
-def _log_shares(words: list[bytes], shares: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """Log share of each of ``words``, which have no id of their own, among the words of its id."""
+def _log_shares(words: list[bytes] | np.ndarray, shares: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Log share of each of ``words`` (or their hashes), which have no id of their own, among the words of its id."""
     listed, log_share, other = shares
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    hashes = words if isinstance(words, np.ndarray) else _hashes(words, len(words))
     found = other[(hashes % np.uint64(len(other))).astype(np.int64)].astype(float)
     if len(listed):
         at = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
@@ -236,14 +264,18 @@ def _log_shares(words: list[bytes], shares: tuple[np.ndarray, np.ndarray, np.nda
     return found
 
 
-def _padded(texts: list[bytes | None], known: WordIds, size: int, side: int, spelled: list[list[bytes]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all texts with padding between them, the places of words, and the text of each; words without an id of their own go to ``spelled``."""
+def _padded(texts: list[bytes | None], known: WordIds, size: int, side: int, spelled: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all texts with padding between them, the places of words, and the text of each; hashes of words without an id of their own go to ``spelled``."""
     ids, at, of, end = [np.full(side, size)], [], [], side
     for j, text in enumerate(texts):
         words = words_of(text)
+        found = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        other = np.flatnonzero(found < 0)
+        hashes = _hashes(map(words.__getitem__, other.tolist()), len(other))
+        found[other] = known.own + (hashes % np.uint64(known.buckets)).astype(np.int64)
         if spelled is not None:
-            spelled.append([w for w in words if w not in known])
-        ids += [np.fromiter(map(known.__getitem__, words), np.int64, len(words)), np.full(side, size)]
+            spelled.append(hashes)
+        ids += [found, np.full(side, size)]
         at.append(np.arange(end, end + len(words)))
         of.append(np.full(len(words), j))
         end += len(words) + side
@@ -347,10 +379,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how
         model, known = MaskedModel(counts), WordIds(known, len(counts) // 2, len(counts) - len(counts) // 2)
         model.flat[:] = flat
         for part, texts in _texts(batches, 1):
-            spelled: list[list[bytes]] = []
+            spelled: list[np.ndarray] = []
             ids, at, of = _padded(texts, known, model.size, model.side, spelled)
             hashed = np.array([len(w) for w in spelled], np.int64)
-            total = np.bincount(np.repeat(np.arange(len(texts)), hashed), _log_shares([w for x in spelled for w in x], shares), len(texts)).astype(float)
+            total = np.bincount(np.repeat(np.arange(len(texts)), hashed), _log_shares(np.concatenate(spelled), shares), len(texts)).astype(float)
             for a in range(0, len(at), 16_384):
                 p = at[a : a + 16_384]
                 total += np.bincount(of[a : a + 16_384], weights=model.log_probabilities(model.windows(ids, p), ids[p]), minlength=len(texts))

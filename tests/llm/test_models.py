@@ -182,6 +182,46 @@ def test_training_follows_the_gradient():
     assert model.log_probabilities(model.windows(ids, at), ids[at]).mean() > before / 2
 
 
+def test_a_batch_is_normalised_as_a_whole(monkeypatch):
+    calls = []
+    whole = lm_scoring._settled
+    monkeypatch.setattr(lm_scoring, "_settled", lambda z: calls.append(len(z)) or whole(z))
+    r = np.random.default_rng(2)
+    model = lm_scoring.MaskedModel(r.integers(1, 50, 256).astype(float))
+    model.flat += r.normal(0, 0.3, len(model.flat)).astype(np.float32)
+    around, target = r.integers(0, 257, (4, 500)), r.integers(0, 256, 500)
+    found = model.log_probabilities(around, target)
+    model.step(around, target, 1.0)
+    assert calls == [500] * 4  # twice for each, however many classes there are
+    assert np.isfinite(found).all()
+    # logits that single precision couldn't raise e to
+    model.to_class *= 200
+    model.to_member *= 200
+    ids = np.concatenate([np.append(a, t) for a, t in zip(around.T, target)])
+    far = model.log_probabilities(around, target)
+    for i in range(0, 500, 50):
+        padded = np.insert(ids[5 * i : 5 * i + 4], 2, target[i])
+        with np.errstate(divide="ignore"):
+            expect = naive_log_probability(model, padded, 2)
+        assert np.isclose(far[i], expect, rtol=1e-3, atol=1e-3) or (expect == -np.inf and far[i] < -80)
+    model.step(around, target, 1.0)
+    assert np.isfinite(model.flat).all()
+
+
+def test_words_without_ids_are_hashed_once():
+    known = lm_scoring.WordIds({b"a": 0, b"b": 1}, 2, 5)
+    hashes: list[np.ndarray] = []
+    text = b"a zq b xx zq a"
+    ids, at, of = lm_scoring._padded([text, None, b"xx"], known, 7, 1, hashes)
+    words = [text.split(), [], [b"xx"]]
+    assert ids[at].tolist() == [known[w] for x in words for w in x] and of.tolist() == [0] * 6 + [2]
+    rest = [[w for w in x if w not in known] for x in words]
+    assert [h.tolist() for h in hashes] == [[lm_scoring.xxhash.xxh64_intdigest(w) for w in x] for x in rest]
+    listed = np.array([lm_scoring.xxhash.xxh64_intdigest(b"xx")], np.uint64)
+    shares = listed, np.array([-0.5], np.float32), np.linspace(-3, -1, 5).astype(np.float32)
+    assert (lm_scoring._log_shares(np.concatenate(hashes), shares) == lm_scoring._log_shares(sum(rest, []), shares)).all()
+
+
 def test_lm_scores(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "BATCH", 256)  # the table is small
     docs = [row(100 + i, " ".join(f"a{(i + j) % 20}" for j in range(200))) for i in range(30)] + [row(200, words(200, 1, 20).replace("w", "a"))]
