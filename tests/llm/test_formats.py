@@ -35,6 +35,39 @@ def test_word_ids_are_those_of_the_whole_text(text):
     assert model.ids(data).tolist() == WHOLE.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_of_letters_are_encoded_together():
+    model, calls = packing.WordTokenizer(PATH), []
+
+    class Spy:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **how):
+            calls.append((self.inner is whole, len(texts)))
+            return self.inner.encode_batch_fast(texts, **how)
+
+    whole = model.model
+    model.model, model.plain = Spy(whole), Spy(model.plain)
+    text = " ".join(f"{a}{b}ng{c}" for a in "abéñ" for b in ("on", "ß", "ÿu") for c in "xyzö") + ", été. Né, là.\nfin."
+    assert model.ids(text.encode()).tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+    assert calls == [(False, 1), (True, 2)]  # all words of letters at once; the full stop and the comma by the whole tokenizer
+    for text in ("École ÷ 12 x7 naïve", "ſ ŉ ǆ é÷é", "là— là—. ñ."):
+        assert model.ids(text.encode()).tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+
+
+def test_best_fill_stops_at_a_full_window():
+    class Seen(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    counts = Seen({k: 3 for k in range(1, 2000)})
+    got = packing.best_fill(counts, 4096)
+    assert sum(k * n for k, n in got.items()) == 4096 and counts.asked < len(counts) / 2
+
+
 def test_word_cache_is_bounded_by_bytes(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_BYTES", 1_000)
     model = packing.WordTokenizer(PATH)
