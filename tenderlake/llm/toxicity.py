@@ -219,12 +219,14 @@ def _count_terms(texts: DataFrame, known: Broadcast | None = None) -> DataFrame:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
                 got = [np.unique(term_hashes(t)) for t in part.column(1).cast(pa.binary()).to_pylist()]
-                terms, mark = np.concatenate(got), np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in got])
+                terms, n = np.unique(np.concatenate(got), return_counts=True)
+                ones, marks = np.zeros(len(n), np.int64), part.column(0).to_pylist()
+                for mark in set(marks) - {0}:
+                    held, n_held = np.unique(np.concatenate([x for x, m in zip(got, marks, strict=True) if m == mark]), return_counts=True)
+                    ones[np.searchsorted(terms, held)] += mark * n_held
                 if known is not None:
                     some = _ids(terms, known.value)[0]
-                    terms, mark = terms[some], mark[some]
-                terms, at = np.unique(terms, return_inverse=True)
-                n, ones = np.bincount(at, minlength=len(terms)), np.bincount(at, mark, len(terms)).astype(np.int64)
+                    terms, n, ones = terms[some], n[some], ones[some]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (terms, n, ones)], ["term", "n", "ones"])
 
     return texts.mapInArrow(run, "term long, n long, ones long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
@@ -241,7 +243,9 @@ def _ids(hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _bag(text: bytes | None, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids and counts of the known terms of a text, by id."""
-    return np.unique(_ids(term_hashes(text), known)[1], return_counts=True)
+    hashes, n = np.unique(term_hashes(text), return_counts=True)  # in order, as the known ones are, which keeps the search local
+    some, ids = _ids(hashes, known)
+    return ids, n[some]
 
 
 def relevance(n: np.ndarray, ones: np.ndarray, n_examples: int, n_ones: float) -> np.ndarray:
